@@ -224,3 +224,265 @@ def q_foundation_effect_rows(spark, sf_dir):
     df = _with_condition(spark, sf_dir, V.foundations(spark, sf_dir))
     return rounded(E.option_effect_rows(df, ["ch", "fc", "lb", "as", "pd"], "vec_id", normalise=False,
                                         drop_zero=False, suffix="_score"))
+
+
+# ---------------------------------------------------------------------------
+# Verdict shares and foundation summaries (reddit analysis family)
+# ---------------------------------------------------------------------------
+from armature.functions import stats as ST  # noqa: E402
+from armature.operators import shares as SH  # noqa: E402
+from armature.operators import significance as SG  # noqa: E402
+from armature.schemas import FOUNDATION_LABELS, VERDICTS  # noqa: E402
+
+_VR = """vr AS (
+  SELECT x.*, CASE WHEN x.distractor_id IS NULL THEN 'baseline'
+                   ELSE CASE d.sentiment WHEN 'positive' THEN 'pos' WHEN 'neutral' THEN 'neu'
+                                         WHEN 'negative' THEN 'neg' END END AS distractor_type
+  FROM v_option_responses x LEFT JOIN v_distractors d ON x.distractor_id = d.id)"""
+
+_FR = """fr AS (
+  SELECT x.*, CASE WHEN x.distractor_id IS NULL THEN 'baseline' ELSE coalesce(d.sentiment, 'unknown') END AS condition,
+         CASE WHEN x.distractor_id IS NULL THEN 'baseline'
+              ELSE CASE d.sentiment WHEN 'positive' THEN 'pos' WHEN 'neutral' THEN 'neu'
+                                    WHEN 'negative' THEN 'neg' END END AS distractor_type
+  FROM v_foundations x LEFT JOIN v_distractors d ON x.distractor_id = d.id)"""
+
+
+def _verdict_frame(spark, sf_dir):
+    df = _with_condition(spark, sf_dir, V.option_responses(spark, sf_dir))
+    return df.withColumn("distractor_type", SH.distractor_type(F.col("condition")))
+
+
+def _foundation_frame(spark, sf_dir):
+    df = _with_condition(spark, sf_dir, V.foundations(spark, sf_dir))
+    return df.withColumn("distractor_type", SH.distractor_type(F.col("condition")))
+
+
+@register("verdict_shares", with_views(f"""
+WITH {_VR}, c AS (SELECT model_id, distractor_type, verdict, count(*) AS count FROM vr
+                  WHERE verdict IS NOT NULL GROUP BY ALL)
+SELECT model_id, distractor_type, verdict, count,
+       round(count / sum(count) OVER (PARTITION BY model_id, distractor_type), 6) AS share FROM c
+""", "v_distractors", "v_option_responses"))
+def q_verdict_shares(spark, sf_dir):
+    return rounded(SH.verdict_shares(_verdict_frame(spark, sf_dir), ["model_id", "distractor_type"]))
+
+
+@register("verdict_shares_overall", with_views("""
+WITH c AS (SELECT model_id, verdict, count(*) AS count FROM v_option_responses WHERE verdict IS NOT NULL GROUP BY ALL)
+SELECT model_id, verdict, count, round(count / sum(count) OVER (PARTITION BY model_id), 6) AS share FROM c
+""", "v_option_responses"))
+def q_verdict_shares_overall(spark, sf_dir):
+    return rounded(SH.verdict_shares(V.option_responses(spark, sf_dir), ["model_id"]))
+
+
+@register("verdict_share_delta", with_views(f"""
+WITH {_VR}, c AS (SELECT model_id, distractor_type, verdict, count(*) AS count FROM vr
+                  WHERE verdict IS NOT NULL GROUP BY ALL),
+s AS (SELECT *, count / sum(count) OVER (PARTITION BY model_id, distractor_type) AS share FROM c),
+grid AS (SELECT p.model_id, p.distractor_type, v.verdict
+         FROM (SELECT DISTINCT model_id, distractor_type FROM s WHERE distractor_type <> 'baseline') p
+         CROSS JOIN (SELECT DISTINCT verdict FROM s) v),
+b AS (SELECT model_id, verdict, share AS share_base FROM s WHERE distractor_type = 'baseline')
+SELECT g.model_id, g.distractor_type, g.verdict, round(coalesce(s.share, 0), 6) AS share,
+       round(coalesce(b.share_base, 0), 6) AS share_base,
+       round(coalesce(s.share, 0) - coalesce(b.share_base, 0), 6) AS delta
+FROM grid g LEFT JOIN s USING (model_id, distractor_type, verdict) LEFT JOIN b USING (model_id, verdict)
+""", "v_distractors", "v_option_responses"))
+def q_verdict_share_delta(spark, sf_dir):
+    s = SH.verdict_shares(_verdict_frame(spark, sf_dir), ["model_id", "distractor_type"])
+    return rounded(SH.share_delta(s))
+
+
+@register("verdict_contingency", with_views(f"""
+WITH {_VR}
+SELECT model_id, distractor_type, {", ".join(f"count(*) FILTER (WHERE verdict = '{v}') AS {v}" for v in VERDICTS)}
+FROM vr WHERE verdict IS NOT NULL GROUP BY model_id, distractor_type
+""", "v_distractors", "v_option_responses"))
+def q_verdict_contingency(spark, sf_dir):
+    return SH.contingency(_verdict_frame(spark, sf_dir), ["model_id", "distractor_type"])
+
+
+@register("verdict_conditional_counts", with_views(f"""
+WITH {_VR}
+SELECT model_id, distractor_type, count(*) AS n, count(*) FILTER (WHERE verdict = 'NTA') AS k
+FROM vr GROUP BY model_id, distractor_type
+""", "v_distractors", "v_option_responses"))
+def q_verdict_conditional_counts(spark, sf_dir):
+    return SH.conditional_counts(_verdict_frame(spark, sf_dir), ["model_id", "distractor_type"], "NTA")
+
+
+_TOP_SQL = "CASE " + " ".join(
+    f"WHEN {c} = greatest({', '.join(FOUNDATION_LABELS)}) THEN '{lab}'" for c, lab in FOUNDATION_LABELS.items()) + " END"
+
+
+@register("top_foundation_shares", with_views(f"""
+WITH t AS (SELECT model_id, {_TOP_SQL} AS top_foundation FROM v_foundations),
+c AS (SELECT model_id, top_foundation, count(*) AS count FROM t WHERE top_foundation IS NOT NULL GROUP BY ALL)
+SELECT model_id, top_foundation, count, round(count / sum(count) OVER (PARTITION BY model_id), 6) AS share FROM c
+""", "v_foundations"))
+def q_top_foundation_shares(spark, sf_dir):
+    t = V.foundations(spark, sf_dir).select("model_id", SH.top_foundation().alias("top_foundation"))
+    return rounded(SH.verdict_shares(t, ["model_id"], verdict="top_foundation"))
+
+
+_MELT_SQL = "\nUNION ALL\n".join(
+    f"SELECT vec_id, model_id, condition, '{lab}' AS foundation, round({c}, 6) AS score FROM fr"
+    for c, lab in FOUNDATION_LABELS.items())
+
+
+@register("foundation_melt", with_views(f"WITH {_FR}\n{_MELT_SQL}", "v_distractors", "v_foundations"))
+def q_foundation_melt(spark, sf_dir):
+    f = _with_condition(spark, sf_dir, V.foundations(spark, sf_dir))
+    return rounded(SH.melt_foundations(f, ["vec_id", "model_id", "condition"]))
+
+
+@register("foundation_model_means", with_views(
+    "SELECT model_id, " + ", ".join(_r(f"avg({c})", c) for c in FOUNDATION_LABELS)
+    + " FROM v_foundations GROUP BY model_id", "v_foundations"))
+def q_foundation_model_means(spark, sf_dir):
+    return rounded(SH.mean_scores(V.foundations(spark, sf_dir), ["model_id"]))
+
+
+@register("foundation_condition_means", with_views(
+    f"WITH {_FR} SELECT model_id, condition, " + ", ".join(_r(f"avg({c})", c) for c in FOUNDATION_LABELS)
+    + " FROM fr GROUP BY model_id, condition", "v_distractors", "v_foundations"))
+def q_foundation_condition_means(spark, sf_dir):
+    f = _with_condition(spark, sf_dir, V.foundations(spark, sf_dir))
+    return rounded(SH.mean_scores(f, ["model_id", "condition"]))
+
+
+# ---------------------------------------------------------------------------
+# Tests: two-proportion z, Wilson, chi-square, Kruskal-Wallis, Holm, Holm-Sidak
+# ---------------------------------------------------------------------------
+
+def _ztest_sql(targets: list[str]) -> str:
+    tv = ", ".join(f"('{t}')" for t in targets)
+    return f"""{_VR},
+cc AS (SELECT model_id, distractor_type, t.target, count(*) AS n, count(*) FILTER (WHERE verdict = t.target) AS k
+       FROM vr CROSS JOIN (VALUES {tv}) t(target) GROUP BY ALL),
+zb AS (SELECT c.model_id, c.target, c.distractor_type || ' vs baseline' AS comparison,
+              CAST(coalesce(b.k, 0) AS DOUBLE) / nullif(coalesce(b.n, 0), 0) AS baseline,
+              CAST(c.k AS DOUBLE) / nullif(c.n, 0) AS comp,
+              c.k AS k1, c.n AS n1, coalesce(b.k, 0) AS k0, coalesce(b.n, 0) AS n0
+       FROM cc c LEFT JOIN (SELECT * FROM cc WHERE distractor_type = 'baseline') b
+            ON c.model_id = b.model_id AND c.target = b.target
+       WHERE c.distractor_type IN ('neg', 'neu', 'pos')),
+zp AS (SELECT *, CAST(k1 + k0 AS DOUBLE) / nullif(n1 + n0, 0) AS pp FROM zb),
+zz AS (SELECT *, comp - baseline AS delta,
+              (comp - baseline) / nullif(sqrt(pp * (1 - pp) * (1.0 / nullif(n1, 0) + 1.0 / nullif(n0, 0))), 0) AS z FROM zp),
+zx AS (SELECT *, abs(z) / sqrt(2.0) AS _x FROM zz),
+zt AS (SELECT model_id, target, comparison, baseline, comp, delta, z, {ST.erfc_sql('_x')} AS p FROM zx)"""
+
+
+def _ztests(spark, sf_dir, targets):
+    vf = _verdict_frame(spark, sf_dir)
+    parts = [SG.two_proportion_tests(vf, t).withColumn("target", F.lit(t)) for t in targets]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("two_prop_ztest", with_views(f"""
+WITH {_ztest_sql(['NTA'])}
+SELECT model_id, comparison, round(baseline, 6) AS baseline, round(comp, 6) AS comp, round(delta, 6) AS delta,
+       round(z, 6) AS z, round(p, 6) AS p, round(p_adj, 6) AS p_adj
+FROM {ST.holm_sql('zt', 'p')}
+""", "v_distractors", "v_option_responses"))
+def q_two_prop_ztest(spark, sf_dir):
+    z = SG.two_proportion_tests(_verdict_frame(spark, sf_dir), "NTA")
+    return rounded(ST.holm(z, "p", "p_adj"))
+
+
+@register("holm_sidak_adjust", with_views(f"""
+WITH {_ztest_sql(VERDICTS)}
+SELECT model_id, target, comparison, round(p, 6) AS p, round(p_adj, 6) AS p_adj
+FROM {ST.holm_sidak_sql('zt', 'p')}
+""", "v_distractors", "v_option_responses"))
+def q_holm_sidak_adjust(spark, sf_dir):
+    z = _ztests(spark, sf_dir, VERDICTS)
+    return rounded(ST.holm_sidak(z, "p", "p_adj").select("model_id", "target", "comparison", "p", "p_adj"))
+
+
+@register("neg_log10_p", with_views(f"""
+WITH {_ztest_sql(VERDICTS)}
+SELECT model_id, target, comparison, round(-log10(p_adj), 6) AS neg_log10_p
+FROM {ST.holm_sql('zt', 'p', 'target')}
+""", "v_distractors", "v_option_responses"))
+def q_neg_log10_p(spark, sf_dir):
+    z = ST.holm(_ztests(spark, sf_dir, VERDICTS), "p", "p_adj", by=["target"])
+    return rounded(z.select("model_id", "target", "comparison", (-F.log10("p_adj")).alias("neg_log10_p")))
+
+
+@register("wilson_ci", with_views(f"""
+WITH {_VR}, cc AS (SELECT model_id, distractor_type, count(*) AS n, count(*) FILTER (WHERE verdict = 'NTA') AS k
+                   FROM vr GROUP BY ALL),
+w AS (SELECT *, CAST(k AS DOUBLE) / n AS ph, {ST._lit(1.959963984540054)} AS z FROM cc)
+SELECT model_id, distractor_type, round(ph, 6) AS share,
+       round((ph + z*z / (2*n)) / (1 + z*z / n) - z * sqrt(ph * (1 - ph) / n + z*z / (4*n*n)) / (1 + z*z / n), 6) AS ci_lo,
+       round((ph + z*z / (2*n)) / (1 + z*z / n) + z * sqrt(ph * (1 - ph) / n + z*z / (4*n*n)) / (1 + z*z / n), 6) AS ci_hi
+FROM w
+""", "v_distractors", "v_option_responses"))
+def q_wilson_ci(spark, sf_dir):
+    return rounded(SG.wilson_table(_verdict_frame(spark, sf_dir), "NTA"))
+
+
+@register("chi2_stat", with_views(f"""
+WITH {_VR}, obs AS (SELECT model_id, distractor_type, verdict, count(*) AS o FROM vr WHERE verdict IS NOT NULL GROUP BY ALL),
+ty AS (SELECT DISTINCT model_id, distractor_type FROM obs), ve AS (SELECT DISTINCT model_id, verdict FROM obs),
+cells AS (SELECT t.model_id, t.distractor_type, v.verdict, coalesce(o.o, 0) AS o
+          FROM ty t JOIN ve v USING (model_id) LEFT JOIN obs o USING (model_id, distractor_type, verdict)),
+rt AS (SELECT model_id, distractor_type, sum(o) AS rt FROM obs GROUP BY ALL),
+ct AS (SELECT model_id, verdict, sum(o) AS ct FROM obs GROUP BY ALL),
+tot AS (SELECT model_id, sum(o) AS nt, count(DISTINCT distractor_type) AS nr, count(DISTINCT verdict) AS nc FROM obs GROUP BY ALL),
+e AS (SELECT cells.model_id, cells.o, rt * ct / CAST(nt AS DOUBLE) AS e, (nr - 1) * (nc - 1) AS dof
+      FROM cells JOIN rt USING (model_id, distractor_type) JOIN ct USING (model_id, verdict) JOIN tot USING (model_id))
+SELECT model_id,
+       round(sum(CASE WHEN dof = 0 THEN 0.0
+                      WHEN dof = 1 THEN power(o + sign(e - o) * least(0.5, abs(e - o)) - e, 2) / e
+                      ELSE power(o - e, 2) / e END), 6) AS chi2,
+       CAST(max(dof) AS BIGINT) AS dof
+FROM e GROUP BY model_id
+""", "v_distractors", "v_option_responses"))
+def q_chi2_stat(spark, sf_dir):
+    return rounded(SG.chi_square_tests(_verdict_frame(spark, sf_dir)))
+
+
+@register("chi2_tests", None)
+def q_chi2_tests(spark, sf_dir):
+    """T4 with p-values (chi-square tail) and Holm adjustment - rows-only check."""
+    t = SG.with_chi2_p(SG.chi_square_tests(_verdict_frame(spark, sf_dir)), "chi2", "dof")
+    return rounded(ST.holm(t, "p", "p_adj"))
+
+
+_KW_MELT = "\nUNION ALL\n".join(
+    f"SELECT model_id, distractor_type, '{lab}' AS foundation, {c} AS score FROM fr"
+    for c, lab in FOUNDATION_LABELS.items())
+
+
+@register("kruskal_h", with_views(f"""
+WITH {_FR}, m AS ({_KW_MELT}),
+x AS (SELECT * FROM m WHERE score IS NOT NULL AND NOT isnan(score)),
+rk AS (SELECT *, rank() OVER (PARTITION BY model_id, foundation ORDER BY score)
+                 + (count(*) OVER (PARTITION BY model_id, foundation, score) - 1) / 2.0 AS rnk FROM x),
+rs AS (SELECT model_id, foundation, distractor_type, sum(rnk) AS r_sum, count(*) AS n_g FROM rk GROUP BY ALL),
+ts AS (SELECT model_id, foundation, sum(c * c * c - c) AS t3, sum(c) AS n
+       FROM (SELECT model_id, foundation, score, CAST(count(*) AS DOUBLE) AS c FROM x GROUP BY ALL) GROUP BY ALL),
+g AS (SELECT model_id, foundation, sum(r_sum * r_sum / n_g) AS ssbn, count(*) AS k FROM rs GROUP BY ALL)
+SELECT g.model_id, g.foundation,
+       round((12.0 / (n * (n + 1)) * ssbn - 3 * (n + 1)) / nullif(1 - t3 / (n * n * n - n), 0), 6) AS H,
+       k - 1 AS dof
+FROM g JOIN ts USING (model_id, foundation) WHERE k >= 2
+""", "v_distractors", "v_foundations"))
+def q_kruskal_h(spark, sf_dir):
+    m = SH.melt_foundations(_foundation_frame(spark, sf_dir), ["model_id", "distractor_type"])
+    return rounded(SG.kruskal_tests(m, ["model_id", "foundation"], "distractor_type", "score"))
+
+
+@register("kruskal_tests", None)
+def q_kruskal_tests(spark, sf_dir):
+    """T5 with chi-square p-values and Holm adjustment - rows-only check."""
+    m = SH.melt_foundations(_foundation_frame(spark, sf_dir), ["model_id", "distractor_type"])
+    k = SG.with_chi2_p(SG.kruskal_tests(m, ["model_id", "foundation"], "distractor_type", "score"), "H", "dof")
+    return rounded(ST.holm(k, "p", "p_adj"))
