@@ -486,3 +486,59 @@ def q_kruskal_tests(spark, sf_dir):
     m = SH.melt_foundations(_foundation_frame(spark, sf_dir), ["model_id", "distractor_type"])
     k = SG.with_chi2_p(SG.kruskal_tests(m, ["model_id", "foundation"], "distractor_type", "score"), "H", "dof")
     return rounded(ST.holm(k, "p", "p_adj"))
+
+
+# ---------------------------------------------------------------------------
+# Response text: verdicts, reasoning, answer extraction, ids (whole texts)
+# ---------------------------------------------------------------------------
+from armature.functions import text as TX  # noqa: E402
+
+_RT_SQL = "rt AS (SELECT doc_id, " + TX.strip_sql("coalesce(nullif(answer, ''), '')") + " AS t FROM v_text_responses)"
+
+
+def _response_text(spark, sf_dir):
+    return V.text_responses(spark, sf_dir).select("doc_id", TX.response_text(F.col("answer")).alias("t"))
+
+
+@register("verdict_extract", with_views(f"""
+WITH {_RT_SQL}
+SELECT doc_id, CASE WHEN regexp_matches(t, {TX._q(TX._CI_SQL + TX.VERDICT_BODY)})
+                    THEN upper(regexp_extract(t, {TX._q(TX._CI_SQL + TX.VERDICT_BODY)}, 1)) END AS verdict_primary
+FROM rt
+""", "v_text_responses"))
+def q_verdict_extract(spark, sf_dir):
+    return _response_text(spark, sf_dir).select("doc_id", TX.verdict_primary(F.col("t")).alias("verdict_primary"))
+
+
+@register("verdict_fallback", with_views(f"""
+WITH {_RT_SQL}
+SELECT doc_id, {TX.verdict_sql('t')} AS verdict FROM rt
+""", "v_text_responses"))
+def q_verdict_fallback(spark, sf_dir):
+    return _response_text(spark, sf_dir).select("doc_id", TX.verdict(F.col("t")).alias("verdict"))
+
+
+@register("reasoning_extract", with_views(f"""
+WITH {_RT_SQL}
+SELECT doc_id, {TX.reasoning_sql('t')} AS reasoning FROM rt
+""", "v_text_responses"))
+def q_reasoning_extract(spark, sf_dir):
+    return _response_text(spark, sf_dir).select("doc_id", TX.reasoning(F.col("t")).alias("reasoning"))
+
+
+@register("answer_after_marker", f"""
+SELECT conv_id, turn, {TX.strip_sql("string_split(role || chr(10) || text, 'assistant')[-1]")} AS answer
+FROM conversations
+""")
+def q_answer_after_marker(spark, sf_dir):
+    c = V.table(spark, sf_dir, "conversations")
+    raw = F.concat(F.col("role"), F.lit("\n"), F.col("text"))
+    return c.select("conv_id", "turn", TX.answer_after_marker(raw, "assistant").alias("answer"))
+
+
+@register("safe_ids", """
+SELECT page_id, coalesce(regexp_replace(url, '[^\\p{L}\\p{N}_\\-]', '_', 'g'), 'none') AS safe_url FROM pages
+""")
+def q_safe_ids(spark, sf_dir):
+    p = V.table(spark, sf_dir, "pages")
+    return p.select("page_id", TX.safe_identifier(F.col("url")).alias("safe_url"))
