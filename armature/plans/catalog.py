@@ -542,3 +542,195 @@ SELECT page_id, coalesce(regexp_replace(url, '[^\\p{L}\\p{N}_\\-]', '_', 'g'), '
 def q_safe_ids(spark, sf_dir):
     p = V.table(spark, sf_dir, "pages")
     return p.select("page_id", TX.safe_identifier(F.col("url")).alias("safe_url"))
+
+
+# ---------------------------------------------------------------------------
+# Design, resumption, rendering, eligibility
+# ---------------------------------------------------------------------------
+from armature.operators import design as DS  # noqa: E402
+from armature.operators import render as RD  # noqa: E402
+from armature.sources.registry import TEMPLATES, template_parts  # noqa: E402
+
+RUN_MODELS = ["A", "N", "R"]                 # run parameter: models to evaluate
+CAPABILITIES = [("A", True), ("N", False), ("R", False)]   # run parameter: image support
+
+
+def _sq(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _tmpl_sql(name: str, *args: str) -> str:
+    _system, pieces = template_parts(name)
+    out = [_sq(pieces[0])]
+    for a, p in zip(args, pieces[1:]):
+        out += [f"({a})", _sq(p)]
+    return " || ".join(out)
+
+
+_DESIGN_SQL = """design AS (
+  SELECT id AS scenario_id, CAST(NULL AS BIGINT) AS distractor_id, CAST(NULL AS VARCHAR) AS distractor_modality,
+         'ab' AS question_format FROM v_scenarios
+  UNION ALL
+  SELECT s.id, d.id, d.modality, 'ab' FROM v_scenarios s CROSS JOIN v_distractors d)"""
+
+
+def _design(spark, sf_dir):
+    s = V.scenarios(spark, sf_dir).select(F.col("id").alias("scenario_id"))
+    return DS.design(s, V.distractors(spark, sf_dir), ["ab"]).select(
+        "scenario_id", "distractor_id", "distractor_modality", "question_format")
+
+
+@register("design_cross", with_views(f"WITH {_DESIGN_SQL} SELECT * FROM design", "v_scenarios", "v_distractors"))
+def q_design_cross(spark, sf_dir):
+    return _design(spark, sf_dir)
+
+
+@register("design_pending", with_views(f"""
+WITH {_DESIGN_SQL},
+x AS (SELECT m.model_id, d.scenario_id, d.distractor_id FROM design d
+      CROSS JOIN (VALUES {", ".join(f"('{m}')" for m in RUN_MODELS)}) m(model_id))
+SELECT * FROM x WHERE NOT EXISTS (
+  SELECT 1 FROM v_responses r WHERE r.model_id = x.model_id AND r.scenario_id = x.scenario_id
+    AND r.distractor_id IS NOT DISTINCT FROM x.distractor_id)
+""", "v_scenarios", "v_distractors", "v_responses"))
+def q_design_pending(spark, sf_dir):
+    d = DS.expand_models(_design(spark, sf_dir), RUN_MODELS).select("model_id", "scenario_id", "distractor_id")
+    return DS.pending(d, V.done_pairs(spark, sf_dir))
+
+
+@register("prompt_ids", with_views(f"""
+WITH p AS (SELECT DISTINCT scenario_id, distractor_id, question_ordering FROM v_responses)
+SELECT CAST(scenario_id AS VARCHAR) || '_' || coalesce(CAST(distractor_id AS VARCHAR), 'none') || '_'
+       || CAST(question_ordering AS VARCHAR) || '_ab' AS prompt_id,
+       's_' || regexp_replace(CAST(scenario_id AS VARCHAR), '[^\\p{{L}}\\p{{N}}_\\-]', '_', 'g') || '_d_'
+       || coalesce(regexp_replace(CAST(distractor_id AS VARCHAR), '[^\\p{{L}}\\p{{N}}_\\-]', '_', 'g'), 'none') AS file_key
+FROM p
+""", "v_responses"))
+def q_prompt_ids(spark, sf_dir):
+    p = V.responses(spark, sf_dir).select("scenario_id", "distractor_id", "question_ordering").distinct()
+    return p.select(DS.prompt_id(F.col("scenario_id"), F.col("distractor_id"), F.col("question_ordering"),
+                                 F.lit("ab")).alias("prompt_id"),
+                    DS.result_file_key(F.col("scenario_id"), F.col("distractor_id")).alias("file_key"))
+
+
+@register("option_orderings", with_views("""
+SELECT id, o.question_ordering, CASE WHEN o.question_ordering = 0 THEN action1 ELSE action2 END AS option_a,
+       CASE WHEN o.question_ordering = 0 THEN action2 ELSE action1 END AS option_b
+FROM v_scenarios CROSS JOIN (VALUES (0), (1)) o(question_ordering)
+""", "v_scenarios"))
+def q_option_orderings(spark, sf_dir):
+    return DS.option_orderings(V.scenarios(spark, sf_dir)).select("id", "question_ordering", "option_a", "option_b")
+
+
+def _distractor_texts(spark, sf_dir):
+    b = V.table(spark, sf_dir, "benchmark")
+    return b.select(F.concat(F.lit("asset/"), F.col("item_id").cast("string")).alias("file_path"),
+                    F.col("text").alias("body"))
+
+
+def _render_rows(spark, sf_dir, with_ordering: bool):
+    keys = ["scenario_id", "distractor_id"] + (["question_ordering"] if with_ordering else [])
+    pairs = V.responses(spark, sf_dir).select(*keys).distinct()
+    s = V.scenarios(spark, sf_dir).select(F.col("id").alias("_sid"), "context", "action1", "action2")
+    d = V.distractors(spark, sf_dir).select(F.col("id").alias("_did"), F.col("modality").alias("distractor_modality"),
+                                            F.col("file_path").alias("distractor_file_path"))
+    rows = (pairs.join(s, F.col("scenario_id") == F.col("_sid"), "inner")
+            .join(C.small_side(d), F.col("distractor_id") == F.col("_did"), "left"))
+    return RD.attach_distractor_text(rows, _distractor_texts(spark, sf_dir))
+
+
+_TXT_SQL = f"""txt AS (SELECT 'asset/' || CAST(item_id AS VARCHAR) AS file_path, {TX.strip_sql('text')} AS body FROM benchmark)"""
+
+
+def _render_rows_sql(with_ordering: bool) -> str:
+    o = ", question_ordering" if with_ordering else ""
+    return f"""{_TXT_SQL},
+p AS (SELECT DISTINCT scenario_id, distractor_id{o} FROM v_responses),
+rr AS (SELECT p.*, s.context, s.action1, s.action2, d.modality, t.body
+       FROM p JOIN v_scenarios s ON p.scenario_id = s.id
+       LEFT JOIN v_distractors d ON p.distractor_id = d.id
+       LEFT JOIN txt t ON d.file_path = t.file_path)"""
+
+
+def _inject_sql(ctx: str) -> str:
+    return (f"CASE WHEN modality IS NULL THEN {ctx} WHEN modality = 'text' THEN "
+            f"CASE WHEN length(coalesce(body, '')) > 0 THEN body || ' Later, ' || lower(substr({ctx}, 1, 1)) "
+            f"|| substr({ctx}, 2) ELSE {ctx} END WHEN modality = 'image' THEN 'You see the scene in the image. ' "
+            f"|| {ctx} ELSE {ctx} END")
+
+
+@register("render_scenario_side", with_views(f"""
+WITH {_render_rows_sql(True)},
+x AS (SELECT *, {_inject_sql('context')} AS ctx,
+             CASE WHEN question_ordering = 0 THEN action1 ELSE action2 END AS a,
+             CASE WHEN question_ordering = 0 THEN action2 ELSE action1 END AS b FROM rr)
+SELECT CAST(scenario_id AS VARCHAR) || '_' || coalesce(CAST(distractor_id AS VARCHAR), 'none') || '_'
+       || CAST(question_ordering AS VARCHAR) || '_ab' AS prompt_id,
+       {_tmpl_sql('ab_moralchoice', 'ctx', 'a', 'b')} AS user_prompt
+FROM x
+""", "v_scenarios", "v_distractors", "v_responses"))
+def q_render_scenario_side(spark, sf_dir):
+    return RD.render_choice(_render_rows(spark, sf_dir, True)).select("prompt_id", "user_prompt")
+
+
+@register("render_system_side", with_views(f"""
+WITH {_render_rows_sql(False)}
+SELECT CAST(scenario_id AS VARCHAR) || '_' || coalesce(CAST(distractor_id AS VARCHAR), 'none') AS prompt_id,
+       {_inject_sql(_sq(TEMPLATES['normbank'][0]))} AS system_prompt,
+       {_tmpl_sql('normbank', 'context')} AS user_prompt
+FROM rr
+""", "v_scenarios", "v_distractors", "v_responses"))
+def q_render_system_side(spark, sf_dir):
+    return RD.render_system_injected(_render_rows(spark, sf_dir, False)).select(
+        "prompt_id", "system_prompt", "user_prompt")
+
+
+_REDDIT_BASE = TX.strip_sql(_sq(TEMPLATES["reddit"][0]))
+_LOWER1 = r"(?s)^(\P{L}*)(\p{L})(.*)\z"
+
+
+@register("render_verdict_system", with_views(f"""
+WITH {_TXT_SQL},
+arms AS (SELECT d.id AS distractor_id, d.modality, t.body FROM v_distractors d LEFT JOIN txt t ON d.file_path = t.file_path
+         UNION ALL SELECT NULL, NULL, NULL),
+b AS (SELECT *, {_REDDIT_BASE} AS base FROM arms),
+r AS (SELECT *, CASE WHEN regexp_matches(base, {_sq(_LOWER1)})
+                     THEN regexp_extract(base, {_sq(_LOWER1)}, 1) || lower(regexp_extract(base, {_sq(_LOWER1)}, 2))
+                          || regexp_extract(base, {_sq(_LOWER1)}, 3) ELSE base END AS rem FROM b)
+SELECT distractor_id,
+       CASE WHEN modality IS NULL THEN base
+            WHEN modality = 'text' THEN CASE WHEN length(coalesce(body, '')) = 0 THEN base
+                                             WHEN length(rem) > 0 THEN body || ' Later, ' || rem ELSE body END
+            WHEN modality = 'image' THEN CASE WHEN length(rem) > 0 THEN 'You see the scene in the image. ' || rem
+                                              ELSE 'You see the scene in the image.' END
+            ELSE base END AS system_prompt
+FROM r
+""", "v_distractors"))
+def q_render_verdict_system(spark, sf_dir):
+    d = V.distractors(spark, sf_dir).select(F.col("id").alias("distractor_id"),
+                                            F.col("modality").alias("distractor_modality"),
+                                            F.col("file_path").alias("distractor_file_path"))
+    none_arm = (V.distractors(spark, sf_dir).groupBy().agg(F.count(F.lit(1)).alias("_n"))
+                .select(F.lit(None).cast("long").alias("distractor_id"),
+                        F.lit(None).cast("string").alias("distractor_modality"),
+                        F.lit(None).cast("string").alias("distractor_file_path")))
+    arms = RD.attach_distractor_text(d.unionByName(none_arm), _distractor_texts(spark, sf_dir))
+    arms = arms.withColumn("scenario_id", F.lit("")).withColumn("context", F.lit(""))
+    return RD.render_verdict(arms).select("distractor_id", "system_prompt")
+
+
+@register("eligibility", with_views(f"""
+WITH r AS (SELECT x.model_id, d.modality FROM v_responses x LEFT JOIN v_distractors d ON x.distractor_id = d.id),
+cap AS (SELECT * FROM (VALUES {", ".join(f"('{m}', {str(c).lower()})" for m, c in CAPABILITIES)}) c(model_id, accepts_images))
+SELECT r.model_id, r.modality AS distractor_modality,
+       CASE WHEN r.modality = 'image' AND NOT coalesce(cap.accepts_images, false) THEN 'ineligible' ELSE 'eligible' END AS status,
+       count(*) AS n
+FROM r LEFT JOIN cap USING (model_id) GROUP BY ALL
+""", "v_distractors", "v_responses"))
+def q_eligibility(spark, sf_dir):
+    r = V.responses(spark, sf_dir)
+    d = V.distractors(spark, sf_dir).select(F.col("id").alias("_did"), F.col("modality").alias("distractor_modality"))
+    r = r.join(C.small_side(d), F.col("distractor_id") == F.col("_did"), "left")
+    cap = spark.createDataFrame(CAPABILITIES, "model_id string, accepts_images boolean")
+    e = DS.eligibility(r, cap)
+    return e.groupBy("model_id", "distractor_modality", "status").agg(F.count(F.lit(1)).alias("n"))
