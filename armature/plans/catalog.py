@@ -734,3 +734,76 @@ def q_eligibility(spark, sf_dir):
     cap = spark.createDataFrame(CAPABILITIES, "model_id string, accepts_images boolean")
     e = DS.eligibility(r, cap)
     return e.groupBy("model_id", "distractor_modality", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# Scoring: chain-rule answer probabilities, variant marginals, softmax pick, answer->action
+# ---------------------------------------------------------------------------
+from armature.functions import probability as PR  # noqa: E402
+
+_POS_SQL = ("pos AS (SELECT doc_id, " + PR.whitespace_positions_duck("t") + " AS positions FROM rt)")
+
+
+def _positions(spark, sf_dir):
+    return _response_text(spark, sf_dir).select("doc_id", F.expr(PR.whitespace_positions_sql("t")).alias("positions"))
+
+
+@register("chain_prob", with_views(f"""
+WITH {_RT_SQL}, {_POS_SQL}
+SELECT doc_id, round({PR.chain_prob_duck('positions', ['Verdict:', 'NTA'])}, 6) AS p_verdict_nta,
+       round({PR.chain_prob_duck('positions', ['I', 'say', 'NTA,'])}, 6) AS p_i_say_nta
+FROM pos
+""", "v_text_responses"))
+def q_chain_prob(spark, sf_dir):
+    p = _positions(spark, sf_dir)
+    return rounded(p.select("doc_id", PR.chain_prob("positions", "Verdict: NTA").alias("p_verdict_nta"),
+                            PR.chain_prob("positions", "I say NTA,").alias("p_i_say_nta")))
+
+
+_VERDICT_LABELS = ["ESH", "YTA", "NTA", "NAH", "INFO"]
+
+
+@register("variant_marginal", with_views(f"""
+WITH {_RT_SQL}, {_POS_SQL}
+SELECT doc_id, {", ".join(f"round({PR.marginal_duck('positions', lab)}, 6) AS {lab.lower()}_prob" for lab in _VERDICT_LABELS)}
+FROM pos
+""", "v_text_responses"))
+def q_variant_marginal(spark, sf_dir):
+    p = _positions(spark, sf_dir)
+    return rounded(p.select("doc_id", *[PR.answer_prob("positions", lab).alias(f"{lab.lower()}_prob")
+                                        for lab in _VERDICT_LABELS]))
+
+
+@register("softmax_pick", f"""
+WITH e AS (SELECT vec_id - vec_id % 4 AS seq_id, vec_id % 4 AS pos,
+                  {PR.softmax_logprob_duck('embedding', 'label + 1')} AS lp FROM embeddings)
+SELECT seq_id, round(exp(sum(lp)), 6) AS prob, round(exp(sum(lp) FILTER (WHERE pos > 0)), 6) AS prob_skip_bos,
+       count(*) AS n_positions
+FROM e GROUP BY seq_id
+""")
+def q_softmax_pick(spark, sf_dir):
+    e = V.table(spark, sf_dir, "embeddings").select(
+        (F.col("vec_id") - F.col("vec_id") % 4).alias("seq_id"), (F.col("vec_id") % 4).alias("pos"),
+        F.expr(PR.softmax_logprob_sql("embedding", "label + 1")).alias("lp"))
+    g = e.groupBy("seq_id").agg(F.exp(F.sum("lp")).alias("prob"),
+                                F.exp(F.sum(F.when(F.col("pos") > 0, F.col("lp")))).alias("prob_skip_bos"),
+                                F.count(F.lit(1)).alias("n_positions"))
+    return rounded(g)
+
+
+@register("answer_to_action", """
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'O' THEN 'ab' ELSE 'compare' END AS question_format,
+       l_linenumber % 2 AS question_ordering,
+       round(CASE WHEN l_linenumber % 2 = 0 THEN l_discount ELSE l_tax END, 6) AS a1_prob,
+       round(CASE WHEN l_linenumber % 2 = 0 THEN l_tax ELSE l_discount END, 6) AS a2_prob
+FROM lineitem
+""")
+def q_answer_to_action(spark, sf_dir):
+    from armature.operators.scoring import answer_to_action
+    li = V.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        F.when(F.col("l_linestatus") == "O", F.lit("ab")).otherwise(F.lit("compare")).alias("question_format"),
+        (F.col("l_linenumber") % 2).alias("question_ordering"),
+        F.col("l_discount").alias("p_first"), F.col("l_tax").alias("p_second"))
+    return rounded(answer_to_action(li).select("l_orderkey", "l_linenumber", "question_format",
+                                               "question_ordering", "a1_prob", "a2_prob"))
