@@ -807,3 +807,49 @@ def q_answer_to_action(spark, sf_dir):
         F.col("l_discount").alias("p_first"), F.col("l_tax").alias("p_second"))
     return rounded(answer_to_action(li).select("l_orderkey", "l_linenumber", "question_format",
                                                "question_ordering", "a1_prob", "a2_prob"))
+
+
+# ---------------------------------------------------------------------------
+# Batch halves: request JSON, keep-last responses, prompt/response join
+# ---------------------------------------------------------------------------
+from armature.operators import batch as BT  # noqa: E402
+
+
+@register("keep_last_response", with_views("""
+SELECT custom_id, max(line_no) AS line_no, arg_max(content, line_no) AS content
+FROM v_batch_responses GROUP BY custom_id
+""", "v_batch_responses"))
+def q_keep_last_response(spark, sf_dir):
+    return BT.keep_last(V.batch_responses(spark, sf_dir), "custom_id", "line_no")
+
+
+@register("prompt_response_join", with_views("""
+WITH k AS (SELECT custom_id, arg_max(content, line_no) AS content FROM v_batch_responses GROUP BY custom_id)
+SELECT CAST(d.doc_id AS VARCHAR) AS prompt_id, k.content,
+       CASE WHEN k.custom_id IS NULL THEN 'missing' ELSE 'ok' END AS status
+FROM documents d LEFT JOIN k ON CAST(d.doc_id AS VARCHAR) = k.custom_id
+""", "v_batch_responses"))
+def q_prompt_response_join(spark, sf_dir):
+    prompts = V.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("prompt_id"))
+    kept = BT.keep_last(V.batch_responses(spark, sf_dir), "custom_id", "line_no").select("custom_id", "content")
+    return BT.join_responses(prompts, kept).select("prompt_id", "content", "status")
+
+
+@register("batch_request_json", with_views(f"""
+WITH {_render_rows_sql(False)},
+pr AS (SELECT CAST(scenario_id AS VARCHAR) || '_' || coalesce(CAST(distractor_id AS VARCHAR), 'none') AS prompt_id,
+             {_inject_sql(_sq(TEMPLATES['normbank'][0]))} AS system_prompt,
+             {_tmpl_sql('normbank', 'context')} AS user_prompt FROM rr)
+SELECT prompt_id AS custom_id,
+       CAST(to_json({{'custom_id': prompt_id, 'method': 'POST', 'url': '/v1/chat/completions',
+                     'body': {{'model': 'gpt-4.1',
+                              'messages': [{{'role': 'system', 'content': system_prompt}}, {{'role': 'user', 'content': user_prompt}}],
+                              'max_completion_tokens': 200, 'temperature': CAST(0.2 AS DOUBLE), 'top_p': CAST(1.0 AS DOUBLE),
+                              'logprobs': true, 'top_logprobs': 20}}}}) AS VARCHAR) AS line
+FROM pr
+""", "v_scenarios", "v_distractors", "v_responses"))
+def q_batch_request_json(spark, sf_dir):
+    from armature.sources.registry import sampling_defaults
+    temp, top_p = sampling_defaults("normbank")
+    prompts = RD.render_system_injected(_render_rows(spark, sf_dir, False))
+    return BT.batch_requests(prompts, "gpt-4.1", 200, temp, top_p)
