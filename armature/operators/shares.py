@@ -101,3 +101,12 @@ def mean_scores(df: DataFrame, by: list[str], cols: list[str] | None = None) ->
     """Plain means per group (nulls skipped)."""
     cols = cols or list(FOUNDATION_LABELS)
     return df.groupBy(*by).agg(*[F.avg(c).alias(c) for c in cols])
+
+
+def length_means(distractor_texts: DataFrame, scenario_texts: DataFrame, col: str = "text") -> DataFrame:
+    """Mean distractor length in bytes (file sizes) and mean scenario length in characters."""
+    a = distractor_texts.agg(F.avg(F.octet_length(col)).alias("mean_length"), F.count(F.lit(1)).alias("n")) \
+        .select(F.lit("distractor_bytes").alias("measure"), "mean_length", "n")
+    b = scenario_texts.agg(F.avg(F.length(col)).alias("mean_length"), F.count(F.lit(1)).alias("n")) \
+        .select(F.lit("scenario_chars").alias("measure"), "mean_length", "n")
+    return a.unionByName(b)

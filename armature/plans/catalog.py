@@ -853,3 +853,70 @@ def q_batch_request_json(spark, sf_dir):
     temp, top_p = sampling_defaults("normbank")
     prompts = RD.render_system_injected(_render_rows(spark, sf_dir, False))
     return BT.batch_requests(prompts, "gpt-4.1", 200, temp, top_p)
+
+
+# ---------------------------------------------------------------------------
+# Registry checks, length statistics, corpus slice, counts
+# ---------------------------------------------------------------------------
+from pyspark.sql import Window  # noqa: E402
+
+from armature.sources import files as FS  # noqa: E402
+
+_LISTING_SQL = """listing AS (SELECT DISTINCT modality || '/' || sentiment || '/' || file_path AS path FROM v_distractors)"""
+_LISTING_RE = r"^([^/]+)/([^/]+)/(.+)\z"
+
+
+@register("registry_ids", with_views(f"""
+WITH {_LISTING_SQL}
+SELECT row_number() OVER (ORDER BY path) - 1 AS id,
+       regexp_extract(path, {_sq(_LISTING_RE)}, 2) AS sentiment,
+       regexp_extract(path, {_sq(_LISTING_RE)}, 3) AS file_path,
+       regexp_extract(path, {_sq(_LISTING_RE)}, 1) AS modality
+FROM listing
+""", "v_distractors"))
+def q_registry_ids(spark, sf_dir):
+    d = V.distractors(spark, sf_dir)
+    listing = d.select(F.concat_ws("/", "modality", "sentiment", "file_path").alias("path")).distinct()
+    return FS.registry_from_listing(listing, "path")
+
+
+@register("duplicate_assets", with_views("""
+SELECT file_path, count(*) AS n_refs FROM v_distractors GROUP BY file_path HAVING count(*) > 1
+""", "v_distractors"))
+def q_duplicate_assets(spark, sf_dir):
+    return FS.duplicate_paths(V.distractors(spark, sf_dir))
+
+
+@register("length_stats", f"""
+SELECT 'distractor_bytes' AS measure, round(avg(octet_length(encode(text))), 6) AS mean_length, count(*) AS n FROM benchmark
+UNION ALL
+SELECT 'scenario_chars', round(avg(length(text)), 6), count(*) FROM documents
+""")
+def q_length_stats(spark, sf_dir):
+    from armature.operators.shares import length_means
+    b = V.table(spark, sf_dir, "benchmark").select("text")
+    d = V.table(spark, sf_dir, "documents").select("text")
+    return rounded(length_means(b, d))
+
+
+@register("pattern_slice_head", """
+WITH s AS (SELECT doc_id, text FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 500)
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, doc_id, text AS context FROM s
+""")
+def q_pattern_slice_head(spark, sf_dir):
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return FS.pattern_slice(docs, F.col("lang") == "en", "doc_id", 500).select(
+        "id", "doc_id", F.col("text").alias("context"))
+
+
+@register("distinct_counts", with_views("""
+SELECT count(*) AS n_rows, count(DISTINCT model_id) AS n_models, count(DISTINCT scenario_id) AS n_scenarios,
+       count(DISTINCT distractor_id) AS n_distractors, count(DISTINCT baseline_id) AS n_keys
+FROM v_responses
+""", "v_responses"))
+def q_distinct_counts(spark, sf_dir):
+    r = V.responses(spark, sf_dir)
+    return r.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("model_id").alias("n_models"),
+                 F.countDistinct("scenario_id").alias("n_scenarios"),
+                 F.countDistinct("distractor_id").alias("n_distractors"),
+                 F.countDistinct("baseline_id").alias("n_keys"))
