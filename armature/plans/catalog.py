@@ -920,3 +920,88 @@ def q_distinct_counts(spark, sf_dir):
                  F.countDistinct("scenario_id").alias("n_scenarios"),
                  F.countDistinct("distractor_id").alias("n_distractors"),
                  F.countDistinct("baseline_id").alias("n_keys"))
+
+
+# ---------------------------------------------------------------------------
+# Report layer: min/max flags, LaTeX rows, multi-experiment summary, arm comparison
+# ---------------------------------------------------------------------------
+from armature.operators import report as RP  # noqa: E402
+
+_MMAP_MEANS_SQL = REGISTRY["mmap_condition_means"][1]
+
+
+@register("minmax_flags", f"""
+WITH m AS ({_MMAP_MEANS_SQL})
+SELECT model_id, condition, mean_score,
+       CASE WHEN mean_score = max(mean_score) OVER (PARTITION BY model_id) THEN 'max'
+            WHEN mean_score = min(mean_score) OVER (PARTITION BY model_id) THEN 'min' ELSE '' END AS flag
+FROM m
+""")
+def q_minmax_flags(spark, sf_dir):
+    m = q_mmap_condition_means(spark, sf_dir).select("model_id", "condition", "mean_score")
+    return RP.minmax_flags(m, ["model_id"])
+
+
+@register("report_rows", f"""
+WITH m AS ({_MMAP_MEANS_SQL}),
+f AS (SELECT model_id, condition, printf('%.2f', mean_score * 100) || '\\%' AS s,
+             CASE WHEN mean_score = max(mean_score) OVER (PARTITION BY model_id) THEN 'max'
+                  WHEN mean_score = min(mean_score) OVER (PARTITION BY model_id) THEN 'min' ELSE '' END AS flag FROM m),
+c AS (SELECT model_id, condition, CASE flag WHEN 'max' THEN '\\textcolor{{mygreen}}{{' || s || '}}'
+                                            WHEN 'min' THEN '\\textcolor{{red}}{{' || s || '}}' ELSE s END AS cell FROM f)
+SELECT model_id, model_id || ' & ' || {" || ' & ' || ".join(f"coalesce(max(cell) FILTER (WHERE condition = '{c}'), '-')" for c in ["baseline", "positive", "neutral", "negative"])} || ' \\\\' AS latex_row
+FROM c GROUP BY model_id
+""")
+def q_report_rows(spark, sf_dir):
+    m = q_mmap_condition_means(spark, sf_dir).select("model_id", "condition", "mean_score")
+    return RP.latex_rows(RP.latex_cells(RP.minmax_flags(m, ["model_id"])))
+
+
+_EXPERIMENTS = [
+    ("moralchoice", "mmap_condition_means", "'mmap'"),
+    ("normbank", "option_share_means", "option"),
+    ("reddit_verdict", "verdict_prob_means", "option"),
+    ("reddit_foundation", "foundation_means", "option"),
+]
+_SUMMARY_COLS = "condition, mean_score, mean_diff, sd_score, sd_diff, se_score, se_diff, n_rows"
+_SUMMARY_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{exp}' AS experiment, model_id, {opt} AS option, {_SUMMARY_COLS} FROM ({REGISTRY[q][1]}) q_{i}"
+    for i, (exp, q, opt) in enumerate(_EXPERIMENTS))
+
+
+def _summary(spark, sf_dir):
+    parts = []
+    for exp, q, opt in _EXPERIMENTS:
+        df = REGISTRY[q][0](spark, sf_dir)
+        if opt == "'mmap'":
+            df = df.withColumn("option", F.lit("mmap"))
+        parts.append(df.withColumn("experiment", F.lit(exp)).select(
+            "experiment", "model_id", "option", *[c.strip() for c in _SUMMARY_COLS.split(",")]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("multi_model_summary", _SUMMARY_SQL)
+def q_multi_model_summary(spark, sf_dir):
+    """Every experiment's condition statistics in one long table."""
+    return _summary(spark, sf_dir)
+
+
+ARMS = [("normbank", "m0", 1), ("normbank", "m1", 2), ("reddit_verdict", "m2", 3), ("moralchoice", "A", 4)]
+
+
+@register("arm_comparison", f"""
+WITH s AS ({_SUMMARY_SQL}),
+arms AS (SELECT * FROM (VALUES {", ".join(f"('{e}', '{m}', {p})" for e, m, p in ARMS)}) a(experiment, model_id, position))
+SELECT a.position, s.experiment, s.model_id, s.option, s.condition, s.mean_diff, s.se_diff
+FROM s JOIN arms a ON s.experiment = a.experiment AND s.model_id = a.model_id
+WHERE s.condition <> 'baseline'
+""")
+def q_arm_comparison(spark, sf_dir):
+    """Ordered subset of experiment arms, change from baseline with standard errors."""
+    arms = spark.createDataFrame(ARMS, "experiment string, model_id string, position int")
+    s = _summary(spark, sf_dir).where(F.col("condition") != "baseline")
+    j = s.join(F.broadcast(arms), ["experiment", "model_id"])
+    return j.select("position", "experiment", "model_id", "option", "condition", "mean_diff", "se_diff")
