@@ -1005,3 +1005,57 @@ def q_arm_comparison(spark, sf_dir):
     s = _summary(spark, sf_dir).where(F.col("condition") != "baseline")
     j = s.join(F.broadcast(arms), ["experiment", "model_id"])
     return j.select("position", "experiment", "model_id", "option", "condition", "mean_diff", "se_diff")
+
+
+# ---------------------------------------------------------------------------
+# T1 random-intercept tests + Holm-Sidak over the whole report family (rows-only)
+# ---------------------------------------------------------------------------
+from armature.operators import mixedlm as ML  # noqa: E402
+
+
+def _mixed_tests(spark, sf_dir):
+    r = _with_condition(spark, sf_dir, V.responses(spark, sf_dir))
+    mm = E.mmap_contributions(r, V.scenario_rules(spark, sf_dir)).withColumnRenamed("score", "option")
+    parts = [ML.mixed_lm_pairs(mm, ["model_id", "option"], ["baseline_id"]).withColumn("experiment", F.lit("moralchoice"))]
+    fams = [("normbank", V.option_responses, ["good", "ok", "bad"], True, True, "_prob"),
+            ("reddit_verdict", V.verdict_probs, ["esh", "yta", "nta", "nah", "info"], True, True, "_prob"),
+            ("reddit_foundation", V.foundations, ["ch", "fc", "lb", "as", "pd"], False, False, "_score")]
+    for exp, fn, opts, norm, dz, suf in fams:
+        df = _with_condition(spark, sf_dir, fn(spark, sf_dir))
+        c = E.option_contributions(df, opts, "scenario_id", norm, dz, suf)
+        parts.append(ML.mixed_lm_pairs(c, ["model_id", "option"], ["scenario_id"]).withColumn("experiment", F.lit(exp)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("mixed_lm_pairs", None)
+def q_mixed_lm_pairs(spark, sf_dir):
+    """T1 + T7: coefficient, z, p per (experiment, model, option, pair); Holm-Sidak over all."""
+    t = _mixed_tests(spark, sf_dir)
+    return rounded(ST.holm_sidak(t, "p", "p_adj").select(
+        "experiment", "model_id", "option", "pair", "ref", "test", "coef", "z", "p", "p_adj", "n_obs", "n_groups"))
+
+
+# ---------------------------------------------------------------------------
+# Hooks: model responses and text scorers as Arrow-batched maps (rows-only)
+# ---------------------------------------------------------------------------
+from armature.operators import hooks as HK  # noqa: E402
+
+
+@register("respond_stub", None)
+def q_respond_stub(spark, sf_dir):
+    """Rendered pending prompts -> stub model answers -> extracted verdicts."""
+    prompts = RD.render_system_injected(_render_rows(spark, sf_dir, False))
+    ans = HK.respond(prompts, HK.stub_model)
+    t = TX.response_text(F.col("answer"), F.col("answer_raw"))
+    return ans.select("prompt_id", TX.verdict(t).alias("verdict"), TX.reasoning(t).alias("reasoning"))
+
+
+@register("score_texts_stub", None)
+def q_score_texts_stub(spark, sf_dir):
+    """Reasoning of every text response -> five foundation scores (stub scorer)."""
+    r = _response_text(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"),
+                                             TX.reasoning(F.col("t")).alias("reasoning"))
+    return HK.score_texts(r, "reasoning", HK.zero_scorer, ["doc_id"])
