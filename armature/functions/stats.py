@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-_SERIES_TERMS = 60      # erf power series, used for x < 3
-_CF_DEPTH = 90          # erfc continued fraction, used for x >= 3
+_SERIES_TERMS = 40      # positive-term erf series, used for x < 1.5
+_CF_DEPTH = 120         # erfc continued fraction, used for x >= 1.5
+_SPLIT = 1.5
 
 
 def _lit(v: float) -> str:
@@ -26,18 +27,25 @@ def _lit(v: float) -> str:
 
 
 def erfc_sql(x: str) -> str:
-    """SQL expression for erfc(x), x >= 0 (``x`` is a column name)."""
+    """SQL expression for erfc(x), x >= 0 (``x`` is a column name); relative error <= ~1e-15.
+
+    x < 1.5:  erfc = 1 - (2/sqrt(pi)) exp(-x^2) x sum_n (2x^2)^n / (1*3*...*(2n+1))
+    x >= 1.5: erfc = exp(-x^2)/sqrt(pi) / (x + (1/2)/(x + 1/(x + (3/2)/(x + ...))))
+    """
     u = f"({x} * {x})"
-    coeffs = [(-1) ** n / (math.factorial(n) * (2 * n + 1)) for n in range(_SERIES_TERMS)]
+    coeffs, c = [], 1.0
+    for n in range(_SERIES_TERMS):
+        coeffs.append(c)
+        c *= 2.0 / (2 * n + 3)
     horner = _lit(coeffs[-1])
-    for c in reversed(coeffs[:-1]):
-        horner = f"({_lit(c)} + {u} * {horner})"
-    series = f"(1.0e+00 - {_lit(2 / math.sqrt(math.pi))} * {x} * {horner})"
+    for cf in reversed(coeffs[:-1]):
+        horner = f"({_lit(cf)} + {u} * {horner})"
+    series = f"(1.0e+00 - {_lit(2 / math.sqrt(math.pi))} * exp(-{u}) * {x} * {horner})"
     t = x
     for k in range(_CF_DEPTH, 0, -1):
         t = f"({x} + {_lit(k / 2)} / {t})"
-    cf = f"(exp(-{u}) / ({_lit(math.sqrt(math.pi))} * {t}))"
-    return f"(CASE WHEN {x} < 3.0e+00 THEN {series} ELSE {cf} END)"
+    cf_expr = f"(exp(-{u}) / ({_lit(math.sqrt(math.pi))} * {t}))"
+    return f"(CASE WHEN {x} < {_lit(_SPLIT)} THEN {series} ELSE {cf_expr} END)"
 
 
 def log1p_sql(y: str) -> str:
