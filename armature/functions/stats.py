@@ -18,7 +18,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 _SERIES_TERMS = 40      # positive-term erf series, used for x < 1.5
-_CF_DEPTH = 120         # erfc continued fraction, used for x >= 1.5
+_CF_DEPTH = 90          # erfc continued fraction, used for x >= 1.5
 _SPLIT = 1.5
 
 

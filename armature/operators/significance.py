@@ -20,17 +20,28 @@ from armature.schemas import VERDICTS, WILSON_Z
 TREATED_TYPES = ["neg", "neu", "pos"]
 
 
-def two_proportion_tests(df: DataFrame, target: str, by: str = "model_id",
-                         type_col: str = "distractor_type") -> DataFrame:
-    """Each treated type vs baseline, pooled two-proportion z-test on ``verdict == target``."""
-    cc = SH.conditional_counts(df, [by, type_col], target)
-    base = cc.where(F.col(type_col) == "baseline").select(by, F.col("n").alias("n0"), F.col("k").alias("k0"))
-    comp = cc.where(F.col(type_col).isin(TREATED_TYPES)).join(base, by, "left")
+def two_proportion_tests(df: DataFrame, target, by: str = "model_id",
+                         type_col: str = "distractor_type", verdict: str = "verdict") -> DataFrame:
+    """Each treated type vs baseline, pooled two-proportion z-test on ``verdict == target``.
+
+    ``target`` may be a list: all targets are tested in one pass.  Raw rows are
+    aggregated once to (model, type, verdict) counts; n (null verdicts
+    included) and k per target come from that small table.
+    """
+    targets = [target] if isinstance(target, str) else list(target)
+    counts = df.groupBy(by, type_col, verdict).agg(F.count(F.lit(1)).alias("c"))
+    cells = (counts.groupBy(by, type_col).agg(F.sum("c").alias("n"))
+             .select(by, type_col, "n", F.explode(F.array(*[F.lit(t) for t in targets])).alias("target")))
+    hits = counts.where(F.col(verdict).isin(targets)).select(by, type_col, F.col(verdict).alias("target"),
+                                                              F.col("c").alias("k"))
+    cc = cells.join(hits, [by, type_col, "target"], "left").fillna(0, subset=["k"])
+    base = cc.where(F.col(type_col) == "baseline").select(by, "target", F.col("n").alias("n0"), F.col("k").alias("k0"))
+    comp = cc.where(F.col(type_col).isin(TREATED_TYPES)).join(base, [by, "target"], "left")
     n0 = F.coalesce(F.col("n0"), F.lit(0))
     k0 = F.coalesce(F.col("k0"), F.lit(0))
     b = F.try_divide(k0.cast("double"), n0.cast("double"))
     c = F.try_divide(F.col("k").cast("double"), F.col("n").cast("double"))
-    out = comp.select(by, F.concat(F.col(type_col), F.lit(" vs baseline")).alias("comparison"),
+    out = comp.select(by, "target", F.concat(F.col(type_col), F.lit(" vs baseline")).alias("comparison"),
                       b.alias("baseline"), c.alias("comp"), (c - b).alias("delta"),
                       S.pooled_z(F.col("k"), F.col("n"), k0, n0).alias("z"))
     return S.two_sided_p(out, "z", "p")

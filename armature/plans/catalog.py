@@ -376,12 +376,7 @@ zt AS (SELECT model_id, target, comparison, baseline, comp, delta, z, {ST.erfc_s
 
 
 def _ztests(spark, sf_dir, targets):
-    vf = _verdict_frame(spark, sf_dir)
-    parts = [SG.two_proportion_tests(vf, t).withColumn("target", F.lit(t)) for t in targets]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return SG.two_proportion_tests(_verdict_frame(spark, sf_dir), targets)
 
 
 @register("two_prop_ztest", with_views(f"""
@@ -391,7 +386,7 @@ SELECT model_id, comparison, round(baseline, 6) AS baseline, round(comp, 6) AS c
 FROM {ST.holm_sql('zt', 'p')}
 """, "v_distractors", "v_option_responses"))
 def q_two_prop_ztest(spark, sf_dir):
-    z = SG.two_proportion_tests(_verdict_frame(spark, sf_dir), "NTA")
+    z = SG.two_proportion_tests(_verdict_frame(spark, sf_dir), "NTA").drop("target")
     return rounded(ST.holm(z, "p", "p_adj"))
 
 
