@@ -26,26 +26,41 @@ def _lit(v: float) -> str:
     return f"{v:.17e}"
 
 
-def erfc_sql(x: str) -> str:
-    """SQL expression for erfc(x), x >= 0 (``x`` is a column name); relative error <= ~1e-15.
-
-    x < 1.5:  erfc = 1 - (2/sqrt(pi)) exp(-x^2) x sum_n (2x^2)^n / (1*3*...*(2n+1))
-    x >= 1.5: erfc = exp(-x^2)/sqrt(pi) / (x + (1/2)/(x + 1/(x + (3/2)/(x + ...))))
-    """
-    u = f"({x} * {x})"
+def _series_coeffs() -> list[float]:
     coeffs, c = [], 1.0
     for n in range(_SERIES_TERMS):
         coeffs.append(c)
         c *= 2.0 / (2 * n + 3)
-    horner = _lit(coeffs[-1])
-    for cf in reversed(coeffs[:-1]):
-        horner = f"({_lit(cf)} + {u} * {horner})"
-    series = f"(1.0e+00 - {_lit(2 / math.sqrt(math.pi))} * exp(-{u}) * {x} * {horner})"
-    t = x
-    for k in range(_CF_DEPTH, 0, -1):
-        t = f"({x} + {_lit(k / 2)} / {t})"
-    cf_expr = f"(exp(-{u}) / ({_lit(math.sqrt(math.pi))} * {t}))"
-    return f"(CASE WHEN {x} < {_lit(_SPLIT)} THEN {series} ELSE {cf_expr} END)"
+    return coeffs
+
+
+def erfc_sql(x: str) -> str:
+    """Spark SQL expression for erfc(x), x >= 0 (``x`` a column name); relative error <= ~1e-15.
+
+    x < 1.5:  erfc = 1 - (2/sqrt(pi)) exp(-x^2) x sum_n (2x^2)^n / (1*3*...*(2n+1))   (Horner fold)
+    x >= 1.5: erfc = exp(-x^2)/sqrt(pi) / (x + (1/2)/(x + 1/(x + (3/2)/(x + ...))))  (fold from depth up)
+    Both are ``aggregate`` folds over small arrays - compact plans, no deep expression trees.
+    """
+    co = _series_coeffs()
+    arr = "array(" + ", ".join(_lit(c) for c in reversed(co[:-1])) + ")"
+    horner = f"aggregate({arr}, {_lit(co[-1])}, (acc, c) -> c + ({x} * {x}) * acc)"
+    series = f"(1.0e+00 - {_lit(2 / math.sqrt(math.pi))} * exp(-({x} * {x})) * {x} * {horner})"
+    frac = (f"aggregate(sequence({_CF_DEPTH}, 1, -1), {x}, "
+            f"(t, k) -> {x} + CAST(k AS DOUBLE) / CAST(2 AS DOUBLE) / t)")
+    cf = f"(exp(-({x} * {x})) / ({_lit(math.sqrt(math.pi))} * {frac}))"
+    return f"(CASE WHEN {x} < {_lit(_SPLIT)} THEN {series} ELSE {cf} END)"
+
+
+def erfc_duck_sql(x: str) -> str:
+    """DuckDB twin of ``erfc_sql`` (same operations in the same order)."""
+    co = _series_coeffs()
+    arr = "[" + ", ".join(_lit(c) for c in reversed(co[:-1])) + "]"
+    horner = f"list_reduce({arr}, lambda acc, c: c + ({x} * {x}) * acc, {_lit(co[-1])})"
+    series = f"(1.0e+00 - {_lit(2 / math.sqrt(math.pi))} * exp(-({x} * {x})) * {x} * {horner})"
+    frac = (f"list_reduce(range({_CF_DEPTH}, 0, -1), "
+            f"lambda t, k: {x} + CAST(k AS DOUBLE) / CAST(2 AS DOUBLE) / t, CAST({x} AS DOUBLE))")
+    cf = f"(exp(-({x} * {x})) / ({_lit(math.sqrt(math.pi))} * {frac}))"
+    return f"(CASE WHEN {x} < {_lit(_SPLIT)} THEN {series} ELSE {cf} END)"
 
 
 def log1p_sql(y: str) -> str:
@@ -65,9 +80,7 @@ def two_sided_p(df: DataFrame, z: str, out: str) -> DataFrame:
               .withColumn(out, F.expr(erfc_sql(tmp))).drop(tmp))
 
 
-def two_sided_p_sql(z: str) -> str:
-    """SQL twin: needs ``z`` to be a plain column name; wraps |z|/sqrt 2 in a sub-select."""
-    return erfc_sql(f"(abs({z}) / sqrt(2.0))")
+
 
 
 # ---------------------------------------------------------------------------

@@ -372,7 +372,7 @@ zp AS (SELECT *, CAST(k1 + k0 AS DOUBLE) / nullif(n1 + n0, 0) AS pp FROM zb),
 zz AS (SELECT *, comp - baseline AS delta,
               (comp - baseline) / nullif(sqrt(pp * (1 - pp) * (1.0 / nullif(n1, 0) + 1.0 / nullif(n0, 0))), 0) AS z FROM zp),
 zx AS (SELECT *, abs(z) / sqrt(2.0) AS _x FROM zz),
-zt AS (SELECT model_id, target, comparison, baseline, comp, delta, z, {ST.erfc_sql('_x')} AS p FROM zx)"""
+zt AS (SELECT model_id, target, comparison, baseline, comp, delta, z, {ST.erfc_duck_sql('_x')} AS p FROM zx)"""
 
 
 def _ztests(spark, sf_dir, targets):
