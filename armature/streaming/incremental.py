@@ -24,11 +24,12 @@ def collect_responses(spark: SparkSession, source_dir: str, store: str, checkpoi
               .select("custom_id",
                       F.try_element_at(F.col("response.body.choices"), F.lit(1))["message"]["content"].alias("content"),
                       F.col("_metadata.file_path").alias("_file"),
-                      F.col("_metadata.file_block_start").alias("_block"),
-                      F.monotonically_increasing_id().alias("_row")))
+                      F.col("_metadata.file_block_start").alias("_block")))
 
     def upsert(batch: DataFrame, epoch_id: int) -> None:
-        latest = keep_last(batch.select("custom_id", "content", F.struct("_file", "_block", "_row").alias("line_key")))
+        # inside a micro-batch the frame is static: row position within the task orders lines
+        rows = batch.withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        latest = keep_last(rows.select("custom_id", "content", F.struct("_file", "_block", "_row").alias("line_key")))
         sess = batch.sparkSession
         try:
             have = sess.read.parquet(store).select("custom_id")
