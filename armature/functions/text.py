@@ -179,3 +179,14 @@ def reasoning_sql(t: str) -> str:
         for lab in VERDICTS) + " END"
     return (f"CASE WHEN length({t}) = 0 THEN NULL WHEN regexp_matches({t}, {pat}) THEN nullif({head}, '') "
             f"ELSE nullif({strip_sql(rem)}, '') END")
+
+
+def timestamp_now() -> Column:
+    """The run's wall-clock stamp as 'yyyy-MM-dd_HH:mm:ss'."""
+    from armature.schemas import TIMESTAMP_FORMAT
+    return F.date_format(F.current_timestamp(), TIMESTAMP_FORMAT)
+
+
+def has_replacement_char(c: Column) -> Column:
+    """Q14: True when a text holds U+FFFD (bytes that did not decode)."""
+    return F.instr(c, "�") > 0

@@ -63,8 +63,15 @@ def pick_score(ks: DataFrame, choose_first: Column, first: str, second: str, out
 
 
 def pair_contributions(ks: DataFrame, keep: list[str], score_names: list[str],
-                       option_col: str = "option") -> DataFrame:
-    """Long table: per (keep..., option, condition) what the baseline join contributes."""
+                       option_col: str = "option", baseline: str = "join") -> DataFrame:
+    """Long table: per (keep..., option, condition) what the baseline pairing contributes.
+
+    ``baseline='join'`` reproduces the reference's left join (a key with several
+    baseline rows fans every treated row out, Q8); ``baseline='mean'`` pairs each
+    treated row once with the mean of its key's baseline rows.
+    """
+    if baseline not in ("join", "mean"):
+        raise ValueError("baseline must be 'join' or 'mean'")
     def z(name, cast="long"):
         return F.coalesce(F.col(name), F.lit(0).cast(cast))
     entries = []
@@ -77,6 +84,15 @@ def pair_contributions(ks: DataFrame, keep: list[str], score_names: list[str],
                 z("n__baseline").alias("nb"), z(f"nn__{s}__baseline").alias("b"),
                 z(f"s__{s}__baseline", "double").alias("sb"), z(f"q__{s}__baseline", "double").alias("qb")))
     e = ks.select(*keep, F.explode(F.array(*entries)).alias("e")).select(*keep, "e.*").where(F.col("n") > 0)
+    if baseline == "mean":
+        mu = F.try_divide(F.col("sb"), F.col("b").cast("double"))
+        has = F.col("b") > 0
+        return e.select(
+            *keep, option_col, "condition", F.col("n").alias("rows"),
+            F.col("t").alias("x_n"), F.col("st").alias("x_s"), F.col("qt").alias("x_q"),
+            F.when(has, F.col("t")).otherwise(F.lit(0)).alias("d_n"),
+            F.when(has, F.col("st") - F.col("t") * mu).otherwise(F.lit(0.0)).alias("d_s"),
+            F.when(has, F.col("qt") - 2 * mu * F.col("st") + F.col("t") * mu * mu).otherwise(F.lit(0.0)).alias("d_q"))
     mult = F.greatest(F.col("nb"), F.lit(1))
     return e.select(
         *keep, option_col, "condition",
@@ -141,14 +157,15 @@ def mmap_rule_stats(responses: DataFrame, rules_long: DataFrame, drop_invalid: b
     return pick_score(j, F.col("_a1") == "No", "m1", "m2", "mmap")
 
 
-def mmap_contributions(responses: DataFrame, rules_long: DataFrame) -> DataFrame:
+def mmap_contributions(responses: DataFrame, rules_long: DataFrame, baseline: str = "join") -> DataFrame:
     rs = mmap_rule_stats(responses, rules_long)
-    return pair_contributions(rs, ["model_id", "baseline_id", "rule"], ["mmap"], option_col="score")
+    return pair_contributions(rs, ["model_id", "baseline_id", "rule"], ["mmap"], option_col="score",
+                              baseline=baseline)
 
 
-def mmap_condition_means(responses: DataFrame, rules_long: DataFrame) -> DataFrame:
+def mmap_condition_means(responses: DataFrame, rules_long: DataFrame, baseline: str = "join") -> DataFrame:
     """Flagship: mean MMAP and its change from baseline per (model, condition)."""
-    return summarise(mmap_contributions(responses, rules_long), ["model_id", "condition"])
+    return summarise(mmap_contributions(responses, rules_long, baseline), ["model_id", "condition"])
 
 
 def mmap_by_rule(responses: DataFrame, rules_long: DataFrame) -> DataFrame:
@@ -213,7 +230,7 @@ def option_scores(options: list[str], normalise: bool, suffix: str) -> dict[str,
 
 def option_contributions(df: DataFrame, options: list[str], key: str = "scenario_id",
                          normalise: bool = True, drop_zero: bool = True,
-                         suffix: str = "_prob") -> DataFrame:
+                         suffix: str = "_prob", baseline: str = "join") -> DataFrame:
     scores = option_scores(options, normalise, suffix)
     zero = None
     if drop_zero:
@@ -222,13 +239,13 @@ def option_contributions(df: DataFrame, options: list[str], key: str = "scenario
     ks = key_stats(df, ["model_id", key], scores, zero)
     if drop_zero:
         ks = ks.where(F.col("zero_any") == 0)
-    return pair_contributions(ks, ["model_id", key], options, option_col="option")
+    return pair_contributions(ks, ["model_id", key], options, option_col="option", baseline=baseline)
 
 
 def paired_effects(df: DataFrame, options: list[str], key: str = "scenario_id", normalise: bool = True,
-                   drop_zero: bool = True, suffix: str = "_prob") -> DataFrame:
+                   drop_zero: bool = True, suffix: str = "_prob", baseline: str = "join") -> DataFrame:
     """Per (model, option, condition) statistics of score and change from baseline."""
-    return summarise(option_contributions(df, options, key, normalise, drop_zero, suffix),
+    return summarise(option_contributions(df, options, key, normalise, drop_zero, suffix, baseline),
                      ["model_id", "option", "condition"])
 
 

@@ -27,6 +27,7 @@ def respond(prompts: DataFrame, make_model: Callable[[], Responder], id_col: str
     batch of prompts to a batch with ``answer_raw``.
     """
     schema = f"{id_col} string, answer_raw string, answer string"
+    from armature.functions.text import timestamp_now
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
@@ -35,7 +36,8 @@ def respond(prompts: DataFrame, make_model: Callable[[], Responder], id_col: str
             raw = out["answer_raw"].astype(str)
             yield pd.DataFrame({id_col: b[id_col].astype(str).to_numpy(), "answer_raw": raw.to_numpy(),
                                 "answer": raw.str.strip().to_numpy()})
-    return prompts.select(id_col, "system_prompt", "user_prompt").mapInPandas(run, schema)
+    return (prompts.select(id_col, "system_prompt", "user_prompt").mapInPandas(run, schema)
+            .withColumn("timestamp", timestamp_now()))
 
 
 def score_texts(df: DataFrame, text_col: str, make_scorer: Callable[[], Scorer], keep: list[str]) -> DataFrame:

@@ -1054,3 +1054,54 @@ def q_score_texts_stub(spark, sf_dir):
     r = _response_text(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"),
                                              TX.reasoning(F.col("t")).alias("reasoning"))
     return HK.score_texts(r, "reasoning", HK.zero_scorer, ["doc_id"])
+
+
+# ---------------------------------------------------------------------------
+# Baseline policy 'mean' (Q8), sorted head (L2), data-quality flag (Q14)
+# ---------------------------------------------------------------------------
+
+@register("baseline_mean_pairing", with_views(f"""
+WITH r0 AS (
+  SELECT x.*, CASE WHEN x.distractor_id IS NULL THEN 'baseline' ELSE coalesce(d.sentiment, 'unknown') END AS condition,
+         coalesce(good_prob, 0) + coalesce(ok_prob, 0) + coalesce(bad_prob, 0) AS total
+  FROM v_option_responses x LEFT JOIN v_distractors d ON x.distractor_id = d.id),
+bad AS (SELECT DISTINCT model_id, scenario_id FROM r0 WHERE total = 0),
+r AS (SELECT r0.* FROM r0 ANTI JOIN bad USING (model_id, scenario_id)),
+l AS (SELECT model_id, scenario_id, condition, o.option,
+             CASE o.option WHEN 'good' THEN good_prob WHEN 'ok' THEN ok_prob ELSE bad_prob END / nullif(total, 0) AS share
+      FROM r CROSS JOIN (VALUES ('good'), ('ok'), ('bad')) o(option)),
+b AS (SELECT model_id, scenario_id, option, avg(share) AS mb FROM l WHERE condition = 'baseline' GROUP BY ALL),
+j AS (SELECT l.model_id, l.option, l.condition, l.share AS score, l.share - b.mb AS diff
+      FROM l LEFT JOIN b USING (model_id, scenario_id, option))
+SELECT model_id, option, condition, {_stats_sql('score', 'diff')}
+FROM j WHERE condition <> 'unknown' GROUP BY model_id, option, condition
+""", "v_distractors", "v_option_responses"))
+def q_baseline_mean_pairing(spark, sf_dir):
+    """A9 with each treated row paired once with its key's mean baseline share (Q8 'mean')."""
+    df = _with_condition(spark, sf_dir, V.option_responses(spark, sf_dir))
+    return rounded(E.paired_effects(df, ["good", "ok", "bad"], baseline="mean"))
+
+
+@register("verdict_shares_head", with_views(f"""
+WITH {_VR}, c AS (SELECT model_id, distractor_type, verdict, count(*) AS count FROM vr
+                  WHERE verdict IS NOT NULL GROUP BY ALL)
+SELECT model_id, distractor_type, verdict,
+       round(count / sum(count) OVER (PARTITION BY model_id, distractor_type), 6) AS share
+FROM c ORDER BY model_id, distractor_type, verdict LIMIT 15
+""", "v_distractors", "v_option_responses"))
+def q_verdict_shares_head(spark, sf_dir):
+    """L2: the first 15 rows of the sorted share table (a top-k report; the limit is the feature)."""
+    s = SH.verdict_shares(_verdict_frame(spark, sf_dir), ["model_id", "distractor_type"])
+    return rounded(s.select("model_id", "distractor_type", "verdict", "share")
+                   .orderBy("model_id", "distractor_type", "verdict").limit(15))
+
+
+@register("replacement_chars", """
+SELECT lang, count(*) AS n_docs, count(*) FILTER (WHERE contains(text, chr(65533))) AS n_flagged
+FROM documents GROUP BY lang
+""")
+def q_replacement_chars(spark, sf_dir):
+    """Q14: texts holding U+FFFD (undecodable bytes) per language."""
+    d = V.table(spark, sf_dir, "documents").select("lang", "text")
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"),
+                                 F.count_if(F.instr("text", "�") > 0).alias("n_flagged"))
