@@ -102,3 +102,44 @@ def softmax_logprob_duck(logits: str, idx: str) -> str:
     m = f"list_max(list_transform({logits}, lambda v: CAST(v AS DOUBLE)))"
     lse = f"({m} + ln(list_sum(list_transform({logits}, lambda v: exp(CAST(v AS DOUBLE) - {m})))))"
     return f"(CAST({logits}[{idx}] AS DOUBLE) - {lse})"
+
+
+# ---------------------------------------------------------------------------
+# Staged form for many variants at once: per row, the first K positions are split
+# once into reversed token / logprob arrays (reversed so that ``array_position``
+# finds the *last* entry of a token, as dict() keeps); every variant's chain is
+# then unrolled into built-in array_position / element_at calls (codegen-able),
+# instead of one interpreted lambda pipeline per variant.
+# ---------------------------------------------------------------------------
+
+def max_variant_len(labels: list[str]) -> int:
+    return max(len(tokenize_variant(v)) for lab in labels for v in VARIANTS[lab])
+
+
+def stage_positions(df, positions: str, k: int):
+    """Adds _npos and, for j = 1..k, _tok{j} / _lp{j} (reversed arrays of position j)."""
+    out = df.withColumn("_npos", F.size(positions))
+    for j in range(1, k + 1):
+        pj = F.try_element_at(F.col(positions), F.lit(j))
+        out = (out.withColumn(f"_tok{j}", F.reverse(F.transform(pj, lambda x: x["token"])))
+                  .withColumn(f"_lp{j}", F.reverse(F.transform(pj, lambda x: x["logprob"]))))
+    return out
+
+
+def _staged_chain_sql(tokens: list[str]) -> str:
+    n = len(tokens)
+    terms = []
+    for j, tok in enumerate(tokens, start=1):
+        pos = f"array_position(_tok{j}, {_sq(tok)})"
+        terms.append(f"(CASE WHEN {pos} > 0 THEN element_at(_lp{j}, CAST({pos} AS INT)) END)")
+    return f"(CASE WHEN _npos < {n} THEN 0D ELSE coalesce(exp({' + '.join(terms)}), 0D) END)"
+
+
+def answer_probs(df, positions: str, labels: list[str], suffix: str = "_prob"):
+    """A1 for several labels: adds ``<label lower><suffix>`` columns; drops the staging columns."""
+    k = max_variant_len(labels)
+    staged = stage_positions(df, positions, k)
+    for lab in labels:
+        expr = " + ".join(_staged_chain_sql(tokenize_variant(v)) for v in VARIANTS[lab])
+        staged = staged.withColumn(f"{lab.lower()}{suffix}", F.expr(expr))
+    return staged.drop("_npos", *[f"_tok{j}" for j in range(1, k + 1)], *[f"_lp{j}" for j in range(1, k + 1)])

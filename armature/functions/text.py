@@ -11,7 +11,7 @@ Everything runs on whole texts; no prefix is ever cut.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from armature.schemas import PY_WHITESPACE, VERDICTS
@@ -123,36 +123,59 @@ def response_text(answer: Column, answer_raw: Column | None = None) -> Column:
     return strip(F.coalesce(*parts, F.lit("")))
 
 
-def verdict_primary(t: Column) -> Column:
-    """Label of the first 'Verdict: LABEL' (case-insensitive), upper-cased; else null."""
-    pat = _CI_SPARK + VERDICT_BODY
-    return F.when(t.rlike(pat), F.upper(F.regexp_extract(t, pat, 1)))
+# Java-side patterns: look-arounds give word boundaries without consuming characters, so
+# one pass finds a match and captures the rest of the text; each is used with
+# ``regexp_extract`` (one scan), never ``rlike`` + extract (two scans).
+_LB = r"(?<![\p{L}\p{N}_])"
+_LA = r"(?![\p{L}\p{N}_])"
+J_VERDICT = rf"(?iu){_LB}Verdict{WS}*[:\-]{WS}*({LABELS}){_LA}"
+J_VERDICT_TAIL = rf"(?ius){_LB}Verdict{WS}*[:\-]{WS}*(?:{LABELS}){_LA}(.*)"
+J_LABELS = rf"(?iu){_LB}({LABELS}){_LA}"
+J_REASONING = rf"(?ius){_LB}(?:Reasoning|Reason|Explanation){WS}*[:\-]{WS}*(.+)"
 
 
-def verdict(t: Column) -> Column:
-    """P12 + P13: primary match, else the first label in priority order found as a word."""
-    fallback = [F.when(t.rlike(_CI_SPARK + _label_body(lab)), F.lit(lab)) for lab in VERDICTS]
-    return F.when(F.length(t) > 0, F.coalesce(verdict_primary(t), *fallback))
+def _j_label_tail(label: str) -> str:
+    return rf"(?ius){_LB}{label}{_LA}(.*)"
 
 
-def _verdict_remainder(t: Column) -> Column:
-    """Text after the verdict match (primary, else the fallback label's first match)."""
-    out = F.when(t.rlike(_CI_SPARK + VERDICT_BODY), F.regexp_extract(t, _CI_SPARK + VERDICT_TAIL, 1))
+def verdict_primary(t: Column) -> Column:
+    """Label of the first 'Verdict: LABEL' (case-insensitive), upper-cased; else null."""
+    return F.nullif(F.upper(F.regexp_extract(t, J_VERDICT, 1)), F.lit(""))
+
+
+def _priority_label(found: Column) -> Column:
+    out = None
     for lab in VERDICTS:
-        out = out.when(t.rlike(_CI_SPARK + _label_body(lab)), F.regexp_extract(t, _CI_SPARK + _label_tail(lab), 1))
+        hit = F.array_contains(found, lab)
+        out = F.when(hit, F.lit(lab)) if out is None else out.when(hit, F.lit(lab))
     return out
 
 
-def reasoning(t: Column) -> Column:
-    """Text after the first Reasoning/Reason/Explanation header, cut at the next
-    line-start header; without a header, the text after the verdict; blank -> null."""
-    pat = _CI_SPARK + REASONING_BODY
-    snippet = strip(F.regexp_extract(t, pat, 1))
-    head = strip(F.split(snippet, FOLLOW_UP, 2).getItem(0))
-    rem = strip(_verdict_remainder(t))
-    return (F.when(F.length(t) == 0, F.lit(None))
-            .when(t.rlike(pat), F.nullif(head, F.lit("")))
-            .otherwise(F.nullif(rem, F.lit(""))))
+def extract_verdict_reasoning(df: DataFrame, text: str, verdict_col: str = "verdict",
+                              reasoning_col: str | None = "reasoning") -> DataFrame:
+    """P12-P16 on the (already stripped) response text column ``text``.
+
+    Each regex result is staged as its own column so it is computed once per
+    row (a CASE would re-evaluate a shared sub-expression per branch), and the
+    text-after-verdict scan only runs for rows without a reasoning header.
+    """
+    t = F.col(text)
+    d = (df.withColumn("_prim", verdict_primary(t))
+           .withColumn("_labels", F.transform(F.regexp_extract_all(t, F.lit(J_LABELS), 1), lambda x: F.upper(x))))
+    d = d.withColumn("_fb", _priority_label(F.col("_labels")))
+    d = d.withColumn(verdict_col, F.when(F.length(t) > 0, F.coalesce(F.col("_prim"), F.col("_fb"))))
+    if reasoning_col is None:
+        return d.drop("_prim", "_labels", "_fb")
+    d = d.withColumn("_snip", F.nullif(F.regexp_extract(t, J_REASONING, 1), F.lit("")))
+    rem = F.when(F.col("_snip").isNotNull(), F.lit(None)).when(
+        F.col("_prim").isNotNull(), F.regexp_extract(t, J_VERDICT_TAIL, 1))
+    for lab in VERDICTS:
+        rem = rem.when(F.col("_fb") == lab, F.regexp_extract(t, _j_label_tail(lab), 1))
+    head = strip(F.split(strip(F.col("_snip")), FOLLOW_UP, 2).getItem(0))
+    out = (F.when(F.length(t) == 0, F.lit(None))
+           .when(F.col("_snip").isNotNull(), F.nullif(head, F.lit("")))
+           .otherwise(F.nullif(strip(rem), F.lit(""))))
+    return d.withColumn(reasoning_col, out).drop("_prim", "_labels", "_fb", "_snip")
 
 
 # ---------------------------------------------------------------------------

@@ -70,6 +70,23 @@ def pending(design_rows: DataFrame, done: DataFrame,
     return design_rows.join(d, cond, "left_anti")
 
 
+def pending_models(design_rows: DataFrame, done: DataFrame, models: list[str],
+                   keys: tuple[str, ...] = ("scenario_id", "distractor_id")) -> DataFrame:
+    """J2 fused with the model expansion: per (scenario, distractor) collect the models that
+    already have a result (a set bounded by the model list), then emit only the missing
+    models.  The anti-join shuffles design rows once, not once per model."""
+    d = (done.where(F.col("model_id").isin(models))
+         .groupBy(*keys).agg(F.collect_set("model_id").alias("_done")))
+    cond = None
+    d = d.select(*[F.col(k).alias(f"_d_{k}") for k in keys], "_done")
+    for k in keys:
+        c = design_rows[k].eqNullSafe(d[f"_d_{k}"])
+        cond = c if cond is None else cond & c
+    j = design_rows.join(d, cond, "left")
+    todo = F.array_except(F.array(*[F.lit(m) for m in models]), F.coalesce(F.col("_done"), F.array().cast("array<string>")))
+    return (j.select(*design_rows.columns, F.explode(todo).alias("model_id")))
+
+
 def prompt_id(scenario_id: Column, distractor_id: Column, ordering: Column | None = None,
               fmt: Column | None = None) -> Column:
     """scenario_distractor-or-none[_ordering_format]."""

@@ -90,8 +90,35 @@ def reml_criterion(cls: pd.DataFrame, lam: float) -> float:
     return (N - 2) * math.log(rss) + logdet + logdet_a
 
 
+def _criterion_grid(cls: pd.DataFrame, lams: np.ndarray) -> np.ndarray:
+    """-2 REML profile for many lam at once (numpy broadcasting over a lam x class grid)."""
+    n, s, G = (cls[c].to_numpy(float)[None, :] for c in ("n", "s", "G"))
+    Sy, Sxy, Syy, Sy2 = (cls[c].to_numpy(float)[None, :] for c in ("Sy", "Sxy", "Syy", "Sy2"))
+    lam = lams[:, None]
+    w = lam / (1.0 + n * lam)
+    a00 = np.sum(G * (n - w * n * n), axis=1)
+    a01 = np.sum(G * (s - w * n * s), axis=1)
+    a11 = np.sum(G * (s - w * s * s), axis=1)
+    b0 = np.sum(Sy - w * n * Sy, axis=1)
+    b1 = np.sum(Sxy - w * s * Sy, axis=1)
+    c = np.sum(Syy - w * Sy2, axis=1)
+    logdet = np.sum(G * np.log1p(n * lam), axis=1)
+    det = a00 * a11 - a01 * a01
+    with np.errstate(divide="ignore", invalid="ignore"):
+        quad = (a11 * b0 * b0 - 2 * a01 * b0 * b1 + a00 * b1 * b1) / det
+        rss = c - quad
+        N = float(np.sum(cls["G"].to_numpy(float) * cls["n"].to_numpy(float)))
+        out = (N - 2) * np.log(rss) + logdet + np.log(det)
+    out[~((det > 0) & (rss > 0))] = np.inf
+    return out
+
+
 def fit_classes(cls: pd.DataFrame) -> dict:
-    """Profile-REML fit on class statistics -> coef, z, p (two-sided normal), lam."""
+    """Profile-REML fit on class statistics -> coef, z, p (two-sided normal), lam.
+
+    lam = var_u / var_e is searched on a log grid (plus the boundary lam = 0),
+    then refined twice on finer grids around the best point.
+    """
     N = int(np.sum(cls["G"].to_numpy() * cls["n"].to_numpy()))
     groups = int(np.sum(cls["G"].to_numpy()))
     out = {"coef": float("nan"), "z": float("nan"), "p": float("nan"), "lam": float("nan"),
@@ -99,28 +126,17 @@ def fit_classes(cls: pd.DataFrame) -> dict:
     if N <= 2:
         return out
     ts = np.linspace(-18.0, 12.0, 121)
-    crit = np.array([reml_criterion(cls, math.exp(t)) for t in ts])
-    c0 = reml_criterion(cls, 0.0)
-    if not np.isfinite(crit).any() and not math.isfinite(c0):
+    crit = _criterion_grid(cls, np.exp(ts))
+    if not np.isfinite(crit).any():
         return out
-    i = int(np.nanargmin(crit))
-    lo, hi = ts[max(i - 1, 0)], ts[min(i + 1, len(ts) - 1)]
-    g = (math.sqrt(5) - 1) / 2
-    a, b_ = lo, hi
-    x1, x2 = b_ - g * (b_ - a), a + g * (b_ - a)
-    f1, f2 = reml_criterion(cls, math.exp(x1)), reml_criterion(cls, math.exp(x2))
-    for _ in range(80):
-        if f1 < f2:
-            b_, x2, f2 = x2, x1, f1
-            x1 = b_ - g * (b_ - a)
-            f1 = reml_criterion(cls, math.exp(x1))
-        else:
-            a, x1, f1 = x1, x2, f2
-            x2 = a + g * (b_ - a)
-            f2 = reml_criterion(cls, math.exp(x2))
-    t_best = (a + b_) / 2
-    lam = math.exp(t_best)
-    if c0 <= reml_criterion(cls, lam):
+    step = ts[1] - ts[0]
+    best = ts[int(np.argmin(crit))]
+    for _ in range(3):
+        ts = np.linspace(best - step, best + step, 41)
+        crit = _criterion_grid(cls, np.exp(ts))
+        best, step = ts[int(np.argmin(crit))], ts[1] - ts[0]
+    lam = float(np.exp(best))
+    if _criterion_grid(cls, np.array([0.0]))[0] <= _criterion_grid(cls, np.array([lam]))[0]:
         lam = 0.0
     A, bv, c, _ = _pieces(cls, lam)
     try:

@@ -31,13 +31,11 @@ def answer_to_action(df: DataFrame, ordering: str = "question_ordering") -> Data
 def score_choice(df: DataFrame, positions: str, question_format: str) -> DataFrame:
     """A1 + P10 for a choice question: answer-label marginals, then map to actions."""
     first, second = answer_labels(question_format)
-    return answer_to_action(df.withColumn("p_first", PR.answer_prob(positions, first))
-                              .withColumn("p_second", PR.answer_prob(positions, second)))
+    probs = PR.answer_probs(df, positions, [first, second], suffix="_p")
+    return answer_to_action(probs.withColumnRenamed(f"{first.lower()}_p", "p_first")
+                                 .withColumnRenamed(f"{second.lower()}_p", "p_second"))
 
 
 def score_options(df: DataFrame, positions: str, family: str) -> DataFrame:
     """A1 for every label of an option family (normbank: good/ok/bad; reddit: five verdicts)."""
-    out = df
-    for label in VARIANT_FAMILIES[family]:
-        out = out.withColumn(f"{label.lower()}_prob", PR.answer_prob(positions, label))
-    return out
+    return PR.answer_probs(df, positions, VARIANT_FAMILIES[family])

@@ -510,7 +510,8 @@ WITH {_RT_SQL}
 SELECT doc_id, {TX.verdict_sql('t')} AS verdict FROM rt
 """, "v_text_responses"))
 def q_verdict_fallback(spark, sf_dir):
-    return _response_text(spark, sf_dir).select("doc_id", TX.verdict(F.col("t")).alias("verdict"))
+    return TX.extract_verdict_reasoning(_response_text(spark, sf_dir), "t", reasoning_col=None).select(
+        "doc_id", "verdict")
 
 
 @register("reasoning_extract", with_views(f"""
@@ -518,7 +519,7 @@ WITH {_RT_SQL}
 SELECT doc_id, {TX.reasoning_sql('t')} AS reasoning FROM rt
 """, "v_text_responses"))
 def q_reasoning_extract(spark, sf_dir):
-    return _response_text(spark, sf_dir).select("doc_id", TX.reasoning(F.col("t")).alias("reasoning"))
+    return TX.extract_verdict_reasoning(_response_text(spark, sf_dir), "t").select("doc_id", "reasoning")
 
 
 @register("answer_after_marker", f"""
@@ -589,8 +590,9 @@ SELECT * FROM x WHERE NOT EXISTS (
     AND r.distractor_id IS NOT DISTINCT FROM x.distractor_id)
 """, "v_scenarios", "v_distractors", "v_responses"))
 def q_design_pending(spark, sf_dir):
-    d = DS.expand_models(_design(spark, sf_dir), RUN_MODELS).select("model_id", "scenario_id", "distractor_id")
-    return DS.pending(d, V.done_pairs(spark, sf_dir))
+    d = _design(spark, sf_dir).select("scenario_id", "distractor_id")
+    return DS.pending_models(d, V.done_pairs(spark, sf_dir), RUN_MODELS).select(
+        "model_id", "scenario_id", "distractor_id")
 
 
 @register("prompt_ids", with_views(f"""
@@ -764,9 +766,8 @@ SELECT doc_id, {", ".join(f"round({PR.marginal_duck('positions', lab)}, 6) AS {l
 FROM pos
 """, "v_text_responses"))
 def q_variant_marginal(spark, sf_dir):
-    p = _positions(spark, sf_dir)
-    return rounded(p.select("doc_id", *[PR.answer_prob("positions", lab).alias(f"{lab.lower()}_prob")
-                                        for lab in _VERDICT_LABELS]))
+    p = PR.answer_probs(_positions(spark, sf_dir), "positions", _VERDICT_LABELS)
+    return rounded(p.select("doc_id", *[f"{lab.lower()}_prob" for lab in _VERDICT_LABELS]))
 
 
 @register("softmax_pick", f"""
@@ -1009,20 +1010,24 @@ from armature.operators import mixedlm as ML  # noqa: E402
 
 
 def _mixed_tests(spark, sf_dir):
+    """Class statistics of every experiment family, unioned, then one applyInPandas fit stage."""
+    cell = ["experiment", "model_id", "option"]
     r = _with_condition(spark, sf_dir, V.responses(spark, sf_dir))
-    mm = E.mmap_contributions(r, V.scenario_rules(spark, sf_dir)).withColumnRenamed("score", "option")
-    parts = [ML.mixed_lm_pairs(mm, ["model_id", "option"], ["baseline_id"]).withColumn("experiment", F.lit("moralchoice"))]
+    mm = (E.mmap_contributions(r, V.scenario_rules(spark, sf_dir)).withColumnRenamed("score", "option")
+          .withColumnRenamed("baseline_id", "key").withColumn("experiment", F.lit("moralchoice")))
+    parts = [mm.select("experiment", "model_id", "option", "key", "condition", "x_n", "x_s", "x_q")]
     fams = [("normbank", V.option_responses, ["good", "ok", "bad"], True, True, "_prob"),
             ("reddit_verdict", V.verdict_probs, ["esh", "yta", "nta", "nah", "info"], True, True, "_prob"),
             ("reddit_foundation", V.foundations, ["ch", "fc", "lb", "as", "pd"], False, False, "_score")]
     for exp, fn, opts, norm, dz, suf in fams:
         df = _with_condition(spark, sf_dir, fn(spark, sf_dir))
         c = E.option_contributions(df, opts, "scenario_id", norm, dz, suf)
-        parts.append(ML.mixed_lm_pairs(c, ["model_id", "option"], ["scenario_id"]).withColumn("experiment", F.lit(exp)))
-    out = parts[0]
+        parts.append(c.select(F.lit(exp).alias("experiment"), "model_id", "option",
+                              F.col("scenario_id").cast("string").alias("key"), "condition", "x_n", "x_s", "x_q"))
+    contrib = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        contrib = contrib.unionByName(p)
+    return ML.mixed_lm_pairs(contrib, cell, ["key"])
 
 
 @register("mixed_lm_pairs", None)
@@ -1044,15 +1049,15 @@ def q_respond_stub(spark, sf_dir):
     """Rendered pending prompts -> stub model answers -> extracted verdicts."""
     prompts = RD.render_system_injected(_render_rows(spark, sf_dir, False))
     ans = HK.respond(prompts, HK.stub_model)
-    t = TX.response_text(F.col("answer"), F.col("answer_raw"))
-    return ans.select("prompt_id", TX.verdict(t).alias("verdict"), TX.reasoning(t).alias("reasoning"))
+    t = ans.select("prompt_id", TX.response_text(F.col("answer"), F.col("answer_raw")).alias("t"))
+    return TX.extract_verdict_reasoning(t, "t").select("prompt_id", "verdict", "reasoning")
 
 
 @register("score_texts_stub", None)
 def q_score_texts_stub(spark, sf_dir):
     """Reasoning of every text response -> five foundation scores (stub scorer)."""
-    r = _response_text(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"),
-                                             TX.reasoning(F.col("t")).alias("reasoning"))
+    r = TX.extract_verdict_reasoning(_response_text(spark, sf_dir), "t").select(
+        F.col("doc_id").cast("string").alias("doc_id"), "reasoning")
     return HK.score_texts(r, "reasoning", HK.zero_scorer, ["doc_id"])
 
 

@@ -54,8 +54,8 @@ EDGE = [
 
 def _spark_extract(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, a string")
-    t = TX.response_text(F.col("a"))
-    rows = df.select("i", TX.verdict(t).alias("v"), TX.reasoning(t).alias("r")).orderBy("i").collect()
+    d = df.select("i", TX.response_text(F.col("a")).alias("t"))
+    rows = TX.extract_verdict_reasoning(d, "t", "v", "r").orderBy("i").collect()
     return [(r.v, r.r) for r in rows]
 
 
