@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # A registry side is broadcast only after this bound is verified on the data.
 MAX_BROADCAST_ROWS = 1_000_000
+# (plan hash, input files, bound) -> verified small; the check is a job, so it runs once per plan
+_SMALL: dict = {}
 
 
 def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -16,8 +18,16 @@ def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     large input.  Above the bound no hint is given: the planner falls back to a
     shuffle join (and AQE may still broadcast at run time from real sizes).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    try:
+        memo_key = (df.semanticHash(), tuple(sorted(df.inputFiles())), max_rows)
+    except Exception:  # noqa: BLE001 - plans without a stable hash are checked every time
+        memo_key = None
+    small = _SMALL.get(memo_key) if memo_key is not None else None
+    if small is None:
+        small = df.limit(max_rows + 1).count() <= max_rows
+        if memo_key is not None:
+            _SMALL[memo_key] = small
+    return F.broadcast(df) if small else df
 
 
 def attach_condition(df: DataFrame, distractors: DataFrame, id_col: str = "distractor_id",

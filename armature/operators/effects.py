@@ -5,9 +5,9 @@ same key (a fan-out that is quadratic in a hot key) and then takes means,
 population deviations and standard errors.  Those statistics only need
 per-key sufficient statistics, so the plan is:
 
-  1. one ``groupBy(group, key)`` over the raw rows (map-side partial
+  1. one ``groupBy(group, key, option)`` over the raw rows (map-side partial
      aggregation, so a hot key collapses before the shuffle) producing, per
-     condition: row count, non-null count, sum and sum of squares of each score;
+     condition: row count, non-null count, sum and sum of squares of the score;
   2. per key, combine each condition's statistics with the key's baseline
      statistics in closed form - exactly what the fan-out join would have
      produced, without emitting a single pair;
@@ -37,33 +37,34 @@ def nan_to_null(c: Column) -> Column:
 
 
 def key_stats(df: DataFrame, by: list[str], scores: Mapping[str, Column],
-              zero: Column | None = None, condition: str = "condition") -> DataFrame:
-    """Per-key wide sufficient statistics: one row per ``by`` value."""
-    cond = F.col(condition)
+              zero: Column | None = None, condition: str = "condition",
+              option_col: str = "option") -> DataFrame:
+    """Per-key sufficient statistics in long form: one row per (by..., option).
+
+    Each input row is exploded into one row per score (in memory, inside the
+    same stage) so the aggregate carries 4 conditions x 4 statistics whatever
+    the number of options - a narrow, codegen-friendly aggregate whose partial
+    step collapses a hot key before the shuffle.
+    """
+    entries = [F.struct(F.lit(name).alias("o"), sc.cast("double").alias("x")) for name, sc in scores.items()]
+    cols = [*by, F.col(condition).alias("_c")]
+    if zero is not None:
+        cols.append(F.coalesce(zero, F.lit(False)).alias("_z"))
+    x = df.select(*cols, F.explode(F.array(*entries)).alias("_e"))
+    c, v = F.col("_c"), F.col("_e.x")
     aggs = []
-    for c in CONDITIONS:
-        aggs.append(F.count_if(cond == c).alias(f"n__{c}"))
-        for name, sc in scores.items():
-            v = F.when(cond == c, sc)
-            aggs += [F.count(v).alias(f"nn__{name}__{c}"), F.sum(v).alias(f"s__{name}__{c}"),
-                     F.sum(v * v).alias(f"q__{name}__{c}")]
+    for cond in CONDITIONS:
+        m = c == cond
+        xv = F.when(m, v)
+        aggs += [F.count_if(m).alias(f"n__{cond}"), F.count(xv).alias(f"nn__{cond}"),
+                 F.sum(xv).alias(f"s__{cond}"), F.sum(xv * xv).alias(f"q__{cond}")]
     if zero is not None:
-        aggs.append(F.max(F.coalesce(zero, F.lit(False)).cast("int")).alias("zero_any"))
-    return df.groupBy(*by).agg(*aggs)
-
-
-def pick_score(ks: DataFrame, choose_first: Column, first: str, second: str, out: str) -> DataFrame:
-    """Per row, take the statistics of score ``first`` where ``choose_first`` else ``second``."""
-    cols = []
-    for c in CONDITIONS:
-        for stat in ("nn", "s", "q"):
-            cols.append(F.when(choose_first, F.col(f"{stat}__{first}__{c}"))
-                        .otherwise(F.col(f"{stat}__{second}__{c}")).alias(f"{stat}__{out}__{c}"))
-    return ks.select(*[c for c in ks.columns if "__" not in c or c.startswith("n__")], *cols)
+        aggs.append(F.max(F.col("_z").cast("int")).alias("zero_any"))
+    return x.groupBy(*by, F.col("_e.o").alias(option_col)).agg(*aggs)
 
 
-def pair_contributions(ks: DataFrame, keep: list[str], score_names: list[str],
-                       option_col: str = "option", baseline: str = "join") -> DataFrame:
+def pair_contributions(ks: DataFrame, keep: list[str], option_col: str = "option",
+                       baseline: str = "join") -> DataFrame:
     """Long table: per (keep..., option, condition) what the baseline pairing contributes.
 
     ``baseline='join'`` reproduces the reference's left join (a key with several
@@ -72,18 +73,16 @@ def pair_contributions(ks: DataFrame, keep: list[str], score_names: list[str],
     """
     if baseline not in ("join", "mean"):
         raise ValueError("baseline must be 'join' or 'mean'")
+
     def z(name, cast="long"):
         return F.coalesce(F.col(name), F.lit(0).cast(cast))
-    entries = []
-    for s in score_names:
-        for c in CONDITIONS:
-            entries.append(F.struct(
-                F.lit(s).alias(option_col), F.lit(c).alias("condition"),
-                z(f"n__{c}").alias("n"), z(f"nn__{s}__{c}").alias("t"),
-                z(f"s__{s}__{c}", "double").alias("st"), z(f"q__{s}__{c}", "double").alias("qt"),
-                z("n__baseline").alias("nb"), z(f"nn__{s}__baseline").alias("b"),
-                z(f"s__{s}__baseline", "double").alias("sb"), z(f"q__{s}__baseline", "double").alias("qb")))
-    e = ks.select(*keep, F.explode(F.array(*entries)).alias("e")).select(*keep, "e.*").where(F.col("n") > 0)
+    entries = [F.struct(
+        F.lit(c).alias("condition"), z(f"n__{c}").alias("n"), z(f"nn__{c}").alias("t"),
+        z(f"s__{c}", "double").alias("st"), z(f"q__{c}", "double").alias("qt"),
+        z("n__baseline").alias("nb"), z("nn__baseline").alias("b"),
+        z("s__baseline", "double").alias("sb"), z("q__baseline", "double").alias("qb")) for c in CONDITIONS]
+    e = (ks.select(*keep, option_col, F.explode(F.array(*entries)).alias("e"))
+         .select(*keep, option_col, "e.*").where(F.col("n") > 0))
     if baseline == "mean":
         mu = F.try_divide(F.col("sb"), F.col("b").cast("double"))
         has = F.col("b") > 0
@@ -137,7 +136,7 @@ def _mmap_scores(df: DataFrame) -> dict[str, Column]:
 
 
 def mmap_key_stats(responses: DataFrame, drop_invalid: bool = True) -> DataFrame:
-    """Per (model, baseline_id, scenario) statistics of both possible MMAP values.
+    """Per (model, baseline_id, scenario, variant) statistics of both possible MMAP values.
 
     ``m1 = a1/(a1+a2)`` is the MMAP when action 1 is the good one (a1 == 'No'),
     ``m2`` otherwise; which applies is decided per rule after the key is small.
@@ -149,18 +148,25 @@ def mmap_key_stats(responses: DataFrame, drop_invalid: bool = True) -> DataFrame
     return ks
 
 
+def _fc_rules(rules_long: DataFrame) -> DataFrame:
+    """Forced-choice rules with the MMAP variant each one selects."""
+    return forced_choice(rules_long).select(
+        F.col("id").alias("_sid"), "rule",
+        F.when(F.col("a1") == "No", F.lit("m1")).otherwise(F.lit("m2")).alias("_pick"))
+
+
 def mmap_rule_stats(responses: DataFrame, rules_long: DataFrame, drop_invalid: bool = True) -> DataFrame:
-    """Key statistics crossed with the scenario's forced-choice rules."""
+    """Key statistics crossed with the scenario's forced-choice rules (J3, A7): per
+    (model, baseline_id, rule) the statistics of the MMAP variant that rule selects."""
     ks = mmap_key_stats(responses, drop_invalid)
-    fc = forced_choice(rules_long).select(F.col("id").alias("_sid"), "rule", F.col("a1").alias("_a1"))
-    j = ks.join(fc, F.col("scenario_id") == F.col("_sid"), "inner")
-    return pick_score(j, F.col("_a1") == "No", "m1", "m2", "mmap")
+    j = ks.join(_fc_rules(rules_long),
+                (F.col("scenario_id") == F.col("_sid")) & (F.col("option") == F.col("_pick")))
+    return j.drop("_sid", "_pick", "option").withColumn("score", F.lit("mmap"))
 
 
 def mmap_contributions(responses: DataFrame, rules_long: DataFrame, baseline: str = "join") -> DataFrame:
     rs = mmap_rule_stats(responses, rules_long)
-    return pair_contributions(rs, ["model_id", "baseline_id", "rule"], ["mmap"], option_col="score",
-                              baseline=baseline)
+    return pair_contributions(rs, ["model_id", "baseline_id", "rule"], option_col="score", baseline=baseline)
 
 
 def mmap_condition_means(responses: DataFrame, rules_long: DataFrame, baseline: str = "join") -> DataFrame:
@@ -176,10 +182,8 @@ def mmap_by_rule(responses: DataFrame, rules_long: DataFrame) -> DataFrame:
     """
     from armature.schemas import RULES
     rs = mmap_rule_stats(responses, rules_long, drop_invalid=False)
-    cols = []
-    for c in CONDITIONS:
-        cols.append(F.struct(F.lit(c).alias("condition"), F.col(f"n__{c}").alias("n"),
-                             F.col(f"nn__mmap__{c}").alias("nn"), F.col(f"s__mmap__{c}").alias("s")))
+    cols = [F.struct(F.lit(c).alias("condition"), F.col(f"n__{c}").alias("n"),
+                     F.col(f"nn__{c}").alias("nn"), F.col(f"s__{c}").alias("s")) for c in CONDITIONS]
     long = (rs.select("model_id", "rule", F.explode(F.array(*cols)).alias("e"))
             .select("model_id", "rule", "e.*").where(F.col("n") > 0))
     agg = long.groupBy("model_id", "condition", "rule").agg(
@@ -193,26 +197,27 @@ def mmap_by_rule(responses: DataFrame, rules_long: DataFrame) -> DataFrame:
                       .otherwise(F.try_divide(F.col("s"), F.col("nn").cast("double"))).alias("mean_mmap"))
 
 
+def _baseline_means(ks: DataFrame, keys: list[str], option_col: str = "option") -> DataFrame:
+    return ks.select(*keys, option_col,
+                     F.try_divide(F.col("s__baseline"), F.col("nn__baseline").cast("double")).alias("_base"))
+
+
 def mmap_effect_rows(responses: DataFrame, rules_long: DataFrame) -> DataFrame:
     """P22-P24 per response row and qualifying rule, baseline = mean of the key's baseline rows.
 
     The ``mean`` policy keeps the self-join many-to-one: the baseline side is one
-    row per (model, baseline_id), so no pair fan-out.
+    row per (model, baseline_id, variant), so no pair fan-out.
     """
-    ks = mmap_key_stats(responses).select(
-        "model_id", "baseline_id",
-        F.try_divide(F.col("s__m1__baseline"), F.col("nn__m1__baseline").cast("double")).alias("_b1"),
-        F.try_divide(F.col("s__m2__baseline"), F.col("nn__m2__baseline").cast("double")).alias("_b2"))
+    base = _baseline_means(mmap_key_stats(responses), ["model_id", "baseline_id"]).withColumnRenamed(
+        "option", "_pick")
     sc = _mmap_scores(responses)
     r = responses.select("*", sc["m1"].alias("_m1"), sc["m2"].alias("_m2"))
-    r = r.join(ks, ["model_id", "baseline_id"], "inner")       # inner = J6 (valid keys only)
-    fc = forced_choice(rules_long).select(F.col("id").alias("_sid"), "rule", F.col("a1").alias("_a1"))
-    r = r.join(fc, F.col("scenario_id") == F.col("_sid"), "inner")
-    good_first = F.col("_a1") == "No"
-    mmap = F.when(good_first, F.col("_m1")).otherwise(F.col("_m2"))
-    base = F.when(good_first, F.col("_b1")).otherwise(F.col("_b2"))
+    r = r.join(_fc_rules(rules_long), F.col("scenario_id") == F.col("_sid"), "inner")
+    r = r.join(base, ["model_id", "baseline_id", "_pick"], "inner")       # inner = J6 (valid keys only)
+    mmap = F.when(F.col("_pick") == "m1", F.col("_m1")).otherwise(F.col("_m2"))
     return r.select("model_id", "scenario_id", "question_ordering", "distractor_id", "condition", "rule",
-                    mmap.alias("mmap"), base.alias("mmap_base"), (mmap - base).alias("mmap_diff"))
+                    mmap.alias("mmap"), F.col("_base").alias("mmap_base"),
+                    (mmap - F.col("_base")).alias("mmap_diff"))
 
 
 # ---------------------------------------------------------------------------
@@ -228,9 +233,7 @@ def option_scores(options: list[str], normalise: bool, suffix: str) -> dict[str,
     return {o: F.try_divide(c, total) for o, c in cols.items()}
 
 
-def option_contributions(df: DataFrame, options: list[str], key: str = "scenario_id",
-                         normalise: bool = True, drop_zero: bool = True,
-                         suffix: str = "_prob", baseline: str = "join") -> DataFrame:
+def _option_key_stats(df, options, key, normalise, drop_zero, suffix):
     scores = option_scores(options, normalise, suffix)
     zero = None
     if drop_zero:
@@ -239,7 +242,14 @@ def option_contributions(df: DataFrame, options: list[str], key: str = "scenario
     ks = key_stats(df, ["model_id", key], scores, zero)
     if drop_zero:
         ks = ks.where(F.col("zero_any") == 0)
-    return pair_contributions(ks, ["model_id", key], options, option_col="option", baseline=baseline)
+    return ks, scores
+
+
+def option_contributions(df: DataFrame, options: list[str], key: str = "scenario_id",
+                         normalise: bool = True, drop_zero: bool = True,
+                         suffix: str = "_prob", baseline: str = "join") -> DataFrame:
+    ks, _ = _option_key_stats(df, options, key, normalise, drop_zero, suffix)
+    return pair_contributions(ks, ["model_id", key], option_col="option", baseline=baseline)
 
 
 def paired_effects(df: DataFrame, options: list[str], key: str = "scenario_id", normalise: bool = True,
@@ -252,21 +262,11 @@ def paired_effects(df: DataFrame, options: list[str], key: str = "scenario_id",
 def option_effect_rows(df: DataFrame, options: list[str], id_col: str, key: str = "scenario_id",
                        normalise: bool = True, drop_zero: bool = True, suffix: str = "_prob") -> DataFrame:
     """Per row and option: share, mean baseline share of the key, difference (mean policy)."""
-    scores = option_scores(options, normalise, suffix)
-    zero = None
-    if drop_zero:
-        zero = sum((F.coalesce(nan_to_null(F.col(f"{o}{suffix}")), F.lit(0.0)) for o in options),
-                   F.lit(0.0)) == 0
-    ks = key_stats(df, ["model_id", key], scores, zero)
-    if drop_zero:
-        ks = ks.where(F.col("zero_any") == 0)
-    base = ks.select("model_id", key, *[
-        F.try_divide(F.col(f"s__{o}__baseline"), F.col(f"nn__{o}__baseline").cast("double")).alias(f"_b_{o}")
-        for o in options])
-    r = df.select(id_col, "model_id", key, "condition", *[scores[o].alias(f"_x_{o}") for o in options])
-    r = r.join(base, ["model_id", key], "inner")
-    entries = [F.struct(F.lit(o).alias("option"), F.col(f"_x_{o}").alias("share"),
-                        F.col(f"_b_{o}").alias("share_base")) for o in options]
-    e = r.select(id_col, "model_id", key, "condition", F.explode(F.array(*entries)).alias("e"))
-    return e.select(id_col, "model_id", key, "condition", "e.option", "e.share", "e.share_base",
-                    (F.col("e.share") - F.col("e.share_base")).alias("share_diff"))
+    ks, scores = _option_key_stats(df, options, key, normalise, drop_zero, suffix)
+    base = _baseline_means(ks, ["model_id", key])
+    entries = [F.struct(F.lit(o).alias("option"), scores[o].alias("share")) for o in options]
+    e = (df.select(id_col, "model_id", key, "condition", F.explode(F.array(*entries)).alias("e"))
+         .select(id_col, "model_id", key, "condition", "e.option", "e.share"))
+    r = e.join(base, ["model_id", key, "option"], "inner")
+    return r.select(id_col, "model_id", key, "condition", "option", "share",
+                    F.col("_base").alias("share_base"), (F.col("share") - F.col("_base")).alias("share_diff"))
