@@ -216,3 +216,39 @@ def chi2_sf(x: pd.Series, k: pd.Series) -> pd.Series:
 @pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return pd.Series([math.erfc(abs(v) / math.sqrt(2.0)) if v == v else float("nan") for v in z.astype(float)])
+
+
+# ---------------------------------------------------------------------------
+# Chi-square upper tail for integer degrees of freedom as SQL expressions
+# (even k: Poisson sum; odd k: erfc plus half-integer gamma terms).  Spark
+# folds the terms recursively with ``aggregate``; the DuckDB twin sums
+# exp(log-terms) with lgamma.  ``x`` and ``k`` are column names.
+# ---------------------------------------------------------------------------
+
+def chi2_sf_sql(x: str, k: str) -> str:
+    y = f"(CAST({x} AS DOUBLE) / 2.0e+00)"
+    half = f"(CAST({k} AS INT) DIV 2)"
+    even_sum = (f"aggregate(sequence(1, {half} - 1), named_struct('t', 1.0D, 's', 1.0D), "
+                f"(acc, j) -> named_struct('t', acc.t * {y} / j, 's', acc.s + acc.t * {y} / j), acc -> acc.s)")
+    even = f"(CASE WHEN {half} - 1 < 1 THEN exp(-{y}) ELSE exp(-{y}) * {even_sum} END)"
+    g15 = _lit(math.sqrt(math.pi) / 2)
+    step = f"(CASE WHEN j = 1 THEN sqrt({y}) / {g15} ELSE acc.t * {y} / (CAST(j AS DOUBLE) - 5.0e-01) END)"
+    odd_sum = (f"aggregate(sequence(1, {half}), named_struct('t', 0.0D, 's', 0.0D), "
+               f"(acc, j) -> named_struct('t', {step}, 's', acc.s + {step}), acc -> acc.s)")
+    sq = f"_sqrt_y_{x}"
+    odd = (f"(CASE WHEN {half} < 1 THEN {erfc_sql(f'sqrt({y})')} "
+           f"ELSE {erfc_sql(f'sqrt({y})')} + exp(-{y}) * {odd_sum} END)")
+    del sq
+    return (f"(CASE WHEN {x} IS NULL OR {k} IS NULL OR {k} < 1 THEN NULL WHEN {x} <= 0 THEN 1.0D "
+            f"WHEN CAST({k} AS INT) % 2 = 0 THEN {even} ELSE {odd} END)")
+
+
+def chi2_sf_duck(x: str, k: str) -> str:
+    y = f"(CAST({x} AS DOUBLE) / 2.0e+00)"
+    half = f"(CAST({k} AS INTEGER) // 2)"
+    even = (f"(exp(-{y}) * coalesce(list_sum(list_transform(range(0, {half}), "
+            f"lambda j: exp(j * ln({y}) - lgamma(j + 1)))), 0))")
+    odd = (f"({erfc_duck_sql(f'sqrt({y})')} + exp(-{y}) * coalesce(list_sum(list_transform(range(1, {half} + 1), "
+           f"lambda j: exp((j - 0.5) * ln({y}) - lgamma(j + 0.5)))), 0))")
+    return (f"(CASE WHEN {x} IS NULL OR {k} IS NULL OR {k} < 1 THEN NULL WHEN {x} <= 0 THEN 1.0 "
+            f"WHEN CAST({k} AS INTEGER) % 2 = 0 THEN {even} ELSE {odd} END)")

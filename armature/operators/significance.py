@@ -85,7 +85,8 @@ def chi_square_tests(df: DataFrame, by: str = "model_id", type_col: str = "distr
 
 
 def with_chi2_p(df: DataFrame, stat: str, dof: str, out: str = "p") -> DataFrame:
-    return df.withColumn(out, S.chi2_sf(F.col(stat), F.col(dof).cast("double")))
+    """Chi-square upper tail as a JVM-side expression (integer degrees of freedom)."""
+    return df.withColumn(out, F.expr(S.chi2_sf_sql(stat, dof)))
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, buckets: int = 64,

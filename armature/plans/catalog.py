@@ -423,8 +423,7 @@ def q_wilson_ci(spark, sf_dir):
     return rounded(SG.wilson_table(_verdict_frame(spark, sf_dir), "NTA"))
 
 
-@register("chi2_stat", with_views(f"""
-WITH {_VR}, obs AS (SELECT model_id, distractor_type, verdict, count(*) AS o FROM vr WHERE verdict IS NOT NULL GROUP BY ALL),
+_CHI2_SQL = f"""WITH {_VR}, obs AS (SELECT model_id, distractor_type, verdict, count(*) AS o FROM vr WHERE verdict IS NOT NULL GROUP BY ALL),
 ty AS (SELECT DISTINCT model_id, distractor_type FROM obs), ve AS (SELECT DISTINCT model_id, verdict FROM obs),
 cells AS (SELECT t.model_id, t.distractor_type, v.verdict, coalesce(o.o, 0) AS o
           FROM ty t JOIN ve v USING (model_id) LEFT JOIN obs o USING (model_id, distractor_type, verdict)),
@@ -434,17 +433,30 @@ tot AS (SELECT model_id, sum(o) AS nt, count(DISTINCT distractor_type) AS nr, co
 e AS (SELECT cells.model_id, cells.o, rt * ct / CAST(nt AS DOUBLE) AS e, (nr - 1) * (nc - 1) AS dof
       FROM cells JOIN rt USING (model_id, distractor_type) JOIN ct USING (model_id, verdict) JOIN tot USING (model_id))
 SELECT model_id,
-       round(sum(CASE WHEN dof = 0 THEN 0.0
+       sum(CASE WHEN dof = 0 THEN 0.0
                       WHEN dof = 1 THEN power(o + sign(e - o) * least(0.5, abs(e - o)) - e, 2) / e
-                      ELSE power(o - e, 2) / e END), 6) AS chi2,
+                      ELSE power(o - e, 2) / e END) AS chi2,
        CAST(max(dof) AS BIGINT) AS dof
 FROM e GROUP BY model_id
+"""
+
+
+@register("chi2_stat", with_views(f"""
+WITH st AS (
+{_CHI2_SQL})
+SELECT model_id, round(chi2, 6) AS chi2, dof FROM st
 """, "v_distractors", "v_option_responses"))
 def q_chi2_stat(spark, sf_dir):
     return rounded(SG.chi_square_tests(_verdict_frame(spark, sf_dir)))
 
 
-@register("chi2_tests", None)
+@register("chi2_tests", with_views(f"""
+WITH st AS (
+{_CHI2_SQL}),
+sp AS (SELECT model_id, chi2, dof, {ST.chi2_sf_duck('chi2', 'dof')} AS p FROM st)
+SELECT model_id, round(chi2, 6) AS chi2, dof, round(p, 6) AS p, round(p_adj, 6) AS p_adj
+FROM {ST.holm_sql('sp', 'p')}
+""", "v_distractors", "v_option_responses"))
 def q_chi2_tests(spark, sf_dir):
     """T4 with p-values (chi-square tail) and Holm adjustment - rows-only check."""
     t = SG.with_chi2_p(SG.chi_square_tests(_verdict_frame(spark, sf_dir)), "chi2", "dof")
@@ -456,8 +468,7 @@ _KW_MELT = "\nUNION ALL\n".join(
     for c, lab in FOUNDATION_LABELS.items())
 
 
-@register("kruskal_h", with_views(f"""
-WITH {_FR}, m AS ({_KW_MELT}),
+_KW_SQL = f"""WITH {_FR}, m AS ({_KW_MELT}),
 x AS (SELECT * FROM m WHERE score IS NOT NULL AND NOT isnan(score)),
 rk AS (SELECT *, rank() OVER (PARTITION BY model_id, foundation ORDER BY score)
                  + (count(*) OVER (PARTITION BY model_id, foundation, score) - 1) / 2.0 AS rnk FROM x),
@@ -466,16 +477,29 @@ ts AS (SELECT model_id, foundation, sum(c * c * c - c) AS t3, sum(c) AS n
        FROM (SELECT model_id, foundation, score, CAST(count(*) AS DOUBLE) AS c FROM x GROUP BY ALL) GROUP BY ALL),
 g AS (SELECT model_id, foundation, sum(r_sum * r_sum / n_g) AS ssbn, count(*) AS k FROM rs GROUP BY ALL)
 SELECT g.model_id, g.foundation,
-       round((12.0 / (n * (n + 1)) * ssbn - 3 * (n + 1)) / nullif(1 - t3 / (n * n * n - n), 0), 6) AS H,
+       (12.0 / (n * (n + 1)) * ssbn - 3 * (n + 1)) / nullif(1 - t3 / (n * n * n - n), 0) AS H,
        k - 1 AS dof
 FROM g JOIN ts USING (model_id, foundation) WHERE k >= 2
+"""
+
+
+@register("kruskal_h", with_views(f"""
+WITH kw AS (
+{_KW_SQL})
+SELECT model_id, foundation, round(H, 6) AS H, dof FROM kw
 """, "v_distractors", "v_foundations"))
 def q_kruskal_h(spark, sf_dir):
     m = SH.melt_foundations(_foundation_frame(spark, sf_dir), ["model_id", "distractor_type"])
     return rounded(SG.kruskal_tests(m, ["model_id", "foundation"], "distractor_type", "score"))
 
 
-@register("kruskal_tests", None)
+@register("kruskal_tests", with_views(f"""
+WITH kw AS (
+{_KW_SQL}),
+kp AS (SELECT model_id, foundation, H, dof, {ST.chi2_sf_duck('H', 'dof')} AS p FROM kw)
+SELECT model_id, foundation, round(H, 6) AS H, dof, round(p, 6) AS p, round(p_adj, 6) AS p_adj
+FROM {ST.holm_sql('kp', 'p')}
+""", "v_distractors", "v_foundations"))
 def q_kruskal_tests(spark, sf_dir):
     """T5 with chi-square p-values and Holm adjustment - rows-only check."""
     m = SH.melt_foundations(_foundation_frame(spark, sf_dir), ["model_id", "distractor_type"])
