@@ -11,11 +11,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 _SERIES_TERMS = 40      # positive-term erf series, used for x < 1.5
 _CF_DEPTH = 90          # erfc continued fraction, used for x >= 1.5
@@ -156,7 +153,8 @@ def pooled_z(k1: Column, n1: Column, k0: Column, n0: Column) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# Chi-square upper tail for the (small) tables of test statistics.
+# Plain-Python chi-square upper tail: the reference the SQL expressions below are
+# tested against (not used in queries).
 # ---------------------------------------------------------------------------
 
 def _chi2_sf_scalar(x: float, k: float) -> float:
@@ -207,17 +205,6 @@ def _chi2_sf_scalar(x: float, k: float) -> float:
     return math.exp(-y + a * math.log(y) - math.lgamma(a)) * h
 
 
-@pandas_udf(DoubleType())
-def chi2_sf(x: pd.Series, k: pd.Series) -> pd.Series:
-    """Upper tail of the chi-square distribution (Arrow-batched, small tables only)."""
-    return pd.Series([_chi2_sf_scalar(a, b) for a, b in zip(x.astype(float), k.astype(float))])
-
-
-@pandas_udf(DoubleType())
-def normal_two_sided(z: pd.Series) -> pd.Series:
-    return pd.Series([math.erfc(abs(v) / math.sqrt(2.0)) if v == v else float("nan") for v in z.astype(float)])
-
-
 # ---------------------------------------------------------------------------
 # Chi-square upper tail for integer degrees of freedom as SQL expressions
 # (even k: Poisson sum; odd k: erfc plus half-integer gamma terms).  Spark
