@@ -48,6 +48,9 @@ def test_query_matches_oracle(spark, duck, name):
     srows = [tuple(_norm(x) for x in r) for r in sdf.collect()]
     rel = duck.sql(E.oracle_sql()[name])
     assert sorted(rel.columns) == sorted(sdf.columns)
+    tmap = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    dtypes = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert {f.name: tmap.get(f.dataType.simpleString()) for f in sdf.schema.fields} == dtypes
     order = [rel.columns.index(c) for c in sdf.columns]
     drows = [tuple(_norm(r[i]) for i in order) for r in rel.fetchall()]
     key = lambda r: tuple((x is None, str(type(x)), x if x is not None else 0) for x in r)
