@@ -82,3 +82,21 @@ def test_latex_table_and_union(spark):
     b = spark.createDataFrame([(2, 0.5)], "a int, c double")
     u = FS.union_results([a, b]).orderBy("a").collect()
     assert u[0].c is None and u[1].b is None
+
+
+def test_workflows_end_to_end(spark):
+    import json
+
+    from armature.plans import workflows as WF
+    from armature.sources import tables as V
+    sf = "/root/testdata/sf0.001"
+    scen = V.scenarios(spark, sf).select(F.col("id").alias("scenario_id"), "context", "action1", "action2").limit(5)
+    dist = V.distractors(spark, sf).limit(3)
+    texts = spark.createDataFrame([("asset/1", "A storm.")], "file_path string, body string")
+    req = WF.evaluation_requests(scen, dist, texts, "moralchoice_high_ambiguity", "m-x")
+    lines = [json.loads(r.line) for r in req.collect()]
+    assert len(lines) == 5 * (1 + 3) * 2 and lines[0]["body"]["temperature"] == 1.0
+    out = WF.moralchoice_analysis(V.responses(spark, sf), V.distractors(spark, sf), V.scenario_rules(spark, sf))
+    assert out["means"].count() > 0 and out["report_rows"].count() == out["means"].select("model_id").distinct().count()
+    t = out["tests"].collect()
+    assert t and all(0 <= r.p_adj <= 1 for r in t if r.p_adj is not None)
