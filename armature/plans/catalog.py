@@ -878,7 +878,6 @@ def q_batch_request_json(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Registry checks, length statistics, corpus slice, counts
 # ---------------------------------------------------------------------------
-from pyspark.sql import Window  # noqa: E402
 
 from armature.sources import files as FS  # noqa: E402
 
