@@ -1133,3 +1133,34 @@ def q_replacement_chars(spark, sf_dir):
     d = V.table(spark, sf_dir, "documents").select("lang", "text")
     return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"),
                                  F.count_if(F.instr("text", "�") > 0).alias("n_flagged"))
+
+
+# ---------------------------------------------------------------------------
+# P19 (the reference's id-based polarity) and a standalone Holm family
+# ---------------------------------------------------------------------------
+
+@register("distractor_type", with_views("""
+WITH n AS (SELECT id, CASE modality WHEN 'text' THEN 'txt' ELSE 'img' END || '_' || substr(sentiment, 1, 3)
+                      || '_' || CAST(id AS VARCHAR) AS distractor_name FROM v_distractors)
+SELECT id, distractor_name,
+       coalesce(nullif(regexp_extract(distractor_name, 'txt_(neg|neu|pos)', 1), ''), 'baseline') AS distractor_type
+FROM n
+""", "v_distractors"))
+def q_distractor_type(spark, sf_dir):
+    """Polarity parsed from reference-style distractor names; images read as baseline (Q5)."""
+    d = V.distractors(spark, sf_dir)
+    name = F.concat_ws("_", F.when(F.col("modality") == "text", F.lit("txt")).otherwise(F.lit("img")),
+                       F.substring("sentiment", 1, 3), F.col("id").cast("string"))
+    return d.select("id", name.alias("distractor_name")).withColumn(
+        "distractor_type", SH.distractor_type_from_id(F.col("distractor_name")))
+
+
+@register("holm_adjust", with_views(f"""
+WITH {_ztest_sql(VERDICTS)}
+SELECT model_id, target, comparison, round(p, 6) AS p, round(p_adj, 6) AS p_adj
+FROM {ST.holm_sql('zt', 'p')}
+""", "v_distractors", "v_option_responses"))
+def q_holm_adjust(spark, sf_dir):
+    """Holm step-down over every two-proportion test of every verdict."""
+    z = _ztests(spark, sf_dir, VERDICTS)
+    return rounded(ST.holm(z, "p", "p_adj").select("model_id", "target", "comparison", "p", "p_adj"))
