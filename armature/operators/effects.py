@@ -198,22 +198,30 @@ def mmap_by_rule(responses: DataFrame, rules_long: DataFrame) -> DataFrame:
 
 
 def _baseline_means(ks: DataFrame, keys: list[str], option_col: str = "option") -> DataFrame:
+    """Per key and option: mean baseline score and the key's total row count."""
+    total = sum((F.coalesce(F.col(f"n__{c}"), F.lit(0)) for c in CONDITIONS), F.lit(0))
     return ks.select(*keys, option_col,
-                     F.try_divide(F.col("s__baseline"), F.col("nn__baseline").cast("double")).alias("_base"))
+                     F.try_divide(F.col("s__baseline"), F.col("nn__baseline").cast("double")).alias("_base"),
+                     total.alias("_key_rows"))
 
 
-def mmap_effect_rows(responses: DataFrame, rules_long: DataFrame) -> DataFrame:
+def mmap_effect_rows(responses: DataFrame, rules_long: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """P22-P24 per response row and qualifying rule, baseline = mean of the key's baseline rows.
 
-    The ``mean`` policy keeps the self-join many-to-one: the baseline side is one
-    row per (model, baseline_id, variant), so no pair fan-out.
+    The forced-choice rules are folded into the small per-key table first
+    (key x rule -> chosen variant and its baseline mean), so raw rows take one
+    many-to-one-per-rule join on (model, baseline_id); keys holding more than
+    ``hot_rows`` rows are joined by broadcast, never shuffled (``split_hot_join``).
     """
-    base = _baseline_means(mmap_key_stats(responses), ["model_id", "baseline_id"]).withColumnRenamed(
-        "option", "_pick")
+    from armature.operators.skew import DEFAULT_HOT_ROWS, split_hot_join
+    base = _baseline_means(mmap_key_stats(responses), ["model_id", "baseline_id", "scenario_id"])
+    per_key = (base.join(_fc_rules(rules_long),
+                         (F.col("scenario_id") == F.col("_sid")) & (F.col("option") == F.col("_pick")))
+               .select("model_id", "baseline_id", "rule", "_pick", "_base", "_key_rows"))
     sc = _mmap_scores(responses)
-    r = responses.select("*", sc["m1"].alias("_m1"), sc["m2"].alias("_m2"))
-    r = r.join(_fc_rules(rules_long), F.col("scenario_id") == F.col("_sid"), "inner")
-    r = r.join(base, ["model_id", "baseline_id", "_pick"], "inner")       # inner = J6 (valid keys only)
+    raw = responses.select("model_id", "baseline_id", "scenario_id", "question_ordering", "distractor_id",
+                           "condition", sc["m1"].alias("_m1"), sc["m2"].alias("_m2"))
+    r = split_hot_join(raw, per_key, ["model_id", "baseline_id"], "_key_rows", hot_rows or DEFAULT_HOT_ROWS)
     mmap = F.when(F.col("_pick") == "m1", F.col("_m1")).otherwise(F.col("_m2"))
     return r.select("model_id", "scenario_id", "question_ordering", "distractor_id", "condition", "rule",
                     mmap.alias("mmap"), F.col("_base").alias("mmap_base"),
@@ -260,13 +268,21 @@ def paired_effects(df: DataFrame, options: list[str], key: str = "scenario_id",
 
 
 def option_effect_rows(df: DataFrame, options: list[str], id_col: str, key: str = "scenario_id",
-                       normalise: bool = True, drop_zero: bool = True, suffix: str = "_prob") -> DataFrame:
-    """Per row and option: share, mean baseline share of the key, difference (mean policy)."""
+                       normalise: bool = True, drop_zero: bool = True, suffix: str = "_prob",
+                       hot_rows: int | None = None) -> DataFrame:
+    """Per row and option: share, mean baseline share of the key, difference (mean policy).
+
+    Raw rows join the per-(key, option) baseline table on (model, key) - one
+    output row per option - with hot keys broadcast (``split_hot_join``).
+    """
+    from armature.operators.skew import DEFAULT_HOT_ROWS, split_hot_join
     ks, scores = _option_key_stats(df, options, key, normalise, drop_zero, suffix)
     base = _baseline_means(ks, ["model_id", key])
-    entries = [F.struct(F.lit(o).alias("option"), scores[o].alias("share")) for o in options]
-    e = (df.select(id_col, "model_id", key, "condition", F.explode(F.array(*entries)).alias("e"))
-         .select(id_col, "model_id", key, "condition", "e.option", "e.share"))
-    r = e.join(base, ["model_id", key, "option"], "inner")
-    return r.select(id_col, "model_id", key, "condition", "option", "share",
-                    F.col("_base").alias("share_base"), (F.col("share") - F.col("_base")).alias("share_diff"))
+    raw = df.select(id_col, "model_id", key, "condition", *[scores[o].alias(f"_x_{o}") for o in options])
+    r = split_hot_join(raw, base, ["model_id", key], "_key_rows", hot_rows or DEFAULT_HOT_ROWS)
+    share = None
+    for o in options:
+        share = (F.when(F.col("option") == o, F.col(f"_x_{o}")) if share is None
+                 else share.when(F.col("option") == o, F.col(f"_x_{o}")))
+    return r.select(id_col, "model_id", key, "condition", "option", share.alias("share"),
+                    F.col("_base").alias("share_base"), (share - F.col("_base")).alias("share_diff"))

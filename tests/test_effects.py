@@ -130,3 +130,16 @@ def test_shares_sum_to_one(spark):
     s = sdf.where(F.col("good_prob").isNotNull() & (F.col("good_prob") + F.col("ok_prob") + F.col("bad_prob") > 0))
     tot = s.select((shares["good"] + shares["ok"] + shares["bad"]).alias("t")).toPandas()
     np.testing.assert_allclose(tot.t, 1.0, rtol=1e-12)
+
+
+def test_hot_key_split_join_is_exact(spark):
+    """A key holding a third of the rows, joined with the hot-key split, equals the plain path."""
+    pdf = _fixture(seed=21, n=600)
+    sdf = spark.createDataFrame(pdf.replace({np.nan: None})).withColumn("event_id", F.monotonically_increasing_id())
+    opts = ["good", "ok", "bad"]
+    split = E.option_effect_rows(sdf, opts, "event_id", hot_rows=50).orderBy("event_id", "option").toPandas()
+    plain = E.option_effect_rows(sdf, opts, "event_id", hot_rows=10 ** 9).orderBy("event_id", "option").toPandas()
+    assert len(split) == len(plain) > 0
+    pd.testing.assert_frame_equal(split.reset_index(drop=True), plain.reset_index(drop=True))
+    plan = E.option_effect_rows(sdf, opts, "event_id", hot_rows=50)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
