@@ -3,9 +3,9 @@
 Raw rows are only ever touched by partial-aggregated ``groupBy``s; the tests
 themselves then run on tables with one row per (model, cell) or per distinct
 value.  The Kruskal-Wallis ranks are computed without a window over a whole
-(model, foundation) group: distinct values are cut into approximately
-equal-count buckets, bucket offsets come from a tiny prefix sum, and the
-within-bucket running counts use windows bounded by the bucket size.
+(model, foundation) group: distinct values are range-partitioned, running
+counts are taken per (partition, group) slice, and each slice's offset comes
+from a prefix sum over the small table of slice totals.
 """
 
 from __future__ import annotations
@@ -89,25 +89,31 @@ def with_chi2_p(df: DataFrame, stat: str, dof: str, out: str = "p") -> DataFrame
     return df.withColumn(out, F.expr(S.chi2_sf_sql(stat, dof)))
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str, buckets: int = 64,
-                  accuracy: int = 10000) -> DataFrame:
-    """Average (tie-aware) rank of every distinct value within ``by``, skew-safe.
+def average_ranks(df: DataFrame, by: list[str], value: str, partitions: int | None = None) -> DataFrame:
+    """Average (tie-aware) rank of every distinct value within ``by``, at any group size.
 
     Returns (by..., value, n_v, rank) with rank = number of smaller values
     + (n_v + 1) / 2 - the rank scipy's ``rankdata`` gives to tied values.
+
+    Distinct values are range-partitioned on (by..., value) - the sampled range
+    bounds split even a single huge group evenly - and checkpointed so the
+    partition assignment is fixed.  Running counts use a window over
+    (partition, group): each window holds one range partition's slice of a
+    group, never the whole group.  The counts of earlier partitions of the same
+    group come from a prefix sum over the small (partition x group) totals.
     """
+    from armature.session import cut_lineage
     d = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_v"))
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = d.groupBy(*by).agg(F.percentile_approx(value, probs, accuracy).alias("_bounds"))
-    d = d.join(bounds, by).withColumn(
-        "_b", F.size(F.filter("_bounds", lambda x: x < F.col(value)))).drop("_bounds")
-    bc = d.groupBy(*by, "_b").agg(F.sum("n_v").alias("_bn"))
-    wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bc = bc.withColumn("_off", F.coalesce(F.sum("_bn").over(wb), F.lit(0))).drop("_bn")
-    d = d.join(bc, by + ["_b"])
-    wv = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("n_v").over(wv), F.lit(0))
-    return d.select(*by, value, "n_v", (F.col("_off") + below + (F.col("n_v") + 1) / 2.0).alias("rank"))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = d.repartitionByRange(n, *by, value).withColumn("_pid", F.spark_partition_id())
+    s = cut_lineage(s)
+    w = Window.partitionBy("_pid", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("_below", F.coalesce(F.sum("n_v").over(w), F.lit(0)))
+    tot = s.groupBy("_pid", *by).agg(F.sum("n_v").alias("_t"))
+    wo = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.withColumn("_off", F.coalesce(F.sum("_t").over(wo), F.lit(0))).drop("_t")
+    r = s.join(off, ["_pid", *by])
+    return r.select(*by, value, "n_v", (F.col("_off") + F.col("_below") + (F.col("n_v") + 1) / 2.0).alias("rank"))
 
 
 def kruskal_tests(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:

@@ -190,3 +190,18 @@ def test_balanced_coefficient_is_difference_of_means(spark):
     diff = pdf[pdf.condition == "positive"].y.mean() - pdf[pdf.condition == "baseline"].y.mean()
     assert out.ref == "baseline" and out.test == "positive"
     assert abs(out.coef - diff) < 1e-9
+
+
+def test_average_ranks_across_range_partitions(spark):
+    """One group spread over many range partitions: offsets must chain correctly."""
+    rng = np.random.default_rng(3)
+    vals = np.round(rng.normal(0, 1, 3000), 2)
+    rows = [("g1", float(v)) for v in vals] + [("g2", float(v)) for v in vals[:50]]
+    df = spark.createDataFrame(rows, "grp string, v double")
+    got = {(r.grp, r.v): r.rank for r in SG.average_ranks(df, ["grp"], "v", partitions=11).collect()}
+    for g, vs in (("g1", vals), ("g2", vals[:50])):
+        order = np.sort(vs)
+        for v in set(vs.tolist()):
+            below = np.searchsorted(order, v, side="left")
+            ties = np.searchsorted(order, v, side="right") - below
+            assert got[(g, v)] == below + (ties + 1) / 2
