@@ -43,7 +43,7 @@ def design(scenarios: DataFrame, distractors: DataFrame | None, formats: list[st
         arms = distractors.select(*_arm_cols(distractors))
         buckets = max(int(buckets), 2)         # a constant key would be folded into a Cartesian plan
         arms = arms.select("*", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_bucket"))
-        scen = scenarios.withColumn("_bucket", F.pmod(F.xxhash64(*scenarios.columns), F.lit(buckets)))
+        scen = scenarios.withColumn("_bucket", F.pmod(F.xxhash64(scenarios.columns[0]), F.lit(buckets)))
         paired = scen.join(small_side(arms, max_broadcast_rows), "_bucket").drop("_bucket")
         if parts:
             paired = paired.withColumn("distractor_id", F.col("distractor_id").cast(parts[0].schema["distractor_id"].dataType))
