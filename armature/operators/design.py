@@ -83,7 +83,8 @@ def pending_models(design_rows: DataFrame, done: DataFrame, models: list[str],
         c = design_rows[k].eqNullSafe(d[f"_d_{k}"])
         cond = c if cond is None else cond & c
     j = design_rows.join(d, cond, "left")
-    todo = F.array_except(F.array(*[F.lit(m) for m in models]), F.coalesce(F.col("_done"), F.array().cast("array<string>")))
+    everything = F.array(*[F.lit(m) for m in models])
+    todo = F.when(F.col("_done").isNull(), everything).otherwise(F.array_except(everything, F.col("_done")))
     return (j.select(*design_rows.columns, F.explode(todo).alias("model_id")))
 
 
