@@ -100,3 +100,25 @@ def test_workflows_end_to_end(spark):
     assert out["means"].count() > 0 and out["report_rows"].count() == out["means"].select("model_id").distinct().count()
     t = out["tests"].collect()
     assert t and all(0 <= r.p_adj <= 1 for r in t if r.p_adj is not None)
+
+
+def test_result_store_read_filters_and_csv_round_trip(spark, tmp_dir):
+    from armature.schemas import RESULTS_MORALCHOICE
+    rows = spark.createDataFrame(
+        [("e", "d", "m", "ab", "s1", None, None, "ok"), ("e", "d", "m", "ab", "s1", "7", "text", "ok"),
+         ("e", "d", "m", "ab", "s1", "9", "image", "ok")],
+        "experiment string, dataset string, model_id string, question_format string, scenario_id string, "
+        "distractor_id string, distractor_modality string, status string")
+    store = os.path.join(tmp_dir, "store")
+    W.append_results(rows, store, keys=("model_id", "question_format", "scenario_id", "distractor_id"))
+    ids = lambda df: sorted(str(r.distractor_id) for r in df.collect())
+    assert ids(FS.read_results(spark, store, "text")) == ["7", "None"]          # Q6: baseline kept
+    assert ids(FS.read_results(spark, store, "text", include_baseline=False)) == ["7"]
+    assert ids(FS.read_results(spark, store, "all", include_baseline=False)) == ["7", "9"]
+    # K6 write + S9 typed read
+    res = spark.createDataFrame([("m", "ab", 0, "s", "u", "top_p", 1.0, 1.0, "s1", None, "raw", "A", 0.6, 0.4)],
+                                RESULTS_MORALCHOICE)
+    out = os.path.join(tmp_dir, "res_csv")
+    W.write_table_csv(res, out)
+    back = FS.read_result_csv(spark, out, RESULTS_MORALCHOICE).first()
+    assert back.a1_prob == 0.6 and back.question_ordering == 0 and back.distractor_id is None
