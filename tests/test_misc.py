@@ -122,3 +122,14 @@ def test_result_store_read_filters_and_csv_round_trip(spark, tmp_dir):
     W.write_table_csv(res, out)
     back = FS.read_result_csv(spark, out, RESULTS_MORALCHOICE).first()
     assert back.a1_prob == 0.6 and back.question_ordering == 0 and back.distractor_id is None
+
+
+def test_scenario_loader_dispatch(spark, tmp_dir):
+    import pytest
+    p = os.path.join(tmp_dir, "r.csv")
+    pd.DataFrame({"submission_id": ["a"], "selftext": [" t "]}).to_csv(p, index=False)
+    assert [(r.id, r.selftext) for r in FS.load_scenarios(spark, "reddit", p).collect()] == [("a", "t")]
+    with pytest.raises(KeyError):
+        FS.load_scenarios(spark, "nope", p)
+    with pytest.raises(ValueError):
+        FS.load_scenarios(spark, "normbank", p)
