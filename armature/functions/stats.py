@@ -222,10 +222,8 @@ def chi2_sf_sql(x: str, k: str) -> str:
     step = f"(CASE WHEN j = 1 THEN sqrt({y}) / {g15} ELSE acc.t * {y} / (CAST(j AS DOUBLE) - 5.0e-01) END)"
     odd_sum = (f"aggregate(sequence(1, {half}), named_struct('t', 0.0D, 's', 0.0D), "
                f"(acc, j) -> named_struct('t', {step}, 's', acc.s + {step}), acc -> acc.s)")
-    sq = f"_sqrt_y_{x}"
     odd = (f"(CASE WHEN {half} < 1 THEN {erfc_sql(f'sqrt({y})')} "
            f"ELSE {erfc_sql(f'sqrt({y})')} + exp(-{y}) * {odd_sum} END)")
-    del sq
     return (f"(CASE WHEN {x} IS NULL OR {k} IS NULL OR {k} < 1 THEN NULL WHEN {x} <= 0 THEN 1.0D "
             f"WHEN CAST({k} AS INT) % 2 = 0 THEN {even} ELSE {odd} END)")
 
