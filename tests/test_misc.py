@@ -133,3 +133,17 @@ def test_scenario_loader_dispatch(spark, tmp_dir):
         FS.load_scenarios(spark, "nope", p)
     with pytest.raises(ValueError):
         FS.load_scenarios(spark, "normbank", p)
+
+
+def test_registry_dimensions(spark):
+    from armature.sources import registry as RG
+    assert RG.templates_df(spark).count() == 6
+    v = RG.variants_df(spark)
+    assert v.select("label").distinct().count() == 12
+    assert v.where("label = 'YES'").count() == 14 and v.where("label = 'GOOD'").count() == 8
+    assert RG.models_df(spark).count() == 19
+    d = {r.dataset: r for r in RG.datasets_df(spark).collect()}
+    assert d["reddit"].default_temperature == 0.2 and d["moralchoice_low_ambiguity"].formats == ["ab"]
+    assert RG.sampling_defaults("normbank", top_p=0.5) == (0.2, 0.5)
+    sys_prompt, pieces = RG.template_parts("compare_moralchoice")
+    assert len(pieces) == 4 and sys_prompt.endswith("\n\n")
