@@ -147,3 +147,9 @@ def test_registry_dimensions(spark):
     assert RG.sampling_defaults("normbank", top_p=0.5) == (0.2, 0.5)
     sys_prompt, pieces = RG.template_parts("compare_moralchoice")
     assert len(pieces) == 4 and sys_prompt.endswith("\n\n")
+
+
+def test_global_positions_across_partitions(spark):
+    df = spark.range(0, 1000).select((F.col("id") * 7919 % 1000).alias("k"))
+    got = FS.global_positions(df, ["k"], "pos", partitions=7).collect()
+    assert sorted((r.k, r.pos) for r in got) == [(i, i) for i in range(1000)]
