@@ -1164,3 +1164,16 @@ def q_holm_adjust(spark, sf_dir):
     """Holm step-down over every two-proportion test of every verdict."""
     z = _ztests(spark, sf_dir, VERDICTS)
     return rounded(ST.holm(z, "p", "p_adj").select("model_id", "target", "comparison", "p", "p_adj"))
+
+
+@register("mmap_condition_means_mean_policy", with_views(_MMAP_BASE_SQL + f""",
+b AS (SELECT model_id, baseline_id, rule, avg(mmap) AS mb FROM t WHERE condition = 'baseline' GROUP BY ALL),
+j AS (SELECT t.model_id, t.condition, t.mmap, t.mmap - b.mb AS diff
+      FROM t LEFT JOIN b ON t.model_id = b.model_id AND t.baseline_id = b.baseline_id AND t.rule = b.rule)
+SELECT model_id, condition, {_stats_sql('mmap', 'diff')}
+FROM j WHERE condition <> 'unknown' GROUP BY model_id, condition
+""", "v_distractors", "v_scenario_rules", "v_responses"))
+def q_mmap_condition_means_mean_policy(spark, sf_dir):
+    """Flagship with each treated row paired once with its key's mean baseline MMAP (Q8 'mean')."""
+    r = _with_condition(spark, sf_dir, V.responses(spark, sf_dir))
+    return rounded(E.mmap_condition_means(r, V.scenario_rules(spark, sf_dir), baseline="mean"))
