@@ -153,3 +153,9 @@ def test_global_positions_across_partitions(spark):
     df = spark.range(0, 1000).select((F.col("id") * 7919 % 1000).alias("k"))
     got = FS.global_positions(df, ["k"], "pos", partitions=7).collect()
     assert sorted((r.k, r.pos) for r in got) == [(i, i) for i in range(1000)]
+
+
+def test_timestamp_stamp_format(spark):
+    import re
+    stamp = spark.range(1).select(TX.timestamp_now().alias("t")).first().t
+    assert re.fullmatch(r"\d{4}-\d{2}-\d{2}_\d{2}:\d{2}:\d{2}", stamp)
