@@ -10,11 +10,19 @@ that share a few frequent pairs of words hardly ever meet.
 
 Confirmation: every link is confirmed on the full sets
 (``100 * |A & B| >= 100 * threshold * |A | B|``).  Pairs are not expanded within a bucket:
-documents with equal sets are one node; each node of a bucket is compared with the
-bucket's least node; then only buckets whose nodes still lie in several components go
-on, with 2, 4, 8, ... further nodes compared with the nodes of other components,
-until a bucket is one component or all its pairs across components were tested.
-No link between components is lost to the order of the tests.
+
+* documents with equal sets are one node;
+* every node x of a bucket is compared with the bucket's least node h, which leaves x's
+  difference from h: what x adds (``plus``) and what it lacks (``minus``).  Links give components;
+* two nodes x, y of a bucket in different components can be linked only if
+  ``|x & h|`` and ``|y & h|`` are nearly large enough by themselves, or if x and y add the same
+  shingles.  The first is a comparison of sizes; for the second, x must share with y one of its rarest additions
+  (as many as leave fewer than the missing number), so a join on (h, shingle) finds all such pairs.  x runs over the
+  nodes outside the largest component around h.  The differences give ``|x & y|``
+  exactly: ``|h| - |minus_x | minus_y| + |plus_x & plus_y|``.
+
+So every pair of a bucket that could join two components is decided, and far copies that resemble
+a big group without being linked to it cost no pairs.
 
 Scale: a bucket's least node is a map-side minimum; buckets join by shuffle
 joins that split hot keys; sets are computed only for nodes that share a bucket, and kept in a
@@ -33,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from armature.llm import tokens as K
-from armature.llm.common import bucketed, discard, id_key, id_value, shared_folder, small_ids, stage, text_bytes
+from armature.llm.common import bucketed, discard, id_key, id_value, release, shared_folder, small_ids, stage, text_bytes
 from armature.llm.graph import components
 
 PERMUTATIONS = 126
@@ -139,27 +147,80 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return rows.join(small_ids(wanted), "k").select("node", "text").mapInArrow(run, "node binary, members binary")
 
 
-def _confirmed(pairs: DataFrame, table: str, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
+COMPARED = "u binary, v binary, nu long, nv long, plus array<long>, minus array<long>"
+
+
+def _compared(pairs: DataFrame, table: str) -> DataFrame:
+    """(u, v, nu, nv, plus, minus): sizes, what u adds to v and what it lacks of v."""
 
     def run(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        for part in (p for b in batches for p in K.row_slices([b])):
+            nu, nv, plus, minus = [], [], [], []
+            for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+                nu.append(len(a))
+                nv.append(len(b))
+                plus.append(np.setdiff1d(a, b, assume_unique=True).view(np.int64))
+                minus.append(np.setdiff1d(b, a, assume_unique=True).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["u", "v"])
+                [part.column(0), part.column(1), pa.array(nu, pa.int64()), pa.array(nv, pa.int64()),
+                 pa.array(plus, pa.list_(pa.int64())), pa.array(minus, pa.list_(pa.int64()))],
+                names=["u", "v", "nu", "nv", "plus", "minus"])
 
     sets = pairs.sparkSession.table(table)
     half = pairs.join(sets.select(F.col("node").alias("u"), F.col("members").alias("a")).hint("merge"), "u")
     both = half.join(sets.select(F.col("node").alias("v"), F.col("members").alias("b")).hint("merge"), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
-
-
-def _sizes_fit(a: str, b: str, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    return both.select("u", "v", "a", "b").mapInArrow(run, COMPARED)
+
+
+def _linked(both, a, b, percent: int):
+    """Whether sets of sizes a and b that share ``both`` members are similar enough."""
+    return 100 * both >= percent * (a + b - both)
+
+
+def _further_links(compared: DataFrame, stars: DataFrame, percent: int, folder: str) -> DataFrame:
+    """(u, v): links between nodes of different components that were compared with the same node."""
+    roots = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+    def rooted(df, node):
+        return (df.join(roots.withColumnRenamed("node", node), node, "left")
+                .withColumn("root", F.coalesce("root", node)))
+
+    hubs = compared.select("v", "nv").distinct()
+    own = hubs.select(F.col("v").alias("u"), "v", F.col("nv").alias("nu"), "nv",
+                      F.array().cast("array<long>").alias("plus"), F.array().cast("array<long>").alias("minus"))
+    around = rooted(compared.unionByName(own), "u")
+    mixed = (around.groupBy("v", "root").agg(F.count(F.lit(1)).alias("size"), F.min("nu").alias("least"))
+             .groupBy("v").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("size", "root"))["root"].alias("main"), F.min("least").alias("least"))
+             .where("roots > 1").select(F.col("v").alias("h"), "main", "least"))
+    near = stage(around.withColumnRenamed("v", "h").join(mixed, "h")
+                 .withColumn("meet", F.col("nu") - F.size("plus")), folder, "near")
+    # fewest shared members of a link: percent * (a + b) / (100 + percent)
+    fewest = lambda a, b: F.ceil(percent * (a + b) / (100.0 + percent) - 1e-9)
+    smallest = F.greatest("least", F.ceil(F.col("nu") * percent / 100.0 - 1e-9))
+    x = near.where("root <> main").select(
+        "h", F.col("u").alias("x"), F.col("root").alias("x_root"), F.col("nu").alias("nx"), F.col("meet").alias("x_meet"),
+        (fewest(F.col("nu"), smallest) - F.col("meet")).alias("need"), "plus")
+    y = near.select("h", F.col("u").alias("y"), F.col("root").alias("y_root"), F.col("nu").alias("ny"), F.col("meet").alias("y_meet"))
+    by_size = (x.where("need <= 0").drop("plus", "need").join(y, "h")
+               .where("x_root <> y_root").where(F.least("x_meet", "y_meet") >= fewest(F.col("nx"), F.col("ny")))
+               .select("h", "x", "y"))
+    added = near.select("h", F.col("u").alias("y"), F.col("root").alias("y_root"), F.col("nu").alias("ny"), F.explode("plus").alias("g"))
+    asked = x.where(F.size("plus") >= F.greatest(F.col("need"), F.lit(1))).select(
+        "h", "x", "x_root", "nx", (F.size("plus") - F.greatest(F.col("need"), F.lit(1)) + 1).alias("some"), F.explode("plus").alias("g"))
+    common = added.groupBy("h", "g").agg(F.count(F.lit(1)).alias("df"))
+    rarest = F.row_number().over(Window.partitionBy("h", "x").orderBy("df", "g"))
+    asked = (asked.join(common, ["h", "g"]).withColumn("place", rarest).where("place <= some AND df > 1")
+             .select("h", "g", "x", "x_root", "nx"))
+    by_addition = (asked.join(added, ["h", "g"]).where("x_root <> y_root")
+                   .where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).select("h", "x", "y"))
+    pairs = stage(by_size.unionByName(by_addition).distinct(), folder, "further")
+    one = near.select("h", F.col("u").alias("x"), F.col("nu").alias("nx"), F.col("plus").alias("x_plus"), F.col("minus").alias("x_minus"),
+                      F.col("nv").alias("nh"))
+    two = near.select("h", F.col("u").alias("y"), F.col("nu").alias("ny"), F.col("plus").alias("y_plus"), F.col("minus").alias("y_minus"))
+    full = pairs.join(one, ["h", "x"]).join(two, ["h", "y"])
+    both = F.col("nh") - F.size(F.array_union("x_minus", "y_minus")) + F.size(F.array_intersect("x_plus", "y_plus"))
+    return full.where(_linked(both, F.col("nx"), F.col("ny"), percent)).select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 
 def groups(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -168,52 +229,32 @@ def groups(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame
     folder = shared_folder(spark)
     percent = round(100 * threshold)
     sketched = stage(sketch(docs, words), folder, "sketch")
-    nodes = stage(sketched.where("n > 0").groupBy("node").agg(F.min("k").alias("k"), F.min("n").alias("n"),
-                                                               F.min("buckets").alias("buckets")), folder, "nodes")
-    spread = nodes.select("node", "k", "n", F.explode("buckets").alias("b"))
-    heads = (spread.groupBy("b").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("k", "node", "n")).alias("head"))
-             .where("size > 1").select("b", F.col("head.node").alias("hub"), F.col("head.n").alias("hub_n")))
-    members = stage(spread.join(heads, "b"), folder, "members")
-    pairs = (members.where("node <> hub").where(_sizes_fit("n", "hub_n", percent))
-             .select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct())
-    wanted = stage(members.select("k", "node").distinct(), folder, "wanted")
+    nodes = stage(sketched.where("n > 0").groupBy("node").agg(F.min("k").alias("k"), F.min("buckets").alias("buckets")), folder, "nodes")
+    spread = nodes.select("node", "k", F.explode("buckets").alias("b"))
+    heads = (spread.groupBy("b").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("k", "node")).alias("head"))
+             .where("size > 1").select("b", F.col("head.node").alias("v")))
+    pairs = stage(spread.join(heads, "b").where("node <> v").select(F.col("node").alias("u"), "v").distinct(), folder, "pairs")
+    release(spark)
+    shared = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    wanted = stage(nodes.select("k", "node").join(shared, "node"), folder, "wanted")
     table = bucketed(_full_sets(docs, wanted, words), "node")
+    release(spark)
 
-    tested = stage(pairs, folder, "tested-0")
-    links = stage(_confirmed(tested, table, percent), folder, "links-0")
-    stars = components(links, folder, "stars-0")
-    first, step = 1, 0
-    while True:      # nodes first..2*first of each bucket that is not yet one component
-        step += 1
-        rooted = (members.join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
-                  .withColumn("root", F.coalesce("root", "node")))
-        split = (rooted.groupBy("b").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"))
-                 .where("r0 <> r1").where(F.col("size") > first + 1).select("b"))
-        place = F.row_number().over(Window.partitionBy("b").orderBy("k", "node")) - 1
-        open_members = stage(rooted.join(split, "b").select("b", "node", "n", "root", place.alias("place")), folder, f"open-{step}")
-        hubs = open_members.where((F.col("place") >= first) & (F.col("place") < 2 * first + 1))
-        hubs = hubs.select("b", F.col("node").alias("v"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"),
-                           F.col("place").alias("hub_place"))
-        more = (open_members.join(hubs, "b").where("root <> hub_root AND place > hub_place")
-                .where(_sizes_fit("n", "hub_n", percent)).select(F.col("node").alias("u"), "v").distinct()
-                .join(tested, ["u", "v"], "left_anti"))
-        more = stage(more, folder, f"tested-{step}")
-        found = stage(_confirmed(more, table, percent), folder, f"links-{step}")
-        if not open_members.isEmpty() and not found.isEmpty():
-            stars = components(stars.unionByName(found), folder, f"stars-{step}")
-        over = open_members.isEmpty()
-        discard(spark, folder, f"open-{step}")
-        if over:
-            break
-        tested = tested.unionByName(more)
-        first = 2 * first + 1
+    compared = stage(_compared(pairs, table), folder, "compared")
     spark.sql(f"DROP TABLE {table}")
+    release(spark)
+    links = compared.where(_linked(F.col("nu") - F.size("plus"), F.col("nu"), F.col("nv"), percent)).select("u", "v")
+    stars = components(links, folder, "stars")
+    more = stage(_further_links(compared, stars, percent, folder), folder, "more")
+    if not more.isEmpty():
+        stars = components(stars.unionByName(more), folder, "all-stars")
     rooted = nodes.select("node", "k").join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("k").alias("component"))
     named = stage(rooted.join(least, "root").select("node", "component"), folder, "named")
     rows = stage(sketched.select("k", "node", "n"), folder, "rows")
-    discard(spark, folder, "sketch", "nodes", "members", "wanted")
+    discard(spark, folder, "sketch", "nodes", "pairs", "wanted", "compared", "near", "further", "more")
+    release(spark)
     return (rows.join(named, "node", "left")
             .select("k", "n", F.when(F.col("n") == 0, F.col("k")).otherwise(F.col("component")).alias("component")))
 
