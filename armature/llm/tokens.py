@@ -30,8 +30,19 @@ _PAIRS = 2_000_000
 _SINGLE = 1 << 60
 #: Stands for the end of a word; byte-level signs are all below U+0144.
 _END = "\uffff"
-#: The tokenizer's splitting pattern, where a text is printable ASCII.
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: The texts whose normal form is their lower case, the tokenizer's splitting pattern on
+#: them, and the signs that byte-level texts have for bytes that are not printable in Latin-1.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+_SIGNS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
+def plain_words(chunk: str) -> list[str] | None:
+    """The words of a chunk in byte-level signs, for Latin-1 letters and printable ASCII; None for other chunks."""
+    if not _PLAIN(chunk):
+        return None
+    words = _PIECES(chunk.lower())
+    return words if chunk.isascii() else [w.encode("utf-8").decode("latin-1").translate(_SIGNS) for w in words]
 
 
 class TrieBpe:
@@ -172,9 +183,8 @@ class TrieBpe:
                 if piece in self.specials:
                     items.append(self.specials[piece])
                 elif piece:
-                    if piece.isascii() and piece.isprintable():
-                        found = _ASCII.findall(piece.lower())
-                    else:
+                    found = plain_words(piece)
+                    if found is None:
                         found = [w for w, _ in self.split(self.normalize(piece))]
                     words.update(found)
                     items.extend(found)
@@ -198,7 +208,18 @@ class LibraryBpe:
         self.lib.no_padding()
 
     def encode_chunks(self, chunks: list[str]) -> dict[str, list[int]]:
-        return {c: e.ids for c, e in zip(chunks, self.lib.encode_batch_fast(chunks, add_special_tokens=False))}
+        """Plain chunks go to the library's model word by word, the others through the whole library."""
+        out, others = {}, []
+        merge = self.lib.model.tokenize
+        for c in chunks:
+            words = plain_words(c) if "<|" not in c else None
+            if words is None:
+                others.append(c)
+            else:
+                out[c] = [t.id for w in words for t in merge(w)]
+        if others:
+            out.update((c, e.ids) for c, e in zip(others, self.lib.encode_batch_fast(others, add_special_tokens=False)))
+        return out
 
 
 class TextEncoder:
