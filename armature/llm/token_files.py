@@ -10,12 +10,12 @@ unary part; a 32-bit sample every 256 values bounds the search.
 Writing: documents are range-partitioned by id; each task writes files of
 bounded size into the shared folder under a temporary name and moves them, so a
 repeated task replaces its own files.  Reading goes through Spark's
-``binaryFile`` source.  The offset of a file is the sum of the tokens before it:
-a prefix sum over one row per partition and, inside a partition, per file.
+``binaryFile`` source.  A file states the tokens before it in its part; the parts'
+offsets are a prefix sum over one row per part, which is broadcast.
 
 File layout (little-endian): magic ``EFTOKEN1``; u64 documents, tokens, null
-ids; i64 smallest id; u32 bytes of an id; the two sequences, each as
-``EliasFano.to_bytes``; the ids.
+ids, tokens of the same part's files before; i64 smallest id; u32 bytes of an id; the two
+sequences, each as ``EliasFano.to_bytes``; the ids.
 
 Defined results: null text counts as empty; null ids come first; rows that
 repeat an id are separate documents, in the order of their texts.
@@ -27,7 +27,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from armature.llm import tokens as K
@@ -35,6 +35,7 @@ from armature.llm.common import NULL_ID, id_key, id_value, shared_folder, shuffl
 
 MAGIC = b"EFTOKEN1"
 SAMPLE = 256
+_HEAD = "<QQQQqI"
 FILE_BYTES = 16 << 20
 
 
@@ -102,15 +103,15 @@ class EliasFano:
         return cls(n, low_bits, low, high, samples), at + a + b + 4 * c
 
 
-def pack_file(ids: list[int], arrays: list[np.ndarray]) -> bytes:
-    """One file's bytes; ``ids`` ascending, ``NULL_ID`` for null."""
+def pack_file(ids: list[int], arrays: list[np.ndarray], before: int = 0) -> bytes:
+    """One file's bytes; ``ids`` ascending, ``NULL_ID`` for null; ``before``: tokens of the part's earlier files."""
     ends = np.cumsum([len(a) for a in arrays], dtype=np.uint64)
     nulls = sum(i == NULL_ID for i in ids)
     least = ids[nulls] if nulls < len(ids) else 0
     tokens = np.concatenate(arrays) if arrays else np.zeros(0, "<u4")
     width = 2 if not len(tokens) or int(tokens.max()) < 1 << 16 else 4
     return b"".join([
-        MAGIC, struct.pack("<QQQqI", len(ids), len(tokens), nulls, least, width),
+        MAGIC, struct.pack(_HEAD, len(ids), len(tokens), nulls, before, least, width),
         EliasFano.of(ends).to_bytes(),
         EliasFano.of(np.array([i - least for i in ids[nulls:]], dtype=np.uint64)).to_bytes(),
         tokens.astype(f"<u{width}").tobytes()])
@@ -122,8 +123,8 @@ class TokenFile:
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
             raise ValueError("not a token file")
-        self.documents, self.tokens, self.nulls, self.least, width = struct.unpack_from("<QQQqI", data, 8)
-        self.ends, at = EliasFano.from_buffer(data, 8 + struct.calcsize("<QQQqI"))
+        self.documents, self.tokens, self.nulls, self.before, self.least, width = struct.unpack_from(_HEAD, data, 8)
+        self.ends, at = EliasFano.from_buffer(data, 8 + struct.calcsize(_HEAD))
         self.keys, at = EliasFano.from_buffer(data, at)
         self.ids = np.frombuffer(data, f"<u{width}", self.tokens, at)
 
@@ -168,7 +169,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
         rows, size = [], 0
 
         def save():
-            _save(target, f"part-{part:06d}-{len(rows):06d}.eft", pack_file(ids, arrays))
+            before = sum(r[3] for r in rows)
+            _save(target, f"part-{part:06d}-{len(rows):06d}.eft", pack_file(ids, arrays, before))
             rows.append((part, len(rows), len(ids), sum(map(len, arrays))))
             ids.clear()
             arrays.clear()
@@ -198,7 +200,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part, file = map(int, path.rsplit("/", 1)[1].split(".")[0].split("-")[1:])
+                part = int(path.rsplit("/", 1)[1].split("-")[1])
                 f = TokenFile(content.as_py())
                 ends = f.ends.values().astype(np.int64)
                 starts = np.concatenate((np.zeros(1, np.int64), ends[:-1])) if f.documents else ends
@@ -207,13 +209,13 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                 for at in range(0, f.documents, step):
                     cut = range(at, min(at + step, f.documents))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([part] * len(cut), pa.int64()), pa.array([file] * len(cut), pa.int64()),
-                         pa.array(keys[at:at + step], pa.int64()), pa.array(starts[at:at + step], pa.int64()),
+                        [pa.array([part] * len(cut), pa.int64()), pa.array(keys[at:at + step], pa.int64()),
+                         pa.array(f.before + starts[at:at + step], pa.int64()),
                          pa.array([f.ids[starts[i]:ends[i]].astype("<u4").tobytes() for i in cut], pa.binary())],
-                        names=["part", "file", "k", "at", "ids"])
+                        names=["part", "k", "at", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eft").load(f"{folder}/files")
-    rows = files.select("path", "content").mapInArrow(run, "part long, file long, k long, at long, ids binary")
+    rows = files.select("path", "content").mapInArrow(run, "part long, k long, at long, ids binary")
     # one row per partition reaches the driver: as many as the writing job had tasks
     parts = manifest.groupBy("part").agg(F.sum("tokens").alias("tokens")).orderBy("part").collect()
     sums, total = [], 0
@@ -221,10 +223,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
         sums.append((r["part"], total))
         total += r["tokens"]
     bases = spark.createDataFrame(sums, "part long, base long")
-    inside = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (manifest.withColumn("before", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
-               .join(F.broadcast(bases), "part").select("part", "file", (F.col("base") + F.col("before")).alias("base")))
-    return rows.join(offsets, ["part", "file"]).select(
+    return rows.join(F.broadcast(bases), "part").select(
         id_value("k").alias("doc_id"), (F.col("base") + F.col("at")).alias("start"), "ids")
 
 
