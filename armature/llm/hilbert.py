@@ -109,6 +109,8 @@ def _batches_of(rows: DataFrame, width: int, greatest: float, is_query: bool, qu
 
 def _best_of(batches, width: int, asked_ids: np.ndarray, asked: np.ndarray, k: int):
     """Best k rows of this task for each of a few queries."""
+    if not len(asked_ids):
+        return
     ids = [np.zeros(0, np.int64)] * len(asked)
     scores = [np.zeros(0)] * len(asked)
     for batch in batches:

@@ -6,7 +6,8 @@ of a text that is not in it is matched by intersecting the word's Levenshtein
 automaton with the trie (one edit from 5 letters on, two from 9), which catches
 misspellings.  A term that has such a neighbour among the words of the clean
 labelled documents is matched exactly only.  A window of ``WINDOW`` words around each match separates quotation
-(marks around the match, or a reporting word before it) from abuse.  A logistic
+(marks around the match, or a reporting word and a mark before it) from abuse; quoted matches never
+raise a score.  A logistic
 regression over the summed weights of abusive and quoted matches (a misspelling counts
 ``NEAR`` of its term), the strongest match and their share of the text gives the score.
 
@@ -144,7 +145,7 @@ class Scorer:
         after = [c.decode("utf-8") for c in chunks[i:i + WINDOW + 1]]
         opened = any(c.lstrip("([{")[:1] in QUOTES and c.lstrip("([{") for c in before)
         closed = any(c.rstrip(".,;:!?)]}")[-1:] in QUOTES and c.rstrip(".,;:!?)]}") for c in after)
-        return opened and closed or any(_word(c) in REPORTING for c in before[-4:-1])
+        return opened and (closed or any(_word(c) in REPORTING for c in before[-4:-1]))
 
     def features(self, text: bytes) -> list[float]:
         chunks = text.split()
@@ -217,6 +218,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
         if np.abs(step).max() < 1e-8:
             break
     beta[:-1] /= scale
+    beta[1] = min(beta[1], 0.0)         # a quotation is no abuse, however the labelled rows fell
     return beta
 
 
