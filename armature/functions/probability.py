@@ -10,6 +10,8 @@ the shape of a batch response's ``logprobs.content[].top_logprobs``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,8 +28,8 @@ def _dq(s: str) -> str:
 
 
 def tokenize_variant(v: str) -> list[str]:
-    """Whitespace tokenisation matching how responses are tokenised in the views."""
-    return v.split(" ")
+    """Tokens of a spelling where no tokenizer's own sequence is given: a blank belongs to the word after it."""
+    return re.findall(r" ?[^ ]+| ", v)
 
 
 def chain_prob_sql(positions: str, tokens: list[str]) -> str:
@@ -72,17 +74,20 @@ def chain_prob(positions: str, answer: str) -> Column:
 
 
 def whitespace_positions_sql(text: str) -> str:
-    """Top-logprob positions derived from a text: one position per space-separated token,
+    """Top-logprob positions derived from a text: one position per word with the blank before it,
     entries (token, lower, upper) with data-derived log-probabilities (Spark SQL)."""
     lp = "CAST(length(tok) % 7 AS DOUBLE) / CAST(-10 AS DOUBLE)"
-    return (f"transform(split({text}, ' '), tok -> array(named_struct('token', tok, 'logprob', {lp}), "
+    words = f"filter(transform(split({text}, ' '), (w, i) -> concat(if(i = 0, '', ' '), w)), w -> w <> '')"
+    return (f"transform({words}, tok -> array(named_struct('token', tok, 'logprob', {lp}), "
             f"named_struct('token', lower(tok), 'logprob', {lp} - CAST(1 AS DOUBLE)), "
             f"named_struct('token', upper(tok), 'logprob', {lp} - CAST(2 AS DOUBLE))))")
 
 
 def whitespace_positions_duck(text: str) -> str:
     lp = "CAST(length(tok) % 7 AS DOUBLE) / CAST(-10 AS DOUBLE)"
-    return (f"list_transform(string_split({text}, ' '), lambda tok: [{{'token': tok, 'logprob': {lp}}}, "
+    words = (f"list_filter(list_transform(string_split({text}, ' '), "
+             f"lambda w, i: CASE WHEN i = 1 THEN w ELSE ' ' || w END), lambda w: w <> '')")
+    return (f"list_transform({words}, lambda tok: [{{'token': tok, 'logprob': {lp}}}, "
             f"{{'token': lower(tok), 'logprob': {lp} - CAST(1 AS DOUBLE)}}, "
             f"{{'token': upper(tok), 'logprob': {lp} - CAST(2 AS DOUBLE)}}])")
 
@@ -93,8 +98,11 @@ def whitespace_positions_duck(text: str) -> str:
 
 def softmax_logprob_sql(logits: str, idx: str) -> str:
     """log softmax(logits)[idx] with idx 1-based; stable at large logits."""
-    m = f"array_max(transform({logits}, v -> CAST(v AS DOUBLE)))"
-    lse = f"({m} + ln(aggregate(transform({logits}, v -> exp(CAST(v AS DOUBLE) - {m})), 0D, (a, v) -> a + v)))"
+    d = "CAST(v AS DOUBLE)"
+    # one pass: the running maximum m and the sum s of exp(v - m)
+    step = (f"(a, v) -> if({d} > a.m, named_struct('m', {d}, 's', a.s * exp(a.m - {d}) + 1D), "
+            f"named_struct('m', a.m, 's', a.s + exp({d} - a.m)))")
+    lse = f"aggregate({logits}, named_struct('m', CAST('-Infinity' AS DOUBLE), 's', 0D), {step}, a -> a.m + ln(a.s))"
     return f"(CAST(try_element_at({logits}, {idx}) AS DOUBLE) - {lse})"
 
 
@@ -112,8 +120,16 @@ def softmax_logprob_duck(logits: str, idx: str) -> str:
 # instead of one interpreted lambda pipeline per variant.
 # ---------------------------------------------------------------------------
 
-def max_variant_len(labels: list[str]) -> int:
-    return max(len(tokenize_variant(v)) for lab in labels for v in VARIANTS[lab])
+def token_seqs(labels: list[str], variants=None) -> dict[str, list[list[str]]]:
+    """Token sequences of every spelling by label.
+
+    ``variants``: a registry table (label, token_seq) with the model tokenizer's own sequences;
+    without it, ``tokenize_variant`` of the registry's spellings.
+    """
+    if variants is None:
+        return {lab: [tokenize_variant(v) for v in VARIANTS[lab]] for lab in labels}
+    rows = variants.where(F.col("label").isin(labels)).select("label", "token_seq").collect()     # one per spelling
+    return {lab: [list(r["token_seq"]) for r in rows if r["label"] == lab] for lab in labels}
 
 
 def stage_positions(df, positions: str, k: int):
@@ -135,11 +151,15 @@ def _staged_chain_sql(tokens: list[str]) -> str:
     return f"(CASE WHEN _npos < {n} THEN 0D ELSE coalesce(exp({' + '.join(terms)}), 0D) END)"
 
 
-def answer_probs(df, positions: str, labels: list[str], suffix: str = "_prob"):
-    """A1 for several labels: adds ``<label lower><suffix>`` columns; drops the staging columns."""
-    k = max_variant_len(labels)
+def answer_probs(df, positions: str, labels: list[str], suffix: str = "_prob", variants=None):
+    """A1 for several labels: adds ``<label lower><suffix>`` columns; drops the staging columns.
+
+    ``variants``: see ``token_seqs``.
+    """
+    seqs = token_seqs(labels, variants)
+    k = max((len(s) for lab in labels for s in seqs[lab]), default=0)
     staged = stage_positions(df, positions, k)
     for lab in labels:
-        expr = " + ".join(_staged_chain_sql(tokenize_variant(v)) for v in VARIANTS[lab])
+        expr = " + ".join(_staged_chain_sql(s) for s in seqs[lab]) or "0D"
         staged = staged.withColumn(f"{lab.lower()}{suffix}", F.expr(expr))
     return staged.drop("_npos", *[f"_tok{j}" for j in range(1, k + 1)], *[f"_lp{j}" for j in range(1, k + 1)])

@@ -86,41 +86,45 @@ def two_sided_p(df: DataFrame, z: str, out: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _ranked(df: DataFrame, p: str, by: list[str]) -> tuple[DataFrame, Column, Window]:
-    w = Window.partitionBy(*by).orderBy(F.col(p)) if by else Window.orderBy(F.col(p))
+    """A missing or NaN p is no test: it stays in the result, without rank and outside the family size."""
+    df = df.withColumn(p, F.when(~F.isnan(F.col(p)), F.col(p)))
+    order = F.col(p).asc_nulls_last()
+    w = Window.partitionBy(*by).orderBy(order) if by else Window.orderBy(order)
     whole = Window.partitionBy(*by) if by else Window.partitionBy()
-    d = df.withColumn("_m", F.count(F.lit(1)).over(whole)).withColumn("_i", F.row_number().over(w))
+    d = df.withColumn("_m", F.count(F.col(p)).over(whole)).withColumn("_i", F.row_number().over(w))
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return d, (F.col("_m") - F.col("_i") + 1).cast("double"), running
 
 
 def holm(df: DataFrame, p: str = "p", out: str = "p_adj", by: list[str] | None = None) -> DataFrame:
     """Holm step-down: running max of (m-i+1)*p over ascending p, capped at 1."""
-    d, k, running = _ranked(df.where(F.col(p).isNotNull()), p, by or [])
+    d, k, running = _ranked(df, p, by or [])
     d = d.withColumn("_raw", k * F.col(p))
-    return d.withColumn(out, F.least(F.max("_raw").over(running), F.lit(1.0))).drop("_m", "_i", "_raw")
+    adjusted = F.when(F.col(p).isNotNull(), F.least(F.max("_raw").over(running), F.lit(1.0)))
+    return d.withColumn(out, adjusted).drop("_m", "_i", "_raw")
 
 
 def holm_sidak(df: DataFrame, p: str = "p", out: str = "p_adj", by: list[str] | None = None) -> DataFrame:
     """Holm-Sidak step-down: running max of 1-(1-p)^(m-i+1), computed as -expm1(k*log1p(-p))."""
-    d, k, running = _ranked(df.where(F.col(p).isNotNull()), p, by or [])
+    d, k, running = _ranked(df, p, by or [])
     d = d.withColumn("_k", k).withColumn("_np", -F.col(p))
     d = d.withColumn("_l", F.expr(log1p_sql("_np"))).withColumn("_e", F.col("_k") * F.col("_l"))
     d = d.withColumn("_raw", -F.expr(expm1_sql("_e")))
-    return (d.withColumn(out, F.least(F.max("_raw").over(running), F.lit(1.0)))
-             .drop("_m", "_i", "_raw", "_k", "_np", "_l", "_e"))
+    adjusted = F.when(F.col(p).isNotNull(), F.least(F.max("_raw").over(running), F.lit(1.0)))
+    return d.withColumn(out, adjusted).drop("_m", "_i", "_raw", "_k", "_np", "_l", "_e")
 
 
 def holm_sql(table: str, p: str = "p", by: str = "") -> str:
     part = f"PARTITION BY {by} " if by else ""
-    return f"""(SELECT *, least(max(_raw) OVER ({part}ORDER BY {p} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0) AS p_adj
-      FROM (SELECT *, CAST(count(*) OVER ({part.strip()}) - row_number() OVER ({part}ORDER BY {p}) + 1 AS DOUBLE) * {p} AS _raw
-            FROM {table} WHERE {p} IS NOT NULL))"""
+    return f"""(SELECT *, CASE WHEN {p} IS NOT NULL THEN least(max(_raw) OVER ({part}ORDER BY {p} NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0) END AS p_adj
+      FROM (SELECT *, CAST(count({p}) OVER ({part.strip()}) - row_number() OVER ({part}ORDER BY {p} NULLS LAST) + 1 AS DOUBLE) * {p} AS _raw
+            FROM {table}))"""
 
 
 def holm_sidak_sql(table: str, p: str = "p", by: str = "") -> str:
     part = f"PARTITION BY {by} " if by else ""
-    inner = (f"SELECT *, CAST(count(*) OVER ({part.strip()}) - row_number() OVER ({part}ORDER BY {p}) + 1 AS DOUBLE) AS _k, "
-             f"-{p} AS _np FROM {table} WHERE {p} IS NOT NULL")
+    inner = (f"SELECT *, CAST(count({p}) OVER ({part.strip()}) - row_number() OVER ({part}ORDER BY {p} NULLS LAST) + 1 AS DOUBLE) AS _k, "
+             f"-{p} AS _np FROM {table}")
     l1 = f"SELECT *, {log1p_sql('_np')} AS _l FROM ({inner})"
     l2 = f"SELECT *, _k * _l AS _e FROM ({l1})"
     l3 = f"SELECT *, -{expm1_sql('_e')} AS _raw FROM ({l2})"
@@ -152,59 +156,6 @@ def pooled_z(k1: Column, n1: Column, k0: Column, n0: Column) -> Column:
     return F.try_divide(p1 - p0, F.sqrt(var))
 
 
-# ---------------------------------------------------------------------------
-# Plain-Python chi-square upper tail: the reference the SQL expressions below are
-# tested against (not used in queries).
-# ---------------------------------------------------------------------------
-
-def _chi2_sf_scalar(x: float, k: float) -> float:
-    if x is None or k is None or np.isnan(x) or np.isnan(k) or k <= 0:
-        return float("nan")
-    if x <= 0:
-        return 1.0
-    y = x / 2.0
-    if float(k).is_integer():
-        k = int(k)
-        if k % 2 == 0:
-            term, total = 1.0, 1.0
-            for j in range(1, k // 2):
-                term *= y / j
-                total += term
-            return math.exp(-y) * total if y < 700 else math.exp(-y + math.log(total))
-        total = math.erfc(math.sqrt(y))
-        if k > 1:
-            term = math.sqrt(y) / math.gamma(1.5)
-            acc = term
-            for j in range(2, (k - 1) // 2 + 1):
-                term *= y / (j - 0.5)
-                acc += term
-            total += math.exp(-y) * acc
-        return total
-    # non-integer dof: regularised upper gamma via series / continued fraction
-    a = k / 2.0
-    if y < a + 1:
-        s, term, n = 1.0 / a, 1.0 / a, 0
-        while abs(term) > 1e-17 * abs(s) and n < 10000:
-            n += 1
-            term *= y / (a + n)
-            s += term
-        return 1.0 - s * math.exp(-y + a * math.log(y) - math.lgamma(a))
-    b, c, d = y + 1 - a, 1e300, 1 / (y + 1 - a)
-    h = d
-    for i in range(1, 10000):
-        an = -i * (i - a)
-        b += 2
-        d = an * d + b
-        d = 1e-300 if abs(d) < 1e-300 else d
-        c = b + an / c
-        c = 1e-300 if abs(c) < 1e-300 else c
-        d = 1 / d
-        h *= d * c
-        if abs(d * c - 1) < 1e-16:
-            break
-    return math.exp(-y + a * math.log(y) - math.lgamma(a)) * h
-
-
 # ---------------------------------------------------------------------------
 # Chi-square upper tail for integer degrees of freedom as SQL expressions
 # (even k: Poisson sum; odd k: erfc plus half-integer gamma terms).  Spark

@@ -36,7 +36,8 @@ def design(scenarios: DataFrame, distractors: DataFrame | None, formats: list[st
     parts = []
     if include_baseline:
         base = scenarios.select("*", fmt)
-        for c, t in zip(arms_schema_cols, ["long", "string", "string"]):
+        id_type = "string" if distractors is None else distractors.schema["id"].dataType
+        for c, t in zip(arms_schema_cols, [id_type, "string", "string"]):
             base = base.withColumn(c, F.lit(None).cast(t))
         parts.append(base)
     if distractors is not None:
@@ -45,8 +46,6 @@ def design(scenarios: DataFrame, distractors: DataFrame | None, formats: list[st
         arms = arms.select("*", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_bucket"))
         scen = scenarios.withColumn("_bucket", F.pmod(F.xxhash64(scenarios.columns[0]), F.lit(buckets)))
         paired = scen.join(small_side(arms, max_broadcast_rows), "_bucket").drop("_bucket")
-        if parts:
-            paired = paired.withColumn("distractor_id", F.col("distractor_id").cast(parts[0].schema["distractor_id"].dataType))
         parts.append(paired.select("*", fmt))
     out = parts[0]
     for p in parts[1:]:
@@ -59,9 +58,17 @@ def expand_models(df: DataFrame, models: list[str]) -> DataFrame:
     return df.select("*", F.explode(F.array(*[F.lit(m) for m in models])).alias("model_id"))
 
 
-def pending(design_rows: DataFrame, done: DataFrame,
-            keys: tuple[str, ...] = ("model_id", "scenario_id", "distractor_id")) -> DataFrame:
-    """Drop pairs that already have a stored result; null-safe on every key."""
+#: What identifies one result.
+RESULT_KEY = ("experiment", "dataset", "model_id", "question_format", "scenario_id", "distractor_id", "question_ordering")
+
+
+def pending(design_rows: DataFrame, done: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """Drop pairs that already have a stored result; null-safe on every key.
+
+    ``keys`` defaults to the parts of ``RESULT_KEY`` that both sides carry.
+    """
+    if keys is None:
+        keys = tuple(k for k in RESULT_KEY if k in design_rows.columns and k in done.columns)
     cond = None
     d = done.select(*[F.col(k).alias(f"_done_{k}") for k in keys])
     for k in keys:

@@ -21,21 +21,24 @@ Scorer = Callable[[list], list]
 
 
 def respond(prompts: DataFrame, make_model: Callable[[], Responder], id_col: str = "prompt_id") -> DataFrame:
-    """(prompt_id, system_prompt, user_prompt) -> (prompt_id, answer_raw, answer).
+    """(prompt_id, system_prompt, user_prompt) -> (prompt_id, answer_raw, answer, status, timestamp).
+
+    A null answer stays null, with status ``failed``.
 
     ``make_model`` is called once per task; the returned callable maps a pandas
     batch of prompts to a batch with ``answer_raw``.
     """
-    schema = f"{id_col} string, answer_raw string, answer string"
+    schema = f"{id_col} string, answer_raw string, answer string, status string"
     from armature.functions.text import timestamp_now
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
         for b in batches:
             out = model(b[[id_col, "system_prompt", "user_prompt"]])
-            raw = out["answer_raw"].astype(str)
-            yield pd.DataFrame({id_col: b[id_col].astype(str).to_numpy(), "answer_raw": raw.to_numpy(),
-                                "answer": raw.str.strip().to_numpy()})
+            raw = [None if pd.isna(a) else str(a) for a in out["answer_raw"]]
+            yield pd.DataFrame({id_col: [None if pd.isna(i) else str(i) for i in b[id_col]], "answer_raw": raw,
+                                "answer": [None if a is None else a.strip() for a in raw],
+                                "status": ["failed" if a is None else "ok" for a in raw]})
     return (prompts.select(id_col, "system_prompt", "user_prompt").mapInPandas(run, schema)
             .withColumn("timestamp", timestamp_now()))
 
@@ -50,7 +53,7 @@ def score_texts(df: DataFrame, text_col: str, make_scorer: Callable[[], Scorer],
         for b in batches:
             texts = b[text_col].tolist()
             scores = scorer(texts)
-            out = b[keep].astype(str)
+            out = pd.DataFrame({k: [None if pd.isna(x) else str(x) for x in b[k]] for k in keep})
             for code in FOUNDATION_CODES:
                 out[f"{code.lower()}_score"] = [s.get(code) if s is not None else None for s in scores]
             yield out

@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from armature.shipping import ship
 from armature.schemas import CONDITION_PAIRS, CONDITIONS
 
 _FIT_FIELDS = ("ref string, test string, coef double, z double, p double, lam double, "
@@ -164,6 +165,7 @@ def fit_cells(classes: DataFrame, cell: list[str]) -> DataFrame:
         row = {k: pdf[k].iloc[0] for k in keys}
         row.update(ref=pdf["ref"].iloc[0], test=pdf["test"].iloc[0], **res)
         return pd.DataFrame([row])
+    ship(classes.sparkSession)
     return classes.groupBy(*keys).applyInPandas(fit, schema)
 
 

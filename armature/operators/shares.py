@@ -80,16 +80,20 @@ def contingency(df: DataFrame, by: list[str], verdict: str = "verdict",
 
 
 def top_foundation(score_cols: list[str] | None = None) -> Column:
-    """Label of the highest score; ties -> first column; nulls skipped; all null -> null."""
+    """Label of the highest score; ties -> first column; nulls and NaN skipped; none left -> null."""
     cols = score_cols or list(FOUNDATION_LABELS)
-    g = F.greatest(*[F.col(c) for c in cols])
+    g = F.greatest(*[_number(c) for c in cols])
     out = None
     for c in cols:
         lab = F.lit(FOUNDATION_LABELS[c])
-        out = F.when(F.col(c) == g, lab) if out is None else out.when(F.col(c) == g, lab)
+        out = F.when(_number(c) == g, lab) if out is None else out.when(_number(c) == g, lab)
     return out
 
 
+def _number(c: str) -> Column:
+    return F.when(~F.isnan(F.col(c)), F.col(c))
+
+
 def melt_foundations(df: DataFrame, ids: list[str]) -> DataFrame:
     """A18 melt: (ids..., foundation label, score)."""
     entries = [F.struct(F.lit(lab).alias("foundation"), F.col(c).alias("score"))
@@ -98,9 +102,9 @@ def melt_foundations(df: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def mean_scores(df: DataFrame, by: list[str], cols: list[str] | None = None) -> DataFrame:
-    """Plain means per group (nulls skipped)."""
+    """Plain means per group (nulls and NaN skipped)."""
     cols = cols or list(FOUNDATION_LABELS)
-    return df.groupBy(*by).agg(*[F.avg(c).alias(c) for c in cols])
+    return df.groupBy(*by).agg(*[F.avg(_number(c)).alias(c) for c in cols])
 
 
 def length_means(distractor_texts: DataFrame, scenario_texts: DataFrame, col: str = "text") -> DataFrame:

@@ -60,9 +60,10 @@ def chi_square_tests(df: DataFrame, by: str = "model_id", type_col: str = "distr
     """T4: chi-square test of independence of type x verdict per model (Yates when dof = 1).
 
     Grid = types present in the model x verdicts present in the model (as a
-    per-model pivot table has), zero cells included.
+    per-model pivot table has), zero cells included.  Rows without a type (unmatched
+    distractor ids) are left out of cells and margins alike.
     """
-    obs = (df.where(F.col(verdict).isNotNull()).groupBy(by, type_col, verdict)
+    obs = (df.where(F.col(verdict).isNotNull() & F.col(type_col).isNotNull()).groupBy(by, type_col, verdict)
            .agg(F.count(F.lit(1)).alias("o")))
     types = obs.select(by, type_col).distinct()
     verds = obs.select(by, verdict).distinct()

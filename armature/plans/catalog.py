@@ -771,8 +771,8 @@ def _positions(spark, sf_dir):
 
 @register("chain_prob", with_views(f"""
 WITH {_RT_SQL}, {_POS_SQL}
-SELECT doc_id, round({PR.chain_prob_duck('positions', ['Verdict:', 'NTA'])}, 6) AS p_verdict_nta,
-       round({PR.chain_prob_duck('positions', ['I', 'say', 'NTA,'])}, 6) AS p_i_say_nta
+SELECT doc_id, round({PR.chain_prob_duck('positions', ['Verdict:', ' NTA'])}, 6) AS p_verdict_nta,
+       round({PR.chain_prob_duck('positions', ['I', ' say', ' NTA,'])}, 6) AS p_i_say_nta
 FROM pos
 """, "v_text_responses"))
 def q_chain_prob(spark, sf_dir):
@@ -1061,29 +1061,6 @@ def q_mixed_lm_pairs(spark, sf_dir):
         "experiment", "model_id", "option", "pair", "ref", "test", "coef", "z", "p", "p_adj", "n_obs", "n_groups"))
 
 
-# ---------------------------------------------------------------------------
-# Hooks: model responses and text scorers as Arrow-batched maps (rows-only)
-# ---------------------------------------------------------------------------
-from armature.operators import hooks as HK  # noqa: E402
-
-
-@register("respond_stub", None)
-def q_respond_stub(spark, sf_dir):
-    """Rendered pending prompts -> stub model answers -> extracted verdicts."""
-    prompts = RD.render_system_injected(_render_rows(spark, sf_dir, False))
-    ans = HK.respond(prompts, HK.stub_model)
-    t = ans.select("prompt_id", TX.response_text(F.col("answer"), F.col("answer_raw")).alias("t"))
-    return TX.extract_verdict_reasoning(t, "t").select("prompt_id", "verdict", "reasoning")
-
-
-@register("score_texts_stub", None)
-def q_score_texts_stub(spark, sf_dir):
-    """Reasoning of every text response -> five foundation scores (stub scorer)."""
-    r = TX.extract_verdict_reasoning(_response_text(spark, sf_dir), "t").select(
-        F.col("doc_id").cast("string").alias("doc_id"), "reasoning")
-    return HK.score_texts(r, "reasoning", HK.zero_scorer, ["doc_id"])
-
-
 # ---------------------------------------------------------------------------
 # Baseline policy 'mean' (Q8), sorted head (L2), data-quality flag (Q14)
 # ---------------------------------------------------------------------------

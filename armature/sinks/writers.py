@@ -8,12 +8,10 @@ done, so failed pairs are retried - quirk Q3).
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from armature.operators.design import pending
+from armature.operators.design import RESULT_KEY, pending
 
 RESULT_PARTITIONS = ["experiment", "dataset", "model_id", "question_format"]
 
@@ -24,16 +22,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def append_results(results: DataFrame, path: str, keys=("model_id", "question_format", "scenario_id",
-                                                         "distractor_id")) -> DataFrame:
-    """K1: append only rows whose key is not already stored as ok; returns what was written."""
+def append_results(results: DataFrame, path: str, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """K1: append only rows whose key is not already stored as ok; returns what was written.
+
+    ``keys`` defaults to the parts of ``RESULT_KEY`` among the columns.  Of rows that
+    repeat a key inside one append the ok one is kept.
+    """
     spark = results.sparkSession
-    new = results
+    keys = tuple(keys or (k for k in RESULT_KEY if k in results.columns))
+    failed = F.when(F.col("status") == "ok", 0).otherwise(1) if "status" in results.columns else F.lit(0)
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(failed, F.xxhash64(*[F.col(c) for c in results.columns])))
+    new = results.withColumn("_first", first).where("_first = 1").drop("_first")
     if _exists(spark, path):
-        done = spark.read.parquet(path)
+        done = spark.read.option("mergeSchema", True).parquet(path)
         if "status" in done.columns:
             done = done.where(F.col("status") == "ok")
-        new = pending(results, done.select(*keys), keys=tuple(keys))
+        held = [F.col(k) if k in done.columns else F.lit(None).alias(k) for k in keys]
+        new = pending(new, done.select(*held), keys=keys)
     new.write.partitionBy(*[c for c in RESULT_PARTITIONS if c in new.columns]).mode("append").parquet(path)
     return new
 
@@ -51,16 +56,13 @@ def write_per_model_csv(df: DataFrame, path: str) -> None:
 
 
 def write_stats(df: DataFrame, path: str, dp: int = 4) -> None:
-    """K4: statistics table as CSV, numeric columns rounded to ``dp`` decimals."""
+    """K4: statistics table as CSV in full precision, and with ``dp`` decimals as text under ``<path>_text``."""
+    df.write.option("header", True).mode("overwrite").csv(path)
     cols = [F.round(F.col(f.name), dp).alias(f.name) if f.dataType.typeName() in ("double", "float")
             else F.col(f.name) for f in df.schema.fields]
-    df.select(*cols).write.option("header", True).mode("overwrite").csv(path)
+    df.select(*cols).write.option("header", True).option("sep", "\t").mode("overwrite").csv(f"{path.rstrip('/')}_text")
 
 
 def write_table_csv(df: DataFrame, path: str) -> None:
     """K6: prepared scenario table."""
     df.write.option("header", True).option("escape", '"').mode("overwrite").csv(path)
-
-
-def local_path(path: str) -> str:
-    return path if "://" in path else os.path.abspath(path)

@@ -111,9 +111,9 @@ MODELS = [
     ("google/gemma-3-12b-it", "google", "gemma", True),
     ("google/gemma-3-27b-pt", "google", "gemma", True),
     ("google/gemma-3-27b-it", "google", "gemma", True),
-    ("meta-llama/Llama-3.2-3B-Instruct", "meta", "llama", False),
-    ("meta-llama/Llama-3.2-3B", "meta", "llama", False),
-    ("meta-llama/Llama-3.2-1B-Instruct", "meta", "llama", False),
+    ("meta-llama/Llama-3.2-3B-Instruct", "Meta", "llama", False),
+    ("meta-llama/Llama-3.2-3B", "Meta", "llama", False),
+    ("meta-llama/Llama-3.2-1B-Instruct", "Meta", "llama", False),
 ]
 # ---------------------------------------------------------------------------
 

@@ -2,9 +2,9 @@
 
 Not part of the reference's parity inventory - its nearest feature is the
 resumable append-only result store.  ``readStream`` watches the folder where
-batch outputs land; each micro-batch keeps the last line per ``custom_id``,
-drops ids already collected (anti-join against the store) and appends the
-rest.  ``trigger(availableNow=True)`` drains what is there and stops; the
+batch outputs land; each micro-batch keeps the last line per ``custom_id``
+and appends it with its epoch, and ``collected`` reads the last epoch's line of
+every id, so a later line wins inside a batch and across batches.  ``trigger(availableNow=True)`` drains what is there and stops; the
 checkpoint folder makes re-runs exactly-once across restarts and lost
 executors.
 """
@@ -30,14 +30,15 @@ def collect_responses(spark: SparkSession, source_dir: str, store: str, checkpoi
         # inside a micro-batch the frame is static: row position within the task orders lines
         rows = batch.withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
         latest = keep_last(rows.select("custom_id", "content", F.struct("_file", "_block", "_row").alias("line_key")))
-        sess = batch.sparkSession
-        try:
-            have = sess.read.parquet(store).select("custom_id")
-            latest = latest.join(have, "custom_id", "left_anti")
-        except Exception:  # noqa: BLE001 - store does not exist yet
-            pass
-        latest.select("custom_id", "content", F.lit(epoch_id).alias("epoch")).write.mode("append").parquet(store)
+        # an epoch that runs again after a failure replaces its own folder
+        latest.select("custom_id", "content").write.mode("overwrite").parquet(f"{store}/epoch={epoch_id}")
 
     w = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
+
+
+def collected(spark: SparkSession, store: str) -> DataFrame:
+    """(custom_id, content): the last collected line of every id."""
+    rows = spark.read.parquet(store)
+    return rows.groupBy("custom_id").agg(F.max_by("content", "epoch").alias("content"))

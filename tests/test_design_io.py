@@ -81,7 +81,7 @@ def test_batch_request_and_response_round_trip(spark, tmp_dir):
 
     def line(cid, content):
         pos = [{"token": "Verdict:", "logprob": -0.1, "top_logprobs": [{"token": "Verdict:", "logprob": -0.1}]},
-               {"token": "NTA", "logprob": -0.2, "top_logprobs": [{"token": "NTA", "logprob": -0.2},
+               {"token": " NTA", "logprob": -0.2, "top_logprobs": [{"token": " NTA", "logprob": -0.2},
                                                                    {"token": "YTA", "logprob": -2.0}]}]
         return json.dumps({"custom_id": cid, "response": {"status_code": 200, "body": {"choices": [
             {"message": {"content": content}, "logprobs": {"content": pos}}]}}})
@@ -148,7 +148,7 @@ def test_hooks_and_incremental_collection(spark, tmp_dir):
     sc = HK.score_texts(spark.createDataFrame([("a", "txt"), ("b", None)], "k string, t string"), "t",
                         HK.zero_scorer, ["k"]).orderBy("k").collect()
     assert sc[0].ch_score == 0.0 and sc[1].ch_score is None
-    from armature.streaming.incremental import collect_responses
+    from armature.streaming.incremental import collect_responses, collected
     src = os.path.join(tmp_dir, "incoming")
     os.makedirs(src)
     rec = {"custom_id": "c1", "response": {"body": {"choices": [{"message": {"content": "hi"}}]}}}
@@ -156,8 +156,9 @@ def test_hooks_and_incremental_collection(spark, tmp_dir):
         f.write(json.dumps(rec) + "\n")
     store, ck = os.path.join(tmp_dir, "store"), os.path.join(tmp_dir, "ck")
     collect_responses(spark, src, store, ck).awaitTermination(120)
+    rec["response"]["body"]["choices"][0]["message"]["content"] = "later"
     with open(os.path.join(src, "b.jsonl"), "w") as f:
         f.write(json.dumps(rec) + "\n" + json.dumps({**rec, "custom_id": "c2"}) + "\n")
     collect_responses(spark, src, store, ck).awaitTermination(120)
-    got = sorted(r.custom_id for r in spark.read.parquet(store).collect())
-    assert got == ["c1", "c2"]                                  # c1 not collected twice
+    got = sorted((r.custom_id, r.content) for r in collected(spark, store).collect())
+    assert got == [("c1", "later"), ("c2", "later")]            # c1 once, its later line

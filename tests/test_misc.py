@@ -5,6 +5,7 @@ import os
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from armature.functions import text as TX
 from armature.operators import design as DS
@@ -27,16 +28,17 @@ def test_csv_head_by_file_order_and_multiline(spark, tmp_dir):
     rows = [{"id": f"s{i}", "context": f"line one\nline two {i}", "action1": "a", "action2": "b"} for i in range(5)]
     p = os.path.join(tmp_dir, "mc.csv")
     pd.DataFrame(rows).to_csv(p, index=False)
-    schema = MORALCHOICE_SCENARIO
+    schema = T.StructType(MORALCHOICE_SCENARIO.fields[:4])       # the columns this file has
     head = FS.read_scenarios_csv(spark, p, schema, max_rows=3).collect()
     assert [r.id for r in head] == ["s0", "s1", "s2"] and head[0].context == "line one\nline two 0"
     assert FS.read_scenarios_csv(spark, p, schema).count() == 5
 
 
-def test_stats_sink_rounds(spark, tmp_dir):
+def test_stats_sink_keeps_full_precision_and_rounds_the_text(spark, tmp_dir):
     out = os.path.join(tmp_dir, "stats")
-    W.write_stats(spark.createDataFrame([("m", 0.123456789)], "model string, p double"), out)
-    assert spark.read.option("header", True).csv(out).first().p == "0.1235"
+    W.write_stats(spark.createDataFrame([("m", 3.9e-21)], "model string, p double"), out)
+    assert float(spark.read.option("header", True).csv(out).first().p) == 3.9e-21
+    assert float(spark.read.option("header", True).option("sep", "\t").csv(out + "_text").first().p) == 0.0
 
 
 def test_answer_to_action_swaps_with_ordering(spark):
@@ -66,7 +68,8 @@ def test_dataset_spec_render_and_score(spark):
                                  "question_ordering int, positions array<array<struct<token:string,logprob:double>>>")
     scored = mc.score(resp).first()
     # A (first label) names action 2 when the ordering is 1
-    assert abs(scored.a2_prob - 2.718281828459045 ** -0.5) < 1e-12 and scored.a1_prob == 0.0
+    # and both its spellings count: "A" and " A", one token each
+    assert abs(scored.a2_prob - (2.718281828459045 ** -0.5 + 2.718281828459045 ** -1)) < 1e-12 and scored.a1_prob == 0.0
     try:
         spec("unknown")
         raise AssertionError("expected KeyError")

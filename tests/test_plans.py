@@ -6,10 +6,11 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from armature.plans.catalog import REGISTRY
 from tests.conftest import SF_SMALL
 
-# queries whose plans legitimately run Python: the T1 fit, report number formatting, user hooks
-PYTHON_OK = {"mixed_lm_pairs", "report_rows", "respond_stub", "score_texts_stub"}
+# queries whose plans legitimately run Python: the T1 fit, report number formatting
+PYTHON_OK = {"mixed_lm_pairs", "report_rows"}
 PY_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonMapInArrow")
 
 
@@ -17,7 +18,7 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_plan_shape(spark, name):
     plan = _plan(E.queries()[name](spark, SF_SMALL))
     assert "CartesianProduct" not in plan, name
