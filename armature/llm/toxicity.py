@@ -41,7 +41,7 @@ SUPPORT = 0.02          # least share of the toxic documents that hold a term
 WINDOW = 5
 NEAR = 0.7
 FEATURES = 4
-_CACHE = 400_000
+_CACHE = 200_000
 #: Marks that open or close a quotation, and words that report speech.
 QUOTES = "\"“”„«»‹›‘’"
 REPORTING = {
@@ -101,6 +101,26 @@ class Trie:
         return None
 
 
+class Pieces:
+    """Quick exclusion before the automaton: of k + 1 pieces of a term, k edits leave one whole."""
+
+    def __init__(self, words, edits: int):
+        self.edits = edits
+        first, middle, last = set(), set(), set()
+        for w in words:
+            cut = [len(w) * i // (edits + 1) for i in range(edits + 2)]
+            parts = [w[a:z] for a, z in zip(cut, cut[1:])]
+            first.add(parts[0])
+            last.add(parts[-1])
+            middle.update(parts[1:-1])
+        self.first, self.middle, self.last = first, middle, last
+        self.first_sizes, self.middle_sizes, self.last_sizes = ({len(p) for p in s} for s in (first, middle, last))
+
+    def may_match(self, word: str) -> bool:
+        return (any(word[:n] in self.first for n in self.first_sizes) or any(word[-n:] in self.last for n in self.last_sizes)
+                or any(word[i:i + n] in self.middle for n in self.middle_sizes for i in range(len(word) - n + 1)))
+
+
 class Lexicon:
     """Weights of terms (``word`` or ``beginning*``); words in ``exact`` are not matched misspelled."""
 
@@ -110,12 +130,16 @@ class Lexicon:
         loose = self.words.keys() - set(exact)
         self.trie = Trie(w for w in loose if len(w) >= 5)
         self.long = Trie(w for w in loose if len(w) >= 9)
+        self.one, self.two = Pieces((w for w in loose if len(w) >= 5), 1), Pieces((w for w in loose if len(w) >= 9), 2)
 
     def neighbour(self, word: str) -> str | None:
         """A word of the lexicon of which ``word`` may be a misspelling."""
-        if len(word) < 5:
+        if len(word) < 4 or len(word) > 60:
             return None
-        return self.trie.near(word, 1) or (self.long.near(word, 2) if len(word) >= 9 else None)
+        found = self.trie.near(word, 1) if self.one.may_match(word) else None
+        if not found and len(word) >= 7 and self.two.may_match(word):
+            found = self.long.near(word, 2)
+        return found
 
     def match(self, word: str) -> float:
         weight = self.words.get(word, 0.0)
@@ -177,7 +201,7 @@ def held_out(col: str = "doc_id"):
 def _outlines(batches):
     """(label, text) -> (label, text, outline): the least hash of three words in a row, mostly equal for edited copies."""
     import xxhash
-    for part in K.row_slices(batches, 4 << 20):
+    for part in K.row_slices(batches, 1 << 20):
         least = []
         for text in part.column(1).to_pylist():
             w = text.split()
@@ -188,7 +212,7 @@ def _outlines(batches):
 
 def _count_terms(batches):
     """(label, text) -> (term, toxic, clean): documents of either label that hold a term."""
-    for part in K.row_slices(batches, 4 << 20):
+    for part in K.row_slices(batches, 1 << 20):
         counts = (Counter(), Counter())
         for label, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
             words = {_word(c.decode("utf-8")) for c in set(text.split())}

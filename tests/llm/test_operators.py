@@ -397,6 +397,7 @@ def test_automaton_equals_edit_distance():
             found = trie.near(w, k)
             assert (found is not None) == any(distance(w, x) <= k for x in words)
             assert found is None or distance(w, found) <= k
+            assert found is None or len(found) <= k or toxicity.Pieces([found], k).may_match(w)
 
 
 def test_toxicity(spark):
