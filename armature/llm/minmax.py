@@ -46,7 +46,7 @@ from armature.llm.graph import components
 
 PERMUTATIONS = 126
 ROWS = 6
-_WORDS = 400_000
+_WORDS = 200_000
 
 
 class _WordHashes(dict):
@@ -154,7 +154,7 @@ def _compared(pairs: DataFrame, table: str) -> DataFrame:
     """(u, v, nu, nv, plus, minus): sizes, what u adds to v and what it lacks of v."""
 
     def run(batches):
-        for part in (p for b in batches for p in K.row_slices([b])):
+        for part in K.row_slices(batches):
             nu, nv, plus, minus = [], [], [], []
             for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)

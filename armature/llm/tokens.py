@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -37,8 +38,14 @@ _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-ö
 _SIGNS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def plain_words(chunk: str) -> list[str] | None:
     """The words of a chunk in byte-level signs, for Latin-1 letters and printable ASCII; None for other chunks."""
+    if chunk.isalpha() and chunk.isascii():
+        return [chunk.lower()]
     if not _PLAIN(chunk):
         return None
     words = _PIECES(chunk.lower())
@@ -216,7 +223,7 @@ class LibraryBpe:
             if words is None:
                 others.append(c)
             else:
-                out[c] = [t.id for w in words for t in merge(w)]
+                out[c] = [t.id for t in merge(words[0])] if len(words) == 1 else [t.id for w in words for t in merge(w)]
         if others:
             out.update((c, e.ids) for c, e in zip(others, self.lib.encode_batch_fast(others, add_special_tokens=False)))
         return out
@@ -242,7 +249,7 @@ class TextEncoder:
                 names = [c.decode("utf-8") for c in fresh]
                 got = self.engine.encode_chunks(names)
                 for c, n in zip(fresh, names):
-                    young[c] = np.asarray(got[n], dtype="<u4").tobytes()
+                    young[c] = _bytes(got[n])
                 fresh.clear()
             for chunks, ids in held:
                 if None in ids:
@@ -289,8 +296,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def row_slices(batches, most_bytes: int = 8 << 20):
+def row_slices(batches, most_bytes: int = 4 << 20):
     """Arrow record batches cut into slices of at most about ``most_bytes`` (one row at least)."""
+    import pyarrow as pa
     for batch in batches:
         rows = batch.num_rows
         if not rows:
@@ -298,3 +306,4 @@ def row_slices(batches, most_bytes: int = 8 << 20):
         step = max(1, int(rows * most_bytes / max(batch.nbytes, 1)))
         for at in range(0, rows, step):
             yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()       # a worker goes on to other tasks
