@@ -26,7 +26,7 @@ import struct
 import numpy as np
 
 #: Chunks in one generation of a worker's cache.
-_CACHE_CHUNKS = 400_000
+_CACHE_CHUNKS = 600_000
 _PAIRS = 2_000_000
 _SINGLE = 1 << 60
 #: Stands for the end of a word; byte-level signs are all below U+0144.
