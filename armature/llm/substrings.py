@@ -126,10 +126,15 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 k, r = ks[text], rs[text]
                 by = np.lexsort((first, r, k, span, seed))
                 text, first, windows, lead, seed, span, k, r = (x[by] for x in (text, first, windows, lead, seed, span, k, r))
-                again = ~_heads(seed, span)
+                head = _heads(seed, span)
+                eldest = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+                # a repeated row holds the eldest's own place again: the same document, not a repeat of it
+                keep = head | (k != k[eldest]) | (r != r[eldest]) | (first != first[eldest])
+                again, seed, span, k, r = (x[keep] for x in (~head, seed, span, k, r))
+                place = (first << 16 | windows << 8 | lead)[keep]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(seed.view(np.int64)), pa.array(span.view(np.int64)), pa.array(k), pa.array(r),
-                     pa.array(first << 16 | windows << 8 | lead), pa.array(again)],
+                     pa.array(place), pa.array(again)],
                     names=["seed", "span", "k", "r", "place", "settled"])
 
     rows = docs.select(id_key().alias("k"), F.xxhash64(text_bytes()).alias("r"), text_bytes().alias("text"))

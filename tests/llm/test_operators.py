@@ -266,6 +266,18 @@ def test_repeated_substrings(spark, monkeypatch, split):
     assert substrings.dedup(_empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 2])
+def test_repeated_rows_keep_their_text(spark, partitions):
+    """Rows equal in id and text are one document, in one slice or in two."""
+    r = random.Random(11)
+    alone = "".join(r.choice("abcdefgh ") for _ in range(700))
+    twice = "".join(r.choice("ijklmnop ") for _ in range(300))
+    rows = [(1, alone, "s", "", 0), (2, twice + alone[:50] + twice, "s", "", 0)] * 2
+    got = substrings.dedup(spark.createDataFrame(rows, DOCS).repartition(partitions)).collect()
+    kept = sorted((x.doc.doc_id, bytes(x.kept).decode()) for x in got)
+    assert kept == [(1, alone)] * 2 + [(2, twice + alone[:50])] * 2
+
+
 def test_suffix_sort_orders_like_bytes():
     r = random.Random(9)
     rows = [(g, bytes(r.choice(b"ab") for _ in range(r.randint(1, 60)))) for g in range(5) for _ in range(r.randint(1, 40))]
