@@ -20,7 +20,8 @@ among equal anchors, and only about 2.6 % of all positions are anchors.
    hash-compared merge sort of ``suffixes``; neighbours with a long common extension and
    equal left sides repeat each other, and bytes are compared before they count.
    A seed with more than ``SPLIT`` spans is dealt by the hash of the bytes beside the anchor: a
-   window has ``HALF`` bytes on one side at least, and its offset says on which.
+   window has ``HALF`` bytes on one side at least, and its offset says on which.  A group that still has
+   more than ``SPLIT`` rows is grouped by the bytes of each of its windows instead.
 4. The repeated stretches go back to their documents.
 
 Defined results: null text is empty; a null id is the smallest; rows that share an id are
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from armature.llm import tokens as K
-from armature.llm.common import discard, id_key, release, shared_folder, shuffle_partitions, stage, text_bytes
+from armature.llm.common import discard, id_key, release, shared_folder, shuffle_partitions, small_ids, stage, text_bytes
 from armature.llm.suffixes import BASE, LETTERS, U, Block, powers
 
 LENGTH = 100
@@ -150,13 +151,10 @@ def _meet(batches):
         return pa.RecordBatch.from_arrays(
             [pa.array(seed, mask=stretch), pa.array(k), pa.array(r), pa.array(place)], names=["seed", "k", "r", "place"])
 
+    several = False                  # whether the held span's seed had another span before it
+
     def holders(c):
-        several = np.zeros(len(c[0]), bool)
-        if len(several):
-            head = np.flatnonzero(_heads(c[0]))
-            size = np.diff(np.r_[head, len(c[0])])
-            several = np.repeat(size > 1, size)
-        return out(c[0][several], c[2][several], c[3][several], c[4][several], np.zeros(int(several.sum()), bool))
+        return out(c[0], c[2], c[3], c[4], np.zeros(len(c[0]), bool))
 
     for batch in batches:
         new = [np.asarray(batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False), np.int64) for c in names]
@@ -172,10 +170,15 @@ def _meet(batches):
         if again.any():
             yield out(*(rows[i][again] for i in (0, 2, 3, 4)), np.ones(int(again.sum()), bool))
         firsts = [x[head] for x in rows]
-        open_ = firsts[0] == firsts[0][-1]          # the last seed may go on in the next batch
-        yield holders([x[~open_] for x in firsts])
-        held = [x[open_] for x in firsts]
-    if len(held[0]):
+        starts = np.flatnonzero(_heads(firsts[0]))
+        size = np.diff(np.r_[starts, len(firsts[0])])
+        size[0] += several
+        many = np.repeat(size > 1, np.diff(np.r_[starts, len(firsts[0])]))
+        # the last span may go on in the next batch; of its seed nothing else is held
+        several, many[-1] = bool(many[-1]), False
+        yield holders([x[many] for x in firsts])
+        held = [x[-1:] for x in firsts]
+    if several:
         yield holders(held)
 
 
@@ -244,6 +247,35 @@ def _sort_blocks(batches):
         yield block(held)
 
 
+def _windows(batches):
+    """Holders with their bytes -> (k, r, at, begin, bytes) of each of their windows."""
+    for part in K.row_slices(batches, SLICE_BYTES >> 5):            # a holder has up to 77 windows
+        rows = []
+        for k, r, at, low, high, left, right in zip(*(part.column(i).to_pylist() for i in range(7))):
+            text, anchor = left + right, len(left)
+            rows += [(k, r, at, at - o, text[anchor - o:anchor - o + LENGTH]) for o in range(low, high + 1)]
+        kinds = [pa.int64()] * 4 + [pa.binary()]
+        cols = list(zip(*rows)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["k", "r", "at", "begin", "bytes"])
+
+
+def _by_window(holders: DataFrame, folder: str) -> DataFrame:
+    """Stretches of holders whose group is too large for one task; grouped by the bytes of each window.
+
+    A first aggregate over hashes, partial before the shuffle, drops the windows that occur once; the eldest
+    of the others is found by the bytes themselves.  Equal windows share their group, so nothing else can repeat them.
+    """
+    windows = holders.select("k", "r", "at", "low", "high", "left", "right").mapInArrow(
+        _windows, "k long, r long, at long, begin long, bytes binary").withColumn("hash", F.xxhash64("bytes"))
+    place = F.struct("k", "r", "begin")
+    shared = stage(windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), folder, "shared")
+    found = stage(windows.join(small_ids(shared), "hash", "left_semi").drop("hash"), folder, "windows")
+    eldest = found.groupBy("bytes").agg(F.min(place).alias("eldest"))
+    again = found.join(eldest, "bytes").where(place != F.col("eldest"))
+    return (again.groupBy("k", "r", "at").agg(F.min("begin").alias("begin"), (F.max("begin") + LENGTH).alias("end"))
+            .select("k", "r", "begin", "end"))
+
+
 def stretches(docs: DataFrame, folder: str) -> DataFrame:
     """(k, r, begin, end): byte stretches to remove, overlapping, by document."""
     spark = docs.sparkSession
@@ -260,13 +292,28 @@ def stretches(docs: DataFrame, folder: str) -> DataFrame:
                      (first + F.shiftright("place", 8).bitwiseAND(F.lit(255)) + LENGTH).alias("end")))
     holders = met.where("seed IS NOT NULL")
     hot = holders.groupBy("seed").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SPLIT).select("seed", F.lit(True).alias("hot"))
-    lists = (holders.join(hot, "seed", "left")
-             .groupBy("k", "r").agg(F.collect_list(F.struct("seed", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("holders")))
+    hot = stage(hot, folder, "hot")
+    dealt = holders.join(small_ids(hot), "seed", "left")
+    lists = (dealt.groupBy("k", "r").agg(F.collect_list(F.struct("seed", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("holders")))
     texts = docs.select(id_key().alias("k"), F.xxhash64(text_bytes()).alias("r"), text_bytes().alias("text"))
-    fetched = texts.join(lists, ["k", "r"]).select("k", "r", "text", "holders").mapInArrow(
-        _fetch, "g long, k long, r long, at long, low long, high long, left binary, right binary")
+
+    # repeated rows fetch once; the join has put them side by side
+    fetched = (texts.join(lists, ["k", "r"]).dropDuplicates(["k", "r"]).select("k", "r", "text", "holders")
+               .mapInArrow(_fetch, "g long, k long, r long, at long, low long, high long, left binary, right binary"))
+    windowed = None
+    if not hot.isEmpty():
+        # bytes are fetched once and staged, so that groups that are still too large can go window by window
+        fetched = stage(fetched, folder, "fetched")
+        release(spark)
+        large = stage(fetched.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SPLIT).select("g"), folder, "large")
+        if not large.isEmpty():
+            large = small_ids(large)
+            windowed = _by_window(fetched.join(large, "g", "left_semi"), folder)
+            fetched = fetched.join(large, "g", "left_anti")
     sorted_ = (fetched.repartition(parts, "g").sortWithinPartitions("g")
                .mapInArrow(_sort_blocks, "k long, r long, begin long, end long"))
+    if windowed is not None:
+        sorted_ = sorted_.unionByName(windowed)
     edges = stage(sorted_, folder, "edges")
     release(spark)
     return whole.unionByName(edges)
@@ -307,7 +354,7 @@ def dedup(docs: DataFrame, as_text: bool = False) -> DataFrame:
     marks = (stretches(docs, folder).groupBy("k", "r")
              .agg(F.collect_list(F.struct("begin", "end")).alias("marks")))
     marks = stage(marks, folder, "marks")
-    discard(spark, folder, "met", "edges")
+    discard(spark, folder, "met", "hot", "fetched", "large", "shared", "windows", "edges")
     release(spark)
     doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     rows = docs.select(doc.alias("doc"), id_key().alias("k"), F.xxhash64(text_bytes()).alias("r"), text_bytes().alias("text"))

@@ -278,6 +278,52 @@ def test_repeated_rows_keep_their_text(spark, partitions):
     assert kept == [(1, alone)] * 2 + [(2, twice + alone[:50])] * 2
 
 
+def test_a_line_with_different_text_around_it(spark, monkeypatch):
+    """A line of 62 to 99 bytes puts all its holders in one group; no task sorts more than SPLIT rows of a group."""
+    r = random.Random(12)
+    some = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    line, ends = some(84), [some(30) for _ in range(12)]
+    rows = [(i, some(150) + line + ends[i % 12] + some(150), "s", "", 0) for i in range(90)]
+    rows += rows[:3]
+    whole = substrings._sort_blocks
+
+    def bounded(batches):
+        sizes = {}
+
+        def watched():
+            for batch in batches:
+                for g in batch.column(batch.schema.get_field_index("g")).to_pylist():
+                    sizes[g] = sizes.get(g, 0) + 1
+                assert max(sizes.values(), default=0) <= 20
+                yield batch
+        yield from whole(watched())
+
+    monkeypatch.setattr(substrings, "SPLIT", 20)
+    monkeypatch.setattr(substrings, "_sort_blocks", bounded)
+    got = substrings.dedup(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    want = _removed([(x[0], x[1].encode()) for x in rows[:90]])
+    assert sorted((x.doc.doc_id, bytes(x.kept)) for x in got) == sorted((x[0], want[x[0]][0]) for x in rows)
+    assert sum(len(x[1]) for x in rows) > sum(len(x.kept) for x in got)
+
+
+def test_meeting_does_not_depend_on_batches():
+    import pyarrow as pa
+    r = random.Random(13)
+    rows = sorted((r.randrange(6), r.randrange(4), r.randrange(3), 0, r.randrange(3)) for _ in range(80))
+
+    def run(size):
+        out = []
+        for at in range(0, len(rows), size):
+            cols = list(zip(*rows[at:at + size]))
+            out.append(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols] + [pa.array([False] * len(cols[0]))],
+                                                  names=["seed", "span", "k", "r", "place", "settled"]))
+        return sorted((tuple(x.values()) for b in substrings._meet(iter(out)) for x in b.to_pylist()), key=repr)
+
+    spans = {s: {x[1] for x in rows if x[0] == s} for s in range(6)}
+    assert sum(x[0] is not None for x in run(80)) == sum(len(v) for v in spans.values() if len(v) > 1)
+    assert all(run(n) == run(80) for n in (1, 2, 3, 7))
+
+
 def test_suffix_sort_orders_like_bytes():
     r = random.Random(9)
     rows = [(g, bytes(r.choice(b"ab") for _ in range(r.randint(1, 60)))) for g in range(5) for _ in range(r.randint(1, 40))]
