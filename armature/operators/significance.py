@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from armature.functions import stats as S
 from armature.operators import shares as SH
-from armature.schemas import VERDICTS, WILSON_Z
+from armature.schemas import WILSON_Z
 
 TREATED_TYPES = ["neg", "neu", "pos"]
 
@@ -67,8 +67,7 @@ def chi_square_tests(df: DataFrame, by: str = "model_id", type_col: str = "distr
            .agg(F.count(F.lit(1)).alias("o")))
     types = obs.select(by, type_col).distinct()
     verds = obs.select(by, verdict).distinct()
-    grid = (types.select(by, type_col, F.explode(F.array(*[F.lit(v) for v in VERDICTS])).alias(verdict))
-            .join(verds, [by, verdict], "left_semi"))
+    grid = types.join(verds, by)
     cells = grid.join(obs, [by, type_col, verdict], "left").fillna(0, subset=["o"])
     rt = obs.groupBy(by, type_col).agg(F.sum("o").alias("rt"))
     ct = obs.groupBy(by, verdict).agg(F.sum("o").alias("ct"))

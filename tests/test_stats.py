@@ -205,3 +205,14 @@ def test_average_ranks_across_range_partitions(spark):
             below = np.searchsorted(order, v, side="left")
             ties = np.searchsorted(order, v, side="right") - below
             assert got[(g, v)] == below + (ties + 1) / 2
+
+
+def test_chi_square_counts_every_verdict_seen(spark):
+    """A verdict outside VERDICTS has cells too, zero ones included."""
+    from armature.operators import significance as SG
+    table = {"baseline": {"Yes": 8, "yes": 3, "No": 5}, "neg": {"Yes": 2, "No": 9}, "pos": {"yes": 7, "No": 4, "Yes": 6}}
+    rows = [("m", t, v) for t, c in table.items() for v, n in c.items() for _ in range(n)]
+    got = SG.chi_square_tests(spark.createDataFrame(rows, "model_id string, distractor_type string, verdict string")).first()
+    o = np.array([[c.get(v, 0) for v in ("Yes", "yes", "No")] for c in table.values()], float)
+    e = o.sum(1, keepdims=True) * o.sum(0) / o.sum()
+    assert abs(got["chi2"] - ((o - e) ** 2 / e).sum()) < 1e-9 and got["dof"] == 4
