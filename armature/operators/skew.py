@@ -36,7 +36,7 @@ def split_hot_join(big: DataFrame, per_key: DataFrame, keys: list[str], count_co
     per_key = cut_lineage(per_key)
     key_counts = per_key.select(*keys, count_col).distinct()
     hot_keys = (key_counts.where(F.col(count_col) > hot_rows)
-                .orderBy(F.col(count_col).desc()).limit(max_hot_keys).select(*keys))
+                .orderBy(F.col(count_col).desc(), *keys).limit(max_hot_keys).select(*keys))
     hot_side = per_key.join(F.broadcast(hot_keys), keys, "left_semi").drop(count_col)
     cold_side = per_key.join(F.broadcast(hot_keys), keys, "left_anti").drop(count_col)
     big_hot = big.join(F.broadcast(hot_keys), keys, "left_semi")

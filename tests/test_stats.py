@@ -216,3 +216,14 @@ def test_chi_square_counts_every_verdict_seen(spark):
     o = np.array([[c.get(v, 0) for v in ("Yes", "yes", "No")] for c in table.values()], float)
     e = o.sum(1, keepdims=True) * o.sum(0) / o.sum()
     assert abs(got["chi2"] - ((o - e) ** 2 / e).sum()) < 1e-9 and got["dof"] == 4
+
+
+def test_hot_keys_have_a_total_order(spark):
+    """Equal counts at the cut: the keys chosen do not depend on the evaluation."""
+    from armature.operators.skew import split_hot_join
+    per_key = spark.range(40).selectExpr("id AS key", "3L AS n", "id * 2 AS m")
+    big = spark.range(120).selectExpr("id % 40 AS key", "id")
+    joined = split_hot_join(big, per_key, ["key"], "n", hot_rows=1, max_hot_keys=7)
+    import re
+    assert re.search(r"n#\d+L DESC NULLS LAST, key#\d+L ASC NULLS FIRST", joined._jdf.queryExecution().toString())
+    assert sorted(map(tuple, joined.select("id", "m").collect())) == [(i, i % 40 * 2) for i in range(120)]
