@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armature.llm import (bpe, hilbert, kdtree, line_runs, minmax, packing, substrings, token_files, tokens, tool_calls,
-                          toxicity)
+from armature.llm import (bpe, hilbert, kdtree, line_runs, minmax, packing, spelling, substrings, token_files, tokens,
+                          tool_calls, toxicity)
 from armature.llm.common import documents
 from pyspark.sql import functions as F
 
@@ -59,6 +59,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_minmax_dedup": (op1_minmax_dedup, minmax.ORACLE),
     "op2_suffix_dedup": (op2_suffix_dedup, substrings.ORACLE),
@@ -70,4 +74,5 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_kdtree_topk": (op8_kdtree_topk, kdtree.ORACLE),
     "op9_line_runs": (op9_line_runs, line_runs.ORACLE),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_spelling_variants": (op11_spelling_variants, spelling.ORACLE),
 }
