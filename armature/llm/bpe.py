@@ -28,7 +28,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     def run(batches):
         encoder = K.encoder(K.TrieBpe, tokenizer)
-        for part in K.row_slices(batches):
+        for part in K.row_slices(batches, encodes=True):
             arrays = encoder.encode_batch(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [part.column(0),

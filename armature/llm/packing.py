@@ -46,10 +46,10 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         task = TaskContext.get().partitionId()
         encoder = K.encoder(K.LibraryBpe, tokenizer)
         width = 4 if max(encoder.engine.lib.get_vocab_size(), end_id + 1) > 1 << 16 else 2
-        end = np.array([end_id], dtype="<u4")
+        end = end_id.to_bytes(4, "little")
         sums: dict[str | None, int] = {}
-        for part in K.row_slices(batches):
-            arrays = [np.concatenate((a, end)) for a in encoder.encode_batch(part.column(2).to_pylist())]
+        for part in K.row_slices(batches, encodes=True):
+            arrays = [np.frombuffer(encoder.encode_bytes(t) + end, "<u4") for t in part.column(2).to_pylist()]
             before = []
             for source, a in zip(part.column(1).to_pylist(), arrays):
                 before.append(sums.get(source, 0))

@@ -175,7 +175,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
             ids.clear()
             arrays.clear()
 
-        for batch in K.row_slices(batches):
+        for batch in K.row_slices(batches, encodes=True):
             for k, a in zip(batch.column(0).to_pylist(), encoder.encode_batch(batch.column(1).to_pylist())):
                 ids.append(k)
                 arrays.append(np.concatenate((a, end)))

@@ -25,8 +25,9 @@ import struct
 
 import numpy as np
 
-#: Chunks in one generation of a worker's cache.
-_CACHE_CHUNKS = 600_000
+#: Bytes of one generation of a worker's cache, and what an entry takes beside its chunk and ids.
+_CACHE_BYTES = 64 << 20
+_ENTRY_BYTES = 180
 _PAIRS = 2_000_000
 _SINGLE = 1 << 60
 #: Stands for the end of a word; byte-level signs are all below U+0144.
@@ -136,12 +137,11 @@ class TrieBpe:
                     return False
         return True
 
-    def _last_token(self, text: str, last: list[int]) -> tuple[int, int]:
-        """The last token of the encoding of ``text`` and where it begins; ``last``: of each shorter prefix."""
-        size = len(text)
+    def _last_token(self, text: str, size: int, last: list[int]) -> tuple[int, int]:
+        """The last token of the encoding of ``text[:size]`` and where it begins; ``last``: of each shorter prefix."""
         by_text, pairs = self.by_text, self._pairs
-        for begin in range(max(0, size - self.reach.get(text[-2:], 1)), size):
-            t = by_text.get(text[begin:])
+        for begin in range(max(0, size - self.reach.get(text[max(0, size - 2):size], 1)), size):
+            t = by_text.get(text[begin:size])
             if t is not None:
                 if not begin:
                     return t, 0
@@ -153,7 +153,7 @@ class TrieBpe:
                     fits = pairs[pair] = self._adjacent(last[begin], t)
                 if fits:
                     return t, begin
-        raise ValueError(f"no token ends {text!r}")
+        raise ValueError(f"no token ends {text[:size]!r}")
 
     def encode_words(self, words) -> dict[str, list[int]]:
         """Ids of distinct words (byte-level signs, without suffix), by a depth-first walk over their trie."""
@@ -162,16 +162,16 @@ class TrieBpe:
         last, back = [-1], [0]      # by depth: the last token of the prefix that ends there, and its beginning
         for word in sorted(words):
             inner = len(word) - 1
-            keep, most = 0, min(len(path), inner)
+            keep, most = 0, min(max(len(path) - 1, 0), inner)
             while keep < most and path[keep] == word[keep]:
                 keep += 1
             del last[keep + 1:], back[keep + 1:]
             for end in range(keep + 1, inner + 1):
-                t, begin = self._last_token(word[:end], last)
+                t, begin = self._last_token(word, end, last)
                 last.append(t)
                 back.append(begin)
-            path = word[:inner]
-            t, at = self._last_token(word + _END, last)
+            path = word
+            t, at = self._last_token(word + _END, inner + 2, last)
             ids = [t]
             while at:
                 ids.append(last[at])
@@ -205,7 +205,7 @@ class TrieBpe:
 
 
 class LibraryBpe:
-    """The tokenizers library itself, on distinct chunks (operators 5 and 7)."""
+    """The tokenizers library itself, chunk by chunk (operators 5 and 7)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -213,66 +213,97 @@ class LibraryBpe:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-
-    def encode_chunks(self, chunks: list[str]) -> dict[str, list[int]]:
-        """Plain chunks go to the library's model word by word, the others through the whole library."""
-        out, others = {}, []
-        merge = self.lib.model.tokenize
-        for c in chunks:
-            words = plain_words(c) if "<|" not in c else None
-            if words is None:
-                others.append(c)
-            else:
-                out[c] = [t.id for t in merge(words[0])] if len(words) == 1 else [t.id for w in words for t in merge(w)]
-        if others:
-            out.update((c, e.ids) for c, e in zip(others, self.lib.encode_batch_fast(others, add_special_tokens=False)))
-        return out
+        self.merge = self.lib.model.tokenize
+        self.signs = [i.to_bytes(4, "little") for i in range(self.lib.get_vocab_size())]
+
+    def chunk_bytes(self, chunk: bytes) -> bytes:
+        """Ids of one chunk: a plain one goes to the library's model word by word, another through the whole library."""
+        text, signs, merge = chunk.decode("utf-8"), self.signs, self.merge
+        words = plain_words(text) if "<|" not in text else None
+        if words is None:
+            return b"".join([signs[i] for i in self.lib.encode(text, add_special_tokens=False).ids])
+        if len(words) == 1:
+            return b"".join([signs[t.id] for t in merge(words[0])])
+        return b"".join([signs[t.id] for w in words for t in merge(w)])
+
+
+class _Generation(dict):
+    """Ids of recently used chunks; what it lacks comes from the generation before it or from the engine."""
+
+    def __init__(self, before: dict, engine):
+        super().__init__()
+        self.before, self.engine, self.size = before, engine, 0
+
+    def add(self, chunk: bytes, ids: bytes) -> None:
+        self[chunk] = ids
+        self.size += len(chunk) + len(ids) + _ENTRY_BYTES
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.before.get(chunk)
+        if ids is None:
+            ids = self.engine.chunk_bytes(chunk)
+        self.add(chunk, ids)
+        return ids
 
 
 class TextEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit arrays, through a bounded chunk cache."""
+    """Ids of whole texts as little-endian unsigned 32-bit arrays, through a chunk cache of two generations.
+
+    ``cache_bytes`` bounds one generation, up to the chunks that one text adds to it.
+    """
+
+    def __init__(self, engine, cache_bytes: int = _CACHE_BYTES):
+        self.engine, self.limit = engine, cache_bytes
+        self.young = _Generation({}, engine)
+
+    def _age(self) -> None:
+        if self.young.size > self.limit:
+            self.young.before = {}
+            self.young = _Generation(self.young, self.engine)
 
-    def __init__(self, engine, cache_chunks: int = _CACHE_CHUNKS):
-        self.engine, self.limit = engine, cache_chunks
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+    def join(self, chunks: list) -> bytes:
+        """Ids of a text's chunks, side by side."""
+        ids = b"".join(map(self.young.__getitem__, chunks))
+        self._age()
+        return ids
+
+    def encode_bytes(self, text: bytes) -> bytes:
+        """Ids of one UTF-8 text, side by side."""
+        return self.join(text.split())
 
     def encode_batch(self, texts: list[bytes]) -> list[np.ndarray]:
         """One array per UTF-8 text."""
-        out: list[np.ndarray] = []
-        held: list[tuple[list[bytes], list[bytes | None]]] = []   # chunks and ids of texts not yet put out
-        fresh: dict[bytes, None] = {}
-        young, old = self.young, self.old
+        if hasattr(self.engine, "chunk_bytes"):
+            return [np.frombuffer(self.encode_bytes(t), dtype="<u4") for t in texts]
+        return [np.frombuffer(ids, dtype="<u4") for ids in self._by_trie(texts)]
+
+    def _by_trie(self, texts: list[bytes]) -> list[bytes]:
+        """An engine that shares prefixes gets the new chunks of many texts at once."""
+        out: list[bytes] = []
+        held: list[list[bytes]] = []                # chunks of texts not yet put out
+        fresh: set[bytes] = set()
 
         def flush():
-            if fresh:
-                names = [c.decode("utf-8") for c in fresh]
-                got = self.engine.encode_chunks(names)
-                for c, n in zip(fresh, names):
-                    young[c] = _bytes(got[n])
-                fresh.clear()
-            for chunks, ids in held:
-                if None in ids:
-                    ids = [young[c] if i is None else i for c, i in zip(chunks, ids)]
-                out.append(np.frombuffer(b"".join(ids), dtype="<u4"))
+            names = [c.decode("utf-8") for c in fresh]
+            got = self.engine.encode_chunks(names)
+            for n in names:
+                self.young.add(n.encode("utf-8"), _bytes(got[n]))
+            fresh.clear()
+            out.extend(b"".join(map(self.young.__getitem__, chunks)) for chunks in held)
             held.clear()
-            if len(young) > self.limit:
-                old.clear()
-                old.update(young)
-                young.clear()
+            self._age()
 
         pending = 0
         for text in texts:
             chunks = text.split()
-            ids = list(map(young.get, chunks))
-            if None in ids:
-                for c in {c for c, i in zip(chunks, ids) if i is None}:
-                    known = old.get(c)
-                    if known is not None:
-                        young[c] = known
+            for c in set(chunks):
+                if c not in self.young:
+                    known = self.young.before.get(c)
+                    if known is None:
+                        fresh.add(c)
                     else:
-                        fresh[c] = None
-            held.append((chunks, ids))
+                        self.young.add(c, known)
+            held.append(chunks)
             pending += len(chunks)
             if len(fresh) > 20_000 or pending > 500_000:
                 flush()
@@ -287,6 +318,7 @@ _encoders: dict[tuple[type, str], TextEncoder] = {}
 def encoder(kind: type, path: str) -> TextEncoder:
     """The worker's encoder for a tokenizer file (one per Python process)."""
     if (kind, path) not in _encoders:
+        _encoders.clear()
         _encoders[(kind, path)] = TextEncoder(kind(path))
     return _encoders[(kind, path)]
 
@@ -296,9 +328,24 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def row_slices(batches, most_bytes: int = 4 << 20):
-    """Arrow record batches cut into slices of at most about ``most_bytes`` (one row at least)."""
+def give_back() -> None:
+    """Return freed memory to the system: a worker goes on to other tasks, and its executor counts it."""
+    import ctypes
+
     import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    if trim:
+        trim(0)
+
+
+def row_slices(batches, most_bytes: int = 4 << 20, encodes: bool = False):
+    """Arrow record batches cut into slices of at most about ``most_bytes`` (one row at least).
+
+    A function that does not encode (``encodes``) drops the encoder that an earlier task left in the worker.
+    """
+    if not encodes:
+        _encoders.clear()
     for batch in batches:
         rows = batch.num_rows
         if not rows:
@@ -306,4 +353,4 @@ def row_slices(batches, most_bytes: int = 4 << 20):
         step = max(1, int(rows * most_bytes / max(batch.nbytes, 1)))
         for at in range(0, rows, step):
             yield batch.slice(at, step)
-    pa.default_memory_pool().release_unused()       # a worker goes on to other tasks
+    give_back()

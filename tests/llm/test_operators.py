@@ -72,10 +72,16 @@ def test_trie_and_plain_path_equal_the_library(lib):
     texts += ["<|startoftext|>a<|endoftext|>", "don't we'll", "a" * 500, "", " ", "hahaha" * 50]
     want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
     for engine in (tokens.TrieBpe, tokens.LibraryBpe):
-        e = tokens.TextEncoder(engine(tokens.tokenizer_path()), cache_chunks=50)
+        e = tokens.TextEncoder(engine(tokens.tokenizer_path()), cache_bytes=9_000)
         assert [a.tolist() for a in e.encode_batch([t.encode() for t in texts])] == want
 
 
+def test_a_long_unbroken_word_takes_linear_time(lib):
+    word = "".join(random.Random(2).choice("abcdefghij") for _ in range(1_000_000))
+    got = tokens.TextEncoder(tokens.TrieBpe(tokens.tokenizer_path())).encode_batch([word.encode()])
+    assert got[0].tolist() == lib.encode(word, add_special_tokens=False).ids
+
+
 def test_encode_decode(spark, lib):
     docs = _docs(spark)
     got = sorted(map(tuple, bpe.digests(bpe.encode_decode(docs, tokens.tokenizer_path())).collect()), key=str)
