@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armature.llm import (bpe, hilbert, kdtree, line_runs, minmax, packing, spelling, substrings, token_files, tokens,
-                          tool_calls, toxicity)
+from armature.llm import (alignment, bpe, hilbert, kdtree, line_runs, minmax, packing, spelling, substrings,
+                          token_files, tokens, tool_calls, toxicity)
 from armature.llm.common import documents
 from pyspark.sql import functions as F
 
@@ -63,6 +63,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(documents(spark, sf_dir), tokens.tokenizer_path("byte_bpe_50k.json"),
+                            tokens.tokenizer_path("piece_bpe_32k.model"))
+
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_minmax_dedup": (op1_minmax_dedup, minmax.ORACLE),
     "op2_suffix_dedup": (op2_suffix_dedup, substrings.ORACLE),
@@ -75,4 +80,5 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_line_runs": (op9_line_runs, line_runs.ORACLE),
     "op10_toxicity": (op10_toxicity, None),
     "op11_spelling_variants": (op11_spelling_variants, spelling.ORACLE),
+    "op12_token_alignment": (op12_token_alignment, None),
 }
