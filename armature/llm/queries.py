@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armature.llm import (alignment, bpe, hilbert, kdtree, line_runs, minmax, packing, spelling, substrings,
+from armature.llm import (alignment, bpe, hilbert, jaccard, kdtree, line_runs, minmax, packing, spelling, substrings,
                           token_files, tokens, tool_calls, toxicity)
 from armature.llm.common import documents
 from pyspark.sql import functions as F
@@ -68,6 +68,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
                             tokens.tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir), words=4, threshold=0.85)
+
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_minmax_dedup": (op1_minmax_dedup, minmax.ORACLE),
     "op2_suffix_dedup": (op2_suffix_dedup, substrings.ORACLE),
@@ -81,4 +85,5 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op10_toxicity": (op10_toxicity, None),
     "op11_spelling_variants": (op11_spelling_variants, spelling.ORACLE),
     "op12_token_alignment": (op12_token_alignment, None),
+    "op13_jaccard_join": (op13_jaccard_join, jaccard.ORACLE),
 }
