@@ -1,11 +1,8 @@
 """Experiment design, resumption and eligibility.
 
 The design pairs every scenario with the untreated arm and with every
-distractor - its output *is* that product.  It is expressed as an equi-join on
-a bucket column: the scenario side is hashed into ``buckets`` slices and the
-(size-checked) distractor registry is replicated once per slice, so no
-Cartesian operator is planned, each task emits only its slice, and a large
-registry spreads over many tasks instead of one broadcast.
+distractor - its output *is* that product, emitted cell by cell on a block
+grid sized from the counts of both sides (``operators.grid``).
 """
 
 from __future__ import annotations
@@ -14,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from armature.functions.text import safe_identifier
-from armature.operators.conditions import MAX_BROADCAST_ROWS, small_side
+from armature.operators.conditions import small_side
+from armature.operators.grid import TARGET_ROWS, cross
 
 
 def _arm_cols(distractors: DataFrame) -> list[Column]:
@@ -22,9 +20,19 @@ def _arm_cols(distractors: DataFrame) -> list[Column]:
             F.col("file_path").alias("distractor_file_path")]
 
 
+def arms(distractors: DataFrame | None, spark, include_baseline: bool = True) -> DataFrame:
+    """(distractor_id, distractor_modality, distractor_file_path): the untreated arm (nulls) and every distractor."""
+    id_type = "string" if distractors is None else distractors.schema["id"].dataType.simpleString()
+    untreated = spark.createDataFrame([(None, None, None)] if include_baseline else [],
+                                      f"distractor_id {id_type}, distractor_modality string, distractor_file_path string")
+    if distractors is None:
+        return untreated
+    treated = distractors.select(*_arm_cols(distractors))
+    return untreated.unionByName(treated) if include_baseline else treated
+
+
 def design(scenarios: DataFrame, distractors: DataFrame | None, formats: list[str],
-           include_baseline: bool = True, buckets: int = 16,
-           max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+           include_baseline: bool = True, target_rows: int = TARGET_ROWS) -> DataFrame:
     """Scenarios x (untreated arm + every distractor) x question formats.
 
     Returns (scenario cols..., distractor_id, distractor_modality,
@@ -32,25 +40,8 @@ def design(scenarios: DataFrame, distractors: DataFrame | None, formats: list[st
     distractor columns.
     """
     fmt = F.explode(F.array(*[F.lit(f) for f in formats])).alias("question_format")
-    arms_schema_cols = ["distractor_id", "distractor_modality", "distractor_file_path"]
-    parts = []
-    if include_baseline:
-        base = scenarios.select("*", fmt)
-        id_type = "string" if distractors is None else distractors.schema["id"].dataType
-        for c, t in zip(arms_schema_cols, [id_type, "string", "string"]):
-            base = base.withColumn(c, F.lit(None).cast(t))
-        parts.append(base)
-    if distractors is not None:
-        arms = distractors.select(*_arm_cols(distractors))
-        buckets = max(int(buckets), 2)         # a constant key would be folded into a Cartesian plan
-        arms = arms.select("*", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_bucket"))
-        scen = scenarios.withColumn("_bucket", F.pmod(F.xxhash64(scenarios.columns[0]), F.lit(buckets)))
-        paired = scen.join(small_side(arms, max_broadcast_rows), "_bucket").drop("_bucket")
-        parts.append(paired.select("*", fmt))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    every = arms(distractors, scenarios.sparkSession, include_baseline)
+    return cross(scenarios, every, target=target_rows).select("*", fmt)
 
 
 def expand_models(df: DataFrame, models: list[str]) -> DataFrame:
@@ -65,10 +56,14 @@ RESULT_KEY = ("experiment", "dataset", "model_id", "question_format", "scenario_
 def pending(design_rows: DataFrame, done: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
     """Drop pairs that already have a stored result; null-safe on every key.
 
-    ``keys`` defaults to the parts of ``RESULT_KEY`` that both sides carry.
+    ``keys`` defaults to the parts of ``RESULT_KEY`` among the columns; a part that only one side has is an
+    error, since leaving it out would drop work of another experiment, dataset or ordering.
     """
     if keys is None:
-        keys = tuple(k for k in RESULT_KEY if k in design_rows.columns and k in done.columns)
+        keys = tuple(k for k in RESULT_KEY if k in design_rows.columns or k in done.columns)
+        lost = [k for k in keys if k not in design_rows.columns or k not in done.columns]
+        if lost:
+            raise ValueError(f"only one side has {', '.join(lost)}")
     cond = None
     d = done.select(*[F.col(k).alias(f"_done_{k}") for k in keys])
     for k in keys:

@@ -27,6 +27,7 @@ class DatasetSpec:
     render: Callable[[DataFrame], DataFrame]
     score: Callable[[DataFrame], DataFrame]
     formats: list[str] = field(default_factory=list)
+    orderings: int = 1
 
 
 def _score_choice(fmt: str):
@@ -52,7 +53,7 @@ def spec(dataset: str) -> DatasetSpec:
         raise KeyError(f"unknown dataset {dataset!r}")
     fmt = cfg["formats"][0]
     if dataset.startswith("moralchoice"):
-        return DatasetSpec(dataset, lambda d: RD.render_choice(d, fmt), _score_choice(fmt), cfg["formats"])
+        return DatasetSpec(dataset, lambda d: RD.render_choice(d, fmt), _score_choice(fmt), cfg["formats"], 2)
     if dataset == "normbank":
         return DatasetSpec(dataset, RD.render_system_injected, _score_normbank, cfg["formats"])
     return DatasetSpec(dataset, RD.render_verdict, _score_reddit, cfg["formats"])

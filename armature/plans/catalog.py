@@ -619,6 +619,33 @@ def q_design_pending(spark, sf_dir):
         "model_id", "scenario_id", "distractor_id")
 
 
+_STORE_SQL = """store AS (
+  SELECT CASE WHEN l_quantity % 3 = 0 THEN 'pilot' ELSE 'main' END AS experiment,
+         CASE WHEN l_linestatus = 'O' THEN 'moralchoice_high_ambiguity' ELSE 'moralchoice_low_ambiguity' END AS dataset,
+         l_returnflag AS model_id, CASE WHEN l_orderkey % 2 = 0 THEN 'ab' ELSE 'compare' END AS question_format,
+         l_partkey AS scenario_id, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE l_suppkey END AS distractor_id,
+         l_linenumber % 2 AS question_ordering, CASE WHEN l_linenumber % 5 = 0 THEN 'failed' ELSE 'ok' END AS status
+  FROM lineitem)"""
+
+
+@register("resume_pending", with_views(f"""
+WITH {_STORE_SQL},
+arms AS (SELECT CAST(NULL AS BIGINT) AS distractor_id UNION ALL SELECT id FROM v_distractors),
+x AS (SELECT s.id AS scenario_id, a.distractor_id, f.question_format, o.question_ordering FROM v_scenarios s CROSS JOIN arms a
+      CROSS JOIN (VALUES ('ab'), ('compare')) f(question_format) CROSS JOIN (VALUES (0), (1)) o(question_ordering))
+SELECT 'main' AS experiment, 'moralchoice_high_ambiguity' AS dataset, 'N' AS model_id, x.* FROM x WHERE NOT EXISTS (
+  SELECT 1 FROM store r WHERE r.experiment = 'main' AND r.dataset = 'moralchoice_high_ambiguity' AND r.model_id = 'N'
+    AND r.status = 'ok' AND r.question_format = x.question_format AND r.scenario_id = x.scenario_id
+    AND r.distractor_id IS NOT DISTINCT FROM x.distractor_id AND r.question_ordering = x.question_ordering)
+""", "v_scenarios", "v_distractors"))
+def q_resume_pending(spark, sf_dir):
+    from armature.operators.resume import resume_pending
+    rows = resume_pending(V.scenarios(spark, sf_dir).select(F.col("id").alias("scenario_id")), V.distractors(spark, sf_dir),
+                          ["ab", "compare"], V.result_store(spark, sf_dir), experiment="main",
+                          dataset="moralchoice_high_ambiguity", models=["N"], orderings=2)
+    return rows.select("experiment", "dataset", "model_id", "scenario_id", "distractor_id", "question_format", "question_ordering")
+
+
 @register("prompt_ids", with_views(f"""
 WITH p AS (SELECT DISTINCT scenario_id, distractor_id, question_ordering FROM v_responses)
 SELECT CAST(scenario_id AS VARCHAR) || '_' || coalesce(CAST(distractor_id AS VARCHAR), 'none') || '_'

@@ -19,28 +19,37 @@ from armature.operators import design as DS
 from armature.operators import effects as E
 from armature.operators import mixedlm as ML
 from armature.operators import report as RP
+from armature.operators.resume import resume_pending
 from armature.operators.spec import spec
-from armature.sources.registry import sampling_defaults
+from armature.sources.registry import DATASETS, models_df, sampling_defaults
+
+
+def pending_prompts(scenarios: DataFrame, distractors: DataFrame | None, dataset: str, models: list[str],
+                    done: DataFrame | None = None, experiment: str = "main") -> DataFrame:
+    """Eligible prompts of (experiment, dataset) without an ok result in the store ``done`` (``RESULT_KEY`` columns)."""
+    spark, sp = scenarios.sparkSession, spec(dataset)
+    if done is None:
+        done = spark.createDataFrame([], ", ".join(f"{k} string" for k in DS.RESULT_KEY))
+    rows = resume_pending(scenarios, distractors, sp.formats, done, experiment=experiment, dataset=dataset,
+                          models=models, orderings=sp.orderings)
+    if sp.orderings == 1:
+        rows = rows.drop("question_ordering")
+    kept = DS.eligibility(rows, models_df(spark), DATASETS[dataset]["distractors"])
+    return kept.where("status = 'eligible'").drop("status", "accepts_images")
 
 
 def evaluation_requests(scenarios: DataFrame, distractors: DataFrame | None, texts: DataFrame,
                         dataset: str, model: str, done: DataFrame | None = None,
                         max_tokens: int = 200, temperature: float | None = None,
-                        top_p: float | None = None) -> DataFrame:
-    """Pending prompts of one (dataset, model) as batch request lines (custom_id, line).
+                        top_p: float | None = None, experiment: str = "main") -> DataFrame:
+    """Pending prompts of one (experiment, dataset, model) as batch request lines (custom_id, line).
 
-    ``scenarios`` carries scenario_id, context[, action1, action2]; ``done`` holds
-    (model_id, scenario_id, distractor_id) of stored ok results.
+    ``scenarios`` carries scenario_id, context[, action1, action2]; ``done`` is the result store.
+    The request names the model without its registry prefix.
     """
-    sp = spec(dataset)
-    rows = DS.expand_models(DS.design(scenarios, distractors, sp.formats), [model])
-    if done is not None:
-        rows = DS.pending(rows, done)
-    if dataset.startswith("moralchoice"):
-        rows = rows.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("question_ordering"))
-    prompts = sp.render(_with_texts(rows, texts))
+    prompts = spec(dataset).render(_with_texts(pending_prompts(scenarios, distractors, dataset, [model], done, experiment), texts))
     t, p = sampling_defaults(dataset, temperature, top_p)
-    return BT.batch_requests(prompts, model, max_tokens, t, p)
+    return BT.batch_requests(prompts, model.split("/")[-1], max_tokens, t, p)
 
 
 def _with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:

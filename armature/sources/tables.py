@@ -140,3 +140,15 @@ def batch_responses(spark, sf_dir) -> DataFrame:
 def done_pairs(spark, sf_dir) -> DataFrame:
     """Pairs with a stored result: distinct (model, scenario, distractor) of v_responses."""
     return responses(spark, sf_dir).select("model_id", "scenario_id", "distractor_id").distinct()
+
+
+def result_store(spark, sf_dir) -> DataFrame:
+    """A result store over lineitem: two experiments, two datasets, two formats, some failed rows."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_quantity") % 3 == 0, "pilot").otherwise("main").alias("experiment"),
+        F.when(F.col("l_linestatus") == "O", "moralchoice_high_ambiguity").otherwise("moralchoice_low_ambiguity").alias("dataset"),
+        F.col("l_returnflag").alias("model_id"),
+        F.when(F.col("l_orderkey") % 2 == 0, "ab").otherwise("compare").alias("question_format"),
+        F.col("l_partkey").alias("scenario_id"), _nullif_mod(F.col("l_suppkey"), 4).alias("distractor_id"),
+        (F.col("l_linenumber") % 2).alias("question_ordering"),
+        F.when(F.col("l_linenumber") % 5 == 0, "failed").otherwise("ok").alias("status"))

@@ -37,7 +37,8 @@ def test_design_counts_and_pending_idempotent(spark, tmp_dir):
     assert again.count() == 0                                  # nothing pending the second time
     assert spark.read.parquet(store).count() == 6
     pend = DS.pending(rows.select("model_id", "scenario_id", "distractor_id"),
-                      spark.read.parquet(store).where(F.col("distractor_id").isNull()))
+                      spark.read.parquet(store).where(F.col("distractor_id").isNull()),
+                      keys=("model_id", "scenario_id", "distractor_id"))
     assert pend.count() == 4                                   # null-safe: baselines matched
 
 
