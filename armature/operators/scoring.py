@@ -28,14 +28,17 @@ def answer_to_action(df: DataFrame, ordering: str = "question_ordering") -> Data
              .withColumn("a2_prob", F.when(o0, F.col("p_second")).otherwise(F.col("p_first")))
 
 
-def score_choice(df: DataFrame, positions: str, question_format: str) -> DataFrame:
-    """A1 + P10 for a choice question: answer-label marginals, then map to actions."""
+def score_choice(df: DataFrame, positions: str, question_format: str, variants: DataFrame | None = None) -> DataFrame:
+    """A1 + P10 for a choice question: answer-label marginals, then map to actions.
+
+    ``variants``: the models' token sequences (``probability.token_seqs``).
+    """
     first, second = answer_labels(question_format)
-    probs = PR.answer_probs(df, positions, [first, second], suffix="_p")
+    probs = PR.answer_probs(df, positions, [first, second], suffix="_p", variants=variants)
     return answer_to_action(probs.withColumnRenamed(f"{first.lower()}_p", "p_first")
                                  .withColumnRenamed(f"{second.lower()}_p", "p_second"))
 
 
-def score_options(df: DataFrame, positions: str, family: str) -> DataFrame:
+def score_options(df: DataFrame, positions: str, family: str, variants: DataFrame | None = None) -> DataFrame:
     """A1 for every label of an option family (normbank: good/ok/bad; reddit: five verdicts)."""
-    return PR.answer_probs(df, positions, VARIANT_FAMILIES[family])
+    return PR.answer_probs(df, positions, VARIANT_FAMILIES[family], variants=variants)

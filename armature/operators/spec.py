@@ -14,36 +14,36 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from armature.functions import probability as PR
 from armature.functions import text as TX
 from armature.operators import render as RD
 from armature.operators import scoring as SC
-from armature.sources.registry import DATASETS, VARIANT_FAMILIES
+from armature.sources.registry import DATASETS
 
 
 @dataclass(frozen=True)
 class DatasetSpec:
     name: str
     render: Callable[[DataFrame], DataFrame]
-    score: Callable[[DataFrame], DataFrame]
+    #: (responses, models' token sequences or None) -> scored responses
+    score: Callable[[DataFrame, DataFrame | None], DataFrame]
     formats: list[str] = field(default_factory=list)
     orderings: int = 1
 
 
 def _score_choice(fmt: str):
-    def score(df: DataFrame) -> DataFrame:
-        return SC.score_choice(df, "positions", fmt)
+    def score(df: DataFrame, variants: DataFrame | None = None) -> DataFrame:
+        return SC.score_choice(df, "positions", fmt, variants)
     return score
 
 
-def _score_normbank(df: DataFrame) -> DataFrame:
-    return SC.score_options(df, "positions", "normbank")
+def _score_normbank(df: DataFrame, variants: DataFrame | None = None) -> DataFrame:
+    return SC.score_options(df, "positions", "normbank", variants)
 
 
-def _score_reddit(df: DataFrame) -> DataFrame:
+def _score_reddit(df: DataFrame, variants: DataFrame | None = None) -> DataFrame:
     t = df.withColumn("response_text", TX.response_text(F.col("answer"), F.col("answer_raw")))
     t = TX.extract_verdict_reasoning(t, "response_text")
-    return PR.answer_probs(t, "positions", VARIANT_FAMILIES["reddit"])
+    return SC.score_options(t, "positions", "reddit", variants)
 
 
 def spec(dataset: str) -> DatasetSpec:

@@ -817,7 +817,9 @@ SELECT doc_id, {", ".join(f"round({PR.marginal_duck('positions', lab)}, 6) AS {l
 FROM pos
 """, "v_text_responses"))
 def q_variant_marginal(spark, sf_dir):
-    p = PR.answer_probs(_positions(spark, sf_dir), "positions", _VERDICT_LABELS)
+    depth = PR.VariantTrie(PR.token_seqs(_VERDICT_LABELS)).depth
+    p = _response_text(spark, sf_dir).select("doc_id", F.expr(PR.whitespace_positions_sql("t", depth)).alias("positions"))
+    p = PR.answer_probs(p, "positions", _VERDICT_LABELS)
     return rounded(p.select("doc_id", *[f"{lab.lower()}_prob" for lab in _VERDICT_LABELS]))
 
 
@@ -838,6 +840,88 @@ def q_softmax_pick(spark, sf_dir):
     return rounded(g)
 
 
+# token sequences in the cut of an installed public tokenizer; positions hold tokens of three spellings each
+def _installed_cut():
+    import public_tokenizers
+    from armature.sources.registry import byte_level_cut
+    return byte_level_cut(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def _register_variant_trie():
+    from armature.sources.registry import VARIANTS, variants_df
+    cut = _installed_cut()
+    seqs = {lab: [cut(v) for v in VARIANTS[lab]] for lab in _VERDICT_LABELS}
+    every = [t for lab in _VERDICT_LABELS for t in seqs[lab]]
+    depth, n = max(map(len, every)), len(every)
+    picks = [f"doc_id % {n}", f"length(text) % {n}", f"(doc_id * 7 + length(text)) % {n}"]
+    quoted = [[PR._dq(x) for x in t] for t in every]
+    duck = "[" + ", ".join("[" + ", ".join(t) + "]" for t in quoted) + "]"
+    entry = "{{'token': s[{p} + 1][j], 'logprob': CAST(length(s[{p} + 1][j]) + j AS DOUBLE) / -10.0 - {k}.0}}"
+    sql = f"""
+WITH d AS (SELECT doc_id, coalesce("text", '') AS text FROM documents),
+pos AS (SELECT doc_id, list_transform(range(1, doc_id % 3 + {depth - 1}), lambda j: list_filter([
+    {", ".join(entry.format(p=p, k=k) for k, p in enumerate(picks))}], lambda e: e.token IS NOT NULL)) AS positions
+  FROM (SELECT doc_id, text, {duck} AS s FROM d))
+SELECT doc_id, {", ".join(f"round({PR.marginal_duck('positions', lab, seqs[lab])}, 6) AS {lab.lower()}_prob" for lab in _VERDICT_LABELS)}
+FROM pos
+"""
+
+    def run(spark, sf_dir):
+        lists = "array(" + ", ".join("array(" + ", ".join(PR._sq(x) for x in t) + ")" for t in every) + ")"
+        one = ("named_struct('token', try_element_at(s[CAST({p} AS INT)], CAST(j AS INT)), 'logprob', "
+               "CAST(length(try_element_at(s[CAST({p} AS INT)], CAST(j AS INT))) + j AS DOUBLE) / -10D - {k}D)")
+        held = ", ".join(one.format(p=p, k=k) for k, p in enumerate(picks))
+        d = (V.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+             .withColumn("s", F.expr(lists)))
+        d = d.select("doc_id", F.expr(f"transform(sequence(1L, doc_id % 3 + {depth - 2}), j -> filter(array({held}), e -> e.token IS NOT NULL))")
+                     .alias("positions"))
+        p = PR.answer_probs(d, "positions", _VERDICT_LABELS, variants=variants_df(spark, cut))
+        return rounded(p.select("doc_id", *[f"{lab.lower()}_prob" for lab in _VERDICT_LABELS]))
+    register("variant_trie", sql)(run)
+
+
+try:
+    _register_variant_trie()
+except ModuleNotFoundError as missing:          # no tokenizer files are installed here
+    if missing.name not in ("public_tokenizers", "tiktoken"):
+        raise
+
+
+# answer id sequences with a start token in front, over logits that are masked and null in places
+_ID_SEQS = {"A": [[0, 1, 5], [0, 1, 9, 3], [0, 7]], "B": [[0, 2], [0, 1, 5, 7], [0, 33, 60, 12, 4]], "C": [[0, 1, 2, 3, 4, 5], [0]]}
+_MASKED = ("CASE WHEN (vec_id + {i}) % 11 = 0 THEN CAST('-Infinity' AS DOUBLE) WHEN (vec_id + {i}) % 13 = 0 THEN NULL "
+           "ELSE CAST(v AS DOUBLE) END")
+
+
+def _id_chain_duck(seq):
+    ids = seq[1:]
+    if not ids:
+        return "1.0"
+    terms = " * ".join(f"coalesce(exp(l[{j}][{i + 1}]), 0.0)" for j, i in enumerate(ids, 1))
+    return f"(CASE WHEN len(l) < {len(ids)} THEN 0.0 ELSE {terms} END)"
+
+
+@register("logit_answer_prob", f"""
+WITH e AS (SELECT vec_id - vec_id % 4 AS seq_id, vec_id % 4 AS pos,
+             list_transform(embedding, lambda v, i: {_MASKED.format(i="i - 1")}) AS v FROM embeddings),
+m AS (SELECT *, list_max(list_filter(v, lambda x: x IS NOT NULL)) AS top FROM e),
+n AS (SELECT *, top + ln(list_sum(list_transform(list_filter(v, lambda x: x IS NOT NULL), lambda x: exp(x - top)))) AS lse FROM m),
+p AS (SELECT seq_id, list(list_transform(v, lambda x: x - lse) ORDER BY pos) AS l FROM n GROUP BY seq_id)
+SELECT seq_id, {", ".join(f"round({' + '.join(map(_id_chain_duck, s))}, 6) AS {lab.lower()}_prob" for lab, s in _ID_SEQS.items())} FROM p
+""")
+def q_logit_answer_prob(spark, sf_dir):
+    v = V.table(spark, sf_dir, "embeddings").select(
+        (F.col("vec_id") - F.col("vec_id") % 4).alias("seq_id"), (F.col("vec_id") % 4 + 1).alias("pos"),
+        F.expr(f"transform(embedding, (v, i) -> {_MASKED.format(i='i')})").alias("v"))
+    chunks = v.select("seq_id", "pos", F.explode(F.sequence(F.lit(0), F.lit(48), F.lit(16))).alias("offset"), "v") \
+        .select("seq_id", "pos", "offset", F.expr("slice(v, offset + 1, 16)").alias("logits"))
+    rows = [(lab, [str(i) for i in s[1:]]) for lab, seqs in _ID_SEQS.items() for s in seqs]      # without the start token
+    variants = spark.createDataFrame(rows, "label string, token_seq array<string>")
+    wanted = PR.VariantTrie(PR.token_seqs(list(_ID_SEQS), variants)).tokens()
+    p = PR.answer_probs(PR.logit_positions(chunks, ["seq_id"], wanted), "positions", list(_ID_SEQS), variants=variants)
+    return rounded(p.drop("positions"))
+
+
 @register("answer_to_action", """
 SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'O' THEN 'ab' ELSE 'compare' END AS question_format,
        l_linenumber % 2 AS question_ordering,

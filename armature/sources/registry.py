@@ -7,6 +7,8 @@ the experiment definition, not by the data.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,11 +125,25 @@ def templates_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, system string, user string")
 
 
-def variants_df(spark: SparkSession) -> DataFrame:
-    """(family, label, variant, variant_no): one row per answer spelling."""
+def variants_df(spark: SparkSession, cut: Callable[[str], list[str]] | None = None) -> DataFrame:
+    """(family, label, variant, variant_no, token_seq): one row per answer spelling.
+
+    ``cut`` gives a model tokenizer's token texts of a spelling (``byte_level_cut``); without it token_seq is null.
+    """
     fam_of = {lab: fam for fam, labs in VARIANT_FAMILIES.items() for lab in labs}
-    rows = [(fam_of[label], label, v, i) for label, vs in VARIANTS.items() for i, v in enumerate(vs)]
-    return spark.createDataFrame(rows, "family string, label string, variant string, variant_no int")
+    rows = [(fam_of[label], label, v, i, cut(v) if cut else None) for label, vs in VARIANTS.items() for i, v in enumerate(vs)]
+    return spark.createDataFrame(rows, "family string, label string, variant string, variant_no int, token_seq array<string>")
+
+
+def byte_level_cut(ranks_path: str, pattern: str) -> Callable[[str], list[str]]:
+    """Token texts by a byte-level BPE rank file (lines of base64 token and rank) and its splitting pattern."""
+    import base64
+
+    import tiktoken
+    with open(ranks_path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    coder = tiktoken.Encoding(ranks_path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: [coder.decode([i]) for i in coder.encode_ordinary(text)]
 
 
 def models_df(spark: SparkSession) -> DataFrame:
