@@ -7,23 +7,23 @@ per-key sufficient statistics, so the plan is:
 
   1. one ``groupBy(group, key, option)`` over the raw rows (map-side partial
      aggregation, so a hot key collapses before the shuffle) producing, per
-     condition: row count, non-null count, sum and sum of squares of the score;
+     condition: row count, non-null count, sum and centred second moment of the score;
   2. per key, combine each condition's statistics with the key's baseline
      statistics in closed form - exactly what the fan-out join would have
      produced, without emitting a single pair;
   3. one small ``groupBy(group, option, condition)``.
 
-For a treated set T and baseline set B of one key (non-null counts t, b):
-  sum over pairs of (x - y)   = b*S_T - t*S_B
-  sum over pairs of (x - y)^2 = b*Q_T - 2*S_T*S_B + t*Q_B
-and every treated row appears max(|B|, 1) times in the left join.
+Second moments are kept about their own means (Spark merges them without cancellation) and
+combined by merge rules, so a small deviation of large scores survives.  For a treated set T and a
+baseline set B of one key (non-null counts t, b; means u, v; centred moments M, W), the t * b differences
+have mean u - v and centred moment b * M + t * W, and every treated row appears max(|B|, 1) times in the left join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from armature.schemas import CONDITIONS
@@ -57,7 +57,7 @@ def key_stats(df: DataFrame, by: list[str], scores: Mapping[str, Column],
         m = c == cond
         xv = F.when(m, v)
         aggs += [F.count_if(m).alias(f"n__{cond}"), F.count(xv).alias(f"nn__{cond}"),
-                 F.sum(xv).alias(f"s__{cond}"), F.sum(xv * xv).alias(f"q__{cond}")]
+                 F.sum(xv).alias(f"s__{cond}"), (F.var_pop(xv) * F.count(xv)).alias(f"m__{cond}")]
     if zero is not None:
         aggs.append(F.max(F.col("_z").cast("int")).alias("zero_any"))
     return x.groupBy(*by, F.col("_e.o").alias(option_col)).agg(*aggs)
@@ -78,43 +78,58 @@ def pair_contributions(ks: DataFrame, keep: list[str], option_col: str = "option
         return F.coalesce(F.col(name), F.lit(0).cast(cast))
     entries = [F.struct(
         F.lit(c).alias("condition"), z(f"n__{c}").alias("n"), z(f"nn__{c}").alias("t"),
-        z(f"s__{c}", "double").alias("st"), z(f"q__{c}", "double").alias("qt"),
+        z(f"s__{c}", "double").alias("st"), z(f"m__{c}", "double").alias("mt"),
         z("n__baseline").alias("nb"), z("nn__baseline").alias("b"),
-        z("s__baseline", "double").alias("sb"), z("q__baseline", "double").alias("qb")) for c in CONDITIONS]
+        z("s__baseline", "double").alias("sb"), z("m__baseline", "double").alias("mb")) for c in CONDITIONS]
     e = (ks.select(*keep, option_col, F.explode(F.array(*entries)).alias("e"))
          .select(*keep, option_col, "e.*").where(F.col("n") > 0))
+    t, b = F.col("t").cast("double"), F.col("b").cast("double")
+    apart = F.coalesce(F.try_divide(F.col("st"), t) - F.try_divide(F.col("sb"), b), F.lit(0.0))     # difference of means
     if baseline == "mean":
-        mu = F.try_divide(F.col("sb"), F.col("b").cast("double"))
         has = F.col("b") > 0
         return e.select(
             *keep, option_col, "condition", F.col("n").alias("rows"),
-            F.col("t").alias("x_n"), F.col("st").alias("x_s"), F.col("qt").alias("x_q"),
+            F.col("t").alias("x_n"), F.col("st").alias("x_s"), F.col("mt").alias("x_m"),
             F.when(has, F.col("t")).otherwise(F.lit(0)).alias("d_n"),
-            F.when(has, F.col("st") - F.col("t") * mu).otherwise(F.lit(0.0)).alias("d_s"),
-            F.when(has, F.col("qt") - 2 * mu * F.col("st") + F.col("t") * mu * mu).otherwise(F.lit(0.0)).alias("d_q"))
+            F.when(has, t * apart).otherwise(F.lit(0.0)).alias("d_s"),
+            F.when(has, F.col("mt")).otherwise(F.lit(0.0)).alias("d_m"))
     mult = F.greatest(F.col("nb"), F.lit(1))
     return e.select(
         *keep, option_col, "condition",
         (F.col("n") * mult).alias("rows"),
-        (F.col("t") * mult).alias("x_n"), (F.col("st") * mult).alias("x_s"), (F.col("qt") * mult).alias("x_q"),
-        (F.col("t") * F.col("b")).alias("d_n"),
-        (F.col("b") * F.col("st") - F.col("t") * F.col("sb")).alias("d_s"),
-        (F.col("b") * F.col("qt") - 2 * F.col("st") * F.col("sb") + F.col("t") * F.col("qb")).alias("d_q"))
+        (F.col("t") * mult).alias("x_n"), (F.col("st") * mult).alias("x_s"), (F.col("mt") * mult).alias("x_m"),
+        (F.col("t") * F.col("b")).alias("d_n"), (t * b * apart).alias("d_s"),
+        (b * F.col("mt") + t * F.col("mb")).alias("d_m"))
 
 
-def _finish(n: Column, s: Column, q: Column, rows: Column):
-    mean = F.try_divide(s, n.cast("double"))
-    var = F.try_divide(q, n.cast("double")) - mean * mean
-    sd = F.sqrt(F.greatest(var, F.lit(0.0)))
-    return mean, sd, F.try_divide(sd, F.sqrt(rows.cast("double")))
+def _finish(v: str) -> list[Column]:
+    mean = F.try_divide(F.col(f"{v}_s"), F.col(f"{v}_n").cast("double"))
+    sd = F.sqrt(F.greatest(F.try_divide(F.col(f"{v}_m"), F.col(f"{v}_n").cast("double")), F.lit(0.0)))
+    return [mean, sd, F.try_divide(sd, F.sqrt(F.col("rows").cast("double")))]
 
 
 def summarise(contrib: DataFrame, by: list[str]) -> DataFrame:
-    """Means, population deviations and standard errors per ``by``."""
-    g = contrib.groupBy(*by).agg(*[F.sum(c).alias(c) for c in
-                                   ["rows", "x_n", "x_s", "x_q", "d_n", "d_s", "d_q"]])
-    ms, sds, ses = _finish(F.col("x_n"), F.col("x_s"), F.col("x_q"), F.col("rows"))
-    md, sdd, sed = _finish(F.col("d_n"), F.col("d_s"), F.col("d_q"), F.col("rows"))
+    """Means, population deviations and standard errors per ``by``.
+
+    Keys of equal counts merge first (their means' own centred moment), the few classes of a cell
+    after that, each about the cell's mean: centred moments are never formed as differences of sums of squares.
+    """
+    classes = contrib.groupBy(*by, "x_n", "d_n").agg(
+        F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("keys"),
+        *[c for v in "xd" for c in (
+            F.sum(f"{v}_s").alias(f"{v}_s"), F.sum(f"{v}_m").alias(f"{v}_m"),
+            F.coalesce(F.var_pop(F.try_divide(F.col(f"{v}_s"), F.col(f"{v}_n").cast("double"))), F.lit(0.0)).alias(f"{v}_v"))])
+    cell = Window.partitionBy(*by)                                  # one row per distinct pair of counts
+    parts = []
+    for v in "xd":
+        n = (F.col(f"{v}_n") * F.col("keys")).cast("double")
+        centre = F.try_divide(F.sum(f"{v}_s").over(cell), F.sum(n).over(cell))
+        off = F.coalesce(F.try_divide(F.col(f"{v}_s"), n) - centre, F.lit(0.0))
+        parts += [n.alias(f"{v}_w"), (F.col(f"{v}_m") + n * (F.col(f"{v}_v") + off * off)).alias(f"{v}_c")]
+    g = classes.select(*by, "rows", "x_s", "d_s", *parts).groupBy(*by).agg(
+        F.sum("rows").alias("rows"), *[F.sum(a).alias(b) for a, b in (
+            ("x_w", "x_n"), ("x_s", "x_s"), ("x_c", "x_m"), ("d_w", "d_n"), ("d_s", "d_s"), ("d_c", "d_m"))])
+    (ms, sds, ses), (md, sdd, sed) = _finish("x"), _finish("d")
     return g.select(*by, ms.alias("mean_score"), md.alias("mean_diff"), sds.alias("sd_score"),
                     sdd.alias("sd_diff"), ses.alias("se_score"), sed.alias("se_diff"),
                     F.col("rows").alias("n_rows"))
@@ -131,8 +146,8 @@ def forced_choice(rules_long: DataFrame) -> DataFrame:
 
 
 def _mmap_scores(df: DataFrame) -> dict[str, Column]:
-    total = F.col("a1_prob") + F.col("a2_prob")
-    return {"m1": F.try_divide(F.col("a1_prob"), total), "m2": F.try_divide(F.col("a2_prob"), total)}
+    a1, a2 = nan_to_null(F.col("a1_prob")), nan_to_null(F.col("a2_prob"))
+    return {"m1": F.try_divide(a1, a1 + a2), "m2": F.try_divide(a2, a1 + a2)}
 
 
 def mmap_key_stats(responses: DataFrame, drop_invalid: bool = True) -> DataFrame:

@@ -1144,12 +1144,12 @@ from armature.operators import mixedlm as ML  # noqa: E402
 
 
 def _mixed_tests(spark, sf_dir):
-    """Class statistics of every experiment family, unioned, then one applyInPandas fit stage."""
+    """The scores of every experiment family, unioned, then one batched fit."""
     cell = ["experiment", "model_id", "option"]
     r = _with_condition(spark, sf_dir, V.responses(spark, sf_dir))
     mm = (E.mmap_contributions(r, V.scenario_rules(spark, sf_dir)).withColumnRenamed("score", "option")
           .withColumnRenamed("baseline_id", "key").withColumn("experiment", F.lit("moralchoice")))
-    parts = [mm.select("experiment", "model_id", "option", "key", "condition", "x_n", "x_s", "x_q")]
+    parts = [mm.select("experiment", "model_id", "option", "key", "condition", "x_n", "x_s", "x_m")]
     fams = [("normbank", V.option_responses, ["good", "ok", "bad"], True, True, "_prob"),
             ("reddit_verdict", V.verdict_probs, ["esh", "yta", "nta", "nah", "info"], True, True, "_prob"),
             ("reddit_foundation", V.foundations, ["ch", "fc", "lb", "as", "pd"], False, False, "_score")]
@@ -1157,19 +1157,46 @@ def _mixed_tests(spark, sf_dir):
         df = _with_condition(spark, sf_dir, fn(spark, sf_dir))
         c = E.option_contributions(df, opts, "scenario_id", norm, dz, suf)
         parts.append(c.select(F.lit(exp).alias("experiment"), "model_id", "option",
-                              F.col("scenario_id").cast("string").alias("key"), "condition", "x_n", "x_s", "x_q"))
+                              F.col("scenario_id").cast("string").alias("key"), "condition", "x_n", "x_s", "x_m"))
     contrib = parts[0]
     for p in parts[1:]:
         contrib = contrib.unionByName(p)
     return ML.mixed_lm_pairs(contrib, cell, ["key"])
 
 
-@register("mixed_lm_pairs", None)
+def _family_sql(name: str, view: str, opts: list[str], suffix: str, normalise: bool, drop_zero: bool, key_cast: str) -> str:
+    """CTE ``<name>``: (experiment, model_id, option, key, condition, y, times) of one option family."""
+    total = " + ".join(f"coalesce({o}{suffix}, 0)" for o in opts)
+    score = " ".join(f"WHEN '{o}' THEN {o}{suffix}" for o in opts)
+    share = f"CASE o.option {score} END" + (f" / nullif(total, 0)" if normalise else "")
+    keep = f"WHERE (model_id, scenario_id) NOT IN (SELECT (model_id, scenario_id) FROM {name}_r WHERE total = 0)" if drop_zero else ""
+    return f"""
+{name}_r AS (SELECT x.*, CASE WHEN x.distractor_id IS NULL THEN 'baseline' ELSE coalesce(d.sentiment, 'unknown') END AS condition, {total} AS total
+  FROM {view} x LEFT JOIN v_distractors d ON x.distractor_id = d.id),
+{name} AS (SELECT '{name}' AS experiment, model_id, o.option AS option, {key_cast} AS key, condition, {share} AS y,
+    greatest(count(*) FILTER (WHERE condition = 'baseline') OVER (PARTITION BY model_id, scenario_id, o.option), 1) AS times
+  FROM {name}_r CROSS JOIN (VALUES {", ".join(f"('{o}')" for o in opts)}) o(option) {keep})"""
+
+
+_MIXED_SQL = with_views(_MMAP_BASE_SQL + f""",
+moralchoice AS (SELECT 'moralchoice' AS experiment, model_id, 'mmap' AS option, baseline_id AS key, condition, mmap AS y,
+    greatest(count(*) FILTER (WHERE condition = 'baseline') OVER (PARTITION BY model_id, baseline_id, rule), 1) AS times FROM t),
+{_family_sql("normbank", "v_option_responses", ["good", "ok", "bad"], "_prob", True, True, "CAST(scenario_id AS VARCHAR)")},
+{_family_sql("reddit_verdict", "v_verdict_probs", ["esh", "yta", "nta", "nah", "info"], "_prob", True, True, "CAST(scenario_id AS VARCHAR)")},
+{_family_sql("reddit_foundation", "v_foundations", ["ch", "fc", "lb", "as", "pd"], "_score", False, False, "CAST(scenario_id AS VARCHAR)")},
+contrib AS (SELECT * FROM moralchoice UNION ALL SELECT * FROM normbank UNION ALL SELECT * FROM reddit_verdict UNION ALL SELECT * FROM reddit_foundation),
+{ML.mixed_lm_sql("contrib", "experiment, model_id, option", "key")}
+SELECT experiment, model_id, option, pair, ref, test, round(coef, 6) AS coef, round(z, 6) AS z, round(p, 6) AS p,
+  CASE WHEN p IS NOT NULL THEN round(p_adj, 6) END AS p_adj, n_obs, n_groups, edge FROM {ST.holm_sidak_sql("tst")}
+""", "v_distractors", "v_scenario_rules", "v_responses", "v_option_responses", "v_verdict_probs", "v_foundations")
+
+
+@register("mixed_lm_pairs", _MIXED_SQL)
 def q_mixed_lm_pairs(spark, sf_dir):
     """T1 + T7: coefficient, z, p per (experiment, model, option, pair); Holm-Sidak over all."""
     t = _mixed_tests(spark, sf_dir)
     return rounded(ST.holm_sidak(t, "p", "p_adj").select(
-        "experiment", "model_id", "option", "pair", "ref", "test", "coef", "z", "p", "p_adj", "n_obs", "n_groups"))
+        "experiment", "model_id", "option", "pair", "ref", "test", "coef", "z", "p", "p_adj", "n_obs", "n_groups", "edge"))
 
 
 # ---------------------------------------------------------------------------
