@@ -256,8 +256,21 @@ def option_scores(options: list[str], normalise: bool, suffix: str) -> dict[str,
     return {o: F.try_divide(c, total) for o, c in cols.items()}
 
 
-def _option_key_stats(df, options, key, normalise, drop_zero, suffix):
+def reference_points(df: DataFrame, options: list[str], suffix: str) -> dict[str, float]:
+    """A score of each option from one row that has all of them (0 without such a row).
+
+    Scores are counted from there: however large they are, what is left has the size of their spread, so means of keys and
+    their differences lose no digits.  Any value serves, so the row need not be the same in every run.
+    """
+    cols = [nan_to_null(F.col(f"{o}{suffix}").cast("double")).alias(o) for o in options]
+    row = df.select(*cols).dropna().limit(1).collect()
+    return {o: float(row[0][o]) if row and abs(row[0][o]) != float("inf") else 0.0 for o in options}
+
+
+def _option_key_stats(df, options, key, normalise, drop_zero, suffix, about=None):
     scores = option_scores(options, normalise, suffix)
+    if about:
+        scores = {o: c - F.lit(about[o]) for o, c in scores.items()}
     zero = None
     if drop_zero:
         zero = sum((F.coalesce(nan_to_null(F.col(f"{o}{suffix}")), F.lit(0.0)) for o in options),
@@ -270,16 +283,22 @@ def _option_key_stats(df, options, key, normalise, drop_zero, suffix):
 
 def option_contributions(df: DataFrame, options: list[str], key: str = "scenario_id",
                          normalise: bool = True, drop_zero: bool = True,
-                         suffix: str = "_prob", baseline: str = "join") -> DataFrame:
-    ks, _ = _option_key_stats(df, options, key, normalise, drop_zero, suffix)
+                         suffix: str = "_prob", baseline: str = "join", about: Mapping[str, float] | None = None) -> DataFrame:
+    """Contributions of every option; ``about`` are points that its scores are counted from (``reference_points``)."""
+    ks, _ = _option_key_stats(df, options, key, normalise, drop_zero, suffix, about)
     return pair_contributions(ks, ["model_id", key], option_col="option", baseline=baseline)
 
 
 def paired_effects(df: DataFrame, options: list[str], key: str = "scenario_id", normalise: bool = True,
                    drop_zero: bool = True, suffix: str = "_prob", baseline: str = "join") -> DataFrame:
     """Per (model, option, condition) statistics of score and change from baseline."""
-    return summarise(option_contributions(df, options, key, normalise, drop_zero, suffix, baseline),
-                     ["model_id", "option", "condition"])
+    about = None if normalise else reference_points(df, options, suffix)
+    out = summarise(option_contributions(df, options, key, normalise, drop_zero, suffix, baseline, about),
+                    ["model_id", "option", "condition"])
+    if not about:
+        return out
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in about.items() for x in pair]), F.col("option"))
+    return out.withColumn("mean_score", F.col("mean_score") + start)
 
 
 def option_effect_rows(df: DataFrame, options: list[str], id_col: str, key: str = "scenario_id",

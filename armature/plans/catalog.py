@@ -226,6 +226,26 @@ def q_foundation_effect_rows(spark, sf_dir):
                                         drop_zero=False, suffix="_score"))
 
 
+@register("large_score_means", with_views("""
+WITH r AS (
+  SELECT x.model_id, x.scenario_id, 1000000.0::DOUBLE + x.score * 0.00001::DOUBLE AS score,
+         CASE WHEN x.distractor_id IS NULL THEN 'baseline' ELSE coalesce(d.sentiment, 'unknown') END AS condition
+  FROM v_option_responses x LEFT JOIN v_distractors d ON x.distractor_id = d.id),
+b AS (SELECT model_id, scenario_id, score AS base FROM r WHERE condition = 'baseline'),
+j AS (SELECT r.model_id, r.condition, r.score, r.score - b.base AS diff FROM r LEFT JOIN b USING (model_id, scenario_id))
+SELECT model_id, condition, round(avg(score), 6) AS mean_score, round(avg(diff) * 1000, 6) AS diff_milli,
+       round(stddev_pop(score) * 1000, 6) AS sd_score_milli, round(stddev_pop(diff) * 1000, 6) AS sd_diff_milli, count(*) AS n_rows
+FROM j WHERE condition <> 'unknown' GROUP BY model_id, condition
+""", "v_distractors", "v_option_responses"))
+def q_large_score_means(spark, sf_dir):
+    """A5/A6 where scores are large and close together: deviations in thousandths."""
+    df = _with_condition(spark, sf_dir, V.option_responses(spark, sf_dir)).withColumn("x_score", F.lit(1e6) + F.col("score") * F.lit(0.00001))
+    m = E.paired_effects(df, ["x"], "scenario_id", normalise=False, drop_zero=False, suffix="_score")
+    return m.select("model_id", "condition", F.round("mean_score", 6).alias("mean_score"), *[
+        F.round(F.col(c) * 1000, 6).alias(n) for c, n in (
+            ("mean_diff", "diff_milli"), ("sd_score", "sd_score_milli"), ("sd_diff", "sd_diff_milli"))], "n_rows")
+
+
 # ---------------------------------------------------------------------------
 # Verdict shares and foundation summaries (reddit analysis family)
 # ---------------------------------------------------------------------------

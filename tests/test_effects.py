@@ -2,6 +2,8 @@
 reference (pandas merge fan-out, np.mean / np.std / len) on small fixtures with
 a hot key, duplicate baselines, nulls and zero-sum keys."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -143,3 +145,38 @@ def test_hot_key_split_join_is_exact(spark):
     pd.testing.assert_frame_equal(split.reset_index(drop=True), plain.reset_index(drop=True))
     plan = E.option_effect_rows(sdf, opts, "event_id", hot_rows=50)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("baseline", ["join", "mean"])
+def test_small_deviations_of_large_scores(spark, baseline):
+    """Scores near 1e6 that differ by 0.002: deviations agree with exact arithmetic to 1e-9."""
+    import statistics
+    from fractions import Fraction
+    rng = np.random.default_rng(8)
+    rows = [("m", int(k), c, 1e6 + 0.002 * float(v)) for k, c, v in zip(
+        rng.integers(0, 400, 6000), rng.choice(["baseline", "positive", "negative"], 6000), rng.normal(0, 1, 6000))]
+    df = spark.createDataFrame(rows, "model_id string, scenario_id long, condition string, x_score double").repartition(7)
+    got = {r.condition: r for r in E.paired_effects(df, ["x"], "scenario_id", normalise=False, drop_zero=False, suffix="_score",
+                                                   baseline=baseline).collect()}
+    base = {}
+    for _, k, c, v in rows:
+        if c == "baseline":
+            base.setdefault(k, []).append(Fraction(v))
+    for cond in ("positive", "negative"):
+        score, diff = [], []
+        for _, k, c, v in rows:
+            if c == cond:
+                held = base.get(k, [])
+                if baseline == "mean":
+                    score.append(Fraction(v))
+                    diff += [Fraction(v) - sum(held) / len(held)] if held else []
+                else:
+                    score += [Fraction(v)] * max(len(held), 1)
+                    diff += [Fraction(v) - b for b in held]
+
+        def sd(xs):
+            mean = sum(xs) / len(xs)
+            return math.sqrt(float(sum((x - mean) ** 2 for x in xs) / len(xs)))
+        assert got[cond].sd_score == pytest.approx(sd(score), rel=1e-9)
+        assert got[cond].sd_diff == pytest.approx(sd(diff), rel=1e-9)
+        assert got[cond].mean_diff == pytest.approx(float(sum(diff) / len(diff)), abs=1e-11)

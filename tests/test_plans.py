@@ -9,8 +9,8 @@ import __spark_entry__ as E
 from armature.plans.catalog import REGISTRY
 from tests.conftest import SF_SMALL
 
-# queries whose plans legitimately run Python: the T1 fit, report number formatting
-PYTHON_OK = {"mixed_lm_pairs", "report_rows"}
+# queries whose plans legitimately run Python: report number formatting
+PYTHON_OK = {"report_rows"}
 PY_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonMapInArrow")
 
 

@@ -153,40 +153,69 @@ def _dense_reml(y, x, g):
     return crit, parts
 
 
-def test_class_statistics_equal_dense_reml(spark):
+def _contrib(spark, pdf):
+    """One contribution per row; several rows of a (key, condition) merge inside T1."""
+    return spark.createDataFrame(pdf).select(
+        F.lit("m").alias("model_id"), F.lit("o").alias("option"), "key", "condition",
+        F.lit(1).cast("long").alias("x_n"), F.col("y").alias("x_s"), F.lit(0.0).alias("x_m"))
+
+
+def _dense_fit(y, x, g):
+    """Least criterion over a fine grid of log lam, then golden section; with the boundary lam = 0."""
+    crit, parts = _dense_reml(y, x, g)
+    ts = np.arange(-18, 12.01, 0.5)
+    t = min(ts, key=lambda v: crit(math.exp(v)))
+    lo, hi = t - 0.5, t + 0.5
+    for _ in range(60):
+        a, b = hi - (hi - lo) * 0.6180339887498949, lo + (hi - lo) * 0.6180339887498949
+        lo, hi = (lo, b) if crit(math.exp(a)) < crit(math.exp(b)) else (a, hi)
+    lam = math.exp((lo + hi) / 2)
+    lam = 0.0 if crit(0.0) <= crit(lam) else lam
+    A, b, c, _ = parts(lam)
+    inv = np.linalg.inv(A)
+    beta = inv @ b
+    return beta[1], beta[1] / math.sqrt((c - b @ beta) / (len(y) - 2) * inv[1, 1]), lam
+
+
+@pytest.mark.parametrize("shift,scale", [(0.0, 1.0), (1e6, 0.002)])
+def test_random_intercept_equals_dense_reml(spark, shift, scale):
     rng = np.random.default_rng(11)
     rows = []
     for k in range(40):
         u = rng.normal(0, 0.3)
         for _ in range(rng.integers(1, 6)):
-            rows.append((k, "baseline", 0.5 + u + rng.normal(0, 0.2)))
+            rows.append((k, "baseline", shift + scale * (0.5 + u + rng.normal(0, 0.2))))
         for _ in range(rng.integers(0, 4)):
-            rows.append((k, "negative", 0.6 + u + rng.normal(0, 0.2)))
+            rows.append((k, "negative", shift + scale * (0.6 + u + rng.normal(0, 0.2))))
     pdf = pd.DataFrame(rows, columns=["key", "condition", "y"])
-    contrib = spark.createDataFrame(pdf).select(
-        F.lit("m").alias("model_id"), F.lit("o").alias("option"), "key", "condition",
-        F.lit(1).cast("long").alias("x_n"), F.col("y").alias("x_s"), (F.col("y") * F.col("y")).alias("x_q"))
-    classes = ML.class_stats(ML.pair_groups(ML.group_sums(contrib, ["model_id", "option"], ["key"]),
-                                            ["model_id", "option"]), ["model_id", "option"])
-    cls = classes.where("pair = 'baseline_vs_negative'").toPandas()
-    y = pdf.y.to_numpy()
+    got = ML.mixed_lm_pairs(_contrib(spark, pdf), ["model_id", "option"], ["key"]).where("pair = 'baseline_vs_negative'").first()
     x = (pdf.condition == "negative").astype(float).to_numpy()
-    crit, parts = _dense_reml(y, x, pdf.key.to_numpy())
-    for lam in [0.0, 0.1, 1.0, 5.0]:
-        assert abs(ML.reml_criterion(cls, lam) - crit(lam)) < 1e-8
-    fit = ML.fit_classes(cls)
-    A, b, c, _ = parts(fit["lam"])
-    assert abs(fit["coef"] - np.linalg.solve(A, b)[1]) < 1e-10
-    assert fit["lam"] > 0 and 0 <= fit["p"] <= 1
+    coef, z, lam = _dense_fit(pdf.y.to_numpy() - shift, x, pdf.key.to_numpy())
+    assert got.lam == pytest.approx(lam, rel=1e-3) and lam > 0 and not got.edge
+    assert got.coef == pytest.approx(coef, rel=1e-5) and got.z == pytest.approx(z, rel=1e-5)
+    assert got.p == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), rel=1e-4)
+    assert (got.n_obs, got.n_groups) == (len(pdf), pdf.key.nunique())
+
+
+def test_random_intercept_edges(spark):
+    """No group effect: lam 0; no noise: the end of the search is marked; too few rows or one condition: no fit."""
+    rng = np.random.default_rng(5)
+    flat = [(k, c, float(v)) for k in range(30) for c, v in (("baseline", 1 - 2 * (k % 2)), ("positive", 2 * (k % 2) - 1 + 0.1 * rng.normal()))]
+    steep = [(k, c, 10.0 * k + d) for k in range(30) for c, d in (("neutral", 0.0), ("negative", 1.0 + 1e-6 * (k % 2)))]
+    out = {}
+    for name, rows in (("flat", flat), ("steep", steep), ("one", [(1, "baseline", 1.0)]), ("single", [(k, "baseline", float(k)) for k in range(9)])):
+        pdf = pd.DataFrame(rows, columns=["key", "condition", "y"])
+        out[name] = {r.pair: r for r in ML.mixed_lm_pairs(_contrib(spark, pdf), ["model_id", "option"], ["key"]).collect()}
+    assert out["flat"]["baseline_vs_positive"].lam == 0.0 and not out["flat"]["baseline_vs_positive"].edge
+    assert out["steep"]["negative_vs_neutral"].edge
+    assert out["one"]["baseline_vs_positive"].coef is None and out["one"]["baseline_vs_positive"].p is None
+    assert out["single"]["baseline_vs_negative"].coef is None
 
 
 def test_balanced_coefficient_is_difference_of_means(spark):
     rows = [(k, c, v) for k in range(30) for c, v in (("baseline", 0.1 * k), ("positive", 0.1 * k + 0.25 + 0.01 * (k % 3)))]
     pdf = pd.DataFrame(rows, columns=["key", "condition", "y"])
-    contrib = spark.createDataFrame(pdf).select(
-        F.lit("m").alias("model_id"), F.lit("o").alias("option"), "key", "condition",
-        F.lit(1).cast("long").alias("x_n"), F.col("y").alias("x_s"), (F.col("y") * F.col("y")).alias("x_q"))
-    out = ML.mixed_lm_pairs(contrib, ["model_id", "option"], ["key"]).where("pair = 'baseline_vs_positive'").first()
+    out = ML.mixed_lm_pairs(_contrib(spark, pdf), ["model_id", "option"], ["key"]).where("pair = 'baseline_vs_positive'").first()
     diff = pdf[pdf.condition == "positive"].y.mean() - pdf[pdf.condition == "baseline"].y.mean()
     assert out.ref == "baseline" and out.test == "positive"
     assert abs(out.coef - diff) < 1e-9
