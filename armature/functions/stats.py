@@ -85,33 +85,69 @@ def two_sided_p(df: DataFrame, z: str, out: str) -> DataFrame:
 # (one row per test: models x cells x pairs), never on raw rows.
 # ---------------------------------------------------------------------------
 
-def _ranked(df: DataFrame, p: str, by: list[str]) -> tuple[DataFrame, Column, Window]:
-    """A missing or NaN p is no test: it stays in the result, without rank and outside the family size."""
+def _per_slice(slices: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., _pid, _m, _before, _above) from (by..., _pid, _n[, _top]): family size, tests in earlier slices, their greatest _top."""
+    top = "_top" in slices.columns
+    if by:
+        w = Window.partitionBy(*by)
+        earlier = w.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        return slices.select(*by, "_pid", F.sum("_n").over(w).alias("_m"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+                             (F.max("_top").over(earlier) if top else F.lit(None).cast("double")).alias("_above"))
+    rows = sorted(slices.collect(), key=lambda r: r["_pid"])            # one row per range partition
+    out, before, above = [], 0, None
+    for r in rows:
+        out.append((r["_pid"], sum(x["_n"] for x in rows), before, above))
+        before += r["_n"]
+        if top:
+            above = r["_top"] if above is None else max(above, r["_top"])
+    return slices.sparkSession.createDataFrame(out, "_pid int, _m long, _before long, _above double")
+
+
+def _with_slices(df: DataFrame, slices: DataFrame, by: list[str]) -> DataFrame:
+    keys = [*by, "_pid"]
+    s = slices.select(*[F.col(k).alias(f"_s_{k}") for k in keys], "_m", "_before", "_above")
+    same = F.lit(True)
+    for k in keys:
+        same = same & df[k].eqNullSafe(s[f"_s_{k}"])
+    return df.join(F.broadcast(s) if not by else s, same).drop(*[f"_s_{k}" for k in keys])
+
+
+def _step_down(df: DataFrame, p: str, out: str, by: list[str], raw) -> DataFrame:
+    """Running maximum of ``raw(k)`` over ascending p, k = tests of the family not yet passed; capped at 1.
+
+    A prefix scan: tests are range-partitioned by (family, p), so a slice holds a stretch of one
+    family's order whatever its size; ranks and maxima inside a slice come from windows over it, and what earlier slices
+    add is one row per slice.  A missing or NaN p is no test: it stays, without result and outside the family size.
+    """
+    from armature.session import cut_lineage
     df = df.withColumn(p, F.when(~F.isnan(F.col(p)), F.col(p)))
-    order = F.col(p).asc_nulls_last()
-    w = Window.partitionBy(*by).orderBy(order) if by else Window.orderBy(order)
-    whole = Window.partitionBy(*by) if by else Window.partitionBy()
-    d = df.withColumn("_m", F.count(F.col(p)).over(whole)).withColumn("_i", F.row_number().over(w))
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return d, (F.col("_m") - F.col("_i") + 1).cast("double"), running
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # checkpointed, so that every later pass sees the same slices
+    tests = cut_lineage(df.where(F.col(p).isNotNull()).repartitionByRange(n, *by, p).withColumn("_pid", F.spark_partition_id()))
+    inside = Window.partitionBy(*by, "_pid").orderBy(p)
+    tests = tests.withColumn("_in", F.row_number().over(inside))
+    sizes = tests.groupBy(*by, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    placed = _with_slices(tests, _per_slice(sizes, by), by)
+    placed = raw(placed.withColumn("_k", (F.col("_m") - F.col("_before") - F.col("_in") + 1).cast("double")))
+    tops = placed.groupBy(*by, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.max("_raw").alias("_top"))
+    own = F.max("_raw").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = placed.select(*df.columns, "_pid", own.alias("_own"))
+    carried = _with_slices(ranked, _per_slice(tops, by), by)
+    done = carried.select(*df.columns, F.least(F.greatest("_own", "_above"), F.lit(1.0)).alias(out))
+    return done.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def holm(df: DataFrame, p: str = "p", out: str = "p_adj", by: list[str] | None = None) -> DataFrame:
     """Holm step-down: running max of (m-i+1)*p over ascending p, capped at 1."""
-    d, k, running = _ranked(df, p, by or [])
-    d = d.withColumn("_raw", k * F.col(p))
-    adjusted = F.when(F.col(p).isNotNull(), F.least(F.max("_raw").over(running), F.lit(1.0)))
-    return d.withColumn(out, adjusted).drop("_m", "_i", "_raw")
+    return _step_down(df, p, out, by or [], lambda d: d.withColumn("_raw", F.col("_k") * F.col(p)))
 
 
 def holm_sidak(df: DataFrame, p: str = "p", out: str = "p_adj", by: list[str] | None = None) -> DataFrame:
     """Holm-Sidak step-down: running max of 1-(1-p)^(m-i+1), computed as -expm1(k*log1p(-p))."""
-    d, k, running = _ranked(df, p, by or [])
-    d = d.withColumn("_k", k).withColumn("_np", -F.col(p))
-    d = d.withColumn("_l", F.expr(log1p_sql("_np"))).withColumn("_e", F.col("_k") * F.col("_l"))
-    d = d.withColumn("_raw", -F.expr(expm1_sql("_e")))
-    adjusted = F.when(F.col(p).isNotNull(), F.least(F.max("_raw").over(running), F.lit(1.0)))
-    return d.withColumn(out, adjusted).drop("_m", "_i", "_raw", "_k", "_np", "_l", "_e")
+    def raw(d: DataFrame) -> DataFrame:
+        d = d.withColumn("_np", -F.col(p)).withColumn("_l", F.expr(log1p_sql("_np"))).withColumn("_e", F.col("_k") * F.col("_l"))
+        return d.withColumn("_raw", F.when(F.col(p) >= 1, F.lit(1.0)).otherwise(-F.expr(expm1_sql("_e"))))     # log1p(-1) has no value
+    return _step_down(df, p, out, by or [], raw)
 
 
 def holm_sql(table: str, p: str = "p", by: str = "") -> str:
@@ -124,10 +160,10 @@ def holm_sql(table: str, p: str = "p", by: str = "") -> str:
 def holm_sidak_sql(table: str, p: str = "p", by: str = "") -> str:
     part = f"PARTITION BY {by} " if by else ""
     inner = (f"SELECT *, CAST(count({p}) OVER ({part.strip()}) - row_number() OVER ({part}ORDER BY {p} NULLS LAST) + 1 AS DOUBLE) AS _k, "
-             f"-{p} AS _np FROM {table}")
+             f"CASE WHEN {p} < 1 THEN -{p} END AS _np FROM {table}")
     l1 = f"SELECT *, {log1p_sql('_np')} AS _l FROM ({inner})"
     l2 = f"SELECT *, _k * _l AS _e FROM ({l1})"
-    l3 = f"SELECT *, -{expm1_sql('_e')} AS _raw FROM ({l2})"
+    l3 = f"SELECT *, CASE WHEN {p} >= 1 THEN 1.0 ELSE -{expm1_sql('_e')} END AS _raw FROM ({l2})"
     return (f"(SELECT *, least(max(_raw) OVER ({part}ORDER BY {p} ROWS BETWEEN UNBOUNDED PRECEDING "
             f"AND CURRENT ROW), 1.0) AS p_adj FROM ({l3}))")
 

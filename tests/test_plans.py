@@ -35,3 +35,8 @@ def test_scans_are_pruned(spark):
     lineitem = [s for s in schemas if "l_partkey" in s]
     assert lineitem and all(len(s.split(",")) <= 6 for s in lineitem), schemas
     assert "l_shipdate" not in plan and "l_extendedprice" not in plan
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(REGISTRY) if "holm" in n or n in ("mixed_lm_pairs", "chi2_tests", "kruskal_tests")])
+def test_corrections_never_gather_in_one_partition(spark, name):
+    assert "SinglePartition" not in _plan(E.queries()[name](spark, SF_SMALL)), name

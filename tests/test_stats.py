@@ -256,3 +256,27 @@ def test_hot_keys_have_a_total_order(spark):
     import re
     assert re.search(r"n#\d+L DESC NULLS LAST, key#\d+L ASC NULLS FIRST", joined._jdf.queryExecution().toString())
     assert sorted(map(tuple, joined.select("id", "m").collect())) == [(i, i % 40 * 2) for i in range(120)]
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_step_down_over_many_slices(spark, by):
+    """Ties, missing and NaN p, null families, over many range partitions: equal to a plain loop."""
+    from armature.functions import stats as S
+    rng = np.random.default_rng(4)
+    rows = [(i, None if i % 7 == 0 else f"g{i % 3}", p) for i, p in enumerate(
+        [None, float("nan"), 0.0, 1.0, *np.round(rng.uniform(0, 0.02, 300), 4).tolist()])]
+    df = spark.createDataFrame(rows, "i long, g string, p double")
+    def reference(adjust):
+        want = {}
+        for family in ({r[1] for r in rows} if by else {None}):
+            own = sorted((p, i) for i, g, p in rows if (not by or g == family) and p is not None and p == p)
+            top = 0.0
+            for at, (p, i) in enumerate(own):
+                top = max(top, adjust(p, len(own) - at))
+                want[i] = min(top, 1.0)
+        return want
+    for fn, adjust in ((S.holm, lambda p, k: k * p), (S.holm_sidak, lambda p, k: 1.0 if p == 1 else -math.expm1(k * math.log1p(-p)))):
+        got = {r.i: r.p_adj for r in fn(df, by=by).collect()}
+        want = reference(adjust)
+        assert len(got) == len(rows) and got[0] is None and got[1] is None
+        assert all(abs(got[i] - v) < 1e-12 for i, v in want.items())
