@@ -16,7 +16,7 @@ from armature.operators.design import RESULT_KEY, pending
 RESULT_PARTITIONS = ["experiment", "dataset", "model_id", "question_format"]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -33,7 +33,7 @@ def append_results(results: DataFrame, path: str, keys: tuple[str, ...] | None =
     failed = F.when(F.col("status") == "ok", 0).otherwise(1) if "status" in results.columns else F.lit(0)
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(failed, F.xxhash64(*[F.col(c) for c in results.columns])))
     new = results.withColumn("_first", first).where("_first = 1").drop("_first")
-    if _exists(spark, path):
+    if exists(spark, path):
         done = spark.read.option("mergeSchema", True).parquet(path)
         if "status" in done.columns:
             done = done.where(F.col("status") == "ok")

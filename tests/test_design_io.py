@@ -15,6 +15,21 @@ from armature.sources import files as FS
 from armature.sources.registry import sampling_defaults
 
 
+def stub_model():
+    """Deterministic stand-in: answers a verdict chosen from the prompt length."""
+    labels = ["YTA", "NTA", "ESH", "NAH", "INFO"]
+
+    def model(b):
+        return pd.DataFrame({"answer_raw": [f" Verdict: {labels[len(p) % 5]}\nReasoning: length {len(p)}. " for p in b["user_prompt"].fillna("")]})
+    return model
+
+
+def zero_scorer():
+    """Stand-in classifier returning zeros."""
+    return lambda texts: [None if t is None else dict.fromkeys(HK.FOUNDATION_CODES, 0.0) for t in texts]
+
+
+
 def _scen(spark):
     return spark.createDataFrame([("s1", "Ctx one", "act A", "act B"), ("s 2", "Ctx two", "x", "y")],
                                  "scenario_id string, context string, action1 string, action2 string")
@@ -144,10 +159,10 @@ def test_multi_csv_and_model_csv_sink(spark, tmp_dir):
 def test_hooks_and_incremental_collection(spark, tmp_dir):
     prompts = spark.createDataFrame([("p1", "s", "abc"), ("p2", "s", "abcd")],
                                     "prompt_id string, system_prompt string, user_prompt string")
-    ans = {r.prompt_id: r.answer for r in HK.respond(prompts, HK.stub_model).collect()}
+    ans = {r.prompt_id: r.answer for r in HK.respond(prompts, stub_model).collect()}
     assert ans["p1"].startswith("Verdict: ")
     sc = HK.score_texts(spark.createDataFrame([("a", "txt"), ("b", None)], "k string, t string"), "t",
-                        HK.zero_scorer, ["k"]).orderBy("k").collect()
+                        zero_scorer, ["k"]).orderBy("k").collect()
     assert sc[0].ch_score == 0.0 and sc[1].ch_score is None
     from armature.streaming.incremental import collect_responses, collected
     src = os.path.join(tmp_dir, "incoming")
