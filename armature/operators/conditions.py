@@ -47,3 +47,14 @@ def attach_condition(df: DataFrame, distractors: DataFrame, id_col: str = "distr
             .when(F.col("_d_sentiment").isNull(), miss)
             .otherwise(F.col("_d_sentiment")))
     return joined.withColumn("condition", cond).drop("_d_id", "_d_sentiment")
+
+
+def unmatched_arms(df: DataFrame, distractors: DataFrame, id_col: str = "distractor_id") -> DataFrame:
+    """Q1: (model_id, distractor_id, n): stored rows whose distractor the registry does not have.
+
+    Such rows are condition ``unknown`` and enter no condition's statistics; rows are counted before the
+    registry is joined, so a frequent id collapses map-side.
+    """
+    counts = df.where(F.col(id_col).isNotNull()).groupBy("model_id", id_col).agg(F.count(F.lit(1)).alias("n"))
+    known = small_side(distractors.select(F.col("id").alias("_known")))
+    return counts.join(known, F.col(id_col) == F.col("_known"), "left_anti")

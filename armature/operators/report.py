@@ -84,9 +84,15 @@ def latex_table(rows: DataFrame, headers: list[str], caption: str, label: str,
     return out
 
 
-def p_value_rows(tests: DataFrame, pairs: list[str], row_key: str = "model_id", p: str = "p_adj") -> DataFrame:
-    """K5: one LaTeX row of adjusted p-values per ``row_key``, a column per pair in the given order, '-' where untested."""
+def p_value_rows(tests: DataFrame, pairs: list[str], row_key: str = "model_id", by: list[str] | None = None,
+                 p: str = "p_adj") -> DataFrame:
+    """K5: one LaTeX row of adjusted p-values per (``by``, ``row_key``), a column per pair in the given order, '-' where untested.
+
+    ``by`` names the columns that tell the report's tables apart (experiment, option); the family that ``p`` was
+    corrected over is the caller's, usually the whole report.
+    """
+    by = by or []
     cells = tests.withColumn("cell", F.concat(F.lit("$"), fmt_sci(F.col(p)), F.lit("$")))
-    wide = cells.groupBy(row_key).pivot("pair", pairs).agg(F.first("cell"))
+    wide = cells.groupBy(*by, row_key).pivot("pair", pairs).agg(F.first("cell", ignorenulls=True))
     parts = [F.col(row_key)] + [F.coalesce(F.col(f"`{c}`"), F.lit("-")) for c in pairs]
-    return wide.select(row_key, F.concat(F.concat_ws(" & ", *parts), F.lit(" \\\\")).alias("latex_row"))
+    return wide.select(*by, row_key, F.concat(F.concat_ws(" & ", *parts), F.lit(" \\\\")).alias("latex_row"))

@@ -44,14 +44,27 @@ def verdict_shares(df: DataFrame, by: list[str], verdict: str = "verdict") -> Da
     return with_group_share(counts, by)
 
 
-def share_delta(shares: DataFrame, verdict_domain: list[str] = VERDICTS) -> DataFrame:
+#: The most distinct verdicts that a table may get columns or grid cells for; more is an error, never a cut.
+MOST_VERDICTS = 10_000
+
+
+def verdicts_seen(df: DataFrame, verdict: str = "verdict") -> list[str]:
+    """The known verdicts in their order, then every other one in the data."""
+    rows = df.where(F.col(verdict).isNotNull()).select(verdict).distinct().limit(MOST_VERDICTS + 1).collect()
+    if len(rows) > MOST_VERDICTS:
+        raise ValueError(f"more than {MOST_VERDICTS} distinct verdicts")
+    seen = {r[0] for r in rows}
+    return VERDICTS + sorted(seen - set(VERDICTS))
+
+
+def share_delta(shares: DataFrame) -> DataFrame:
     """J8 + P26: treated share minus baseline share on the complete (type, verdict) grid.
 
-    Grid = every non-baseline (model, type) present x every verdict seen anywhere;
+    Grid = every non-baseline (model, type) present x every verdict seen anywhere, whatever its label;
     a missing share or baseline share counts as 0 (Q15: complete grid).
     """
     seen = shares.select("verdict").distinct()
-    domain = F.array(*[F.lit(v) for v in verdict_domain])
+    domain = F.array(*[F.lit(v) for v in verdicts_seen(shares)])
     grid = (shares.where(F.col("distractor_type") != "baseline").select("model_id", "distractor_type").distinct()
             .select("model_id", "distractor_type", F.explode(domain).alias("verdict"))
             .join(seen, "verdict", "left_semi"))
@@ -72,11 +85,11 @@ def conditional_counts(df: DataFrame, by: list[str], target: str, verdict: str =
                                F.count_if(F.col(verdict) == target).alias("k"))
 
 
-def contingency(df: DataFrame, by: list[str], verdict: str = "verdict",
-                domain: list[str] = VERDICTS) -> DataFrame:
-    """Counts pivoted to one column per verdict, zeros filled (explicit pivot values)."""
+def contingency(df: DataFrame, by: list[str], verdict: str = "verdict") -> DataFrame:
+    """Counts pivoted to one column per verdict, zeros filled: the known verdicts and every other one seen."""
+    domain = verdicts_seen(df, verdict)
     return (df.where(F.col(verdict).isNotNull()).groupBy(*by).pivot(verdict, domain)
-            .agg(F.count(F.lit(1))).fillna(0, subset=domain))
+            .agg(F.count(F.lit(1))).fillna(0, subset=[f"`{v}`" for v in domain]))
 
 
 def top_foundation(score_cols: list[str] | None = None) -> Column:

@@ -86,6 +86,27 @@ def q_mmap_condition_means(spark, sf_dir):
     return rounded(E.mmap_condition_means(r, V.scenario_rules(spark, sf_dir)))
 
 
+_NAN_ROWS = "scenario_id % 13 = 0 AND question_ordering = 1"
+
+
+@register("mmap_nan_means", REGISTRY["mmap_condition_means"][1].replace(
+    "l_discount AS a1_prob", "CASE WHEN l_partkey % 13 = 0 AND l_linenumber % 2 = 1 THEN NULL ELSE l_discount END AS a1_prob"))
+def q_mmap_nan_means(spark, sf_dir):
+    """P23 where some stored probabilities are NaN: they are left out, as missing ones are."""
+    r = V.responses(spark, sf_dir).withColumn("a1_prob", F.when(F.expr(_NAN_ROWS), F.lit(float("nan"))).otherwise(F.col("a1_prob")))
+    return rounded(E.mmap_condition_means(_with_condition(spark, sf_dir, r), V.scenario_rules(spark, sf_dir)))
+
+
+@register("unmatched_arms", with_views("""
+SELECT r.model_id, r.distractor_id, count(*) AS n FROM v_responses r
+WHERE r.distractor_id IS NOT NULL AND r.distractor_id NOT IN (SELECT id FROM v_distractors WHERE modality = 'text')
+GROUP BY r.model_id, r.distractor_id
+""", "v_distractors", "v_responses"))
+def q_unmatched_arms(spark, sf_dir):
+    """Q1: stored arms that the registry in use (text distractors only) does not have."""
+    return C.unmatched_arms(V.responses(spark, sf_dir), V.distractors(spark, sf_dir).where("modality = 'text'"))
+
+
 @register("mmap_by_rule", with_views("""
 WITH r AS (
   SELECT r.*, CASE WHEN r.distractor_id IS NULL THEN 'baseline' ELSE coalesce(d.sentiment, 'unknown') END AS condition
@@ -323,6 +344,29 @@ def q_verdict_contingency(spark, sf_dir):
     return SH.contingency(_verdict_frame(spark, sf_dir), ["model_id", "distractor_type"])
 
 
+# the same tables where some results carry a verdict outside the known ones
+_OPEN_VR = _VR.replace("SELECT x.*,", "SELECT x.* REPLACE (CASE WHEN x.event_id % 9 = 0 THEN 'Unclear' ELSE x.verdict END AS verdict),")
+
+
+def _open_verdict_frame(spark, sf_dir):
+    return _verdict_frame(spark, sf_dir).withColumn(
+        "verdict", F.when(F.col("event_id") % 9 == 0, F.lit("Unclear")).otherwise(F.col("verdict")))
+
+
+@register("open_verdict_delta", REGISTRY["verdict_share_delta"][1].replace(_VR, _OPEN_VR))
+def q_open_verdict_delta(spark, sf_dir):
+    return rounded(SH.share_delta(SH.verdict_shares(_open_verdict_frame(spark, sf_dir), ["model_id", "distractor_type"])))
+
+
+@register("open_verdict_contingency", with_views(f"""
+WITH {_OPEN_VR}
+SELECT model_id, distractor_type, {", ".join(f"count(*) FILTER (WHERE verdict = '{v}') AS {v}" for v in [*VERDICTS, "Unclear"])}
+FROM vr WHERE verdict IS NOT NULL GROUP BY model_id, distractor_type
+""", "v_distractors", "v_option_responses"))
+def q_open_verdict_contingency(spark, sf_dir):
+    return SH.contingency(_open_verdict_frame(spark, sf_dir), ["model_id", "distractor_type"])
+
+
 @register("verdict_conditional_counts", with_views(f"""
 WITH {_VR}
 SELECT model_id, distractor_type, count(*) AS n, count(*) FILTER (WHERE verdict = 'NTA') AS k
@@ -867,41 +911,78 @@ def _installed_cut():
     return byte_level_cut(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-def _register_variant_trie():
+def _picked_positions_duck(every: list[list[str]], picks: list[str], number: str, last: str) -> str:
+    """Positions 1..last: at each the tokens of the picked sequences, log-probabilities from lengths and ``number`` (DuckDB)."""
+    duck = "[" + ", ".join("[" + ", ".join(map(PR._dq, t)) + "]" for t in every) + "]"
+    entry = "{{'token': {s}[{p} + 1][j], 'logprob': CAST(length({s}[{p} + 1][j]) + j + {number} AS DOUBLE) / -10.0 - {k}.0}}"
+    held = ", ".join(entry.format(s=duck, p=p, k=k, number=number) for k, p in enumerate(picks))
+    return f"list_transform(range(1, {last} + 1), lambda j: list_filter([{held}], lambda e: e.token IS NOT NULL))"
+
+
+def _picked_positions(every: list[list[str]], picks: list[str], number: str, last: str) -> str:
+    """The same in Spark SQL."""
+    lists = "array(" + ", ".join("array(" + ", ".join(PR._sq(x) for x in t) + ")" for t in every) + ")"
+    token = "try_element_at({s}[CAST({p} AS INT)], CAST(j AS INT))"
+    entry = "named_struct('token', {t}, 'logprob', CAST(length({t}) + j + {number} AS DOUBLE) / -10D - {k}D)"
+    held = ", ".join(entry.format(t=token.format(s=lists, p=p), k=k, number=number) for k, p in enumerate(picks))
+    return f"transform(sequence(1L, CAST({last} AS BIGINT)), j -> filter(array({held}), e -> e.token IS NOT NULL))"
+
+
+def _register_token_queries():
     from armature.sources.registry import VARIANTS, variants_df
     cut = _installed_cut()
-    seqs = {lab: [cut(v) for v in VARIANTS[lab]] for lab in _VERDICT_LABELS}
+    seqs = {lab: [cut(v) for v in VARIANTS[lab]] for lab in [*_VERDICT_LABELS, "A", "B"]}
     every = [t for lab in _VERDICT_LABELS for t in seqs[lab]]
     depth, n = max(map(len, every)), len(every)
     picks = [f"doc_id % {n}", f"length(text) % {n}", f"(doc_id * 7 + length(text)) % {n}"]
-    quoted = [[PR._dq(x) for x in t] for t in every]
-    duck = "[" + ", ".join("[" + ", ".join(t) + "]" for t in quoted) + "]"
-    entry = "{{'token': s[{p} + 1][j], 'logprob': CAST(length(s[{p} + 1][j]) + j AS DOUBLE) / -10.0 - {k}.0}}"
+    last = f"(doc_id % 3 + {depth - 2})"
     sql = f"""
 WITH d AS (SELECT doc_id, coalesce("text", '') AS text FROM documents),
-pos AS (SELECT doc_id, list_transform(range(1, doc_id % 3 + {depth - 1}), lambda j: list_filter([
-    {", ".join(entry.format(p=p, k=k) for k, p in enumerate(picks))}], lambda e: e.token IS NOT NULL)) AS positions
-  FROM (SELECT doc_id, text, {duck} AS s FROM d))
+pos AS (SELECT doc_id, {_picked_positions_duck(every, picks, "0", last)} AS positions FROM d)
 SELECT doc_id, {", ".join(f"round({PR.marginal_duck('positions', lab, seqs[lab])}, 6) AS {lab.lower()}_prob" for lab in _VERDICT_LABELS)}
 FROM pos
 """
 
-    def run(spark, sf_dir):
-        lists = "array(" + ", ".join("array(" + ", ".join(PR._sq(x) for x in t) + ")" for t in every) + ")"
-        one = ("named_struct('token', try_element_at(s[CAST({p} AS INT)], CAST(j AS INT)), 'logprob', "
-               "CAST(length(try_element_at(s[CAST({p} AS INT)], CAST(j AS INT))) + j AS DOUBLE) / -10D - {k}D)")
-        held = ", ".join(one.format(p=p, k=k) for k, p in enumerate(picks))
-        d = (V.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-             .withColumn("s", F.expr(lists)))
-        d = d.select("doc_id", F.expr(f"transform(sequence(1L, doc_id % 3 + {depth - 2}), j -> filter(array({held}), e -> e.token IS NOT NULL))")
-                     .alias("positions"))
+    def variant_trie(spark, sf_dir):
+        d = V.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        d = d.select("doc_id", F.expr(_picked_positions(every, picks, "0", last)).alias("positions"))
         p = PR.answer_probs(d, "positions", _VERDICT_LABELS, variants=variants_df(spark, cut))
         return rounded(p.select("doc_id", *[f"{lab.lower()}_prob" for lab in _VERDICT_LABELS]))
-    register("variant_trie", sql)(run)
+    register("variant_trie", sql)(variant_trie)
+
+    # responses to the prompts of the stored (scenario, distractor, ordering) triples; every fifth has none
+    ab = seqs["A"] + seqs["B"]
+    where, d = "(scenario_id + question_ordering) % 5 <> 0", "coalesce(distractor_id, 0)"
+    spots = [f"(scenario_id + {d}) % {len(ab)}", f"(scenario_id * 3 + {d} * 5) % {len(ab)}", f"({d} * 11 + question_ordering) % {len(ab)}"]
+    content = "CASE WHEN scenario_id % 2 = 0 THEN ' A ' ELSE 'B' END"
+    label = {lab: PR.marginal_duck("positions", lab, seqs[lab]) for lab in "AB"}
+    result_sql = with_views(f"""
+WITH p AS (SELECT DISTINCT r.scenario_id, r.distractor_id, r.question_ordering FROM v_responses r JOIN v_scenarios s ON r.scenario_id = s.id),
+a AS (SELECT *, {where} AS here, {content} AS content, {_picked_positions_duck(ab, spots, "scenario_id % 7", "(scenario_id % 4)")} AS positions FROM p),
+b AS (SELECT *, {label["A"]} AS pa, {label["B"]} AS pb FROM a)
+SELECT CAST(scenario_id AS VARCHAR) || '_' || coalesce(CAST(distractor_id AS VARCHAR), 'none') || '_' || CAST(question_ordering AS VARCHAR) || '_ab' AS prompt_id,
+  'moralchoice_high_ambiguity' AS dataset, scenario_id, distractor_id, question_ordering, CASE WHEN here THEN 'ok' ELSE 'missing' END AS status,
+  CASE WHEN here THEN trim(content) END AS answer, 'top_p_sampling' AS eval_technique, 1.0::DOUBLE AS eval_temperature,
+  CASE WHEN here THEN round(CASE WHEN question_ordering = 0 THEN pa ELSE pb END, 6) END AS a1_prob,
+  CASE WHEN here THEN round(CASE WHEN question_ordering = 0 THEN pb ELSE pa END, 6) END AS a2_prob FROM b
+""", "v_responses", "v_scenarios")
+
+    def result_rows(spark, sf_dir):
+        """Prompts and returned responses to scored result rows."""
+        from armature.operators.results import result_rows as rows_of
+        prompts = RD.render_choice(_render_rows(spark, sf_dir, True), "ab").withColumn("model_id", F.lit("openai/gpt-4.1")) \
+            .withColumn("question_format", F.lit("ab"))
+        returned = prompts.where(where).select(
+            F.col("prompt_id").alias("custom_id"), F.expr(content).alias("content"),
+            F.expr(f"CASE WHEN scenario_id % 4 = 0 THEN array() ELSE {_picked_positions(ab, spots, 'scenario_id % 7', '(scenario_id % 4)')} END").alias("positions"))
+        rows = rows_of(prompts, returned, "moralchoice_high_ambiguity", variants_df(spark, cut))
+        return rounded(rows.select("prompt_id", "dataset", "scenario_id", "distractor_id", "question_ordering", "status", "answer",
+                                   "eval_technique", "eval_temperature", "a1_prob", "a2_prob"))
+    register("result_rows", result_sql)(result_rows)
 
 
 try:
-    _register_variant_trie()
+    _register_token_queries()
 except ModuleNotFoundError as missing:          # no tokenizer files are installed here
     if missing.name not in ("public_tokenizers", "tiktoken"):
         raise
@@ -1065,8 +1146,10 @@ SELECT count(*) AS n_rows, count(DISTINCT model_id) AS n_models, count(DISTINCT
 FROM v_responses
 """, "v_responses"))
 def q_distinct_counts(spark, sf_dir):
-    r = V.responses(spark, sf_dir)
-    return r.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("model_id").alias("n_models"),
+    # collapsed map-side to distinct keys first: the distinct counts never expand raw rows
+    r = (V.responses(spark, sf_dir).groupBy("model_id", "scenario_id", "baseline_id", "distractor_id")
+         .agg(F.count(F.lit(1)).alias("n")))
+    return r.agg(F.sum("n").alias("n_rows"), F.countDistinct("model_id").alias("n_models"),
                  F.countDistinct("scenario_id").alias("n_scenarios"),
                  F.countDistinct("distractor_id").alias("n_distractors"),
                  F.countDistinct("baseline_id").alias("n_keys"))
@@ -1077,19 +1160,28 @@ def q_distinct_counts(spark, sf_dir):
 # ---------------------------------------------------------------------------
 from armature.operators import report as RP  # noqa: E402
 
-_MMAP_MEANS_SQL = REGISTRY["mmap_condition_means"][1]
+# flags and cells come from unrounded means
+_MMAP_MEANS_SQL = with_views(_MMAP_BASE_SQL + """,
+j AS (SELECT t.model_id, t.condition, t.mmap FROM t LEFT JOIN (SELECT model_id, baseline_id, rule FROM t WHERE condition = 'baseline') b
+      ON t.model_id = b.model_id AND t.baseline_id = b.baseline_id AND t.rule = b.rule)
+SELECT model_id, condition, avg(mmap) AS mean_score FROM j WHERE condition <> 'unknown' GROUP BY model_id, condition
+""", "v_distractors", "v_scenario_rules", "v_responses")
+
+
+def _mmap_means(spark, sf_dir):
+    r = _with_condition(spark, sf_dir, V.responses(spark, sf_dir))
+    return E.mmap_condition_means(r, V.scenario_rules(spark, sf_dir)).select("model_id", "condition", "mean_score")
 
 
 @register("minmax_flags", f"""
 WITH m AS ({_MMAP_MEANS_SQL})
-SELECT model_id, condition, mean_score,
+SELECT model_id, condition, round(mean_score, 6) AS mean_score,
        CASE WHEN mean_score = max(mean_score) OVER (PARTITION BY model_id) THEN 'max'
             WHEN mean_score = min(mean_score) OVER (PARTITION BY model_id) THEN 'min' ELSE '' END AS flag
 FROM m
 """)
 def q_minmax_flags(spark, sf_dir):
-    m = q_mmap_condition_means(spark, sf_dir).select("model_id", "condition", "mean_score")
-    return RP.minmax_flags(m, ["model_id"])
+    return rounded(RP.minmax_flags(_mmap_means(spark, sf_dir), ["model_id"]))
 
 
 @register("report_rows", f"""
@@ -1103,8 +1195,7 @@ SELECT model_id, model_id || ' & ' || {" || ' & ' || ".join(f"coalesce(max(cell)
 FROM c GROUP BY model_id
 """)
 def q_report_rows(spark, sf_dir):
-    m = q_mmap_condition_means(spark, sf_dir).select("model_id", "condition", "mean_score")
-    return RP.latex_rows(RP.latex_cells(RP.minmax_flags(m, ["model_id"])))
+    return RP.latex_rows(RP.latex_cells(RP.minmax_flags(_mmap_means(spark, sf_dir), ["model_id"])))
 
 
 _EXPERIMENTS = [
@@ -1157,6 +1248,23 @@ def q_arm_comparison(spark, sf_dir):
     return j.select("position", "experiment", "model_id", "option", "condition", "mean_diff", "se_diff")
 
 
+@register("arm_series", f"""
+WITH s AS ({_SUMMARY_SQL}),
+arms AS (SELECT * FROM (VALUES {", ".join(f"('{e}', '{m}', {p})" for e, m, p in ARMS)}) a(experiment, model_id, position)),
+c AS (SELECT * FROM (VALUES ('baseline', 0), ('positive', 1), ('neutral', 2), ('negative', 3)) c(condition, condition_no))
+SELECT a.position, c.condition_no, s.experiment, s.model_id, s.option, s.condition, s.mean_score, s.se_score, s.n_rows
+FROM s JOIN arms a ON s.experiment = a.experiment AND s.model_id = a.model_id JOIN c ON s.condition = c.condition
+""")
+def q_arm_series(spark, sf_dir):
+    """A23, absolute: mean score of every condition, baseline included, in arm and condition order."""
+    from armature.schemas import CONDITIONS
+    arms = spark.createDataFrame(ARMS, "experiment string, model_id string, position int")
+    j = _summary(spark, sf_dir).join(F.broadcast(arms), ["experiment", "model_id"])
+    number = F.array_position(F.array(*map(F.lit, CONDITIONS)), F.col("condition")) - 1
+    return j.select("position", number.cast("int").alias("condition_no"), "experiment", "model_id", "option", "condition",
+                    "mean_score", "se_score", "n_rows").orderBy("position", "option", "condition_no")
+
+
 # ---------------------------------------------------------------------------
 # T1 random-intercept tests + Holm-Sidak over the whole report family (rows-only)
 # ---------------------------------------------------------------------------
@@ -1219,6 +1327,21 @@ def q_mixed_lm_pairs(spark, sf_dir):
         "experiment", "model_id", "option", "pair", "ref", "test", "coef", "z", "p", "p_adj", "n_obs", "n_groups", "edge"))
 
 
+_PAIRS = ["baseline_vs_positive", "baseline_vs_neutral", "baseline_vs_negative", "positive_vs_neutral", "negative_vs_neutral",
+          "positive_vs_negative"]
+
+
+@register("p_value_rows", _MIXED_SQL[:_MIXED_SQL.rindex("SELECT experiment, model_id")] + f"""
+, adj AS (SELECT experiment, model_id, option, pair, '$' || format('{{:.2e}}', p_adj) || '$' AS cell FROM {ST.holm_sidak_sql("tst")} WHERE p IS NOT NULL)
+SELECT experiment, option, model_id, model_id || ' & ' || {" || ' & ' || ".join(f"coalesce(max(cell) FILTER (WHERE pair = '{c}'), '-')" for c in _PAIRS)} || ' \\\\' AS latex_row
+FROM adj GROUP BY experiment, option, model_id
+""")
+def q_p_value_rows(spark, sf_dir):
+    """K5: the report's p-value tables; the family is every test of the report."""
+    t = ST.holm_sidak(_mixed_tests(spark, sf_dir), "p", "p_adj").where("p IS NOT NULL")
+    return RP.p_value_rows(t, _PAIRS, by=["experiment", "option"])
+
+
 # ---------------------------------------------------------------------------
 # Baseline policy 'mean' (Q8), sorted head (L2), data-quality flag (Q14)
 # ---------------------------------------------------------------------------

@@ -1,7 +1,8 @@
 """The reference's three entry points as compositions of DataFrame transforms.
 
 evaluate : design -> pending (anti-join on the store) -> render -> requests
-collect  : partitioned result store -> filter -> one table (or per-model CSVs)
+retrieve : returned lines -> scored result rows -> partitioned store (operators.results)
+collect  : result store -> filter -> one table (or per-model CSVs) (operators.results)
 analyse  : results -> condition statistics -> pairwise tests -> Holm-Sidak -> report rows
 
 Every step is lazy; nothing is collected except the final report text.
@@ -19,8 +20,11 @@ from armature.operators import design as DS
 from armature.operators import effects as E
 from armature.operators import mixedlm as ML
 from armature.operators import report as RP
+from armature.operators import shares as SH
+from armature.operators import significance as SG
 from armature.operators.resume import resume_pending
 from armature.operators.spec import spec
+from armature.schemas import CONDITION_PAIRS
 from armature.sources.registry import DATASETS, models_df, sampling_defaults
 
 
@@ -66,7 +70,8 @@ def moralchoice_analysis(results: DataFrame, distractors: DataFrame, rules_long:
     tests = ST.holm_sidak(tests, "p", "p_adj")
     rows = RP.latex_rows(RP.latex_cells(RP.minmax_flags(means.select("model_id", "condition", "mean_score"),
                                                         ["model_id"])))
-    return {"means": means, "tests": tests, "report_rows": rows}
+    return {"means": means, "tests": tests, "report_rows": rows, "unmatched": C.unmatched_arms(results, distractors),
+            "p_value_rows": RP.p_value_rows(tests, [f"{a}_vs_{b}" for a, b in CONDITION_PAIRS], by=["option"])}
 
 
 def option_analysis(results: DataFrame, distractors: DataFrame, options: list[str], normalise: bool = True,
@@ -76,4 +81,19 @@ def option_analysis(results: DataFrame, distractors: DataFrame, options: list[st
     means = E.paired_effects(r, options, "scenario_id", normalise, drop_zero, suffix)
     contrib = E.option_contributions(r, options, "scenario_id", normalise, drop_zero, suffix)
     tests = ST.holm_sidak(ML.mixed_lm_pairs(contrib, ["model_id", "option"], ["scenario_id"]), "p", "p_adj")
-    return {"means": means, "tests": tests}
+    return {"means": means, "tests": tests, "unmatched": C.unmatched_arms(results, distractors),
+            "p_value_rows": RP.p_value_rows(tests, [f"{a}_vs_{b}" for a, b in CONDITION_PAIRS], by=["option"])}
+
+
+def verdict_analysis(results: DataFrame, distractors: DataFrame, target: str = "NTA") -> dict:
+    """The second analysis entry: verdict counts, shares and their change, tests of shares and foundations.
+
+    ``results``: verdict result rows (model_id, distractor_id, verdict, foundation scores).
+    """
+    r = C.attach_condition(results, distractors)
+    r = r.withColumn("distractor_type", SH.distractor_type(F.col("condition")))
+    by = ["model_id", "distractor_type"]
+    shares = SH.verdict_shares(r, by)
+    return {"shares": shares, "delta": SH.share_delta(shares), "contingency": SH.contingency(r, by),
+            "target_counts": SH.conditional_counts(r, by, target), "foundation_means": SH.mean_scores(r, by),
+            "chi_square": SG.chi_square_tests(r), "unmatched": C.unmatched_arms(results, distractors)}

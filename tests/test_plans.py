@@ -10,7 +10,7 @@ from armature.plans.catalog import REGISTRY
 from tests.conftest import SF_SMALL
 
 # queries whose plans legitimately run Python: report number formatting
-PYTHON_OK = {"report_rows"}
+PYTHON_OK = {"report_rows", "p_value_rows"}
 PY_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonMapInArrow")
 
 

@@ -90,3 +90,42 @@ def test_grid_follows_the_rows_out(spark):
     assert got.rdd.getNumPartitions() >= 40
     assert got.agg(F.count("*"), F.countDistinct("x", "y")).first()[:] == (21_000, 21_000)
     assert grid.cross(left.limit(0), right).count() == 0
+
+
+def test_retrieve_and_collect(spark, tmp_dir):
+    """Returned lines become scored rows of the store; a missing response stays pending and is filled in later."""
+    import json
+    import os
+
+    from armature.operators import results as RS
+    s, d = _tables(spark, 2, 2)
+    texts = spark.createDataFrame([("p0", "body"), ("p1", "more")], "file_path string, body string")
+    name, model = "moralchoice_high_ambiguity", "google/gemma-3-4b-it"
+    from armature.operators.spec import spec
+    prompts = spec(name).render(WF._with_texts(WF.pending_prompts(s, d, name, [model]), texts))
+    ids = sorted(r.prompt_id for r in prompts.collect())
+    assert len(ids) == 12
+
+    def lines(some):
+        top = [{"token": "A", "logprob": -0.25}, {"token": "B", "logprob": -1.5}]
+        return "".join(json.dumps({"custom_id": i, "response": {"status_code": 200, "body": {"choices": [
+            {"message": {"content": " A "}, "logprobs": {"content": [{"token": "A", "logprob": -0.25, "top_logprobs": top}]}}]}}}) + "\n" for i in some)
+    store, path = os.path.join(tmp_dir, "store"), os.path.join(tmp_dir, "out")
+    os.makedirs(path)
+    with open(os.path.join(path, "a.jsonl"), "w") as f:
+        f.write(lines(ids[:9]))
+    assert RS.retrieve(spark, prompts, path, store, name).where("status = 'ok'").count() == 9
+    done = spark.read.parquet(store)
+    left = WF.pending_prompts(s, d, name, [model], done)
+    again = spec(name).render(WF._with_texts(left, texts))
+    assert sorted(r.prompt_id for r in again.collect()) == ids[9:]
+    with open(os.path.join(path, "b.jsonl"), "w") as f:
+        f.write(lines(ids[9:]))
+    RS.retrieve(spark, again, path, store, name)
+    got = RS.collect_results(spark, store, "main", name)
+    assert got.count() == 12 and WF.pending_prompts(s, d, name, [model], spark.read.parquet(store)).count() == 0
+    row = got.where("question_ordering = 1").first()
+    assert row.answer == "A" and abs(row.a2_prob - 2.718281828459045 ** -0.25) < 1e-9 and abs(row.a1_prob - 2.718281828459045 ** -1.5) < 1e-9
+    assert RS.collect_results(spark, store, "main", name, "none").count() == 4
+    assert RS.collect_results(spark, store, "main", name, "image").count() == 4
+    assert RS.collect_results(spark, store, "pilot", name).count() == 0
