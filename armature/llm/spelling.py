@@ -100,14 +100,16 @@ def _grow(batches):
         out = []
         for word, n, side, path in zip(*(part.column(j).to_pylist() for j in range(4))):
             text = word[::-1] if side else word
-            size, path = len(text), sorted((p["d"], p["node"]) for p in path)
+            size, path = len(text), sorted((p["d"], p["node"], p["a"], p["z"]) for p in path)
             out.append((_END, path[-1][1], 0, None, None, word, n, None))
-            for (d, node), (e, child) in zip(path, path[1:]):
-                out.append((_EDGE, node, ord(text[d]), text[d:e], child, None, None, None))
-                # a pair is found where its words part in reading order if that is past the middle, else in reverse
-                if side == 0 or size - 1 - d < size // 2:
-                    out.append((_REPLACE, node, ord(text[d]), None, None, word, n, text[d + 1:]))
-                if text[d + 1:d + 2] != text[d]:
+            for (d, node, a, z), (e, child, _, _) in zip(path, path[1:]):
+                own, after = ord(text[d]), ord(text[d + 1]) if d + 1 < size else 0
+                out.append((_EDGE, node, own, text[d:e], child, None, None, None))
+                # a pair is found where its words part in reading order if that is past the middle, else in reverse;
+                # a and z are the branch's least and greatest sign, so other states have no edge to go on
+                if own < z and (side == 0 or size - 1 - d < size // 2):
+                    out.append((_REPLACE, node, own, None, None, word, n, text[d + 1:]))
+                if after != own and a <= after <= z:
                     last = size - 1 - d
                     while side and last + 1 < size and word[last + 1] == text[d]:
                         last += 1
@@ -122,9 +124,9 @@ def near_pairs(words: DataFrame, folder: str) -> DataFrame:
     """(word, n, near, near_n): every ordered pair of ``words`` (w, word, n) that are one edit apart; w: a number per row."""
     found = words.select("w", "word").mapInArrow(_beginnings, "w long, side int, d int, node long, sign int")
     branches = (found.groupBy("node").agg(F.min("sign").alias("a"), F.max("sign").alias("z"))
-                .where("a = 0 OR a < z").select("node"))
+                .where("a = 0 OR a < z"))
     paths = (found.select("w", "side", "d", "node").join(branches, "node").groupBy("w", "side")
-             .agg(F.collect_list(F.struct("d", "node")).alias("path")))
+             .agg(F.collect_list(F.struct("d", "node", "a", "z")).alias("path")))
     grown = stage(paths.join(words, "w").select("word", "n", "side", "path").mapInArrow(_grow, GROWN), folder, "grown")
     edges = stage(grown.where(F.col("kind") == _EDGE).select("node", "sign", "label", "child").distinct(), folder, "edges")
     release(words.sparkSession)
