@@ -156,12 +156,12 @@ def extract_verdict_reasoning(df: DataFrame, text: str, verdict_col: str = "verd
     """P12-P16 on the (already stripped) response text column ``text``.
 
     Each regex result is staged as its own column so it is computed once per
-    row (a CASE would re-evaluate a shared sub-expression per branch), and the
-    text-after-verdict scan only runs for rows without a reasoning header.
+    row (a CASE would re-evaluate a shared sub-expression per branch), the scan for bare
+    labels only runs for rows without a verdict line, and the text-after-verdict scan only for rows without a reasoning header.
     """
     t = F.col(text)
     d = (df.withColumn("_prim", verdict_primary(t))
-           .withColumn("_labels", F.transform(F.regexp_extract_all(t, F.lit(J_LABELS), 1), lambda x: F.upper(x))))
+           .withColumn("_labels", F.when(F.col("_prim").isNull(), F.transform(F.regexp_extract_all(t, F.lit(J_LABELS), 1), lambda x: F.upper(x)))))
     d = d.withColumn("_fb", _priority_label(F.col("_labels")))
     d = d.withColumn(verdict_col, F.when(F.length(t) > 0, F.coalesce(F.col("_prim"), F.col("_fb"))))
     if reasoning_col is None:
