@@ -204,10 +204,15 @@ def reasoning_sql(t: str) -> str:
             f"ELSE nullif({strip_sql(rem)}, '') END")
 
 
-def timestamp_now() -> Column:
-    """The run's wall-clock stamp as 'yyyy-MM-dd_HH:mm:ss'."""
+def timestamp_stamp(c: Column) -> Column:
+    """A time as 'yyyy-MM-dd_HH:mm:ss'."""
     from armature.schemas import TIMESTAMP_FORMAT
-    return F.date_format(F.current_timestamp(), TIMESTAMP_FORMAT)
+    return F.date_format(c, TIMESTAMP_FORMAT)
+
+
+def timestamp_now() -> Column:
+    """The run's wall-clock stamp."""
+    return timestamp_stamp(F.current_timestamp())
 
 
 def has_replacement_char(c: Column) -> Column:

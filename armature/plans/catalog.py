@@ -620,6 +620,22 @@ def q_answer_after_marker(spark, sf_dir):
     return c.select("conv_id", "turn", TX.answer_after_marker(raw, "assistant").alias("answer"))
 
 
+@register("answer_after_prompt", """
+SELECT conv_id, turn, substr(role || ': ' || text, length(role || ': ') + 1) AS answer FROM conversations
+""")
+def q_answer_after_prompt(spark, sf_dir):
+    """The answer of an output that repeats its prompt."""
+    prompt = F.concat(F.col("role"), F.lit(": "))
+    return V.table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", TX.answer_after_prompt(F.concat(prompt, F.col("text")), prompt).alias("answer"))
+
+
+@register("time_stamps", "SELECT event_id, strftime(ts, '%Y-%m-%d_%H:%M:%S') AS stamp FROM events")
+def q_time_stamps(spark, sf_dir):
+    """P27."""
+    return V.table(spark, sf_dir, "events").select("event_id", TX.timestamp_stamp(F.col("ts")).alias("stamp"))
+
+
 @register("safe_ids", """
 SELECT page_id, coalesce(regexp_replace(url, '[^\\p{L}\\p{N}_\\-]', '_', 'g'), 'none') AS safe_url FROM pages
 """)
@@ -1155,6 +1171,74 @@ def q_distinct_counts(spark, sf_dir):
                  F.countDistinct("baseline_id").alias("n_keys"))
 
 
+# ---------------------------------------------------------------------------
+# Stores and files: written to the shared folder, read back
+# ---------------------------------------------------------------------------
+def _shared_path(spark, name: str) -> str:
+    import uuid
+    from armature.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/armature-files/{uuid.uuid4().hex}/{name}"
+
+
+@register("union_results", with_views("""
+SELECT model_id, scenario_id, distractor_id, round(good_prob, 6) AS good_prob, round(ok_prob, 6) AS ok_prob,
+       NULL::DOUBLE AS esh_prob, NULL::DOUBLE AS yta_prob FROM v_option_responses
+UNION ALL SELECT model_id, scenario_id, distractor_id, NULL, NULL, round(esh_prob, 6), round(yta_prob, 6) FROM v_verdict_probs
+""", "v_option_responses", "v_verdict_probs"))
+def q_union_results(spark, sf_dir):
+    """Two result tables with different score columns."""
+    from armature.sources.files import union_results
+    a = V.option_responses(spark, sf_dir).select("model_id", "scenario_id", "distractor_id", "good_prob", "ok_prob")
+    b = V.verdict_probs(spark, sf_dir).select("model_id", "scenario_id", "distractor_id", "esh_prob", "yta_prob")
+    return rounded(union_results([a, b]))
+
+
+@register("stored_results", f"""
+WITH {_STORE_SQL}
+SELECT DISTINCT experiment, dataset, model_id, question_format, scenario_id, distractor_id, question_ordering
+FROM store WHERE experiment = 'main' AND dataset = 'moralchoice_high_ambiguity' AND status = 'ok'
+""")
+def q_stored_results(spark, sf_dir):
+    """K1 + S8: append to a partitioned store (twice), then collect one experiment's ok rows."""
+    from armature.operators.design import RESULT_KEY
+    from armature.operators.results import collect_results
+    from armature.sinks.writers import append_results
+    path, rows = _shared_path(spark, "store"), V.result_store(spark, sf_dir)
+    append_results(rows.where("scenario_id % 2 = 0"), path)
+    append_results(rows, path)
+    return collect_results(spark, path, "main", "moralchoice_high_ambiguity").select(*RESULT_KEY)
+
+
+@register("batch_responses_read", """
+SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS custom_id, text AS content, CAST(turn % 3 AS INT) AS n_positions FROM conversations
+""")
+def q_batch_responses_read(spark, sf_dir):
+    """S7 + W4: returned JSON lines from files."""
+    c = V.table(spark, sf_dir, "conversations")
+    top = F.struct(F.lit("A").alias("token"), F.lit(-0.5).alias("logprob"))
+    position = F.struct(F.lit("A").alias("token"), F.lit(-0.5).alias("logprob"), F.array(top).alias("top_logprobs"))
+    choice = F.struct(F.struct(F.col("text").alias("content")).alias("message"),
+                      F.struct(F.array_repeat(position, (F.col("turn") % 3).cast("int")).alias("content")).alias("logprobs"))
+    line = F.struct(F.concat_ws("-", "conv_id", "turn").alias("custom_id"),
+                    F.struct(F.lit(200).alias("status_code"), F.struct(F.array(choice).alias("choices")).alias("body")).alias("response"))
+    path = _shared_path(spark, "responses")
+    c.select(F.to_json(line).alias("line")).write.text(path)
+    r = BT.keep_last(BT.read_responses(spark, path))
+    return r.select("custom_id", "content", F.size("positions").alias("n_positions"))
+
+
+@register("per_model_files", with_views("""
+SELECT model_id || '_' || model_id AS model_dir, event_id, verdict FROM v_option_responses
+""", "v_option_responses"))
+def q_per_model_files(spark, sf_dir):
+    """K2: one CSV folder per model, read back."""
+    from armature.sinks.writers import write_per_model_csv
+    path = _shared_path(spark, "models")
+    write_per_model_csv(V.option_responses(spark, sf_dir).select("model_id", "event_id", "verdict"), path)
+    return spark.read.schema("model_id string, event_id long, verdict string, model_dir string").option("header", True).csv(path) \
+        .select("model_dir", "event_id", "verdict")
+
+
 # ---------------------------------------------------------------------------
 # Report layer: min/max flags, LaTeX rows, multi-experiment summary, arm comparison
 # ---------------------------------------------------------------------------
