@@ -5,26 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A registry side is broadcast only after this bound is verified on the data.
+# A registry side is broadcast only after these bounds are verified on the data.
 MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_BYTES = 256 << 20
 # (plan hash, input files, bound) -> verified small; the check is a job, so it runs once per plan
 _SMALL: dict = {}
 
 
-def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast-hint ``df`` only when it provably holds at most ``max_rows`` rows.
+def _bytes(df: DataFrame):
+    """About how many bytes a row takes: texts by their length, other values as 16."""
+    sized = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(16)
+             for f in df.schema.fields]
+    return sum(sized, F.lit(0)).cast("long")
 
-    The check is a bounded ``limit(max_rows + 1).count()`` - it stops early on a
-    large input.  Above the bound no hint is given: the planner falls back to a
+
+def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast-hint ``df`` only when it provably holds at most ``max_rows`` rows and about ``max_bytes`` bytes.
+
+    The check reads at most ``max_rows + 1`` rows - it stops early on a
+    large input.  Above a bound no hint is given: the planner falls back to a
     shuffle join (and AQE may still broadcast at run time from real sizes).
     """
     try:
-        memo_key = (df.semanticHash(), tuple(sorted(df.inputFiles())), max_rows)
+        memo_key = (df.semanticHash(), tuple(sorted(df.inputFiles())), max_rows, max_bytes)
     except Exception:  # noqa: BLE001 - plans without a stable hash are checked every time
         memo_key = None
     small = _SMALL.get(memo_key) if memo_key is not None else None
     if small is None:
-        small = df.limit(max_rows + 1).count() <= max_rows
+        found = df.limit(max_rows + 1).select(_bytes(df).alias("_b")).agg(F.count(F.lit(1)), F.sum("_b")).first()
+        small = found[0] <= max_rows and (found[1] or 0) <= max_bytes
         if memo_key is not None:
             _SMALL[memo_key] = small
     return F.broadcast(df) if small else df

@@ -10,18 +10,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from armature.functions import text as TX
+from armature.operators.conditions import small_side
 from armature.operators.design import prompt_id
 from armature.sources.registry import render_template, template_parts
 
 
+#: Keys that stand for a missing path, so that untreated rows spread over many tasks.
+_NO_PATH_KEYS = 1024
+
+
 def attach_distractor_text(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Left-join stripped distractor bodies on the registry's relative path.
 
-    ``texts``: (file_path, body).  A missing body renders as "no text" (the
-    prompt is left unchanged) instead of failing the job.
+    ``texts``: (file_path, body), broadcast only if their rows and bytes are few.  A missing body
+    renders as "no text" (the prompt is left unchanged) instead of failing the job.  Where the join
+    shuffles, rows without a path are dealt over ``_NO_PATH_KEYS`` keys that no path has.
     """
-    t = texts.select(F.col("file_path").alias("_tp"), TX.strip(F.col("body")).alias("distractor_text"))
-    return rows.join(t, F.col("distractor_file_path") == F.col("_tp"), "left").drop("_tp")
+    t = texts.where(F.col("file_path").isNotNull()).select(F.col("file_path").alias("_tp"), TX.strip(F.col("body")).alias("distractor_text"))
+    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(_NO_PATH_KEYS)).cast("string"))
+    keyed = rows.withColumn("_path", F.coalesce(F.col("distractor_file_path"), spread))
+    return keyed.join(small_side(t), F.col("_path") == F.col("_tp"), "left").drop("_tp", "_path")
 
 
 def render_choice(rows: DataFrame, question_format: str = "ab") -> DataFrame:

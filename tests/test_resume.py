@@ -129,3 +129,21 @@ def test_retrieve_and_collect(spark, tmp_dir):
     assert RS.collect_results(spark, store, "main", name, "none").count() == 4
     assert RS.collect_results(spark, store, "main", name, "image").count() == 4
     assert RS.collect_results(spark, store, "pilot", name).count() == 0
+
+
+def test_rows_without_a_text_do_not_share_a_key(spark, monkeypatch):
+    """Bodies too large to broadcast: untreated rows spread over many join keys, results as ever."""
+    from armature.operators import conditions as C
+    from armature.operators import render as RD
+    rows = spark.range(3000).select(F.col("id").alias("scenario_id"), F.when(F.col("id") % 10 == 0, F.lit("p1")).alias("distractor_file_path"))
+    texts = spark.createDataFrame([("p1", "  body "), ("p2", "x" * 100), (None, "nothing")], "file_path string, body string")
+    assert "BroadcastHashJoin" in RD.attach_distractor_text(rows, texts)._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(C.small_side, "__defaults__", (C.MAX_BROADCAST_ROWS, 50))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = RD.attach_distractor_text(rows, texts)
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+        got = out.groupBy(F.col("distractor_text")).count().collect()
+        assert {r[0]: r[1] for r in got} == {"body": 300, None: 2700}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
