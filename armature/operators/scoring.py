@@ -21,6 +21,14 @@ def answer_labels(question_format: str) -> tuple[str, str]:
     return first, second
 
 
+def pick_answers(df: DataFrame, suffix: str = "_prob") -> DataFrame:
+    """P10, first half: ``p_first`` / ``p_second`` of rows of any choice format from the label columns of both families."""
+    ab = F.col("question_format").startswith("ab")
+    first, second = (F.when(ab, F.col(f"{x.lower()}{suffix}")).otherwise(F.col(f"{y.lower()}{suffix}"))
+                     for x, y in zip(answer_labels("ab"), answer_labels("compare")))
+    return df.withColumn("p_first", first).withColumn("p_second", second)
+
+
 def answer_to_action(df: DataFrame, ordering: str = "question_ordering") -> DataFrame:
     """P10: A/YES -> action ``o``, B/NO -> action ``1 - o`` (a1/a2 are action 1 and 2)."""
     o0 = F.col(ordering) == 0

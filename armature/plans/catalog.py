@@ -847,6 +847,33 @@ def q_render_verdict_system(spark, sf_dir):
     return RD.render_verdict(arms).select("distractor_id", "system_prompt")
 
 
+@register("render_verdict_prompts", with_views(f"""
+WITH {_TXT_SQL},
+arms AS (SELECT p.doc_id, p.text AS post, d.id AS distractor_id, d.modality, t.body FROM documents p
+         LEFT JOIN v_distractors d ON d.id = p.doc_id % 100 LEFT JOIN txt t ON d.file_path = t.file_path),
+b AS (SELECT *, {_REDDIT_BASE} AS base FROM arms),
+r AS (SELECT *, CASE WHEN regexp_matches(base, {_sq(_LOWER1)})
+                     THEN regexp_extract(base, {_sq(_LOWER1)}, 1) || lower(regexp_extract(base, {_sq(_LOWER1)}, 2))
+                          || regexp_extract(base, {_sq(_LOWER1)}, 3) ELSE base END AS rem FROM b)
+SELECT CAST(doc_id AS VARCHAR) || '_' || coalesce(CAST(distractor_id AS VARCHAR), 'none') AS prompt_id,
+       CASE WHEN modality IS NULL THEN base
+            WHEN modality = 'text' THEN CASE WHEN length(coalesce(body, '')) = 0 THEN base
+                                             WHEN length(rem) > 0 THEN body || ' Later, ' || rem ELSE body END
+            WHEN length(rem) > 0 THEN 'You see the scene in the image. ' || rem ELSE 'You see the scene in the image.' END AS system_prompt,
+       {TX.strip_sql('post')} AS user_prompt
+FROM r
+""", "v_distractors"))
+def q_render_verdict_prompts(spark, sf_dir):
+    """P7 + P8: whole posts as verdict prompts, each with the arm of its number or none."""
+    arms = V.distractors(spark, sf_dir).select(
+        F.col("id").alias("distractor_id"), F.col("modality").alias("distractor_modality"), F.col("file_path").alias("distractor_file_path"))
+    posts = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("scenario_id"), F.col("text").alias("context"))
+    rows = posts.join(C.small_side(arms), F.col("scenario_id") % 100 == F.col("distractor_id"), "left")
+    return RD.render_verdict(RD.attach_distractor_text(rows, _distractor_texts(spark, sf_dir))).select(
+        "prompt_id", "system_prompt", "user_prompt")
+
+
+
 @register("eligibility", with_views(f"""
 WITH r AS (SELECT x.model_id, d.modality FROM v_responses x LEFT JOIN v_distractors d ON x.distractor_id = d.id),
 cap AS (SELECT * FROM (VALUES {", ".join(f"('{m}', {str(c).lower()})" for m, c in CAPABILITIES)}) c(model_id, accepts_images))
@@ -1057,6 +1084,24 @@ def q_answer_to_action(spark, sf_dir):
                                                "question_ordering", "a1_prob", "a2_prob"))
 
 
+@register("answers_by_format", """
+WITH x AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'O' THEN 'ab_moralchoice' ELSE 'compare_moralchoice' END AS question_format,
+  l_linenumber % 2 AS o, l_discount AS a, l_tax AS b, l_quantity / 100 AS yes, 1 - l_quantity / 100 AS no FROM lineitem),
+y AS (SELECT *, CASE WHEN question_format LIKE 'ab%' THEN a ELSE yes END AS f, CASE WHEN question_format LIKE 'ab%' THEN b ELSE no END AS s FROM x)
+SELECT l_orderkey, l_linenumber, question_format, round(CASE WHEN o = 0 THEN f ELSE s END, 6) AS a1_prob,
+       round(CASE WHEN o = 0 THEN s ELSE f END, 6) AS a2_prob FROM y
+""")
+def q_answers_by_format(spark, sf_dir):
+    """P10 over both formats: the labels follow the question format, the actions its ordering."""
+    from armature.operators.scoring import answer_to_action, pick_answers
+    x = V.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        F.when(F.col("l_linestatus") == "O", F.lit("ab_moralchoice")).otherwise(F.lit("compare_moralchoice")).alias("question_format"),
+        (F.col("l_linenumber") % 2).alias("question_ordering"), F.col("l_discount").alias("a_prob"), F.col("l_tax").alias("b_prob"),
+        (F.col("l_quantity") / 100).alias("yes_prob"), (1 - F.col("l_quantity") / 100).alias("no_prob"))
+    return rounded(answer_to_action(pick_answers(x)).select("l_orderkey", "l_linenumber", "question_format", "a1_prob", "a2_prob"))
+
+
 # ---------------------------------------------------------------------------
 # Batch halves: request JSON, keep-last responses, prompt/response join
 # ---------------------------------------------------------------------------
