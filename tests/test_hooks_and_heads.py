@@ -71,3 +71,29 @@ def test_head_of_many_files_opens_few(spark, tmp_dir):
     assert FS.read_scenarios_csv(spark, folder, schema, max_rows=10_000).count() == 600
     texts = FS.read_reddit_scenarios(spark, folder, max_rows=12, id_col="a", text_col="b")
     assert {r.id for r in texts.collect()} == {str(i) for i in range(12)}
+
+
+def test_a_fresh_checkpoint_keeps_what_the_store_holds(spark, tmp_dir):
+    import json
+    from armature.streaming.incremental import collect_responses, collected
+    src, store = os.path.join(tmp_dir, "in"), os.path.join(tmp_dir, "store")
+    os.makedirs(src)
+
+    def put(name, **answers):
+        with open(os.path.join(src, name), "w") as f:
+            for k, v in answers.items():
+                f.write(json.dumps({"custom_id": k, "response": {"body": {"choices": [{"message": {"content": v}}]}}}) + "\n")
+
+    def drain(checkpoint):
+        q = collect_responses(spark, src, store, os.path.join(tmp_dir, checkpoint))
+        assert q.awaitTermination(120)
+    put("a.json", p1="old", p2="two")
+    drain("c1")
+    put("b.json", p3="three")
+    drain("c1")                                                 # the same run goes on
+    os.makedirs(os.path.join(tmp_dir, "in2"))
+    src = os.path.join(tmp_dir, "in2")
+    put("c.json", p1="new")
+    drain("c2")                                                 # a fresh checkpoint, epoch 0 again
+    assert {r.custom_id: r.content for r in collected(spark, store).collect()} == {"p1": "new", "p2": "two", "p3": "three"}
+    assert len([d for d in os.listdir(store) if d.startswith("run=")]) == 2
