@@ -10,12 +10,13 @@ alone discard rows and pairs before and while counts accumulate:
    together have no link.  This is a count over part of the columns and drops most documents.
 2. Among the rows left, columns held by one row go, and rows left with too few columns.  Of the rest in order of rarity a
    row keeps ``columns left - ceil(percent * size / 100) + 1`` as its leading columns: linked rows share one of them.
-3. Blocks: the rows that share a leading column, in bands of size. Each block has a pivot row p, and each of its
-   rows is multiplied with p.  That leaves the row's difference ``d`` from p and the number ``m`` of p's columns that it lacks.
-   Links with pivots give components.
-4. Within a block, ``|x & y| = |p| - m_x - m_y + |d_x & d_y|``: a sparse product of differences.  It is accumulated
-   only between rows of different components, over the rarest difference columns that the bound on ``|d_x & d_y|``
-   leaves, and pairs below the bound are discarded.  Pairs whose bound is 0 or less link without a product.
+3. Blocks: the rows that share a leading column, in bands of size.  A block's pivot p is its most typical row, the one
+   with the fewest columns of its own; each of its rows is multiplied with p.  That leaves what the row adds to p
+   (``plus``) and what it lacks (``minus``).  Links with pivots give components.
+4. Within a block, ``|x & y| = |p| - |minus_x| - |minus_y| + |minus_x & minus_y| + |plus_x & plus_y|``: a sparse product of
+   differences, taken only between rows of different components.  As ``|x & y| <= |x & p| + |plus_x & plus_y|``, such
+   rows either share as many columns with p as a link needs, or have one of the rarest additions
+   of x in common (as many as leave fewer than the missing number); pairs below these bounds are never formed.
 
 So every pair of a block that could join two components is decided, and a large group of copies costs one product a row.
 
@@ -120,77 +121,76 @@ def pivots(rows: DataFrame, percent: int) -> DataFrame:
     width = -math.log(percent / 100 - 0.001)        # a little wide, so that linked rows are at most one band apart
     band = F.floor(F.log("n") / width).cast("int")
     lead = F.slice("cols", 1, (F.size("cols") - _least(F.col("n"), percent) + 1).cast("int"))
-    spread = rows.select("x", F.explode(F.array(band, band + 1)).alias("band"), lead.alias("lead")) \
-        .select("x", "band", F.explode("lead").alias("g"))
-    heads = (spread.groupBy("g", "band").agg(F.min("x").alias("p"), F.count(F.lit(1)).alias("size"))
+    spread = rows.select("x", (F.col("n") - F.size("cols")).alias("alone"), F.explode(F.array(band, band + 1)).alias("band"), lead.alias("lead")) \
+        .select("x", "alone", "band", F.explode("lead").alias("g"))
+    heads = (spread.groupBy("g", "band").agg(F.min(F.struct("alone", "x"))["x"].alias("p"), F.count(F.lit(1)).alias("size"))
              .where("size > 1").drop("size"))
     return spread.join(heads, ["g", "band"]).where("x <> p").select("x", "p").distinct()
 
 
 def products(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(x, p, n, n_p, size_p, m, d) of every pair: sizes, columns of p, how many of them x lacks, columns of one only."""
+    """(x, p, n, n_p, size_p, plus, minus) of every pair: sizes, columns of p, what x adds to them and what it lacks."""
 
     def run(batches):
         for part in K.row_slices(batches):
-            m, d = [], []
+            plus, minus = [], []
             for a, b in zip(part.column("a"), part.column("b")):
                 a, b = a.values.to_numpy(), b.values.to_numpy()
                 both = np.concatenate((a, b))
                 order = np.argsort(both, kind="stable")
-                sorted_ = both[order]
+                both = both[order]
                 single = np.ones(len(both), bool)
-                same = sorted_[1:] == sorted_[:-1]
+                same = both[1:] == both[:-1]
                 single[1:] &= ~same
                 single[:-1] &= ~same
-                d.append(sorted_[single])
-                m.append(int((order[single] >= len(a)).sum()))
-            ends = np.cumsum([0] + list(map(len, d))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("x"), part.column("p"), part.column("n"), part.column("n_p"), part.column("size_p"), pa.array(m, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *d])))],
-                names=["x", "p", "n", "n_p", "size_p", "m", "d"])
+                own, both = order[single] < len(a), both[single]
+                plus.append(both[own])
+                minus.append(both[~own])
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0] + list(map(len, d))).astype(np.int32)),
+                                              pa.array(np.concatenate([np.zeros(0, np.int64), *d]))) for d in (plus, minus)]
+            yield pa.RecordBatch.from_arrays([*map(part.column, ("x", "p", "n", "n_p", "size_p")), *lists],
+                                             names=["x", "p", "n", "n_p", "size_p", "plus", "minus"])
 
     pivot = rows.select(F.col("x").alias("p"), F.col("n").alias("n_p"), F.size("cols").cast("long").alias("size_p"), F.col("cols").alias("b"))
     joined = pairs.join(rows.select("x", "n", F.col("cols").alias("a")), "x").join(pivot, "p")
     return joined.select("x", "p", "n", "n_p", "size_p", "a", "b").mapInArrow(
-        run, "x long, p long, n long, n_p long, size_p long, m long, d array<long>")
+        run, "x long, p long, n long, n_p long, size_p long, plus array<long>, minus array<long>")
 
 
 def block_links(made: DataFrame, stars: DataFrame, percent: int, folder: str) -> DataFrame:
     """(u, v): links between rows of a block that are in different components."""
     roots = stars.select(F.col("u").alias("x"), F.col("v").alias("root"))
-    own = made.select(F.col("p").alias("x"), "p", F.col("n_p").alias("n"), "n_p", "size_p", F.lit(0).cast("long").alias("m"),
-                      F.array().cast("array<long>").alias("d")).dropDuplicates(["x"])
+    none = F.array().cast("array<long>")
+    own = made.select(F.col("p").alias("x"), "p", F.col("n_p").alias("n"), "n_p", "size_p", none.alias("plus"),
+                      none.alias("minus")).dropDuplicates(["x"])
     block = made.unionByName(own).join(roots, "x", "left").withColumn("root", F.coalesce("root", "x"))
-    mixed = (block.groupBy("p", "root").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"), F.min("m").alias("lack"))
-             .groupBy("p").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("rows", "root"))["root"].alias("main"),
-                               F.min("least").alias("least"), F.min("lack").alias("lack"))
+    mixed = (block.groupBy("p", "root").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"))
+             .groupBy("p").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("rows", "root"))["root"].alias("main"), F.min("least").alias("least"))
              .where("roots > 1").drop("roots"))
-    block = stage(block.join(mixed, "p"), folder, "block")
-    # of |d_x & d_y| for the partner with the weakest claim: the smallest that fits x, lacking least of p
-    smallest = F.greatest("least", _least(F.col("n"), percent))
-    bound = _need(F.col("n"), smallest, percent) - F.col("size_p") + F.col("m") + F.col("lack")
-    x = block.where("root <> main").select("p", "x", F.col("root").alias("root_x"), F.col("n").alias("n_x"), F.col("m").alias("m_x"),
-                                           "size_p", "d", bound.alias("bound"))
-    y = block.select("p", F.col("x").alias("y"), F.col("root").alias("root_y"), F.col("n").alias("n_y"), F.col("m").alias("m_y"))
-    asked = _need(F.col("n_x"), F.col("n_y"), percent) - F.col("size_p") + F.col("m_x") + F.col("m_y")
-    sized = (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (F.col("root_x") != F.col("root_y"))
-    certain = x.where("bound <= 0").drop("d", "bound").join(y, "p").where(sized & (asked <= 0)).select(F.col("x").alias("u"), F.col("y").alias("v"))
-
-    columns = block.select("p", F.col("x").alias("y"), F.explode("d").alias("g"))
+    block = stage(block.join(mixed, "p").withColumn("meet", F.col("size_p") - F.size("minus")), folder, "block")
+    # how many additions x must share with its easiest partner, the smallest of the block that fits it
+    bound = _need(F.col("n"), F.greatest("least", _least(F.col("n"), percent)), percent) - F.col("meet")
+    x = block.where("root <> main").select("p", "x", F.col("root").alias("root_x"), F.col("n").alias("n_x"), F.col("meet").alias("meet_x"),
+                                           "plus", bound.alias("bound"))
+    y = block.select("p", F.col("x").alias("y"), F.col("root").alias("root_y"), F.col("n").alias("n_y"), F.col("meet").alias("meet_y"))
+    fits = (F.col("root_x") != F.col("root_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+    asked = _need(F.col("n_x"), F.col("n_y"), percent)
+    near = x.where("bound <= 0").drop("plus", "bound").join(y, "p").where(fits & (F.least("meet_x", "meet_y") >= asked)).select("p", "x", "y")
+
+    columns = block.select("p", F.col("x").alias("y"), F.col("root").alias("root_y"), F.col("n").alias("n_y"), F.explode("plus").alias("g"))
     common = columns.groupBy("p", "g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    some = F.size("d") - F.greatest("bound", F.lit(1)) + 1
-    lead = x.where(some > 0).select("p", "x", some.alias("some"), F.explode("d").alias("g")).join(common, ["p", "g"], "left")
+    some = F.size("plus") - F.greatest("bound", F.lit(1)) + 1
+    lead = x.where(some > 0).select("p", "x", "root_x", "n_x", some.alias("some"), F.explode("plus").alias("g")).join(common, ["p", "g"], "left")
     place = F.row_number().over(Window.partitionBy("p", "x").orderBy(F.coalesce("df", F.lit(1)), "g"))
-    lead = lead.withColumn("place", place).where("place <= some AND df > 1").select("p", "g", "x")
-    met = lead.join(columns, ["p", "g"]).select("p", "x", "y").where("x <> y").distinct()
-    met = (met.join(x.select("p", "x", "root_x", "n_x", "m_x", "size_p"), ["p", "x"]).join(y, ["p", "y"])
-           .where(sized & (asked > 0)).select("p", "x", "y", asked.alias("asked")))
-    entries = block.select("p", "x", F.col("d").alias("d_x"))
-    full = (stage(met, folder, "met").join(entries, ["p", "x"])
-            .join(entries.select("p", F.col("x").alias("y"), F.col("d_x").alias("d_y")), ["p", "y"]))
-    counted = full.where(F.size(F.array_intersect("d_x", "d_y")) >= F.col("asked")).select(F.col("x").alias("u"), F.col("y").alias("v"))
-    return certain.unionByName(counted).distinct()
+    lead = lead.withColumn("place", place).where("place <= some AND df > 1").select("p", "g", "x", "root_x", "n_x")
+    alike = lead.alias("l").join(columns.alias("c"), (F.col("l.p") == F.col("c.p")) & (F.col("l.g") == F.col("c.g")) & fits) \
+        .select("l.p", "x", "y")
+    met = stage(near.unionByName(alike).distinct(), folder, "met")
+    sides = block.select("p", "x", "n", "size_p", "plus", "minus")
+    full = met.join(sides, ["p", "x"]).join(sides.select("p", *[F.col(c).alias(f"{c}_y") for c in ("x", "n", "plus", "minus")]).withColumnRenamed("x_y", "y"), ["p", "y"])
+    both = (F.col("size_p") - F.size("minus") - F.size("minus_y") + F.size(F.array_intersect("minus", "minus_y"))
+            + F.size(F.array_intersect("plus", "plus_y")))
+    return full.where(both >= _need(F.col("n"), F.col("n_y"), percent)).select(F.col("x").alias("u"), F.col("y").alias("v")).distinct()
 
 
 def join(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -209,7 +209,7 @@ def join(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     made = stage(products(pivots(rows, percent), rows), folder, "products")
     discard(spark, folder, "rows")
     release(spark)
-    linked = made.where(F.col("size_p") - F.col("m") >= _need(F.col("n"), F.col("n_p"), percent))
+    linked = made.where(F.col("size_p") - F.size("minus") >= _need(F.col("n"), F.col("n_p"), percent))
     stars = components(linked.select(F.col("x").alias("u"), F.col("p").alias("v")), folder, "stars")
     more = stage(block_links(made, stars, percent, folder), folder, "more")
     if not more.isEmpty():
