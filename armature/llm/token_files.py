@@ -5,7 +5,7 @@ by the greatest id) and two Elias-Fano sequences: the documents' ends in that
 array and their ids.  A sequence of n values below u takes about
 ``n * (2 + log2(u / n))`` bits: the low bits of each value side by side, and the
 high bits as gaps in unary.  ``EliasFano.get`` finds value i by a select over the
-unary part; a 32-bit sample every 256 values bounds the search.
+unary part; a 32-bit sample every 256 values bounds the search.  Documents are read through it.
 
 Writing: documents are range-partitioned by id; each task writes files of
 bounded size into the shared folder under a temporary name and moves them, so a
@@ -202,17 +202,18 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 part = int(path.rsplit("/", 1)[1].split("-")[1])
                 f = TokenFile(content.as_py())
-                ends = f.ends.values().astype(np.int64)
-                starts = np.concatenate((np.zeros(1, np.int64), ends[:-1])) if f.documents else ends
-                keys = f.doc_ids()
+                keys, lo = f.doc_ids(), 0
                 step = max(1, int(f.documents * (2 << 20) / max(1, f.tokens)))
                 for at in range(0, f.documents, step):
-                    cut = range(at, min(at + step, f.documents))
+                    starts, ids = [], []
+                    for i in range(at, min(at + step, f.documents)):
+                        hi = f.ends.get(i)          # a select; no table of all ends is built
+                        starts.append(f.before + lo)
+                        ids.append(f.ids[lo:hi].astype("<u4").tobytes())
+                        lo = hi
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([part] * len(cut), pa.int64()), pa.array(keys[at:at + step], pa.int64()),
-                         pa.array(f.before + starts[at:at + step], pa.int64()),
-                         pa.array([f.ids[starts[i]:ends[i]].astype("<u4").tobytes() for i in cut], pa.binary())],
-                        names=["part", "k", "at", "ids"])
+                        [pa.array([part] * len(ids), pa.int64()), pa.array(keys[at:at + step], pa.int64()),
+                         pa.array(starts, pa.int64()), pa.array(ids, pa.binary())], names=["part", "k", "at", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eft").load(f"{folder}/files")
     rows = files.select("path", "content").mapInArrow(run, "part long, k long, at long, ids binary")
