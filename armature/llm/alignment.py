@@ -6,9 +6,9 @@ blocks of both and a binary search finds where they stop being equal: every toke
 to one, and the whole stretch is jumped.  What follows is one irregular group, resolved token by token up to the
 next common end, where the shift is updated.
 
-Tokenizer A is a byte-level BPE file of the tokenizers library, B a sentencepiece model with byte fallback.  Texts
-whose signs are Latin-1 or common punctuation are cut by A's splitting pattern and their pieces go through a bounded
-cache; all others go to the library whole.
+Tokenizer A is a byte-level BPE file of the tokenizers library, B a sentencepiece model with byte fallback.  Both end
+tokens at single spaces, so a worker keeps the groups of recently used chunks in a bounded cache and
+aligns the new chunks of many texts as one text (``Aligner``).  Signs beyond Latin-1 and common punctuation go to A's library whole.
 
 Scale: one pass over the texts, which leaves per document its distinct linked id pairs with their numbers of links.
 A pair's count is a map-side aggregate over these rows.  The ``COMMON_PAIRS`` pairs with the greatest counts are
@@ -38,11 +38,18 @@ ALIGNED = ("row long, k long, n_a long, n_b long, n_groups long, n_links long, g
 #: The most id pairs that are broadcast; fixed-width rows.
 COMMON_PAIRS = 1_000_000
 _BLOCK_LINKS = 1 << 20
+#: Bytes of one of the two generations of a worker's chunk cache, what an entry takes beside its bytes, and the longest
+#: chunk that is cached (a text with a longer one is aligned as a whole).
+_CACHE_BYTES = 96 << 20
+_ENTRY_BYTES = 330
+_LONG_CHUNK = 2000
 #: The byte-level splitting pattern on Latin-1, general punctuation and the euro sign.
 _SPACE, _LETTER, _DIGIT = r"\t-\r \x85\xa0", r"A-Za-zªµºÀ-ÖØ-öø-ÿ", r"0-9²³¹¼-¾"
 _KNOWN = re.compile(r"[\x00-\xff‐-‧‰-⁞€]*").fullmatch
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+"
                      rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
+_CHUNKS = re.compile(r"(?<=\S) (?=\S)").split
+_BLANKS = frozenset(c for c in map(chr, range(0x3001)) if c.isspace())
 _UNSIGN = {chr(v): b for b, v in K._SIGNS.items()}
 
 
@@ -60,7 +67,7 @@ class ByteTokens:
         n = self.lib.get_vocab_size()
         self.signs = [i.to_bytes(4, "little") for i in range(n)]
         self.bytes = [bytes(_UNSIGN.get(c, ord(c) & 255) for c in self.lib.id_to_token(i)) for i in range(n)]
-        self.cache = K.TextEncoder(self)
+        self.cache = K.TextEncoder(self, cache_bytes=8 << 20)
 
     def chunk_bytes(self, piece: str) -> bytes:
         text = piece.encode("utf-8").decode("latin-1").translate(K._SIGNS)
@@ -187,7 +194,7 @@ class Speller:
         self.shift = 2 * n_a
         self.words = [b"%d%c" % (i, c) for n, signs in ((n_a, b",|"), (n_b, b",;")) for i in range(n) for c in signs]
 
-    def __call__(self, ids_a: np.ndarray, ids_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> bytes:
+    def signs(self, ids_a: np.ndarray, ids_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> list[bytes]:
         upto_a, upto_b = np.cumsum(size_a), np.cumsum(size_b)
         a, b = 2 * ids_a.astype(np.int64), 2 * ids_b.astype(np.int64) + self.shift
         a[upto_a - 1] += 1
@@ -195,14 +202,28 @@ class Speller:
         order = np.empty(len(a) + len(b), np.int64)
         order[np.arange(len(a)) + np.repeat(upto_b - size_b, size_a)] = a
         order[np.arange(len(b)) + np.repeat(upto_a, size_b)] = b
-        return b"".join(map(self.words.__getitem__, order.tolist()))[:-1]
+        return list(map(self.words.__getitem__, order.tolist()))
+
+    def __call__(self, *found) -> bytes:
+        return b"".join(self.signs(*found))[:-1]
 
 
 class Aligner:
-    def __init__(self, path_a: str, path_b: str):
+    """Alignment of whole texts, and of the chunks between single spaces through a cache.
+
+    A single space between two other signs ends a token of both tokenizers: A's pattern starts a piece there, and no
+    piece of B has a space after another sign (checked on loading).  So a text's groups are those of its
+    chunks, and new chunks of many texts are aligned together as one text.
+    """
+
+    def __init__(self, path_a: str, path_b: str, cache_bytes: int = _CACHE_BYTES):
         self.a, self.b = ByteTokens(path_a), PieceTokens(path_b)
         self.spell = Speller(len(self.a.bytes), len(self.b.bytes))
         self.len_a, self.len_b = (np.array(list(map(len, t.bytes)), np.int64) for t in (self.a, self.b))
+        self.chunked = not any(b" " in piece.lstrip(b" ") for piece in self.b.bytes)
+        self.limit, self.size = cache_bytes, 0
+        self.young: dict[str, tuple | None] = {}
+        self.before: dict[str, tuple | None] = {}
 
     def __call__(self, text: str):
         """(ids A, ids B, group sizes A, group sizes B) or None where there are no tokens."""
@@ -217,6 +238,78 @@ class Aligner:
             return None
         return ids_a, ids_b, *groups(np.cumsum(self.len_a[ids_a]), np.cumsum(self.len_b[ids_b]))
 
+    def _add(self, chunk: str, value: tuple | None) -> None:
+        self.young[chunk] = value
+        self.size += len(chunk) + (len(value[1]) + len(value[2]) if value else 0) + _ENTRY_BYTES
+
+    def _together(self, chunks: list[str]) -> None:
+        """Align new chunks as one text and keep each one's (packed counts, groups, links)."""
+        found = self(" ".join(chunks)) if len(chunks) > 1 else None
+        if found is None:                           # one chunk, or one of them does not come back
+            for c in chunks:
+                one = self(c)
+                self._add(c, None if one is None else self._split(one, [len(c.encode("utf-8")) + 1])[0])
+            return
+        for c, value in zip(chunks, self._split(found, [len(c.encode("utf-8")) + 1 for c in chunks])):
+            self._add(c, value)
+
+    def _split(self, found, sizes: list[int]) -> list[tuple]:
+        ids_a, ids_b, size_a, size_b = found
+        upto_a, upto_b, each = np.cumsum(size_a), np.cumsum(size_b), size_a * size_b
+        group = np.searchsorted(np.cumsum(self.len_a[ids_a])[upto_a - 1], np.cumsum(sizes)) + 1      # groups up to a chunk's end
+        n_a, n_b = upto_a[group - 1], upto_b[group - 1]
+        links = np.cumsum(each)[group - 1] * 8
+        g = np.repeat(np.arange(len(each)), each)
+        t = np.arange(len(g)) - np.repeat(np.cumsum(each) - each, each)
+        down, across = np.divmod(t, size_b[g])
+        pairs = (ids_a.astype(np.int64)[(upto_a - size_a)[g] + down] << 32
+                 | ids_b.astype(np.int64)[(upto_b - size_b)[g] + across]).tobytes()
+        signs = self.spell.signs(*found)
+        out, was = [], (0, 0, 0, 0)
+        for now in zip(n_a.tolist(), n_b.tolist(), group.tolist(), links.tolist()):
+            counts = now[0] - was[0] | now[1] - was[1] << 40 | now[2] - was[2] << 80
+            out.append((counts, b"".join(signs[was[0] + was[1]:now[0] + now[1]]), pairs[was[3]:now[3]]))
+            was = now
+        return out
+
+    def texts(self, texts: list[str]) -> list[tuple | None]:
+        """Per text (n_a, n_b, n_groups, n_links, groups, distinct pairs, their links), or None without tokens."""
+        cut = [_CHUNKS(t) if self.chunked else [t] for t in texts]
+        batches: dict[bool, set[str]] = {True: set(), False: set()}
+        whole: set[int] = set()                     # texts with a chunk that is not cached
+        for i, chunks in enumerate(cut):
+            for c in set(chunks).difference(self.young):
+                if c in self.before:
+                    self._add(c, self.before[c])
+                elif len(c) > _LONG_CHUNK:
+                    whole.add(i)
+                elif c and (c[0] in _BLANKS or c[-1] in _BLANKS):
+                    self._together([c])
+                elif c:
+                    batches[_KNOWN(c) is not None].add(c)
+        for some in batches.values():
+            some = sorted(some)
+            for at in range(0, len(some), 20_000):
+                self._together(some[at:at + 20_000])
+        out = [self._text(t, None if i in whole else chunks) for i, (t, chunks) in enumerate(zip(texts, cut))]
+        if self.size > self.limit:
+            self.before, self.young, self.size = self.young, {}, 0
+        return out
+
+    def _text(self, text: str, chunks: list[str] | None):
+        if not text or (self.chunked and "▁" in text):          # B reads that sign as a space
+            return None
+        if chunks is None:
+            found = self(text)
+            return found and (len(found[0]), len(found[1]), len(found[2]), int((found[2] * found[3]).sum()), self.spell(*found), *links(*found))
+        values = list(map(self.young.__getitem__, chunks))
+        if None in values:
+            return None
+        counts, spelt, pairs = zip(*values)
+        counts, pairs = sum(counts), np.frombuffer(b"".join(pairs), np.int64)
+        low = (1 << 40) - 1
+        return counts & low, counts >> 40 & low, counts >> 80, len(pairs), b"".join(spelt)[:-1], *np.unique(pairs, return_counts=True)
+
 
 def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """``ALIGNED``: a number per row, its counts, the digest of its groups, its distinct linked pairs and their links."""
@@ -227,18 +320,15 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         aligner = Aligner(path_a, path_b)
         for part in K.row_slices(batches, 1 << 20):
             counts, digests, pairs, times = [], [], [], []
-            for text in part.column(1).to_pylist():
-                found = aligner(text)
+            for found in aligner.texts(part.column(1).to_pylist()):
                 if found is None:
                     counts.append((0, 0, 0, 0))
                     digests.append("")
                     continue
-                ids_a, ids_b, size_a, size_b = found
-                counts.append((len(ids_a), len(ids_b), len(size_a), int((size_a * size_b).sum())))
-                digests.append(hashlib.sha256(aligner.spell(*found)).hexdigest())
-                k, t = links(*found)
-                pairs.append(k)
-                times.append(t)
+                counts.append(found[:4])
+                digests.append(hashlib.sha256(found[4]).hexdigest())
+                pairs.append(found[5])
+                times.append(found[6])
             each = iter(map(len, pairs))
             ends = np.cumsum([0] + [next(each) if c[0] else 0 for c in counts]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (pairs, times)]
