@@ -12,8 +12,8 @@ table; states that have read everything at the end of a word are neighbours.
   the greater; pairs are then mirrored.
 * An edit lies in the second half of a word or of its reversal.  Both directions go through the
   same tables, and only nodes in the lower half of a word are kept: the crowded top of the trie is never joined.
-* Nodes are 64-bit hashes of their paths.  A collision could only add edges; every pair is
-  confirmed by its edit distance.
+* Nodes are 63-bit hashes of their paths and a bit for the direction.  A collision could only add edges; every
+  pair is confirmed by its edit distance.
 
 Scale: every step is a shuffle join or a map-side aggregate; joins on a crowded node are split by
 adaptive execution, as the edge side has at most one row per sign.  The number of levels is the greatest number of
@@ -47,7 +47,10 @@ def occurrences(docs: DataFrame, least: int = 7) -> DataFrame:
     """(word): every run of at least ``least`` letters in A-Z lower case, one in ``MISSPELT`` without one of its letters."""
     run = F.explode(F.regexp_extract_all(F.col("text"), F.lit(f"{LETTERS}{{{least},}}"), F.lit(0)))
     runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("text").cast("string").alias("text")) \
-        .select("id", run.alias("run")).withColumn("run", F.translate("run", UPPER, LOWER))
+        .select("id", run.alias("run"))
+    # a run of ASCII letters alone is lower-cased as a whole, which gives the same and costs less than sign by sign
+    runs = runs.withColumn("run", F.when(F.octet_length("run") == F.length("run"), F.lower("run"))
+                           .otherwise(F.translate("run", UPPER, LOWER)))
     h = runs.withColumn("h", F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")))
     cut = F.expr("concat(substring(run, 1, int(h % length(run))), substring(run, int(h % length(run)) + 2))")
     return h.select(F.when(F.col("h") % MISSPELT == 0, cut).otherwise(F.col("run")).alias("word")).where(F.length("word") >= least)
@@ -59,17 +62,20 @@ def words(docs: DataFrame, least: int = 7, seen: int = 2) -> DataFrame:
 
 
 def _hashes(codes: np.ndarray, side: int) -> np.ndarray:
-    """Hashes of the beginnings (0 to all signs) of words of one length, a row of code points each."""
+    """Hashes of the beginnings (0 to all signs) of words of one length, a row of code points each.
+
+    The lowest bit is the direction, so that the two directions never share a node and no pair is met in both.
+    """
     m, size = codes.shape
     out = np.empty((m, size + 1), np.uint64)
-    h = np.full(m, side + 1, np.uint64)
+    h = np.full(m, 0x9E3779B97F4A7C15, np.uint64)
     out[:, 0] = h
     for d in range(size):
         h = (h ^ codes[:, d].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
         out[:, d + 1] = h
-    return out
+    return out << np.uint64(1) | np.uint64(side)
 
 
 def _beginnings(batches):
@@ -96,28 +102,44 @@ def _beginnings(batches):
 
 def _grow(batches):
     """Edges, ends and first states (``GROWN``) of words with their branches (word, n, side, path)."""
+    names = ["kind", "node", "sign", "label", "child", "word", "n", "rest"]
+    types = dict(zip(names, (pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())))
+
+    def rows(kind, m, **columns):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)) if c == "kind" else pa.array(columns[c], types[c])
+                                           if c in columns else pa.nulls(m, types[c]) for c in names], names=names)
+
     for part in K.row_slices(batches, 1 << 20):
-        out = []
-        for word, n, side, path in zip(*(part.column(j).to_pylist() for j in range(4))):
-            text = word[::-1] if side else word
-            size, path = len(text), sorted((p["d"], p["node"], p["a"], p["z"]) for p in path)
-            out.append((_END, path[-1][1], 0, None, None, word, n, None))
-            for (d, node, a, z), (e, child, _, _) in zip(path, path[1:]):
-                own, after = ord(text[d]), ord(text[d + 1]) if d + 1 < size else 0
-                out.append((_EDGE, node, own, text[d:e], child, None, None, None))
-                # a pair is found where its words part in reading order if that is past the middle, else in reverse;
-                # a and z are the branch's least and greatest sign, so other states have no edge to go on
-                if own < z and (side == 0 or size - 1 - d < size // 2):
-                    out.append((_REPLACE, node, own, None, None, word, n, text[d + 1:]))
-                if after != own and a <= after <= z:
-                    last = size - 1 - d
-                    while side and last + 1 < size and word[last + 1] == text[d]:
-                        last += 1
-                    if side == 0 or last < size // 2:
-                        out.append((_DELETE, node, 0, None, None, word, n, text[d + 1:]))
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
-                                         names=["kind", "node", "sign", "label", "child", "word", "n", "rest"])
+        words, n, side = part.column(0).to_pylist(), part.column(1).to_numpy(), part.column(2).to_numpy()
+        texts = [w[::-1] if r else w for w, r in zip(words, side.tolist())]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        base = np.cumsum(sizes) - sizes
+        codes = np.append(np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64), 0)
+        begins = np.append(True, codes[1:] != codes[:-1])
+        begins[base] = True
+        run = np.maximum.accumulate(np.where(begins, np.arange(len(codes)), 0))    # where a stretch of one sign begins
+        steps = part.column(3)
+        own_row = np.repeat(np.arange(len(texts)), np.diff(steps.offsets.to_numpy()))
+        d, node, a, z = (f.to_numpy() for f in steps.flatten().flatten())
+        order = np.lexsort((d, own_row))
+        own_row, d, node, a, z = own_row[order], d[order].astype(np.int64), node[order], a[order], z[order]
+        last = np.append(own_row[1:] != own_row[:-1], True)
+        ends = own_row[last].tolist()
+        yield rows(_END, len(ends), node=node[last], sign=np.zeros(len(ends), np.int32), word=[words[i] for i in ends], n=n[ends])
+        at = np.flatnonzero(~last)
+        e, child, i, d, node, a, z = d[at + 1], node[at + 1], own_row[at], d[at], node[at], a[at], z[at]
+        own, after = codes[base[i] + d], np.where(d + 1 < sizes[i], codes[base[i] + d + 1], 0)
+        yield rows(_EDGE, len(i), node=node, sign=own.astype(np.int32), child=child,
+                   label=[texts[j][x:y] for j, x, y in zip(i.tolist(), d.tolist(), e.tolist())])
+        # a pair is found where its words part in reading order if that is past the middle, else in reverse;
+        # a and z are the branch's least and greatest sign, so other states have no edge to go on
+        forth, half = side[i] == 0, sizes[i] // 2
+        other = (own < z) & (forth | (sizes[i] - 1 - d < half))
+        left_out = (after != own) & (a <= after) & (after <= z) & (forth | (sizes[i] - 1 - (run[base[i] + d] - base[i]) < half))
+        for kind, signs, these in ((_REPLACE, own, other), (_DELETE, np.zeros_like(own), left_out)):
+            j, x = i[these].tolist(), d[these].tolist()
+            yield rows(kind, len(j), node=node[these], sign=signs[these].astype(np.int32), word=[words[k] for k in j], n=n[j],
+                       rest=[texts[k][y + 1:] for k, y in zip(j, x)])
 
 
 def near_pairs(words: DataFrame, folder: str) -> DataFrame:

@@ -74,6 +74,14 @@ def test_variants_equal_brute_force(spark):
     assert {w: v[3:5] for w, v in got.items() if len(w) > 1000} == {long: (3, 1), short: (2, 1)}
 
 
+def test_variants_count_a_near_word_once(spark):
+    """A beginning and another word's reversed beginning once shared a node: such pairs were met twice, n_near was too great."""
+    words = ["bccaccab", "bccacca", "aaaaaaaa", "aaaaaaa", "baaaaaaa", "aaaaaab", "baaaaab", "aaaabaaab", "aaaaaaab"]
+    rows = [(i, " ".join(words), "s", "k", i) for i in range(6)]
+    got = {x.word: tuple(x) for x in spelling.variants(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == _variants([r[:2] for r in rows])
+
+
 def test_variants_of_nothing(spark):
     assert spelling.variants(_empty(spark)).count() == 0
     assert spelling.variants(_docs(spark).select("doc_id", F.lit("short").alias("text"))).count() == 0
