@@ -79,6 +79,27 @@ def test_nothing_is_exchanged_above_the_product(spark):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+def test_pending_models_never_moves_the_product(spark):
+    """design_pending: the pairs with their missing models come from bitmaps; nothing is exchanged above the product."""
+    s, d = spark.createDataFrame([(1,), (2,), (2,), (3,)], "scenario_id long"), _tables(spark)[1]
+    arms = [None, *[r.id for r in d.select("id").collect()]]
+    done = [("A", 1, None), ("A", 1, arms[1]), ("A", 1, arms[1]), ("B", 2, arms[-1]), ("C", 3, None), ("B", 3, -5), (None, 3, None), ("A", None, None)]
+    got = DS.pending_models(s, d, spark.createDataFrame(done, "model_id string, scenario_id long, distractor_id long"), ["A", "B"])
+    want = [(m, i, x) for i in (1, 2, 2, 3) for x in arms for m in ("A", "B") if (m, i, x) not in done]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+    assert "Exchange" not in got._jdf.queryExecution().sparkPlan().toString().split("ShuffledHashJoin")[0]
+
+
+def test_grid_of_given_blocks(spark):
+    """A cell pairs its left rows with one block: the left side is cut for the rows of one block."""
+    left = spark.range(600).selectExpr("id AS x", "explode(array(0, 1, 2)) AS block")
+    right = spark.range(60).selectExpr("id AS y", "CAST(id % 3 AS int) AS block")
+    got = grid.cross(left, right, 600, 60, 600, right_block="block", blocks=3, per_left={"twice": F.col("x") * 2})
+    assert got.rdd.getNumPartitions() == 60                                          # 36,000 rows out, 600 a cell
+    assert got.where("twice = 2 * x AND block = y % 3").agg(F.count("*"), F.countDistinct("x", "y")).first()[:] == (36_000, 36_000)
+    assert grid.cell_rows(10 ** 6) == 1 << 20 and grid.cell_rows(10 ** 11) == 1 << 24
+
+
 def test_grid_follows_the_rows_out(spark):
     assert grid.sides(1000, 10, 1 << 20) == (2, 1)
     a, b = grid.sides(10_000_000, 10, 1 << 20)
