@@ -130,7 +130,8 @@ def _step_down(df: DataFrame, p: str, out: str, by: list[str], raw) -> DataFrame
     placed = _with_slices(tests, _per_slice(sizes, by), by)
     placed = raw(placed.withColumn("_k", (F.col("_m") - F.col("_before") - F.col("_in") + 1).cast("double")))
     tops = placed.groupBy(*by, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.max("_raw").alias("_top"))
-    own = F.max("_raw").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # a RANGE frame: equal p share the greatest of theirs, whichever order the join above left them in
+    own = F.max("_raw").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = placed.select(*df.columns, "_pid", own.alias("_own"))
     carried = _with_slices(ranked, _per_slice(tops, by), by)
     done = carried.select(*df.columns, F.least(F.greatest("_own", "_above"), F.lit(1.0)).alias(out))

@@ -280,3 +280,14 @@ def test_step_down_over_many_slices(spark, by):
         want = reference(adjust)
         assert len(got) == len(rows) and got[0] is None and got[1] is None
         assert all(abs(got[i] - v) < 1e-12 for i, v in want.items())
+
+
+def test_step_down_ties_do_not_depend_on_row_order(spark, monkeypatch):
+    """Equal p share one result even if the second pass meets them in another order."""
+    from armature.functions import stats as S
+    plain = S._with_slices
+    monkeypatch.setattr(S, "_with_slices", lambda df, *a: plain(df, *a).orderBy(F.desc("i" if "_k" not in df.columns else "_k")))
+    for down in (True, False):
+        rows = [(i if down else 9 - i, 0.01) for i in range(10)]
+        for fn in (S.holm, S.holm_sidak):
+            assert len({round(r.p_adj, 12) for r in fn(spark.createDataFrame(rows, "i long, p double").coalesce(1)).collect()}) == 1
