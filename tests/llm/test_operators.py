@@ -228,6 +228,45 @@ def test_far_copies_of_a_big_group(spark):
     assert [x.component for x in minmax.groups(docs, 2).orderBy("k").collect()] == root
 
 
+def test_parts_of_one_source_form_few_pairs(spark, monkeypatch):
+    """Documents that share half of one source are in one bucket but unlinked: few pairs are formed, the links are all found."""
+    r = random.Random(6)
+    source = [" ".join(f"s{i}w{j}" for j in range(10)) for i in range(40)]
+    texts = [" ".join(source[i] for i in sorted(r.sample(range(40), 28))) for _ in range(150)]
+    for i in range(0, 12, 2):                       # pairs with a similarity of about 0.85, far from all others
+        w = texts[i].split()
+        for at in r.sample(range(len(w)), 10):
+            w[at] = f"other{i}x{at}"
+        texts[i + 1] = " ".join(w)
+    docs = spark.createDataFrame([(n, t, "s", "", 0) for n, t in enumerate(texts)], DOCS)
+    sets = _sets(docs.orderBy("doc_id").collect(), 2)
+    root = list(range(150))
+    edges = [(i, j) for i in range(150) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for _ in range(150):
+        for i, j in edges:
+            root[i] = root[j] = min(root[i], root[j])
+    assert len(edges) >= 6
+    staged, plain = {}, minmax.stage
+
+    def counted(df, folder, name):
+        out = plain(df, folder, name)
+        staged[name] = out.count()
+        return out
+    monkeypatch.setattr(minmax, "stage", counted)
+    assert [x.component for x in minmax.groups(docs, 2).orderBy("k").collect()] == root
+    assert staged["further"] <= 300
+
+
+def test_parity_never_exceeds_the_difference():
+    import numpy as np
+    r = np.random.default_rng(8)
+    for n in (0, 1, 5, 300, 5000):
+        a, b = (np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64)) for _ in range(2))
+        b = np.unique(np.concatenate((b[:n // 4], a[n // 4:])))
+        bits = sum(((x ^ y) & 0xFFFFFFFFFFFFFFFF).bit_count() for x, y in zip(minmax._parity(a), minmax._parity(b)))
+        assert bits <= len(np.setxor1d(a, b)) and (len(minmax._parity(a)), bits % 2) == (16, len(np.setxor1d(a, b)) % 2)
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)]
