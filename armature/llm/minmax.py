@@ -16,7 +16,8 @@ Confirmation: every link is confirmed on the full sets
   difference from h: what x adds (``plus``) and what it lacks (``minus``).  Links give components;
 * two nodes x, y of a bucket in different components can still be linked.  The nodes around a least node that has
   several components get a second, finer signature: ``FINE_BANDS`` bands of ``FINE_ROWS`` values from permutations of its
-  own.  Two sets with a similarity of 0.8 miss all 240 with a probability below 4e-8, sets that share half of their
+  own.  Two sets with a similarity of 0.8 miss all 240 with a probability below 4e-8 (1.1e-5 for 4 of 5 shingles, whose
+  least and greatest values depend on each other; the first 42 miss those in 4e-5), sets that share half of their
   shingles (parts of one source, say) meet in them 40 times less often than in the first.  x runs over the nodes
   of a fine bucket outside its largest component.  Each node has a parity sketch: a shingle flips one
   of ``PARITY`` bits, so two sets differ in at least as many shingles as their sketches do in bits, and pairs whose
