@@ -120,7 +120,8 @@ def _step_down(df: DataFrame, p: str, out: str, by: list[str], raw) -> DataFrame
     add is one row per slice.  A missing or NaN p is no test: it stays, without result and outside the family size.
     """
     from armature.session import cut_lineage
-    df = df.withColumn(p, F.when(~F.isnan(F.col(p)), F.col(p)))
+    # read twice below, tests and missing p
+    df = cut_lineage(df.withColumn(p, F.when(~F.isnan(F.col(p)), F.col(p))))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # checkpointed, so that every later pass sees the same slices
     tests = cut_lineage(df.where(F.col(p).isNotNull()).repartitionByRange(n, *by, p).withColumn("_pid", F.spark_partition_id()))

@@ -37,8 +37,9 @@ FINER, AROUND = (0.0125, 0.000625), 20
 def group_sums(contrib: DataFrame, cell: list[str], key: list[str]) -> DataFrame:
     """Pass 1a: per (cell, key) each condition's count, sum and square sum about ``about``, one of the group's means."""
     mean = F.try_divide(F.col("x_s"), F.col("x_n").cast("double"))
+    # the key first: rows are sorted by these, and cells are few, so most comparisons end at the key
     anchored = (contrib.where("x_n > 0").withColumn("_mu", mean)
-                .withColumn("about", F.max("_mu").over(Window.partitionBy(*cell, *key))))
+                .withColumn("about", F.max("_mu").over(Window.partitionBy(*key, *cell))))
     off = F.col("_mu") - F.col("about")
     aggs = [F.min("about").alias("about")]
     for c in CONDITIONS:
@@ -49,16 +50,15 @@ def group_sums(contrib: DataFrame, cell: list[str], key: list[str]) -> DataFrame
 
 
 def pair_groups(gs: DataFrame, cell: list[str]) -> DataFrame:
-    """Pass 1b: one row per (cell, pair, group) with n, s, sy, sxy and the centred moment m."""
+    """Pass 1b: one row per (cell, number of the condition pair, group) with n, s, sy, sxy and the centred moment m."""
     def z(c):
         return F.coalesce(F.col(c), F.lit(0))
     entries = []
-    for a, b in CONDITION_PAIRS:
-        ref, test = sorted([a, b])
+    for i, (a, b) in enumerate(CONDITION_PAIRS):
+        test = max(a, b)
         n, sy, sxy = z(f"n_{a}") + z(f"n_{b}"), (z(f"s_{a}") + z(f"s_{b}")).cast("double"), z(f"s_{test}").cast("double")
         entries.append(F.struct(
-            F.lit(f"{a}_vs_{b}").alias("pair"), F.lit(ref).alias("ref"), F.lit(test).alias("test"),
-            n.alias("n"), z(f"n_{test}").alias("s"), (n * F.col("about") + sy).alias("sy"),
+            F.lit(i).alias("_pair"), n.alias("n"), z(f"n_{test}").alias("s"), (n * F.col("about") + sy).alias("sy"),
             (z(f"n_{test}") * F.col("about") + sxy).alias("sxy"),
             ((z(f"q_{a}") + z(f"q_{b}")).cast("double") - F.try_divide(sy * sy, n.cast("double"))).alias("m")))
     return (gs.select(*cell, F.explode(F.array(*entries)).alias("e")).select(*cell, "e.*")
@@ -67,13 +67,17 @@ def pair_groups(gs: DataFrame, cell: list[str]) -> DataFrame:
 
 def class_stats(pg: DataFrame, cell: list[str]) -> DataFrame:
     """Pass 2: groups collapse into (n, s) classes; sums are about the mean of their (cell, pair)."""
-    cls = pg.groupBy(*cell, "pair", "ref", "test", "n", "s").agg(
+    cls = pg.groupBy(*cell, "_pair", "n", "s").agg(
         F.count(F.lit(1)).alias("G"), F.sum("sy").alias("Sy"), F.sum("sxy").alias("Sxy"),
         F.sum("m").alias("M"), (F.var_pop("sy") * F.count(F.lit(1))).alias("V"))
-    whole = Window.partitionBy(*cell, "pair")
+    whole = Window.partitionBy(*cell, "_pair")
     c0 = F.sum("Sy").over(whole) / F.sum(F.col("G") * F.col("n")).over(whole)
     sy, sxy = F.col("Sy") - F.col("G") * F.col("n") * c0, F.col("Sxy") - F.col("G") * F.col("s") * c0
-    out = cls.select(*cell, "pair", "ref", "test", F.col("n").cast("double").alias("n"), F.col("s").cast("double").alias("s"),
+    # names are given to classes, not carried by every group
+    def named(names):
+        return F.array(*map(F.lit, names))[F.col("_pair")]
+    out = cls.select(*cell, named([f"{a}_vs_{b}" for a, b in CONDITION_PAIRS]).alias("pair"), named(map(min, CONDITION_PAIRS)).alias("ref"),
+                     named(map(max, CONDITION_PAIRS)).alias("test"), F.col("n").cast("double").alias("n"), F.col("s").cast("double").alias("s"),
                      F.col("G").cast("double").alias("G"), sy.alias("Sy"), sxy.alias("Sxy"),
                      (F.col("V") + sy * sy / F.col("G")).alias("Sy2"), "M")
     return out.withColumn("Syy", F.col("M") + F.col("Sy2") / F.col("n")).drop("M")

@@ -1,6 +1,7 @@
 """Statistical operators vs closed forms and plain Python loops."""
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -291,3 +292,31 @@ def test_step_down_ties_do_not_depend_on_row_order(spark, monkeypatch):
         rows = [(i if down else 9 - i, 0.01) for i in range(10)]
         for fn in (S.holm, S.holm_sidak):
             assert len({round(r.p_adj, 12) for r in fn(spark.createDataFrame(rows, "i long, p double").coalesce(1)).collect()}) == 1
+
+
+def test_step_down_reads_its_tests_once(spark):
+    """The tests may be a whole model fit: it is not run again for each pass over them."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for part in batches:
+            read.add(len(part))
+            yield part
+
+    df = spark.createDataFrame([(i, None if i == 3 else i / 100) for i in range(10)], "i long, p double").coalesce(1)
+    got = {r.i: r.p_adj for r in S.holm(df.mapInPandas(count, df.schema)).collect()}
+    assert len(got) == 10 and got[3] is None and got[1] == pytest.approx(0.08)
+    assert read.value <= 20                     # a reliable checkpoint counts the rows, then writes them
+
+
+def test_mixed_lm_groups_are_sorted_by_key_and_carry_no_names(spark):
+    """Cells are few and their names long and alike: sorting by them first compares whole strings."""
+    rows = [("m", f"k{i % 5}", c, 1, float(i), 0.0) for i in range(20) for c in ("baseline", "positive")]
+    contrib = spark.createDataFrame(rows, "cell string, key string, condition string, x_n long, x_s double, x_m double")
+    groups = ML.group_sums(contrib, ["cell"], ["key"])
+    plan = groups._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Sort \[key#\d+ ASC NULLS FIRST, cell#\d+ ASC", plan)
+    pairs = ML.pair_groups(groups, ["cell"])
+    assert not {"pair", "ref", "test"} & set(pairs.columns)
+    named = {tuple(r) for r in ML.class_stats(pairs, ["cell"]).select("pair", "ref", "test").collect()}
+    assert ("baseline_vs_positive", "baseline", "positive") in named and ("positive_vs_negative", "negative", "positive") in named
