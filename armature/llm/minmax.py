@@ -220,13 +220,12 @@ def _further_links(compared: DataFrame, stars: DataFrame, table: str, percent: i
     mixed = around.groupBy("v").agg(several.alias("several")).where("several").select("v")
     fine = stage(_fine(around.join(mixed, "v").select("node", "root").distinct(), table), folder, "fine")
     spread = fine.select("node", "root", F.explode("buckets").alias("b"))
-    shared = spread.groupBy("b").agg(several.alias("several")).where("several").select("b")
-    met = stage(spread.join(shared, "b"), folder, "met")
-    main = (met.groupBy("b", "root").agg(F.count(F.lit(1)).alias("size"))
-            .groupBy("b").agg(F.max(F.struct("size", "root"))["root"].alias("main")))
-    sides = met.join(fine.select("node", "n", "odd"), "node").join(main, "b")
-    x = sides.where("root <> main").select("b", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "n", "odd")])
-    y = sides.select("b", "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "root", "n", "odd")])
+    main = (spread.groupBy("b", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("b")
+            .agg(several.alias("several"), F.max(F.struct("size", "root"))["root"].alias("main")).where("several").select("b", "main"))
+    # only the few nodes outside a bucket's largest component are looked up; all others meet them straight from ``fine``
+    outside = spread.join(main, "b").where("root <> main").join(fine.select("node", "n", "odd"), "node")
+    x = stage(outside.select("b", "main", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "n", "odd")]), folder, "outside")
+    y = fine.select(*[F.col(c).alias(f"y_{c}") for c in ("node", "root", "n", "odd")], F.explode("buckets").alias("b"))
     flipped = sum((F.bit_count(F.col("x_odd")[i].bitwiseXOR(F.col("y_odd")[i])) for i in range(PARITY // 64)), F.lit(0))
     pairs = (x.join(y, "b").where("x_root <> y_root").where((F.col("y_root") == F.col("main")) | (F.col("x_node") < F.col("y_node")))
              .where(100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
@@ -265,7 +264,7 @@ def groups(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame
     least = rooted.groupBy("root").agg(F.min("k").alias("component"))
     named = stage(rooted.join(least, "root").select("node", "component"), folder, "named")
     rows = stage(sketched.select("k", "node", "n"), folder, "rows")
-    discard(spark, folder, "sketch", "nodes", "pairs", "wanted", "compared", "fine", "met", "further", "more")
+    discard(spark, folder, "sketch", "nodes", "pairs", "wanted", "compared", "fine", "outside", "further", "more")
     release(spark)
     return (rows.join(named, "node", "left")
             .select("k", "n", F.when(F.col("n") == 0, F.col("k")).otherwise(F.col("component")).alias("component")))

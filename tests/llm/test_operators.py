@@ -257,6 +257,37 @@ def test_parts_of_one_source_form_few_pairs(spark, monkeypatch):
     assert staged["further"] <= 300
 
 
+def test_a_big_group_is_not_looked_up_by_bucket(spark, monkeypatch):
+    """Near copies of one text and a few texts just too far from it: rows (bucket, node) are formed for the few only, links are all found."""
+    r = random.Random(9)
+    source = [f"w{i}" for i in range(60)]
+
+    def copy(edits, tag):
+        w = list(source)
+        for at in r.sample(range(60), edits):
+            w[at] = f"{tag}x{at}"
+        return " ".join(w)
+    texts = [" ".join(source)] + [copy(1, f"near{i}") for i in range(80)] + [copy(6, f"far{i}") for i in range(6)]
+    docs = spark.createDataFrame([(n, t, "s", "", 0) for n, t in enumerate(texts)], DOCS)
+    sets = _sets(docs.orderBy("doc_id").collect(), 2)
+    root = list(range(len(texts)))
+    edges = [(i, j) for i in root for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in edges:
+            root[i] = root[j] = min(root[i], root[j])
+    assert root[:81] == [0] * 81 and any(root[81:])
+    by_bucket, plain = [], minmax.stage
+
+    def counted(df, folder, name):
+        out = plain(df, folder, name)
+        if "b" in out.columns:
+            by_bucket.append(out.groupBy([c for c in out.columns if c.endswith("root")]).count().agg({"count": "max"}).first()[0] or 0)
+        return out
+    monkeypatch.setattr(minmax, "stage", counted)
+    assert [x.component for x in minmax.groups(docs, 2).orderBy("k").collect()] == root
+    assert by_bucket and max(by_bucket) <= minmax.FINE_BANDS       # at most the buckets of one far text
+
+
 def test_parity_never_exceeds_the_difference():
     import numpy as np
     r = np.random.default_rng(8)
