@@ -90,6 +90,24 @@ def test_pending_models_never_moves_the_product(spark):
     assert "Exchange" not in got._jdf.queryExecution().sparkPlan().toString().split("ShuffledHashJoin")[0]
 
 
+def test_a_cell_is_unfolded_tile_by_tile(spark):
+    """Few values over and over: no left row runs over more right rows than a tile has, so files stay small."""
+    from itertools import groupby
+    got = grid.cross(spark.range(256).toDF("x"), spark.range(256).toDF("y"))
+    parts = got.rdd.glom().collect()
+    assert sum(map(len, parts)) == 256 * 256 == len({tuple(r) for p in parts for r in p})
+    assert max(len(list(run)) for p in parts for _, run in groupby(p, lambda r: r.x)) == grid.TILE
+
+
+def test_arms_carry_the_columns_of_their_registry(spark):
+    s, d = _tables(spark, 3, 5)
+    got = DS.design(s.select("scenario_id"), d.select("id", "modality"), ["ab", "compare"])
+    assert got.columns == ["scenario_id", "distractor_id", "distractor_modality", "question_format"]
+    want = {(i, a, m, f) for i in range(3) for f in ("ab", "compare") for a, m in [(None, None), *[(r.id, r.modality) for r in d.collect()]]}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+
+
 def test_grid_of_given_blocks(spark):
     """A cell pairs its left rows with one block: the left side is cut for the rows of one block."""
     left = spark.range(600).selectExpr("id AS x", "explode(array(0, 1, 2)) AS block")
