@@ -79,6 +79,32 @@ def test_nothing_is_exchanged_above_the_product(spark):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+def test_stored_rows_and_scenarios_are_exchanged_once(spark):
+    """Bitmaps are made in the cells: no exchange by scenario besides the one to the cells of each side of the product."""
+    s, d = _tables(spark)
+    done = spark.createDataFrame([("main", "x", "A", "ab", 1, 4, 0, "ok")], STORE)
+    plan = resume_pending(s, d, ["ab"], done, experiment="main", dataset="x", models=["A", "B"], orderings=2)
+    lines = [x for x in plan._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+    assert sum("REPARTITION_BY_NUM" in x for x in lines) == 2
+    assert not [x for x in lines if "ENSURE_REQUIREMENTS" in x and ("scenario_id" in x or "_l#" in x)]
+
+
+def test_scenarios_meet_stored_rows_of_another_type(spark):
+    """Ids of other types meet as in a join; null ids never do; scenarios, models and stored rows may come twice."""
+    s = spark.createDataFrame([(1,), (1,), (2,), (None,)], "scenario_id int")
+    d = spark.createDataFrame([(7,), (8,)], "id int")
+    done = [("e", "x", "A", "ab", 1, 7, 1, "ok"), ("e", "x", "A", "ab", 1, 7, 1, "ok"), ("e", "x", "B", "compare", 2, None, None, "ok"),
+            ("e", "x", "A", "ab", None, 8, 0, "ok"), ("e", "x", "A", "ab", 2, 8, 2, "ok"), ("e", "x", None, "ab", 2, 8, 0, "ok")]
+    got = resume_pending(s, d, ["ab", "compare"], spark.createDataFrame(done, STORE), experiment="e", dataset="x",
+                         models=["A", "B", "A"], orderings=2)
+    assert dict(got.dtypes)["scenario_id"] == "int" and "distractor_modality" not in got.columns
+    gone = {("A", "ab", 1, 7, 1), ("B", "compare", 2, None, 0)}
+    want = [(m, f, i, a, o) for i in (1, 1, 2, None) for m in "ABA" for f in ("ab", "compare") for a in (None, 7, 8) for o in (0, 1)
+            if (m, f, i, a, o) not in gone]
+    rows = [tuple(r) for r in got.select("model_id", "question_format", "scenario_id", "distractor_id", "question_ordering").collect()]
+    assert sorted(map(str, rows)) == sorted(map(str, want))
+
+
 def test_pending_models_never_moves_the_product(spark):
     """design_pending: the pairs with their missing models come from bitmaps; nothing is exchanged above the product."""
     s, d = spark.createDataFrame([(1,), (2,), (2,), (3,)], "scenario_id long"), _tables(spark)[1]
